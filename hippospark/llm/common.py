@@ -2,55 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-WHITE = np.zeros(256, bool)
-WHITE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only an unset one (tests) gets a local default."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_path = path
-    return out
 
+from hippospark.functions.storage import forget, saved, shared_dir
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that saved() wrote, once nothing reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["forget", "saved", "shared_dir"]
 
-
-def parts(df: DataFrame, bytes_col: str | None = None, each: int = 1 << 23) -> int:
-    """A partition count that follows the input's size: one per `each` bytes of text."""
-    if bytes_col:
-        total = df.agg(F.sum(F.octet_length(bytes_col))).first()[0] or 0
-        return max(1, -(-total // each))
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+WHITE = np.zeros(256, bool)
+WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def slices(batch: pa.RecordBatch, col: str, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, col: str, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into pieces of about `limit` text bytes: (piece, bytes of all its texts, offsets). A null text is empty."""
     text = batch.column(col)
     if text.null_count:
@@ -126,19 +92,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return ONE.span(ONE.prefix(data), starts, ends)
 
 
-def runs(units: np.ndarray, off: np.ndarray, window: int, k: int) -> dict[str, np.ndarray]:
+def runs(units: np.ndarray, off: np.ndarray, window: int, k: int, content: bool = True) -> dict[str, np.ndarray]:
     """Cut all windows of `window` units into runs that share an anchor, the k-gram of least hash in the window.
 
     Equal windows have equal anchors at equal places, wherever they stand, so windows need only be compared
     under one anchor hash. Returns per run: doc (index), start (first window's first unit, within all units),
-    n (windows), a (anchor hash), c1 and c2 (two independent hashes of all units that the run's windows cover).
+    n (windows), a (anchor hash) and, if content is set, c1 and c2 (two independent hashes of all units that the
+    run's windows cover).
     """
     n = np.maximum(0, np.diff(off) - window + 1)
     empty = np.zeros(0, np.int64)
     if not n.sum():
         return {"doc": empty, "start": empty, "n": empty, "a": empty.astype(np.uint64), "c1": empty.astype(np.uint64), "c2": empty.astype(np.uint64)}
     pre = ONE.prefix(units)
-    pre2 = TWO.prefix(units)
     total, w = len(units), window - k + 1
     at = np.arange(total - k + 1)
     grams = mix((pre[k:] - pre[:-k]) * ONE.down[: total - k + 1])
@@ -156,7 +122,8 @@ def runs(units: np.ndarray, off: np.ndarray, window: int, k: int) -> dict[str, n
     head, count = cut[:-1], np.diff(cut)
     start = begin[head]
     stop = start + count - 1 + window
-    return {"doc": doc[head], "start": start, "n": count, "a": grams[anchor[head]], "c1": ONE.span(pre, start, stop), "c2": TWO.span(pre2, start, stop)}
+    out = {"doc": doc[head], "start": start, "n": count, "a": grams[anchor[head]]}
+    return out | ({"c1": ONE.span(pre, start, stop), "c2": TWO.span(TWO.prefix(units), start, stop)} if content else {})
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -166,3 +133,11 @@ def signed(x: np.ndarray) -> pa.Array:
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Concatenated start, start + 1, ... of n numbers each."""
     return np.arange(int(n.sum())) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+
+
+def packed(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import parity_join, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+        "op10_parity_join": parity_join.op10_parity_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE,
+        "op9_suffix_dedup": suffix_dedup.ORACLE,
+        "op10_parity_join": parity_join.ORACLE,
     }
