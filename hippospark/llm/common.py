@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from hippospark.functions.storage import forget, saved, shared_dir
+from hippospark.functions.storage import forget, saved, shared_dir, tidy
 
-__all__ = ["forget", "saved", "shared_dir"]
+__all__ = ["forget", "saved", "shared_dir", "tidy"]
 
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True

@@ -27,7 +27,7 @@ WINDOW, GRAM = 50, 24
 #: Bytes of text per part: of the anchor index, and of the suffix sort.
 INDEX_BYTES, SORT_BYTES = 16 << 20, 1 << 20
 #: Most bytes that are sorted at once within a part; larger ones are sorted in several goes.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 BUFFER = 12 << 20
 
 
@@ -331,6 +331,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     hits = hits.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     packed = spans(live.join(hits, "doc_id"), buckets, sort_buckets, window, gram)
     flags = C.saved(removals(packed, window).unionByName(copies), "op9-flags")
+    C.tidy(docs.sparkSession)
     marks = flags.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
