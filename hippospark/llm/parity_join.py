@@ -168,17 +168,26 @@ def shared(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "sid long, bucket int, low binary")
 
 
-def forest(node: np.ndarray, near, barred: set) -> list[tuple[int, int]]:
-    """Pairs that join the members (sorted) wherever near(i, js) holds and the pair is not barred."""
-    label, out = np.arange(len(node)), []
-    for i in range(len(node) - 1):
-        js = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        if not len(js):
-            continue
-        for j in js[near(i, js)]:
+def forest(node: np.ndarray, n: np.ndarray, table: np.ndarray, num: int, den: int, barred: set) -> list[tuple[int, int]]:
+    """Pairs (places) that join the members wherever two are within their bound by sketch and not barred.
+
+    Members' sketches, folded to one width, are compared in blocks of rows; a row that shares its component with all
+    later members is left out.
+    """
+    label, out, block = np.arange(len(node)), [], 64
+    for x in range(0, len(node) - 1, block):
+        rows = np.arange(x, min(x + block, len(node) - 1))
+        rest = np.arange(x + 1, len(node))
+        if (label[rest] == label[x]).all():
+            break
+        apart = np.bitwise_count(table[rows][:, None, :] ^ table[rest][None, :, :]).sum(axis=2, dtype=np.int64)
+        a, b = n[rows][:, None], n[rest][None, :]
+        good = (apart * (den + num) <= (den - num) * (a + b)) & (np.maximum(a, b) * num <= np.minimum(a, b) * den) & (rest[None, :] > rows[:, None]) & (label[rows][:, None] != label[rest][None, :])
+        for r, c in zip(*np.nonzero(good), strict=True):
+            i, j = x + r, x + 1 + c
             if label[j] != label[i] and (node[i], node[j]) not in barred:
                 label[label == label[j]] = label[i]
-                out.append((i, int(j)))
+                out.append((int(i), int(j)))
     return out
 
 
@@ -228,8 +237,9 @@ def candidates(members: DataFrame, num: int, den: int) -> DataFrame:
                 if (tag := group.tobytes()) in done:
                     continue
                 done.add(tag)
-                near = lambda i, js, group=group: close(docs, n, sketch, np.full(len(js), group[i]), group[js])
-                out |= {(int(docs[group[i]]), int(docs[group[j]])) for i, j in forest(docs[group], near, barred)}
+                bits = places(int(n[group].min()))
+                table = np.stack([fold(sketch[x], bits) for x in group])
+                out |= {(int(docs[group[i]]), int(docs[group[j]])) for i, j in forest(docs[group], n[group], table, num, den, barred)}
             out = [p for p in out if p not in barred]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
