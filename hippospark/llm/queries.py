@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import parity_join, substring_dedup, suffix_dedup
+from . import mixing, packing, parity_join, sharding, substring_dedup, suffix_dedup, tokens
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_mixing": mixing.op3_mixing,
+        "op6_token_counts": tokens.op6_token_counts,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_sharding": sharding.op8_sharding,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_parity_join": parity_join.op10_parity_join,
     }
