@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,5 +37,7 @@ def forget(df: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are done; otherwise they stay until the JVM happens to collect."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds unreachable lets go of more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
