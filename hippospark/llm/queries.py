@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, parity_join, sharding, substring_dedup, suffix_dedup, tokens
+from . import collision_ann, fingerprints, mixing, packing, parity_join, quality, sharding, substring_dedup, suffix_dedup, tokens
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_mixing": mixing.op3_mixing,
+        "op4_collision_ann": collision_ann.op4_collision_ann,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_token_counts": tokens.op6_token_counts,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_sharding": sharding.op8_sharding,

@@ -9,7 +9,7 @@ are merged in, and adjacent prefixes are compared byte for byte.
 
 Defined results: null and empty texts, and texts under 50 bytes, lose nothing; a null doc_id is never earlier than
 another and loses nothing; repeated rows of one doc_id are judged alike and never against each other; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; other columns are carried in one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -33,7 +34,8 @@ BUFFER = 12 << 20
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and keys of the whole text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
     return docs.withColumns({"text_key": F.xxhash64("text"), "text_crc": F.crc32(F.coalesce("text", F.lit(""))), "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
 
 
@@ -317,7 +319,7 @@ def removals(packed: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per row: doc_id, text, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    """Per row: doc_id, text, n_bytes, n_removed, n_spans, kept (the remaining bytes), rest (a struct of all other columns)."""
     all_docs = keyed(docs)
     live = all_docs.where("doc_id is not null")
     total = live.agg(F.sum("n_bytes")).first()[0] or 0
@@ -353,16 +355,17 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                     runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     out.append((len(body), int(gone.sum()), runs, np.frombuffer(body, np.uint8)[~gone].tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("text"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary())],
-                    ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"],
+                    [b.column("doc_id"), b.column("text"), b.column("rest"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary())],
+                    ["doc_id", "text", "rest", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    joined = all_docs.join(marks, ["doc_id", "text_key"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(each, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = all_docs.join(marks, ["doc_id", "text_key"], "left").select("doc_id", "text", "rest", "marks")
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    return joined.mapInArrow(each, T.StructType([*joined.schema.fields[:3], *counts, T.StructField("kept", T.BinaryType())]))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
