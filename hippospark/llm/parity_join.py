@@ -5,8 +5,8 @@ whose Hamming distance never exceeds the symmetric difference of two sets, and w
 size band (powers of two) are cut by hash into d + 1 parts and some more, d the largest difference that a linked pair
 of the band can have: a linked pair agrees in a part, so the XOR of each part's shingles is a join key (the pigeonhole).
 Pairs under a common key are held against the sketches and only those within their own bound are verified on the whole
-sets. Under keys of many members only a spanning forest of such pairs is verified; where a verification fails, that
-pair is barred and the forest drawn again, until nothing fails, so that components come out as if by all pairs.
+sets. Under keys of many members a spanning forest of such pairs is verified first; where a pair of it fails, all pairs
+that would join two of the components that came out are verified too, so components are those of all links.
 Equal sets are joined beforehand and stand for one. A set with too few filled parts for the pigeonhole also files the
 prefix of its sorted hashes; two such sets that link share one of these.
 
@@ -64,7 +64,7 @@ def band(level: int, num: int, den: int) -> tuple[int, int]:
 
 def places(n: int) -> int:
     """Bits of the sketch of a set of n."""
-    return int(min(8192, max(256, 1 << max(1, 2 * n - 1).bit_length())))
+    return int(min(16384, max(512, 1 << max(1, 4 * n - 1).bit_length())))
 
 
 def fold(sketch: np.ndarray, bits: int) -> np.ndarray:
@@ -168,31 +168,41 @@ def shared(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "sid long, bucket int, low binary")
 
 
-def forest(node: np.ndarray, n: np.ndarray, table: np.ndarray, num: int, den: int, barred: set) -> list[tuple[int, int]]:
-    """Pairs (places) that join the members wherever two are within their bound by sketch and not barred.
+def near_pairs(n: np.ndarray, table: np.ndarray, label: np.ndarray, num: int, den: int, tree: bool) -> np.ndarray:
+    """Pairs (places, two columns) of members of other labels that are within their bound by sketch.
 
-    Members' sketches, folded to one width, are compared in blocks of rows; a row that shares its component with all
-    later members is left out.
+    Sketches, folded to one width, are compared in blocks of rows. With tree, a found pair joins its labels, so that only a
+    spanning forest comes out, and rows that share their label with all later members are left out.
     """
-    label, out, block = np.arange(len(node)), [], 64
-    for x in range(0, len(node) - 1, block):
-        rows = np.arange(x, min(x + block, len(node) - 1))
-        rest = np.arange(x + 1, len(node))
-        if (label[rest] == label[x]).all():
-            break
+    label, out, block = label.copy(), [], 64
+    for x in range(0, len(n) - 1, block):
+        rows = np.arange(x, min(x + block, len(n) - 1))
+        rest = np.arange(x + 1, len(n))
+        rest = rest[(label[rest][None, :] != label[rows][:, None]).any(axis=0)]
+        if not len(rest):
+            continue
         apart = np.bitwise_count(table[rows][:, None, :] ^ table[rest][None, :, :]).sum(axis=2, dtype=np.int64)
         a, b = n[rows][:, None], n[rest][None, :]
         good = (apart * (den + num) <= (den - num) * (a + b)) & (np.maximum(a, b) * num <= np.minimum(a, b) * den) & (rest[None, :] > rows[:, None]) & (label[rows][:, None] != label[rest][None, :])
-        for r, c in zip(*np.nonzero(good), strict=True):
-            i, j = x + r, x + 1 + c
-            if label[j] != label[i] and (node[i], node[j]) not in barred:
-                label[label == label[j]] = label[i]
-                out.append((int(i), int(j)))
-    return out
-
-
-def candidates(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: bucket, doc, n, sketch, low, barred. Pairs of documents within their bound by sketch: a < b."""
+        i, j = np.nonzero(good)
+        i, j = rows[i], rest[j]
+        if tree:
+            keep = []
+            for at, (u, v) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                if label[u] != label[v]:
+                    label[label == label[v]] = label[u]
+                    keep.append(at)
+            i, j = i[keep], j[keep]
+        out.append(np.stack((i, j), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def candidates(members: DataFrame, num: int, den: int, tree: bool) -> DataFrame:
+    """members: bucket, doc, n, sketch, low, label. Pairs of documents within their bound by sketch: a < b.
+
+    tree: all such pairs under keys of few members, a spanning forest of them under others; else, under the latter,
+    all that join different labels.
+    """
 
     def close(docs, n, sketch, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         small = np.minimum(n[left], n[right])
@@ -215,14 +225,14 @@ def candidates(members: DataFrame, num: int, den: int) -> DataFrame:
             rows.sort(key=lambda r: r["doc"])
             docs, n = np.array([r["doc"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
             sketch = [np.frombuffer(r["sketch"], np.uint64) for r in rows]
-            barred = {(r["doc"], x) for r in rows for x in r["barred"] or ()}
+            label = np.array([r["label"] for r in rows], np.int64)
             low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
             own = np.repeat(np.arange(len(rows)), [len(r["low"]) // 4 for r in rows])
             order = np.lexsort((own, low))
             low, own = low[order], own[order]
             cut = np.concatenate(([0], np.flatnonzero(np.diff(low)) + 1, [len(low)]))
             size, pairs = np.diff(cut), []
-            for s in range(2, SMALL + 1):
+            for s in range(2, SMALL + 1) if tree else ():
                 at = cut[:-1][size == s]
                 for i in range(s):
                     for j in range(i + 1, s):
@@ -230,18 +240,17 @@ def candidates(members: DataFrame, num: int, den: int) -> DataFrame:
             pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
             left, right = pairs >> 32, pairs & 0xFFFFFFFF
             good = close(docs, n, sketch, left, right)
-            out = set(zip(docs[left[good]].tolist(), docs[right[good]].tolist(), strict=True))
-            done = set()
+            out, done = [(left[good] << 32) | right[good]], set()
             for g in np.flatnonzero(size > SMALL):
                 group = own[cut[g] : cut[g + 1]]
                 if (tag := group.tobytes()) in done:
                     continue
                 done.add(tag)
                 bits = places(int(n[group].min()))
-                table = np.stack([fold(sketch[x], bits) for x in group])
-                out |= {(int(docs[group[i]]), int(docs[group[j]])) for i, j in forest(docs[group], n[group], table, num, den, barred)}
-            out = [p for p in out if p not in barred]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+                two = near_pairs(n[group], np.stack([fold(sketch[x], bits) for x in group]), label[group], num, den, tree)
+                out.append((group[two[:, 0]] << 32) | group[two[:, 1]])
+            out = np.unique(np.concatenate(out))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[out >> 32]), pa.array(docs[out & 0xFFFFFFFF])], ["a", "b"])
 
     return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "a long, b long").distinct()
 
@@ -280,19 +289,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     of = table.where("bucket is null").select("doc_id", "n", "sid")
     sets = table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     members = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")).join(sets, "sid").select("bucket", "doc", "n", "sketch", "low"), "op10-members")
-    tested = None
-    while True:
-        if tested is None:
-            pairs = candidates(members.withColumn("barred", F.lit(None).cast("array<long>")), num, den)
-        else:
-            barred = tested.where("not link").groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("barred"))
-            pairs = candidates(members.join(barred, "doc", "left"), num, den).join(tested, ["a", "b"], "left_anti")
-        pairs = C.saved(pairs, "op10-pairs")
-        new = verified(docs, pairs, k, num, den)
-        tested = new if tested is None else tested.unionByName(new)
-        if new.where("not link").isEmpty():
-            break
+    pairs = C.saved(candidates(members.withColumn("label", F.col("doc")), num, den, True), "op10-pairs")
+    tested = verified(docs, pairs, k, num, den)
     components = connected_components(tested.where("link"), "a", "b")
+    if not tested.where("not link").isEmpty():
+        # where a forest's pair failed, all pairs that would join the components that are left
+        apart = members.join(components, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
+        pairs = C.saved(candidates(apart, num, den, False).join(tested, ["a", "b"], "left_anti"), "op10-pairs")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(verified(docs, pairs, k, num, den))
+            components = connected_components(tested.where("link"), "a", "b")
     heads = sets.select("sid", "doc").join(components, F.col("doc") == F.col("node"), "left").select("sid", F.coalesce("component", "doc").alias("head"))
     out = of.join(heads, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("head"))).otherwise(F.col("doc_id")).alias("component_id"))
