@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("hippospark.plans.recall_queries", "hippospark.plans.kb_queries", "hippospark.plans.session_queries", "hippospark.plans.graph_queries", "hippospark.plans.lifecycle_queries")
 
 
 def queries() -> dict:
