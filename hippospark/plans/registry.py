@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("hippospark.plans.recall_queries", "hippospark.plans.kb_queries", "hippospark.plans.session_queries", "hippospark.plans.graph_queries", "hippospark.plans.lifecycle_queries")
+MODULES = ("hippospark.plans.recall_queries", "hippospark.plans.kb_queries", "hippospark.plans.session_queries", "hippospark.plans.graph_queries", "hippospark.plans.lifecycle_queries", "hippospark.plans.stream_queries")
 
 
 def queries() -> dict:

@@ -86,7 +86,7 @@ def memory_health(spark: SparkSession, d: str) -> DataFrame:
     return W.health(e, e.where("event_type = 'purchase'"), "user_id", now)
 
 
-@q("WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS tt, event_id FROM events), g AS (SELECT *, CASE WHEN tt - lag(tt) OVER (PARTITION BY user_id ORDER BY tt, event_id) < 600 THEN 0 ELSE 1 END AS fresh FROM e), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY tt, event_id) AS sess FROM g) SELECT user_id, min(tt) AS begins, max(tt) AS last, count(*) AS n FROM s GROUP BY user_id, sess")
+@q("WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS tt, event_id FROM events), g AS (SELECT *, CASE WHEN tt - lag(tt) OVER (PARTITION BY user_id ORDER BY tt, event_id) <= 600 THEN 0 ELSE 1 END AS fresh FROM e), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY tt, event_id) AS sess FROM g) SELECT user_id, min(tt) AS begins, max(tt) AS last, count(*) AS n FROM s GROUP BY user_id, sess")
 def session_gap_windows(spark: SparkSession, d: str) -> DataFrame:
     """Spark's own session windows."""
     e = table(spark, d, "events").select("user_id", "ts")
