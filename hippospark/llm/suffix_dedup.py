@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +26,11 @@ from pyspark.sql import types as T
 from . import common as C
 
 WINDOW, GRAM = 50, 24
-#: Bytes of text per part: of the anchor index, and of the suffix sort.
-INDEX_BYTES, SORT_BYTES = 16 << 20, 1 << 20
+#: Bytes of text per part: of the anchor index, of the suffix sort, and of a group of documents.
+INDEX_BYTES, SORT_BYTES, GROUP_BYTES = 16 << 20, 1 << 20, 6 << 20
 #: Most bytes that are sorted at once within a part; larger ones are sorted in several goes.
-CHUNK = 2 << 20
-BUFFER = 12 << 20
+CHUNK = 1 << 20
+BUFFER = 6 << 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -53,8 +54,8 @@ def anchors(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     """Anchor hashes of all documents, packed by bucket: a row holds those that one task found for one bucket."""
 
     def emit(held: list) -> pa.RecordBatch:
-        """Per bucket: the documents, how many anchors each has there, and the anchors' low halves."""
-        ids, m, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        """Per bucket: the documents, how many anchors each has there, their groups, and the anchors' low halves."""
+        ids, m, n, group = (np.concatenate([h[i] for h in held]) for i in range(4))
         doc = np.repeat(np.arange(len(ids)), n)
         bucket = ((m >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
         order, cut = by_bucket(bucket)
@@ -62,7 +63,7 @@ def anchors(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             count = np.bincount(doc[order[x:y]], minlength=len(ids))
             some = np.flatnonzero(count)
-            head = np.concatenate((np.diff(ids[some], prepend=0), count[some])).tobytes()
+            head = np.concatenate((np.diff(ids[some], prepend=0), count[some], group[some])).tobytes()
             rows.append((bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3))], ["bucket", "docs", "head", "low"])
 
@@ -72,7 +73,7 @@ def anchors(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
             for piece, data, off in C.slices(batch, "text"):
                 r = C.runs(data, off, window, gram, content=False)
                 m = meet(r["a"])
-                held.append((piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), m, np.bincount(r["doc"], minlength=piece.num_rows)))
+                held.append((piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), m, np.bincount(r["doc"], minlength=piece.num_rows), piece.column("group").to_numpy(zero_copy_only=False).astype(np.int64)))
                 size += len(m)
                 if size > 1_000_000:
                     yield emit(held)
@@ -80,7 +81,7 @@ def anchors(docs: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
         if size:
             yield emit(held)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "bucket int, docs int, head binary, low binary")
+    return docs.select("doc_id", "group", "text").mapInArrow(each, "bucket int, docs int, head binary, low binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -98,11 +99,11 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def shared(packed: DataFrame) -> DataFrame:
-    """Anchor hashes that two documents or more have, per document: doc_id, bucket, low halves."""
+    """Anchor hashes that two documents or more have, packed by group of documents: a row for each bucket and group."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
-            heads = [np.frombuffer(C.unpacked(r["head"], 16 * r["docs"]), np.int64).reshape(2, -1) for r in rows]
+            heads = [np.frombuffer(C.unpacked(r["head"], 24 * r["docs"]), np.int64).reshape(3, -1) for r in rows]
             ids = np.concatenate([np.repeat(np.cumsum(h[0]), h[1]) for h in heads])
             low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
             order = np.argsort(low)
@@ -111,21 +112,21 @@ def shared(packed: DataFrame) -> DataFrame:
             keep = order[np.repeat(lo < hi, np.diff(np.concatenate((cut, [len(order)]))))]
             if not len(keep):
                 continue
-            keep = keep[np.argsort(ids[keep], kind="stable")]
-            i = ids[keep]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(i)) + 1, [len(keep)]))
-            lows = low[keep].tobytes()
-            head = cut[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(i[head]), pa.array(np.full(len(head), rows[0]["bucket"]), pa.int32()), pa.array([lows[4 * x : 4 * y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                ["doc_id", "bucket", "low"],
-            )
+            group = np.concatenate([np.repeat(h[2], h[1]) for h in heads])[keep]
+            at = np.lexsort((ids[keep], group))
+            keep, group = keep[at], group[at]
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(keep)]))
+            out = [(group[x], rows[0]["bucket"], y - x, C.packed(np.diff(ids[keep[x:y]], prepend=0).tobytes()), low[keep[x:y]].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["group", "bucket", "count", "ids", "low"])
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "doc_id long, bucket int, low binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "group int, bucket int, count long, ids binary, low binary")
 
 
-def spans(found: DataFrame, buckets: int, sort_buckets: int, window: int, gram: int) -> DataFrame:
-    """The text under runs whose anchor is shared, packed by sort bucket. found: doc_id, text_key, text, hits."""
+def spans(docs: DataFrame, hits: DataFrame, buckets: int, sort_buckets: int, window: int, gram: int) -> DataFrame:
+    """The text under runs whose anchor is shared, packed by sort bucket. docs: group, doc_id, text_key, text; hits: see `shared`.
+
+    A group of documents, of bounded size since documents are dealt to groups by hash, meets its hits.
+    """
     def emit(held: list) -> pa.RecordBatch:
         ids, keys, m, start, n = (np.concatenate([h[i] for h in held]) for i in range(5))
         length = n + window - 1
@@ -143,33 +144,53 @@ def spans(found: DataFrame, buckets: int, sort_buckets: int, window: int, gram:
             ["bucket", "ids", "keys", "m", "start", "n", "body", "size"],
         )
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
+        if not left.num_rows or not right.num_rows:
+            return none
+        # bucket -1 names texts that an earlier document holds as a whole
+        copies = pc.equal(right.column("bucket"), -1)
+        skip, right = right.filter(copies), right.filter(pc.invert(copies))
+        if not right.num_rows:
+            return none
+        ids, keys = (np.frombuffer(b"".join(skip.column(c).to_pylist()), np.int64) for c in ("ids", "low"))
+        skip = set(zip(ids.tolist(), keys.tolist(), strict=True))
+        if skip:
+            left = left.filter(pa.array([x not in skip for x in zip(left.column("doc_id").to_pylist(), left.column("text_key").to_pylist(), strict=True)], pa.bool_()))
+        # wanted: document and anchor, sorted
+        owner = [np.cumsum(np.frombuffer(C.unpacked(r["ids"], 8 * r["count"]), np.int64)) for r in right.select(["ids", "count"]).to_pylist()]
+        low = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for x, b in zip(right.column("low"), right.column("bucket").to_pylist(), strict=True)]
+        wanted = np.sort(C.mix(np.concatenate(owner).view(np.uint64)) ^ C.mix(np.concatenate(low)))
+        held, size, out = [], 0, []
+        for batch in left.to_batches():
             for piece, data, off in C.slices(batch, "text"):
                 r = C.runs(data, off, window, gram, content=False)
                 m = meet(r["a"])
+                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 mine = ((m >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(32) | (m & np.uint64(0xFFFFFFFF))
-                edge = np.searchsorted(r["doc"], np.arange(piece.num_rows + 1))
-                keep = np.zeros(len(m), bool)
-                hits = piece.column("hits")
-                for d in range(piece.num_rows):
-                    want = np.concatenate([np.frombuffer(x["low"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"]) << np.uint64(32) for x in hits[d].as_py()])
-                    keep[edge[d] : edge[d + 1]] = np.isin(mine[edge[d] : edge[d + 1]], want)
-                k = np.flatnonzero(keep)
+                mine = C.mix(ids.view(np.uint64))[r["doc"]] ^ C.mix(mine)
+                k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine)
                 if not len(k):
                     continue
                 doc, start, n = r["doc"][k], r["start"][k], r["n"][k]
-                body = data[C.ranges(start, n + window - 1)]
-                held.append((piece.column("doc_id").to_numpy(zero_copy_only=False)[doc], piece.column("text_key").to_numpy(zero_copy_only=False)[doc], m[k], start - off[doc], n, body))
-                size += len(body)
+                held.append((ids[doc], piece.column("text_key").to_numpy(zero_copy_only=False)[doc], m[k], start - off[doc], n, data[C.ranges(start, n + window - 1)]))
+                size += len(held[-1][5])
                 if size > BUFFER:
-                    yield emit(held)
+                    out.append(emit(held))
                     held, size = [], 0
         if size:
-            yield emit(held)
+            out.append(emit(held))
+        return pa.Table.from_batches(out) if out else none
 
-    return found.select("doc_id", "text_key", "text", "hits").mapInArrow(each, "bucket int, ids binary, keys binary, m binary, start binary, n binary, body binary, size long")
+    schema = "bucket int, ids binary, keys binary, m binary, start binary, n binary, body binary, size long"
+    names, kinds = schema_names(schema)
+    return docs.groupBy("group").cogroup(hits.groupBy("group")).applyInArrow(each, schema)
+
+
+def schema_names(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    parts = [x.split() for x in schema.split(", ")]
+    return [p[0] for p in parts], [of[p[1]] for p in parts]
 
 
 def named(key: np.ndarray) -> np.ndarray:
@@ -281,10 +302,19 @@ def removals(packed: DataFrame, window: int = WINDOW) -> DataFrame:
             ids, keys = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "keys"))
             m = np.concatenate([np.frombuffer(r["m"], np.uint64) for r in rows])
             start, n = (np.concatenate([np.frombuffer(r[c], np.int32) for r in rows]).astype(np.int64) for c in ("start", "n"))
-            body = np.concatenate([np.frombuffer(C.unpacked(r["body"], r["size"]), np.uint8) for r in rows])
             length = n + window - 1
+            bodies, c1, c2, done = [], [], [], 0
+            for r in rows:  # one task's share at a time: the hashes' prefix sums take many times its bytes
+                text = np.frombuffer(C.unpacked(r["body"], r["size"]), np.uint8)
+                own = length[done : done + len(r["ids"]) // 8]
+                done += len(own)
+                end = np.cumsum(own)
+                c1.append(C.ONE.span(C.ONE.prefix(text), end - own, end))
+                c2.append(C.TWO.span(C.TWO.prefix(text), end - own, end))
+                bodies.append(text)
+            body, c1, c2 = np.concatenate(bodies), np.concatenate(c1), np.concatenate(c2)
+            del bodies
             at = np.concatenate(([0], np.cumsum(length)))[:-1]
-            c1, c2 = C.ONE.span(C.ONE.prefix(body), at, at + length), C.TWO.span(C.TWO.prefix(body), at, at + length)
             order = np.lexsort((ids, c2, c1, m))
             kind = np.ones(len(order), bool)
             kind[1:] = (np.diff(m[order]) != 0) | (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0)
@@ -323,15 +353,22 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     all_docs = keyed(docs)
     live = all_docs.where("doc_id is not null")
     total = live.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets, sort_buckets = max(1, -(-total // INDEX_BYTES)), max(1, -(-total // SORT_BYTES))
-    hits = shared(anchors(live, buckets, window, gram))
+    buckets, sort_buckets, groups = (max(1, -(-total // each)) for each in (INDEX_BYTES, SORT_BYTES, GROUP_BYTES))
     whole = ["text_key", "text_crc", "n_bytes"]
     firsts = live.groupBy(*whole).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copies = live.select("doc_id", *whole).join(firsts.where("first < last"), whole).where(f"doc_id > first and n_bytes >= {window}")
     copies = copies.select("doc_id", "text_key", F.lit(0).alias("start"), (F.col("n_bytes") - window + 1).cast("int").alias("n")).distinct()
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "low")).alias("hits"))
-    hits = hits.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    packed = spans(live.join(hits, "doc_id"), buckets, sort_buckets, window, gram)
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
+    live = live.withColumn("group", group)
+    hits = shared(anchors(live, buckets, window, gram))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, keys = ([x.to_bytes(8, "little", signed=True) for x in b.column(c).to_pylist()] for c in ("doc_id", "text_key"))
+            yield pa.RecordBatch.from_arrays([b.column("group").cast(pa.int32()), pa.array([-1] * len(ids), pa.int32()), pa.array([1] * len(ids), pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["group", "bucket", "count", "ids", "low"])
+
+    named_copies = copies.withColumn("group", group).select("group", "doc_id", "text_key").mapInArrow(pack, hits.schema)
+    packed = spans(live.select("doc_id", "text_key", "text", "group"), hits.unionByName(named_copies), buckets, sort_buckets, window, gram)
     flags = C.saved(removals(packed, window).unionByName(copies), "op9-flags")
     C.tidy(docs.sparkSession)
     marks = flags.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
