@@ -112,7 +112,8 @@ def mix(docs: DataFrame, size: str = "size", levels: int = LEVELS) -> DataFrame:
     partial = (F.col("rest") > 0) & (F.col("rest") < F.col("words"))
     cut = rows.where(partial)
     inner = Window.partitionBy("source_rank", "block").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    fits = F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") <= F.col("rest")
+    # what is larger than the whole remainder is passed over
+    fits = (F.col("size") <= F.col("rest")) & (F.coalesce(F.sum(F.when(F.col("size") <= F.col("rest"), F.col("size"))).over(inner), F.lit(0)) + F.col("size") <= F.col("rest"))
     cut = cut.withColumn("fits", fits)
     gap = cut.groupBy("source_rank", "block").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
     # and the one among the others that comes nearest to what is then missing
