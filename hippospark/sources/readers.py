@@ -51,7 +51,7 @@ def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
     """Format A ({sessions: [...]}) or B ([...]); missing times follow each other by 100 ms from 0."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     a = F.from_json("value", f"struct<sessions:array<struct<{_fields(SEED)}>>>")["sessions"]
     b = F.from_json("value", f"array<struct<{_fields(SEED)}>>")
     s = text.select(F.posexplode(F.coalesce(a, b)).alias("session_no", "s"))
@@ -84,7 +84,7 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scenes(spark: SparkSession, folder: str) -> DataFrame:
     """Markdown blocks with a META comment; missing fields are empty, an unreadable heat is 0."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"), "value")
+    t = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"), "value")
     field = lambda name: F.regexp_extract("value", rf"(?m)^\s*{name}:\s*(.*?)\s*$", 1)
     body = F.trim(F.regexp_replace("value", r"(?s)-----META-START-----.*?-----META-END-----", ""))
     return t.select("file", field("summary").alias("summary"), field("created").alias("created"), field("updated").alias("updated"), F.coalesce(field("heat").try_cast("int"), F.lit(0)).alias("heat"), body.alias("body"))

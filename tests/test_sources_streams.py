@@ -1,0 +1,79 @@
+"""Readers, sinks and streams."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from hippospark.sources import readers, sinks
+from hippospark.streaming import sessions
+
+
+def write(path, *lines):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+
+
+def test_day_shards(spark, tmp_path):
+    write(tmp_path / "2026-01-02.jsonl", {"id": "b", "sessionKey": "s", "recordedAt": "2026-01-02T00:00:00Z"}, "{broken", {"id": "z", "sessionKey": "s", "recordedAt": "when"})
+    write(tmp_path / "2026-01-01.jsonl", {"id": "a", "sessionKey": "s", "recordedAt": "2026-01-01T00:00:00Z"}, {"id": "o", "sessionKey": "other"})
+    write(tmp_path / "notes.jsonl", {"id": "no"})
+    assert [r["id"] for r in readers.read_l0_days(spark, str(tmp_path), "s").collect() if r["id"]] == ["a", "b", "z"]
+
+
+def test_offload(spark, tmp_path):
+    write(tmp_path / "offload-x.jsonl", {"tool_call_id": "t_1", "summary": "s"}, '{"tool_call_id": "t2", "summary": "a\x01b"}', "nonsense", {"summary": "no id"})
+    rows, counts = readers.read_offload(spark, str(tmp_path))
+    assert sorted(r["tool_call_id"] for r in rows.collect()) == ["t2", "t_1"]
+    c = counts.first()
+    assert (c["source_file"], c["lines"], c["corrupt"], c["invalid"]) == ("offload-x.jsonl", 4, 1, 1)
+
+
+def test_exports(spark, tmp_path):
+    write(tmp_path / "e.json", json.dumps([{"uuid": "c", "created_at": "2026-01-01T00:00:00Z", "chat_messages": [{"uuid": "1", "sender": "human", "text": "hi", "created_at": "2026-01-01T00:00:00Z"}, {"uuid": "2", "sender": "bot", "content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"uuid": "3", "sender": "human", "text": " "}]}]))
+    assert [(r["role"], r["text"]) for r in readers.read_chat_export(spark, str(tmp_path / "e.json")).orderBy("idx").collect()] == [("user", "hi"), ("assistant", "a\nb")]
+    sessions_ = [{"sessionKey": "k", "sessionId": "i", "conversations": [[{"role": "user", "content": "x"}], [{"role": "user", "content": "y", "timestamp": 5}]]}]
+    write(tmp_path / "a.json", json.dumps({"sessions": sessions_}))
+    write(tmp_path / "b.json", json.dumps(sessions_))
+    for f in ("a", "b"):
+        assert [(r["content"], r["ts_ms"]) for r in readers.read_seed(spark, str(tmp_path / f"{f}.json")).orderBy("round").collect()] == [("x", 0), ("y", 5)]
+    write(tmp_path / "q.json", json.dumps([{"question_id": "q", "haystack_dates": ["2023/05/20 (Sat) 02:21"], "haystack_session_ids": ["s"], "haystack_sessions": [[{"role": "user", "content": "m", "has_answer": True}, {"role": "assistant", "content": "n"}]]}]))
+    got = readers.read_questions(spark, str(tmp_path / "q.json")).orderBy("idx").collect()
+    assert [r["ts_ms"] for r in got] == [1684549260000, 1684549261000] and got[0]["has_answer"]
+
+
+def test_scenes(spark, tmp_path):
+    (tmp_path / "s.md").write_text("-----META-START-----\nsummary: A walk\nheat: many\n-----META-END-----\nBody")
+    r = readers.read_scenes(spark, str(tmp_path)).first()
+    assert (r["summary"], r["heat"], r["body"].strip()) == ("A walk", 0, "Body")
+
+
+def test_append_new(spark):
+    old, new = spark.createDataFrame([("a_1",)], "id string"), spark.createDataFrame([("a1",), ("b",), ("b",)], "id string")
+    assert [r["id"] for r in sinks.append_new(old, new, "id").collect()] == ["b"]
+
+
+def test_streams_agree_with_batches(spark, tmp_path):
+    rows = [(f"s{i % 3}", i, f"m{i % 20}") for i in range(60)]
+    spark.createDataFrame(rows, "session_key string, ts_ms long, id string").repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("session_key string, ts_ms long, id string").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    sessions.run_to_end(sessions.triggers(stream()), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/{n}"), str(tmp_path / "cp"))
+    got = {r["session_key"]: (r["n"], r["m"]) for r in spark.read.option("recursiveFileLookup", True).parquet(out).groupBy("session_key").agg(F.max("run").alias("n"), F.sum("messages").alias("m")).collect()}
+    assert got == {f"s{i}": (5, 17) for i in range(3)}  # 1 + 2 + 4 + 5 + 5 of 20 messages
+
+
+def test_capture_drops_late_rows(spark, tmp_path):
+    schema = "session_key string, ts_ms long"
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    for ts in (5, 3, 7):
+        spark.createDataFrame([("s", ts)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sessions.run_to_end(sessions.captured(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/{n}"), cp)
+    assert sorted(r["ts_ms"] for r in spark.read.option("recursiveFileLookup", True).parquet(out).collect()) == [5, 7]
+
+
+def test_quarantine(spark, tmp_path):
+    def fail(_):
+        raise ValueError("no")
+
+    sessions.quarantining(fail, str(tmp_path / "dead"))(spark.range(3), 1)
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 3
