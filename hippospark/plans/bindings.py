@@ -43,7 +43,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("entity_id"), F.lit("order_priority").alias("attribute"), F.col("o_orderpriority").alias("value"), epoch_s("o_orderdate").alias("valid_from"), F.col("o_orderkey").alias("seq"), F.lit(0.8).alias("confidence"))
 
 
-FACTS_SQL = "facts AS (SELECT o_custkey AS entity_id, 'order_priority' AS attribute, o_orderpriority AS value, CAST(epoch(o_orderdate) AS BIGINT) AS valid_from, o_orderkey AS seq, 0.8 AS confidence FROM orders)"
+FACTS_SQL = "facts AS (SELECT o_custkey AS entity_id, 'order_priority' AS attribute, o_orderpriority AS value, CAST(epoch(o_orderdate) AS BIGINT) AS valid_from, o_orderkey AS seq, CAST(0.8 AS DOUBLE) AS confidence FROM orders)"
 
 
 def kb_events(spark: SparkSession, sf_dir: str) -> DataFrame:
