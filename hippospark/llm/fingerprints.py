@@ -26,7 +26,7 @@ from . import common as C
 
 SHINGLE, FRACTION = 5, 1 / 4
 #: Text per part of the table in doc_id order.
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
 
 
 def sketches(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, fraction: float = FRACTION) -> list[np.ndarray]:
@@ -90,11 +90,12 @@ def fingerprint(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION) -
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows in parts of consecutive doc_ids, sorted, each part ending with the row that follows it (halo)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // PART_BYTES))
-    cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
+    total, low, high = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    n = max(1, -(-(total or 0) // PART_BYTES))
+    # equal stretches of doc_ids; a part is streamed in order, so uneven ones cost time but no memory
+    width = ((high or 0) - (low or 0) + 1) / n
+    part = F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)).cast("long")
+    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(part))
     # one row per part: its first document, moved to the part before (the first part's to the last)
     heads = docs.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order"), "text")).alias("head"))
     before = F.lag("part").over(Window.orderBy("part"))
