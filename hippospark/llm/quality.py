@@ -76,7 +76,10 @@ class Ordinal:
     def fit(self, rows: list[np.ndarray], grade: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.3, slow: float | None = None) -> "Ordinal":
         if not len(rows):
             return self
-        rng, w, b = np.random.default_rng(SEED), self.weights, np.array([-2.0, 1.0])[: len(self.thresholds)]
+        # thresholds begin at the grades' shares among the ratings
+        share = np.cumsum(np.bincount(grade, minlength=len(self.thresholds) + 1) + 1.0)
+        share = share[:-1] / share[-1]
+        rng, w, b = np.random.default_rng(SEED), self.weights, np.log(share / (1 - share))
         last, slow = len(b), slow or max(3.0, len(rows) / 20)  # words of few documents hardly count
         gw, gb = np.full(len(w), slow), np.full(last, 1.0)
         weight = np.bincount(grade, minlength=last + 1)
