@@ -286,11 +286,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table = C.saved(sketches(docs, max(1, -(-total // INDEX_BYTES)), k, num, den), "op10-sketches")
-    of = table.where("bucket is null").select("doc_id", "n", "sid")
-    sets = table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    of = C.saved(table.where("bucket is null").select("doc_id", "n", "sid"), "op10-docs")
+    sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op10-classes")
     members = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")).join(sets, "sid").select("bucket", "doc", "n", "sketch", "low"), "op10-members")
+    classes = C.saved(sets.select("sid", "doc"), "op10-ids")
+    # nothing below reads the large tables again
+    C.forget(table)
+    C.forget(sets)
+    C.tidy(docs.sparkSession)
     pairs = C.saved(candidates(members.withColumn("label", F.col("doc")), num, den, True), "op10-pairs")
     tested = verified(docs, pairs, k, num, den)
+    C.tidy(docs.sparkSession)
     components = connected_components(tested.where("link"), "a", "b")
     if not tested.where("not link").isEmpty():
         # where a forest's pair failed, all pairs that would join the components that are left
@@ -299,7 +305,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         if not pairs.isEmpty():
             tested = tested.unionByName(verified(docs, pairs, k, num, den))
             components = connected_components(tested.where("link"), "a", "b")
-    heads = sets.select("sid", "doc").join(components, F.col("doc") == F.col("node"), "left").select("sid", F.coalesce("component", "doc").alias("head"))
+    C.forget(members)
+    C.tidy(docs.sparkSession)
+    heads = classes.join(components, F.col("doc") == F.col("node"), "left").select("sid", F.coalesce("component", "doc").alias("head"))
     out = of.join(heads, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("head"))).otherwise(F.col("doc_id")).alias("component_id"))
 
