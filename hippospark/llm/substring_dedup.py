@@ -4,8 +4,8 @@ Batches arrive in ascending doc_id. Each batch is cut into runs of 50-word windo
 belongs to exactly one run, and equal windows lie under equal anchor hashes. A batch's run heads (first document of
 each anchor hash and content hash) are written as an immutable table sorted by anchor; the next batch is merge-joined
 with those sorted tables. A run whose whole content stood in an earlier document is removed at once; where one anchor
-has several contents, the windows themselves are looked up in the texts of both sides and compared by 128-bit digests
-of their words (the verification). When `fanout` tables have gathered they are compacted into one.
+has several contents, the windows themselves are looked up in the texts of both sides, at every place where a content's
+first document holds it, and compared by 128-bit digests of their words (the verification). When `fanout` tables have gathered they are compacted into one.
 
 Defined results: null and empty texts, and texts under 50 words, lose nothing; a null doc_id is never earlier than
 another and loses nothing; repeated rows of one doc_id are judged alike, and never against each other; an empty table
@@ -77,10 +77,13 @@ class FingerprintIndex:
         else:
             merged = heads.withColumn("fresh", F.lit(1))
         merged = C.saved(merged.repartition("a").sortWithinPartitions("a", "c1", "c2"), "op1-merged")
-        seen = new.join(merged.where("m > 1").select("a", "c1", "c2", F.col("head.doc_id").alias("first")), ["a", "c1", "c2"]).where("doc_id > first")
+        firsts = merged.where("m > 1").select("a", "c1", "c2", F.col("head.doc_id").alias("first"), F.col("head.text_key").alias("key"), F.col("head.start").alias("at"))
+        # rows of later documents, and the first document's other rows, which keep their anchor
+        met = new.join(firsts, ["a", "c1", "c2"]).where("doc_id > first or doc_id = first and (text_key <> key or start <> at)")
+        met = C.saved(met.select("doc_id", "text_key", "start", "n", F.when(F.col("doc_id") == F.col("first"), F.col("a")).alias("a")), "op1-seen")
         many = merged.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-        doubtful = merged.join(many, "a", "left_semi").select("head.*")
-        seen, doubtful = (C.saved(seen.select("doc_id", "text_key", "start", "n"), "op1-seen"), C.saved(doubtful, "op1-doubt"))
+        doubtful = merged.select("a", "head.*").unionByName(met.where("a is not null")).join(many, "a", "left_semi")
+        seen, doubtful = met.where("a is null").drop("a"), C.saved(doubtful.drop("a"), "op1-doubt")
         self.tables.append(C.saved(merged.where("fresh = 1").select("a", "c1", "c2", "head"), "op1-index"))
         C.forget(new)
         C.forget(merged)

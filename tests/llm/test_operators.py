@@ -81,6 +81,23 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_passage_repeated_within_a_document(spark):
+    """An earlier document holds a part of what a later one holds twice."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(6):
+        passage = fresh(200)
+        rows.append((10 * i, " ".join([*fresh(20), *passage[40:160], *fresh(20)]), None))
+        rows.append((10 * i + 1, " ".join([*fresh(30), *passage, *fresh(30), *passage, *fresh(30)]), None))
+    rows.append((11, rows[3][1] + " end " + rows[3][1], None))
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted((r["doc_id"], r["n_removed"]) for r in out.collect())
+    plain = units_removed(rows, lambda t: t.encode().split(), 50)
+    assert got == sorted((i, int(g.sum())) for i, _, g in plain)
+    assert (1, 240) in got
+
+
 def test_index_finds_history_over_batches_and_compaction(spark):
     text = " ".join(f"w{i}" for i in range(60))
     index = substring_dedup.FingerprintIndex(fanout=2)
