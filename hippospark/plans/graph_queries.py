@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hippospark.functions import scalar as S
 from hippospark.operators import clusters as K
 from hippospark.operators import graph as G
+from hippospark.operators import vectors as V
 
 from .bindings import EVENTS_SQL, RELATIONS_SQL, kb_events, relations, table
 from .common import Queries
@@ -82,6 +83,32 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return K.summary(K.clusters(pairs(spark, d)).withColumn("session", F.col("node") % 3), "session")
 
 
+def pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    return V.all_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.55)
+
+
+PAIRS_ALL = PAIRS.replace("ON a.label = b.label AND ", "ON ")
+CC_ALL = CC.replace(PAIRS, PAIRS_ALL)
+
+
+@q(f"WITH {PAIRS_ALL} SELECT a, b, score FROM pr")
+def similar_pairs_theta_all(spark: SparkSession, d: str) -> DataFrame:
+    """J10, J11, over all rows whatever their label."""
+    return pairs_all(spark, d)
+
+
+@q(CC_ALL + " SELECT node, component FROM cc")
+def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """G5 of the pairs over all rows."""
+    return K.clusters(pairs_all(spark, d))
+
+
+@q(CC_ALL + " SELECT component, count(*) AS size, count(DISTINCT node % 3) AS sessions, list_sort(list(node)) AS ids FROM cc GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT node % 3) >= 2")
+def cluster_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """A9, A10 of the pairs over all rows."""
+    return K.summary(K.clusters(pairs_all(spark, d)).withColumn("session", F.col("node") % 3), "session")
+
+
 @q("WITH t AS (SELECT s_suppkey, s_nationkey, unnest([CAST(s_nationkey AS VARCHAR), CAST(CAST(floor(s_acctbal / 500) AS BIGINT) AS VARCHAR)]) AS token FROM supplier), f AS (SELECT token FROM t GROUP BY 1 HAVING count(DISTINCT s_suppkey) BETWEEN 2 AND 12) SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM t a JOIN t b ON a.token = b.token AND a.s_suppkey < b.s_suppkey WHERE a.token IN (SELECT token FROM f)")
 def blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers that share a token; tokens of more than twelve suppliers are glue and dropped, as the operator has it."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hippospark.functions import scalar as S
 from hippospark.functions import text as X
-from hippospark.operators import graph, kb, lifecycle, offload, windows
+from hippospark.operators import clusters, graph, kb, lifecycle, offload, vectors, windows
 from hippospark.operators.components import connected_components
 
 
@@ -164,3 +164,33 @@ def test_json_repair(spark):
     bad = '{"a": "x\ny\t", \x01"b": 1}'
     got = offload.repaired_json(spark.createDataFrame([(bad,), (None,)], "t string"), "t").select(F.from_json("t", "a string, b int").alias("j")).collect()
     assert got[0]["j"]["a"] == "x\ny\t" and got[0]["j"]["b"] == 1 and got[1]["j"] is None
+
+
+def test_pairs_over_all_rows_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], [rng.choice("pqr")], rng.choice(["x", "y", None])) for i in range(60)] + [(60, None, ["p"], "x"), (61, [0.0] * 4, ["p"], "x")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, c array<string>, label string").repartition(3)
+
+    def cosine(v, w):
+        n = sum(x * x for x in v) ** 0.5 * sum(x * x for x in w) ** 0.5
+        return round(sum(x * y for x, y in zip(v, w, strict=True)) / n, 6) if n else 0.0
+
+    cos = {(a[0], b[0]): cosine(a[1], b[1]) for a in rows for b in rows if a[0] < b[0] and a[1] and b[1]}
+    got = {(r["a"], r["b"]): r["score"] for r in vectors.all_pairs(df, "id", "v", 0.55).collect()}
+    assert got.keys() == {p for p, c in cos.items() if c >= 0.55} and all(cos[p] == pytest.approx(c) for p, c in got.items())
+    label = {r[0]: r[3] for r in rows}
+    assert any(label[a] is None or label[a] != label[b] for a, b in got)
+    near = {r["id"]: r["near"] for r in vectors.nearest(df, "id", "v").collect()}
+    assert near == pytest.approx({i: max([0.0, *(c for p, c in cos.items() if i in p)]) for i in label if i != 60}, abs=1e-6)
+    best = vectors.topk(df.where("id % 20 = 0"), df, "id", "v", 3).collect()
+    both = cos | {(b, a): c for (a, b), c in cos.items()}
+    for i in (0, 20, 40):
+        mine = sorted(((-r["score"], r["id"]) for r in best if r["query_id"] == i))[:3]
+        wanted = sorted((-c, b) for (a, b), c in both.items() if a == i)[:3]
+        assert [x for _, x in mine] == [x for _, x in wanted] and [c for c, _ in mine] == pytest.approx([c for c, _ in wanted])
+    links = spark.createDataFrame([("p", "q")], "src string, dst string")
+    weight = {(a, b): 0.6 * c + 0.3 * (rows[a][2] == rows[b][2]) + 0.1 * (rows[a][2] == ["p"] and rows[b][2] == ["q"]) for (a, b), c in cos.items()}
+    got = {(r["a"], r["b"]): r["weight"] for r in clusters.weighted_pairs(df, "id", "v", "c", links).collect()}
+    wanted = {p: w for p, w in weight.items() if round(w, 6) >= 0.55}
+    assert got.keys() == wanted.keys() and got == pytest.approx(wanted, abs=1e-5)
