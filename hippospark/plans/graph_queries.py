@@ -12,6 +12,7 @@ from hippospark.operators import vectors as V
 
 from .bindings import EVENTS_SQL, RELATIONS_SQL, kb_events, relations, table
 from .common import Queries
+from .recall_queries import ISOLATION_ALL, isolation_all
 
 q = Queries()
 QUERIES, ORACLES = q.queries, q.oracles
@@ -161,6 +162,28 @@ def cornerstones(spark: SparkSession, d: str) -> DataFrame:
     return rarity(spark, d).select("doc_id", s.alias("score")).orderBy(F.desc("score"), "doc_id").limit(3)
 
 
+PEAKS = RARITY + f", iso AS ({ISOLATION_ALL}), di AS (SELECT doc_id, round(0.5 * rarity + 0.5 * coalesce(isolation, 1), 6) AS score FROM ra LEFT JOIN iso ON vec_id = doc_id)"
+
+
+def distinct_scores(spark: SparkSession, d: str) -> DataFrame:
+    """M13 of M11 and M12: the vector of a document has its id; without one its isolation is 1."""
+    i = isolation_all(spark, d).withColumnRenamed("vec_id", "doc_id")
+    return rarity(spark, d).join(i, "doc_id", "left").select("doc_id", F.round(0.5 * F.col("rarity") + 0.5 * F.coalesce("isolation", F.lit(1.0)), 6).alias("score"))
+
+
+@q(f"WITH {PEAKS} SELECT doc_id, round(score, 4) AS distinctiveness FROM di")
+def distinctiveness_all(spark: SparkSession, d: str) -> DataFrame:
+    """M13, fed by isolation."""
+    return distinct_scores(spark, d).select("doc_id", F.round("score", 4).alias("distinctiveness"))
+
+
+@q(f"WITH {PEAKS} SELECT doc_id, round(round(score, 4) * (1 - exp(-ln(2) * (doc_id % 97) / 48.0)), 4) AS score FROM di ORDER BY score DESC, doc_id LIMIT 3")
+def cornerstones_all(spark: SparkSession, d: str) -> DataFrame:
+    """T16, M14, of M13; the tables hold no times of injection, so doc_id % 97 is the age in hours."""
+    s = F.round(F.round("score", 4) * (1 - S.injection_decay(F.col("doc_id") % 97)), 4)
+    return distinct_scores(spark, d).select("doc_id", s.alias("score")).orderBy(F.desc("score"), "doc_id").limit(3)
+
+
 @q("""WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS t FROM benchmark)
 SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN len(list_distinct(list_concat(x.t, y.t))) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END, 6) AS score FROM b x JOIN b y ON x.item_id < y.item_id WHERE x.item_id < 5""")
 def near_dup_token_jaccard(spark: SparkSession, d: str) -> DataFrame:

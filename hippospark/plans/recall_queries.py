@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hippospark.functions import scalar as S
 from hippospark.operators import retrieval as R
+from hippospark.operators import vectors as V
 
 from .bindings import epoch_s, l0_messages, table
 from .common import Queries
@@ -151,6 +152,17 @@ def isolation(spark: SparkSession, d: str) -> DataFrame:
     return g.select("vec_id", F.round(1 - F.coalesce("near", F.lit(0.0)), 6).alias("isolation"))
 
 
+ISOLATION_ALL = "SELECT vec_id, round(1 - coalesce((SELECT max(greatest(0, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))) FROM embeddings b WHERE b.vec_id <> a.vec_id), 0), 6) AS isolation FROM embeddings a"
+
+
+@q(ISOLATION_ALL)
+def isolation_all(spark: SparkSession, d: str) -> DataFrame:
+    """M12 of every vector among all; 1 where there is nothing to compare."""
+    e = table(spark, d, "embeddings")
+    near = V.nearest(e, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+    return e.select("vec_id").join(near, "vec_id", "left").select("vec_id", F.round(1 - F.coalesce("near", F.lit(0.0)), 6).alias("isolation"))
+
+
 @q("SELECT doc_id, 1 + (doc_id % 3) AS list_no FROM documents WHERE lang = 'de' UNION SELECT doc_id, 1 + (doc_id % 3) FROM documents WHERE source = 'src1'")
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
     """U1, U2."""
