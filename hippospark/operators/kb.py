@@ -71,6 +71,12 @@ def contradictions(heads: DataFrame) -> DataFrame:
     return g.where(F.size("values") > 1)
 
 
+def newest(assertions: DataFrame, time: str) -> DataFrame:
+    """Head facts: the assertions of each key's last time, all of them."""
+    last = assertions.groupBy(*KEY).agg(F.max(time).alias("_last"))
+    return assertions.join(last, list(KEY)).where(F.col(time) == F.col("_last")).drop("_last")
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, version: str, keep: str | None = None) -> DataFrame:
     """K1, K2: the newest row per key; `keep` (a creation time) stays the oldest."""
     every = old.unionByName(new)

@@ -63,6 +63,13 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     return kb.contradictions(heads).select("entity_id", "values")
 
 
+@q("WITH m AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last FROM orders) SELECT o_custkey AS entity_id, list_sort(list(DISTINCT o_orderstatus)) AS values FROM m WHERE o_orderdate = last GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
+def contradictions_all(spark: SparkSession, d: str) -> DataFrame:
+    """A8, J14, of true head facts: statuses that the orders of a customer's last date assert at once, whatever that date."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.lit("status").alias("attribute"), F.col("o_orderstatus").alias("value"), "o_orderdate")
+    return kb.contradictions(kb.newest(o, "o_orderdate")).select("entity_id", "values")
+
+
 @q("WITH " + ISLANDS + " SELECT f.entity_id, c_name || ' — ' || f.attribute || ': ' || f.value AS text FROM ver f JOIN customer ON c_custkey = f.entity_id WHERE f.valid_to IS NULL")
 def head_fact_text(spark: SparkSession, d: str) -> DataFrame:
     """J2."""

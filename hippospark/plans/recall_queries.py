@@ -114,6 +114,13 @@ def recency_boost(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.round(S.recency_boosted(F.col("o_totalprice") / 1e6, age), 6).alias("boosted"))
 
 
+@q(f"SELECT o_orderkey, round(o_totalprice / 1e6 * (1 + 0.15 * pow(0.5, ({NOW} - epoch(o_orderdate)) / 86400.0 / 30)), 6) AS boosted FROM orders")
+def recency_boost_all(spark: SparkSession, d: str) -> DataFrame:
+    """M3 of every order."""
+    age = (F.lit(NOW) - epoch_s("o_orderdate")) / 86400.0
+    return table(spark, d, "orders").select("o_orderkey", F.round(S.recency_boosted(F.col("o_totalprice") / 1e6, age), 6).alias("boosted"))
+
+
 @q("SELECT c_custkey, c_name, CAST(contains(lower(c_name), 'customer') AS BIGINT) + CAST(contains(lower(c_name), '7') AS BIGINT) + CAST(contains(lower(c_name), '42') AS BIGINT) AS hits FROM customer WHERE hits > 0 ORDER BY hits DESC, c_custkey LIMIT 10")
 def entity_token_match(spark: SparkSession, d: str) -> DataFrame:
     return R.entity_matches(table(spark, d, "customer"), ("customer", "7", "42"), "c_custkey", "c_name", 10)

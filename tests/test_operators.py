@@ -194,3 +194,9 @@ def test_pairs_over_all_rows_and_blocks(spark, monkeypatch):
     got = {(r["a"], r["b"]): r["weight"] for r in clusters.weighted_pairs(df, "id", "v", "c", links).collect()}
     wanted = {p: w for p, w in weight.items() if round(w, 6) >= 0.55}
     assert got.keys() == wanted.keys() and got == pytest.approx(wanted, abs=1e-5)
+
+
+def test_contradictions_of_the_newest_assertions(spark):
+    rows = [(1, "s", "O", 5), (1, "s", "F", 9), (2, "s", "O", 4), (2, "s", "F", 4), (3, "s", "O", 1), (3, "s", "F", 2), (3, "s", "P", 2), (4, "s", "O", 7), (4, "s", "O", 7)]
+    heads = kb.newest(spark.createDataFrame(rows, "entity_id long, attribute string, value string, t long"), "t")
+    assert {r["entity_id"]: len(r["values"]) for r in kb.contradictions(heads).collect()} == {2: 2, 3: 2}
