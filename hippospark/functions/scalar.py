@@ -1,5 +1,6 @@
-"""Scoring, similarity and text expressions as Column builders; all stay in the JVM."""
+"""Scoring, similarity and text expressions as Column builders; all but `nfkc` stay in the JVM."""
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -157,6 +158,17 @@ def slug(text: Column, joint: str = "_") -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", joint), f"^{joint}+|{joint}+$", "")
 
 
+def nfkc(text: Column) -> Column:
+    """Spark has no Unicode normalisation of its own."""
+    return F.udf(lambda x: None if x is None else unicodedata.normalize("NFKC", x), "string", useArrow=True)(text)
+
+
+def rule_slug(text: Column, most: int = 48) -> Column:
+    """M27 of the whole text: normalised, slugged, cut to `most` characters; a blank one is "law"."""
+    cut = F.regexp_replace(F.substring(slug(nfkc(text)), 1, most), "_$", "")
+    return F.when(cut == "", "law").otherwise(cut)
+
+
 def cjk_count(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]", ""))
 

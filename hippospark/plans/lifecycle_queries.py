@@ -127,6 +127,12 @@ def rule_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", S.slug(F.substring("text", 1, 40)).alias("slug"))
 
 
+@q()
+def rule_slug_all(spark: SparkSession, d: str) -> DataFrame:
+    """M27 of whole texts: SQL's engine has no NFKC; tested on fixtures."""
+    return table(spark, d, "documents").select("doc_id", S.rule_slug(F.col("text")).alias("slug"))
+
+
 @q("SELECT c_custkey, lower(c_mktsegment) || '_size' AS attribute, true AS noise FROM customer")
 def snake_attributes(spark: SparkSession, d: str) -> DataFrame:
     """M26, P13."""

@@ -200,3 +200,10 @@ def test_contradictions_of_the_newest_assertions(spark):
     rows = [(1, "s", "O", 5), (1, "s", "F", 9), (2, "s", "O", 4), (2, "s", "F", 4), (3, "s", "O", 1), (3, "s", "F", 2), (3, "s", "P", 2), (4, "s", "O", 7), (4, "s", "O", 7)]
     heads = kb.newest(spark.createDataFrame(rows, "entity_id long, attribute string, value string, t long"), "t")
     assert {r["entity_id"]: len(r["values"]) for r in kb.contradictions(heads).collect()} == {2: 2, 3: 2}
+
+
+@pytest.mark.parametrize(("text", "slug"), [
+    ("a" * 47 + " b", "a" * 47), ("x" * 41 + " one", "x" * 41 + "_one"), ("x" * 41 + " two", "x" * 41 + "_two"), (" " * 45 + "Late", "late"), ("?! ", "law"), ("", "law"), ("ﬁne Ｗide ½", "fine_wide_1_2"), ("Über__alles!", "über_alles"), (None, None),
+])
+def test_rule_slug(spark, text, slug):
+    assert one(spark, S.rule_slug(F.lit(text).cast("string"))) == slug
