@@ -193,6 +193,15 @@ def near_dup_token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return t.crossJoin(a).where("a < item_id").select("a", F.col("item_id").alias("b"), F.round(S.jaccard(F.col("ta"), F.col("t")), 6).alias("score"))
 
 
+@q("""WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS t FROM benchmark)
+SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN len(list_distinct(list_concat(x.t, y.t))) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END, 6) AS score FROM b x JOIN b y ON x.item_id <> y.item_id WHERE x.item_id % 100 = 0""")
+def near_dup_token_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
+    """The items whose id is divisible by 100 against all others."""
+    t = table(spark, d, "benchmark").select("item_id", S.similarity_tokens(F.col("text")).alias("t"))
+    a = t.where("item_id % 100 = 0").select(F.col("item_id").alias("a"), F.col("t").alias("ta"))
+    return t.crossJoin(a).where("a <> item_id").select("a", F.col("item_id").alias("b"), F.round(S.jaccard(F.col("ta"), F.col("t")), 6).alias("score"))
+
+
 @q("""WITH f AS (SELECT o_orderkey, list_distinct(list('p' || (l_partkey % 40))) AS files, list_distinct(list(l_returnflag)) AS errors, max(o_orderpriority) AS task FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), c AS (SELECT * FROM f WHERE o_orderkey = (SELECT min(o_orderkey) FROM f))
 SELECT f.o_orderkey, round(0.6 * len(list_intersect(f.files, c.files)) / len(list_distinct(list_concat(f.files, c.files))) + 0.25 * len(list_intersect(f.errors, c.errors)) / len(list_distinct(list_concat(f.errors, c.errors))) + 0.15 * CASE WHEN f.task = c.task THEN 1 ELSE 0 END, 6) AS score FROM f, c""")
 def jaccard_fingerprint(spark: SparkSession, d: str) -> DataFrame:
