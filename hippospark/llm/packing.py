@@ -1,9 +1,9 @@
 """Best-fit packing of documents into token sequences, by bin completion on the histogram of piece lengths.
 
 Only counts per length (as many as the capacity at most) reach the driver. There the largest length left is completed
-by branch and bound: fillings of what remains are enumerated from large to small, a filling that a larger piece would
-dominate comes later, a branch whose least waste is no better than the incumbent's is cut, and the incumbent begins as
-the best fit. A filling is used as often as the counts allow, which uses a length up, so the table of patterns is bounded
+by branch and bound: the incumbent is the best fit; fillings of what remains are tried from large to small, and a branch
+is cut unless the sums that its remaining lengths can reach, which are known exactly, allow the least waste. So each
+filling has the least waste there is, but fillings are not revised later: there is no search over bins. A filling is used as often as the counts allow, which uses a length up, so the table of patterns is bounded
 by the capacity and not by the data. Every piece then finds its sequence and offset from its rank within its length.
 
 Defined results: a null text is empty and yields its end token; repeated rows are packed each; an empty table gives no
@@ -50,36 +50,33 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, schema)
 
 
-def completion(room: int, counts: np.ndarray, nodes: int = 20_000) -> list[int]:
-    """The undominated filling of `room` with least waste, from what counts (by length) has; lengths fall.
-
-    nodes bounds the search; the incumbent, at first the best fit, stands when it is used up.
-    """
+def completion(room: int, counts: np.ndarray) -> list[int]:
+    """The filling of `room` with least waste from what counts (by length) has, larger pieces first; lengths fall."""
     sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
-    if not sizes:
-        return []
     best, left = [], room
     for x in sizes:  # best fit, largest first
         k = min(left // x, int(counts[x]))
         best, left = best + [x] * k, left - k * x
-    least, smallest = left, sizes[-1]
-    stack: list[tuple[int, int, list[int]]] = [(0, room, [])]
-    while stack and least and nodes:
-        nodes -= 1
-        i, left, chosen = stack.pop()
-        if left < least:
-            best, least = chosen, left
-        if i >= len(sizes) or left < smallest:
-            continue
-        # lengths that fit, the largest first: what a larger piece dominates is tried after it
-        while i < len(sizes) and sizes[i] > left:
-            i += 1
-        if i >= len(sizes):
-            continue
-        x = sizes[i]
-        stack.append((i + 1, left, chosen))
-        if chosen.count(x) < counts[x]:
-            stack.append((i, left - x, [*chosen, x]))
+    if not left:
+        return best
+    # sums that the lengths from each on can still reach, as bits: the bound of every branch, and an exact one
+    reach, mask = [1], (1 << room + 1) - 1
+    for x in reversed(sizes):
+        sums, n, k = reach[-1], min(room // x, int(counts[x])), 1
+        while n:
+            k = min(k, n)
+            sums |= sums << x * k & mask
+            n, k = n - k, 2 * k
+        reach.append(sums)
+    reach.reverse()
+    total = reach[0].bit_length() - 1
+    if room - total >= left:
+        return best
+    best, left = [], total
+    for x, after in zip(sizes, reach[1:], strict=True):
+        # the most pieces of this length after which the rest still reaches the least waste
+        k = next(k for k in range(min(left // x, int(counts[x])), -1, -1) if after >> left - k * x & 1)
+        best, left = best + [x] * k, left - k * x
     return best
 
 

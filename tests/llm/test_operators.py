@@ -398,6 +398,13 @@ def test_completion_is_optimal_on_small_bins():
         assert sum(packing.completion(60, counts)) == best
 
 
+def test_completion_reaches_the_least_waste_among_many_fillings():
+    counts = np.zeros(1025, np.int64)
+    counts[10:101:10] = 5
+    counts[[504, 505, 506]] = 1
+    assert packing.completion(1009, counts) == [505, 504]
+
+
 def test_sharding(docs, rows, empty):
     sized = docs.drop("size").selectExpr("doc_id", "text", "coalesce(octet_length(text), 0) + 16 as size", "bucket")
     got = sharding.shard(sized, "size", shards=7, bucket_bytes=4000).collect()
