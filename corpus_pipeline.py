@@ -38,10 +38,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix draws it."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.word_count("text").alias("size"))
-    drawn = mixing.mix(sized).where(F.size("shards") > 0).groupBy("doc_id").agg(F.first("shards").alias("_shards"))
-    return docs.join(drawn, "doc_id").withColumn("_shard", F.explode("_shards")).select(*docs.columns)
+    """Take each document as often as the mix draws it, shard by shard in the order of the slots."""
+    # documents without an id are told apart by their texts
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.word_count("text").alias("size"), key.alias("_key"))
+    drawn = mixing.mix(sized).where(F.size("shards") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_text")).agg(F.first(F.arrays_zip("shards", "slots")).alias("_copies"))
+    met = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]) & key.eqNullSafe(drawn["_text"])).withColumn("_copy", F.explode("_copies"))
+    return met.repartitionByRange("_copy.shards", "_copy.slots").sortWithinPartitions("_copy.shards", "_copy.slots").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

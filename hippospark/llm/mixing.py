@@ -5,7 +5,7 @@ a remainder of blocks drawn in a seeded order; the last block gives documents un
 drawn blocks go down a splitting tree: at every node they are divided between two halves of the output shards by a
 multivariate hypergeometric draw (source after source, each conditional on those before), so each shard gets an exact
 quota of blocks of each source. A source's blocks, permuted, are then dealt to the shards by these quotas, and each
-shard is ordered by a seeded hash.
+shard is ordered by a seeded hash, the slot of every copy.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last; repeated rows take
 part each; sources of size 0 have target 0; an empty table gives no rows; extra columns are ignored.
@@ -86,7 +86,8 @@ def splitting_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: str = "size", levels: int = LEVELS) -> DataFrame:
-    """docs: doc_id, source and a size. Per row: source_size, target, taken, shards (one for each time it is taken)."""
+    """docs: doc_id, source and a size. Per row: source_size, target, taken, shards (one for each time it is taken), slots (the
+    seeded key that orders each of these copies within its shard)."""
     sizes = C.saved(docs.withColumn("size", F.col(size)), "op3-sizes")
     source = C.saved(targets(sizes), "op3-targets")
     rows = sizes.join(source, sizes["source"].eqNullSafe(source["source"])).drop(source["source"])
@@ -118,15 +119,18 @@ def mix(docs: DataFrame, size: str = "size", levels: int = LEVELS) -> DataFrame:
     gap = cut.groupBy("source_rank", "block").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
     # and the one among the others that comes nearest to what is then missing
     near = cut.where("not fits").join(gap, ["source_rank", "block"]).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-    near = near.groupBy("source_rank", "block").agg(F.min(F.struct("off", "hash", "doc_id", "size")).alias("near")).select("source_rank", "block", "near.hash", "near.doc_id", "near.size", F.lit(True).alias("last"))
-    cut = cut.join(near, ["source_rank", "block", "hash", "doc_id", "size"], "left").withColumn("more", (F.col("fits") | F.coalesce("last", F.lit(False))).cast("long")).drop("fits", "last")
+    near = near.groupBy("source_rank", "block").agg(F.min(F.struct("off", "hash", "doc_id", "size")).alias("near")).select("source_rank", "block", "near.hash", F.col("near.doc_id").alias("near_id"), "near.size", F.lit(True).alias("last"))
+    cut = cut.join(near, ["source_rank", "block", "hash", "size"], "left").withColumn("last", F.coalesce("last", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("near_id")))
+    cut = cut.withColumn("more", (F.col("fits") | F.col("last")).cast("long")).drop("fits", "last", "near_id")
     whole = rows.where(~F.coalesce(partial, F.lit(False))).withColumn("more", (F.coalesce("rest", F.lit(0.0)) > 0).cast("long"))
     out = whole.unionByName(cut).withColumn("times", F.when(F.col("size") > 0, F.coalesce("passes", F.lit(0)) + F.col("more")).otherwise(0))
     shards = F.transform(F.slice(F.coalesce("dealt", F.array().cast("array<struct<pass:bigint,shard:int>>")), F.lit(1), F.col("times").cast("int")), lambda x: x.shard)
-    return out.withColumn("taken", F.col("size") * F.col("times")).withColumn("shards", F.when(F.col("times") > 0, shards).otherwise(F.array().cast("array<int>"))).drop("source_rank", "block", "hash", "words", "passes", "rest", "dealt", "more", "times")
+    out = out.withColumn("taken", F.col("size") * F.col("times")).withColumn("shards", F.when(F.col("times") > 0, shards).otherwise(F.array().cast("array<int>")))
+    slots = F.transform("shards", lambda shard, i: F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 2), shard, i, F.col("hash"), F.col("size")), 1))
+    return out.withColumn("slots", slots).drop("source_rank", "block", "hash", "words", "passes", "rest", "dealt", "more", "times")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "shards", "slots")

@@ -269,6 +269,17 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty.selectExpr("doc_id", "source", "cast(0 as bigint) as size")).count() == 0
 
 
+def test_mixing_orders_every_shard(docs):
+    sized = docs.drop("size").withColumn("size", mixing.word_count("text")).select("doc_id", "source", "size")
+    got, again = (sorted((r["doc_id"], r["size"], r["shards"], r["slots"]) for r in mixing.mix(x).collect()) for x in (sized, sized.repartition(5)))
+    assert got == again and all(len(r[2]) == len(r[3]) for r in got)
+    by = defaultdict(list)
+    for i, _, shards, slots in got:
+        for copy in zip(shards, slots, strict=True):
+            by[copy[0]].append((copy[1], i))
+    assert any([i for _, i in sorted(v)] != sorted(i for _, i in v) for v in by.values())
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([(1, 10), (2, 0), (3, 1000), (4, 7)], "source_rank int, n long")
     got = mixing.splitting_tree(quotas, 3).collect()

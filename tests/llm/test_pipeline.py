@@ -72,6 +72,19 @@ def test_mix_takes_whole_documents(spark, docs, rows, folder):
     assert abs(total - 1.5 * sum(words.values())) <= 0.15 * 1.5 * sum(words.values())
 
 
+def test_mix_keeps_documents_without_an_id(spark, docs, rows, folder):
+    extra = [(None, f"nameless {k} " * 40, "en", "src0", 0) for k in "abcdef"]
+    out = [r["text"] for r in P.mix_sources(spark, docs.unionByName(spark.createDataFrame(extra, COLUMNS)), folder).collect()]
+    assert sum("nameless" in (t or "") for t in out) > 0
+
+
+def test_mix_leaves_the_order_of_the_shards(spark, docs, folder):
+    out = P.mix_sources(spark, docs, folder).collect()
+    ids = [r["doc_id"] for r in out]
+    again = [r["doc_id"] for r in P.mix_sources(spark, docs.repartition(5), folder).collect()]
+    assert ids == again and ids != sorted(ids)
+
+
 def test_packed_sequences(spark, docs, rows, folder):
     out = P.pack_sequences(spark, docs, folder).collect()
     assert {r["doc_id"] for r in out} == {i for i, _, _ in rows}
