@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches.
 
 A document's shingles are its runs of five words (all words, where there are fewer). Every shingle hash below a fixed
-fraction of the hash range is retained, so sketches of parts merge by union, and the containment of a short document in
-a long one is estimated without bias. A document whose hashes all lie above the threshold keeps the least one, so that
-no text with words goes without a fingerprint. A fingerprint is the sorted retained hashes, 48 bits each, in base64.
+fraction of the hash range is retained and no other, so sketches of parts merge by union, and the containment of a short
+document in a long one is estimated without bias. Where all hashes of a text lie above the threshold, its least hash is
+kept apart from the sketch, marked, and compared only with that of another such text. A fingerprint is the sorted
+retained hashes, 48 bits each, in base64.
 
 Defined results: null and empty texts (and texts of white space) have the empty fingerprint; two empty ones are alike
 (1.0), an empty and another are not (0.0); repeated rows count each, in doc_id order with ties by text; a null doc_id
@@ -15,10 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +29,19 @@ from . import common as C
 SHINGLE, FRACTION = 5, 1 / 4
 #: Text per part of the table in doc_id order.
 PART_BYTES = 8 << 20
+#: Most quantiles of doc_id.
+STRETCHES = 256
 
 
-def sketches(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, fraction: float = FRACTION) -> list[np.ndarray]:
-    """Sorted distinct retained hashes (48 bits) of each document."""
+class Sketch(NamedTuple):
+    """Retained hashes, sorted; and the least hash of all, only where none is retained (None without words)."""
+
+    kept: np.ndarray
+    least: int | None
+
+
+def sketches(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, fraction: float = FRACTION) -> list[Sketch]:
+    """The sketch of each document, by 48-bit hashes."""
     starts, ends, first = C.words(data, off)
     n = np.diff(first)
     count = np.where(n == 0, 0, np.maximum(1, n - k + 1))
@@ -43,63 +54,83 @@ def sketches(data: np.ndarray, off: np.ndarray, k: int = SHINGLE, fraction: floa
     if len(some):
         least[some] = np.minimum.reduceat(h, edge[some])
     top = np.uint64(int(fraction * (1 << 48)))
-    keep = (h < top) | ((least[doc] >= top) & (h == least[doc]))
+    keep = h < top
     h, doc = h[keep], doc[keep]
     cut = np.searchsorted(doc, np.arange(len(n) + 1))
-    return [np.unique(h[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return [Sketch(np.unique(h[x:y]), int(m) if c and m >= top else None) for x, y, m, c in zip(cut[:-1], cut[1:], least, count, strict=True)]
 
 
-def coded(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
+def coded(sketch: Sketch) -> str:
+    """The retained hashes in base64; "~" and the least hash where none is retained; empty without words."""
+    hashes = sketch.kept if sketch.least is None else np.array([sketch.least])
+    return ("" if sketch.least is None else "~") + base64.b64encode(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
 
 
-def decoded(fingerprint: str) -> np.ndarray:
-    raw = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 6)
-    return np.concatenate((np.zeros((len(raw), 2), np.uint8), raw), axis=1).reshape(-1).view(">u8").astype(np.uint64)
+def decoded(fingerprint: str) -> Sketch:
+    raw = np.frombuffer(base64.b64decode(fingerprint.removeprefix("~")), np.uint8).reshape(-1, 6)
+    hashes = np.concatenate((np.zeros((len(raw), 2), np.uint8), raw), axis=1).reshape(-1).view(">u8").astype(np.uint64)
+    return Sketch(hashes[:0], int(hashes[0])) if fingerprint.startswith("~") else Sketch(hashes, None)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard similarity; of two texts without retained hashes, whether their least ones agree."""
+    if not len(a.kept) and not len(b.kept):
+        return float(a.least == b.least)
+    both = len(np.intersect1d(a.kept, b.kept, assume_unique=True))
+    return both / (len(a.kept) + len(b.kept) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: Sketch, b: Sketch) -> float:
+    """Estimated share of a's shingles that b has; not a number where a retains none."""
+    return len(np.intersect1d(a.kept, b.kept, assume_unique=True)) / len(a.kept) if len(a.kept) else float("nan")
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of two documents together."""
-    return np.union1d(a, b)
+def merged(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of two documents' shingles together."""
+    kept = np.union1d(a.kept, b.kept)
+    least = [x.least for x in (a, b) if x.least is not None]
+    return Sketch(kept, min(least) if least and not len(kept) else None)
 
 
 def fingerprint(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
-    """docs with a fingerprint column."""
+    """row (a struct of all columns of docs) and fingerprint."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, off in C.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([coded(s) for s in sketches(data, off, k, fraction)], pa.string())], [*piece.schema.names, "fingerprint"])
+            for piece, data, off in C.slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array([coded(s) for s in sketches(data, off, k, fraction)], pa.string())], ["row", "fingerprint"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(each, T.StructType([rows.schema["row"], T.StructField("fingerprint", T.StringType())]))
 
-    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
+
+def parts_of(docs: DataFrame) -> tuple[Column, int]:
+    """The number of the part that a doc_id belongs to, in order: quantiles of doc_id, as many as `STRETCHES` at most, each cut
+    into equal stretches, so that one far-off id leaves the others' parts as they are."""
+    total, low, high = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    n = max(1, -(-(total or 0) // PART_BYTES))
+    if n == 1 or low is None:
+        return F.lit(0).cast("long"), 1
+    wide = min(n, STRETCHES)
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / wide) for i in range(1, wide))), F.lit(10_000))).first()[0] if wide > 1 else []
+    edges = [low, *sorted(set(cuts) - {low}), high + 1]
+    inner = -(-n // wide)
+    begins, widths = (F.array(*(F.lit(x).cast("double") for x in xs)) for xs in (edges[:-1], [max(1, y - x) for x, y in zip(edges[:-1], edges[1:], strict=True)]))
+    stretch = F.greatest(F.lit(1), F.size(F.filter(begins, lambda x: x <= F.col("doc_id"))))
+    within = (F.col("doc_id") - F.element_at(begins, stretch)) / F.element_at(widths, stretch) * inner
+    part = (stretch - 1) * inner + F.least(F.lit(inner - 1), F.floor(within))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("long"), n
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows in parts of consecutive doc_ids, sorted, each part ending with the row that follows it (halo)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total, low, high = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
-    n = max(1, -(-(total or 0) // PART_BYTES))
-    # equal stretches of doc_ids; a part is streamed in order, so uneven ones cost time but no memory
-    width = ((high or 0) - (low or 0) + 1) / n
-    part = F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)).cast("long")
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(part))
-    # one row per part: its first document, moved to the part before (the first part's to the last)
+    docs = docs.withColumn("part", parts_of(docs)[0])
+    # each part's first document also ends the part before it (the first part's the last); only numbers go through one task
     heads = docs.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order"), "text")).alias("head"))
-    before = F.lag("part").over(Window.orderBy("part"))
-    heads = heads.select(F.coalesce(before, F.max("part").over(Window.partitionBy())).alias("part"), F.lit(None).cast("long").alias("doc_id"), "head.text", F.lit(1).alias("halo"))
+    every = docs.select("part").distinct()
+    before = every.select(F.col("part").alias("next"), F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("part"))
+    heads = heads.withColumnRenamed("part", "next").join(before, "next").select("part", F.lit(None).cast("long").alias("doc_id"), "head.text", F.lit(1).alias("halo"))
     rows = docs.select("part", "doc_id", "text", F.lit(0).alias("halo")).unionByName(heads)
     return rows.repartition("part").sortWithinPartitions("part", "halo", F.asc_nulls_first("doc_id"), "text")
 

@@ -7,8 +7,12 @@ multivariate hypergeometric draw (source after source, each conditional on those
 quota of blocks of each source. A source's blocks, permuted, are then dealt to the shards by these quotas, and each
 shard is ordered by a seeded hash, the slot of every copy.
 
-Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last; repeated rows take
-part each; sources of size 0 have target 0; an empty table gives no rows; extra columns are ignored.
+A source's blocks are as many as its words over `BLOCK_WORDS`, a few bytes each, and pass one ordered window per source; a
+node of the tree holds a number per source, so sources are kinds of text and not, say, a site each.
+
+Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, last; repeated rows are
+taken alike; sources of size 0 have target 0; an empty table gives no rows; all columns of the caller are carried in one
+struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WEIGHTS, SHARE, CEILING, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 7_411
-BLOCK_WORDS, MOST_BLOCKS, LEVELS = 1 << 15, 4096, 4
+BLOCK_WORDS, LEVELS = 1 << 15, 4
 
 
 def uniform(*key: object) -> Column:
@@ -85,15 +89,21 @@ def splitting_tree(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.explode("parts").alias("p")).select("shard", "p.source_rank", F.col("p.n").alias("quota"))
 
 
-def mix(docs: DataFrame, size: str = "size", levels: int = LEVELS) -> DataFrame:
-    """docs: doc_id, source and a size. Per row: source_size, target, taken, shards (one for each time it is taken), slots (the
-    seeded key that orders each of these copies within its shard)."""
-    sizes = C.saved(docs.withColumn("size", F.col(size)), "op3-sizes")
-    source = C.saved(targets(sizes), "op3-targets")
-    rows = sizes.join(source, sizes["source"].eqNullSafe(source["source"])).drop(source["source"])
-    blocks_of = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)))
-    rows = rows.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id")).withColumn("block", F.pmod("hash", blocks_of))
-    blocks = rows.groupBy("source_rank", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).where("words > 0")
+def mix(docs: DataFrame, size: Column, source: str = "source", levels: int = LEVELS) -> DataFrame:
+    """docs: a source and any columns; size: a non-negative number of each row. Per row: row (a struct of all columns of docs), size,
+    source_size, target, taken, shards (one for each time it is taken), slots (the seeded key that orders each of these
+    copies within its shard). A row's block and slots follow from all its columns, so equal rows share them and are taken
+    alike, and reruns agree whatever the partitions."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(SEED), *docs.columns).alias("hash"))
+    narrow = C.saved(rows.select("source", "size", "hash"), "op3-sizes")
+    sources = C.saved(targets(narrow), "op3-targets").withColumnRenamed("source", "_source")
+
+    def placed(x: DataFrame) -> DataFrame:
+        met = x.join(sources, x["source"].eqNullSafe(F.col("_source"))).drop("_source")
+        return met.withColumn("block", F.pmod("hash", F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS))))
+
+    units = placed(narrow)
+    blocks = units.groupBy("source_rank", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).where("words > 0")
     order = Window.partitionBy("source_rank").orderBy(F.xxhash64(F.lit(SEED + 1), "source_rank", "block"), "block")
     blocks = blocks.withColumn("passes", F.floor(F.col("target") / F.col("source_size")).cast("long"))
     blocks = blocks.withColumns({"before": F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "place": F.row_number().over(order)})
@@ -107,30 +117,31 @@ def mix(docs: DataFrame, size: str = "size", levels: int = LEVELS) -> DataFrame:
     dealt = copy.withColumn("index", F.row_number().over(Window.partitionBy("source_rank").orderBy("pass", "place")) - 1).join(upto, "source_rank")
     dealt = dealt.withColumn("shard", F.size(F.filter("upto", lambda x: x <= F.col("index"))))
     dealt = dealt.groupBy("source_rank", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
-    plan = blocks.select("source_rank", "block", "words", "passes", "rest").join(dealt, ["source_rank", "block"], "left")
-    rows = rows.join(plan, ["source_rank", "block"], "left")
-    # of the one block per source that is drawn in part, documents in hash order
+    plan = C.saved(blocks.select("source_rank", "block", "words", "passes", "rest").join(dealt, ["source_rank", "block"], "left"), "op3-plan")
+    # of the one block per source that is drawn in part, rows in hash order; equal rows go together
     partial = (F.col("rest") > 0) & (F.col("rest") < F.col("words"))
-    cut = rows.where(partial)
-    inner = Window.partitionBy("source_rank", "block").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    cut = units.join(plan.where(partial).select("source_rank", "block", "rest"), ["source_rank", "block"])
+    cut = cut.groupBy("source_rank", "block", "hash", "size").agg(F.sum("size").alias("all"), F.first("rest").alias("rest")).where("all > 0")
+    inner = Window.partitionBy("source_rank", "block").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     # what is larger than the whole remainder is passed over
-    fits = (F.col("size") <= F.col("rest")) & (F.coalesce(F.sum(F.when(F.col("size") <= F.col("rest"), F.col("size"))).over(inner), F.lit(0)) + F.col("size") <= F.col("rest"))
-    cut = cut.withColumn("fits", fits)
-    gap = cut.groupBy("source_rank", "block").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
+    fits = (F.col("all") <= F.col("rest")) & (F.coalesce(F.sum(F.when(F.col("all") <= F.col("rest"), F.col("all"))).over(inner), F.lit(0)) + F.col("all") <= F.col("rest"))
+    cut = C.saved(cut.withColumn("fits", fits), "op3-cut")
+    gap = cut.groupBy("source_rank", "block").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("all"))), F.lit(0))).alias("gap"))
     # and the one among the others that comes nearest to what is then missing
-    near = cut.where("not fits").join(gap, ["source_rank", "block"]).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-    near = near.groupBy("source_rank", "block").agg(F.min(F.struct("off", "hash", "doc_id", "size")).alias("near")).select("source_rank", "block", "near.hash", F.col("near.doc_id").alias("near_id"), "near.size", F.lit(True).alias("last"))
-    cut = cut.join(near, ["source_rank", "block", "hash", "size"], "left").withColumn("last", F.coalesce("last", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("near_id")))
-    cut = cut.withColumn("more", (F.col("fits") | F.col("last")).cast("long")).drop("fits", "last", "near_id")
-    whole = rows.where(~F.coalesce(partial, F.lit(False))).withColumn("more", (F.coalesce("rest", F.lit(0.0)) > 0).cast("long"))
-    out = whole.unionByName(cut).withColumn("times", F.when(F.col("size") > 0, F.coalesce("passes", F.lit(0)) + F.col("more")).otherwise(0))
-    shards = F.transform(F.slice(F.coalesce("dealt", F.array().cast("array<struct<pass:bigint,shard:int>>")), F.lit(1), F.col("times").cast("int")), lambda x: x.shard)
+    near = cut.where("not fits").join(gap, ["source_rank", "block"]).withColumn("off", F.abs(F.col("all") - F.col("gap"))).where("off < gap")
+    near = near.groupBy("source_rank", "block").agg(F.min(F.struct("off", "hash", "size")).alias("near")).select("source_rank", "block", "near.hash", "near.size")
+    more = cut.where("fits").select("source_rank", "block", "hash", "size").unionByName(near).withColumn("more", F.lit(1).cast("long"))
+    out = placed(rows).join(plan, ["source_rank", "block"], "left").join(more, ["source_rank", "block", "hash", "size"], "left")
+    extra = F.when(partial, F.coalesce("more", F.lit(0))).otherwise((F.coalesce("rest", F.lit(0.0)) > 0).cast("long"))
+    out = out.withColumn("times", F.when(F.col("size") > 0, F.coalesce("passes", F.lit(0)) + extra).otherwise(0))
+    none = F.array().cast("array<struct<pass:bigint,shard:int>>")
+    shards = F.transform(F.slice(F.coalesce("dealt", none), F.lit(1), F.col("times").cast("int")), lambda x: x.shard)
     out = out.withColumn("taken", F.col("size") * F.col("times")).withColumn("shards", F.when(F.col("times") > 0, shards).otherwise(F.array().cast("array<int>")))
     slots = F.transform("shards", lambda shard, i: F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 2), shard, i, F.col("hash"), F.col("size")), 1))
-    return out.withColumn("slots", slots).drop("source_rank", "block", "hash", "words", "passes", "rest", "dealt", "more", "times")
+    return out.select("row", "size", "source_size", "target", "taken", "shards", slots.alias("slots"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "shards", "slots")
+    sized = C.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size")), "op3-docs")
+    return mix(sized, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken", "shards", "slots")

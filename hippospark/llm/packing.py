@@ -1,10 +1,11 @@
 """Best-fit packing of documents into token sequences, by bin completion on the histogram of piece lengths.
 
-Only counts per length (as many as the capacity at most) reach the driver. There the largest length left is completed
-by branch and bound: the incumbent is the best fit; fillings of what remains are tried from large to small, and a branch
-is cut unless the sums that its remaining lengths can reach, which are known exactly, allow the least waste. So each
-filling has the least waste there is, but fillings are not revised later: there is no search over bins. A filling is used as often as the counts allow, which uses a length up, so the table of patterns is bounded
-by the capacity and not by the data. Every piece then finds its sequence and offset from its rank within its length.
+Only counts per length (as many as the capacity at most) reach the driver. There bin completion searches over all bins
+(`complete_bins`): the incumbent is best fit, fillings around the largest length left that no other dominates are the
+branches, and bounds on waste and on the bins of what is left prune them. A filling is used as often as the counts allow
+at first, which uses a length up, so the table of patterns is bounded by the capacity and not by the data. Every piece
+then finds its sequence and offset from its rank within its length. The result carries the number of sequences and the
+bound below it that was proved.
 
 Defined results: a null text is empty and yields its end token; repeated rows are packed each; an empty table gives no
 rows; a null doc_id is carried through; extra columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,11 @@ from . import common as C
 from .tokens import Encoder, vocabulary
 
 CAPACITY, END = 1024, 2
+#: Fillings that the search tries beyond its first descent. Within them it is exact; past them the best so far stands and
+#: the bound that is returned with it shows what is not proved.
+NODES = 3_000
+#: Stretches of the ranks of a length.
+CUTS = 64
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -50,91 +57,224 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, schema)
 
 
-def completion(room: int, counts: np.ndarray) -> list[int]:
-    """The filling of `room` with least waste from what counts (by length) has, larger pieces first; lengths fall."""
-    sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
-    best, left = [], room
-    for x in sizes:  # best fit, largest first
-        k = min(left // x, int(counts[x]))
-        best, left = best + [x] * k, left - k * x
-    if not left:
-        return best
-    # sums that the lengths from each on can still reach, as bits: the bound of every branch, and an exact one
+Pattern = tuple[int, tuple[int, ...]]
+
+
+def least_bins(left: np.ndarray, capacity: int) -> int:
+    """A lower bound of the bins that these counts (by length) need: for each threshold t, what is longer than capacity - t is
+    alone with what is shorter than t, and what is longer than half shares no bin."""
+    if not left.any():
+        return 0
+    sizes = np.arange(capacity + 1)
+    number, volume = np.cumsum(left), np.cumsum(left * sizes)
+    half, best = capacity // 2, -(-int(volume[-1]) // capacity)
+    t = np.arange(1, half + 1)
+    longest = number[-1] - number[capacity - t]  # longer than capacity - t
+    middle = number[capacity - t] - number[half]  # over half, up to capacity - t
+    free = middle * capacity - (volume[capacity - t] - volume[half])
+    rest = volume[half] - volume[t - 1]  # from t to half
+    bound = longest + middle + np.maximum(0, -(-(rest - free) // capacity))
+    return max(best, int(bound.max(initial=0)), int(number[-1] - number[half]))
+
+
+def reachable(room: int, sizes: list[int], left: np.ndarray) -> list[int]:
+    """Sums that the sizes from each on can still reach, as bits."""
     reach, mask = [1], (1 << room + 1) - 1
     for x in reversed(sizes):
-        sums, n, k = reach[-1], min(room // x, int(counts[x])), 1
+        sums, n, k = reach[-1], min(room // x, int(left[x])), 1
         while n:
             k = min(k, n)
             sums |= sums << x * k & mask
             n, k = n - k, 2 * k
         reach.append(sums)
-    reach.reverse()
-    total = reach[0].bit_length() - 1
-    if room - total >= left:
-        return best
-    best, left = [], total
-    for x, after in zip(sizes, reach[1:], strict=True):
-        # the most pieces of this length after which the rest still reaches the least waste
-        k = next(k for k in range(min(left // x, int(counts[x])), -1, -1) if after >> left - k * x & 1)
-        best, left = best + [x] * k, left - k * x
-    return best
-
-
-def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(copies, lengths) that use up all counts."""
+    return reach[::-1]
+
+
+def dominated(fill: list[int], spare: int, sizes: list[int], left: np.ndarray) -> bool:
+    """Whether pieces of a filling could make room for one that is left out and larger, or equal to several of them, within
+    the spare room: what they would leave can then do no worse."""
+    sums: dict[int, int] = {0: 0}
+    for x in fill:
+        for s, n in list(sums.items()):
+            sums[s + x] = max(sums.get(s + x, 0), n + 1)
+    for s, n in sums.items():
+        for x in range(s, s + spare + 1):
+            if x < len(left) and left[x] > fill.count(x) and (x > s or n > 1):
+                return True
+    return False
+
+
+def completions(room: int, left: np.ndarray, most: int) -> Iterator[tuple[int, list[int]]]:
+    """Undominated fillings of `room` from what `left` has, least waste first, up to a waste of `most`: (waste, lengths)."""
+    sizes = np.flatnonzero(left[: room + 1])[::-1].tolist()
+    reach = reachable(room, sizes, left)
+
+    def fills(i: int, need: int) -> Iterator[list[int]]:
+        """Multisets of sizes[i:] that sum to need exactly; reach leads to no dead end."""
+        if not need:
+            yield []
+            return
+        while i < len(sizes) and not reach[i] >> need & 1:
+            return
+        x = sizes[i]
+        for k in range(min(need // x, int(left[x])), -1, -1):
+            if reach[i + 1] >> need - k * x & 1:
+                for more in fills(i + 1, need - k * x):
+                    yield [x] * k + more
+
+    for waste in range(0, min(room, most) + 1):
+        if reach[0] >> room - waste & 1:
+            for fill in fills(0, room - waste):
+                if not dominated(fill, waste, sizes, left):
+                    yield waste, fill
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best-fit decreasing on counts: the first incumbent."""
+    left, room, out = counts.copy(), {}, []
+    for x in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[x])
+        for r in sorted(r for r in room if r >= x):
+            while n and room.get(r):
+                fills = room[r]
+                copies, fill = fills.pop()
+                times = r // x
+                take = min(copies, n // times)
+                if take:
+                    if copies > take:
+                        fills.append((copies - take, fill))
+                    room.setdefault(r - times * x, []).append((take, (*fill, *[x] * times)))
+                    n -= take * times
+                    continue
+                if copies > 1:
+                    fills.append((copies - 1, fill))
+                room.setdefault(r - n * x, []).append((1, (*fill, *[x] * n)))
+                n = 0
+        times = capacity // x
+        if n // times:
+            room.setdefault(capacity - times * x, []).append((n // times, (x,) * times))
+        if n % times:
+            room.setdefault(capacity - n % times * x, []).append((1, (x,) * (n % times)))
+    for fills in room.values():
+        out += fills
+    return out
+
+
+class Plan(NamedTuple):
+    """Patterns that use up all counts; their number of bins; the bound below it; fillings that the search tried."""
+
+    patterns: list[Pattern]
+    bins: int
+    bound: int
+    nodes: int
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+    """Bin completion by branch and bound.
+
+    A node completes the largest length left by an undominated filling, as often as the counts allow at first and less
+    often on later branches. A branch ends where its waste, or its bins and the bound of what is left, can no longer
+    beat the incumbent, which is best fit at first. The search is exact when it ends by itself; after `nodes` fillings
+    beyond the first descent the incumbent stands, and `bound` says how far it may be from the least.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    out = []
-    for top in range(capacity, 0, -1):
-        while left[top]:
-            left[top] -= 1
-            fill = [top, *completion(capacity - top, left)]
-            left[top] += 1
+    total, bound = int((left * np.arange(capacity + 1)).sum()), least_bins(left, capacity)
+    best = best_fit(left, capacity)
+    fewest, tried, descended = sum(n for n, _ in best), 0, False
+    path: list[Pattern] = []
+    # open choices, deepest last: (counts left, largest length, fillings to try, filling in use, copies to try, used, waste)
+    stack: list[list] = []
+
+    def choices(used: int, waste: int) -> list | None:
+        """The open node of what is left, if it can still lead to fewer bins."""
+        if used + least_bins(left, capacity) >= fewest:
+            return None
+        top = int(np.flatnonzero(left)[-1])
+        after = left.copy()
+        after[top] -= 1
+        return [left.copy(), top, completions(capacity - top, after, (fewest - 1) * capacity - total - waste), None, 0, used, waste]
+
+    if fewest > bound and (node := choices(0, 0)):
+        stack.append(node)
+    while stack and fewest > bound and (tried < nodes or not descended):
+        node = stack[-1]
+        before, top, fills, _, copies, used, waste = node
+        del path[len(stack) - 1 :]
+        left[:] = before
+        if not copies:
+            following = next(fills, None)
+            if following is None:
+                descended = True
+                stack.pop()
+                continue
+            fill = (top, *following[1])
             sizes, times = np.unique(fill, return_counts=True)
             copies = int((left[sizes] // times).min())
-            left[sizes] -= copies * times
-            out.append((copies, fill))
-    return out
+            node[3] = following[0], fill, sizes, times
+        spare, fill, sizes, times = node[3]
+        node[4] = copies - 1
+        tried += 1
+        if waste + copies * spare > (fewest - 1) * capacity - total:
+            continue
+        left[sizes] -= copies * times
+        path.append((copies, fill))
+        if not left.any():
+            descended = True
+            if used + copies < fewest:
+                best, fewest = list(path), used + copies
+            continue
+        if node := choices(used + copies, waste + copies * spare):
+            stack.append(node)
+        else:
+            descended = True
+    return Plan(best, fewest, fewest if not stack else bound, tried)
+
 
+def slots(found: list[Pattern], counts: dict[int, int], cuts: int = CUTS) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Per pattern and length: length, stretch, ranks from and to, first sequence, pieces of that length in a copy, their offset.
 
-def slots(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Per pattern and length: length, ranks from and to, first sequence, pieces of that length in a copy, their offset."""
+    A length's ranks are cut into `cuts` equal stretches and a row is repeated for each that it reaches into, so that a
+    piece meets the few rows of its own stretch.
+    """
     used: dict[int, int] = {}
     out, sequence = [], 0
     for copies, fill in found:
         offset = 0
         for x in sorted(set(fill), reverse=True):
             times = fill.count(x)
-            at = used.get(x, 0)
-            out.append((x, at, at + copies * times, sequence, times, offset))
-            used[x] = at + copies * times
+            low = used.get(x, 0)
+            used[x] = high = low + copies * times
+            out += [(x, cut, low, high, sequence, times, offset) for cut in range(low * cuts // counts[x], (high - 1) * cuts // counts[x] + 1)]
             offset += times * x
         sequence += copies
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, bucket_rows: int = 50_000) -> DataFrame:
-    """Pieces with sequence_id and offset."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, bucket_rows: int = 50_000, nodes: int = NODES) -> DataFrame:
+    """Pieces with sequence_id and offset, the number of sequences (n_sequences) and the bound below it that is proved (least_sequences)."""
     spark = docs.sparkSession
     table = C.saved(pieces(docs, path or vocabulary(), capacity, with_ids), "op7-pieces")
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
-    rows = slots(patterns(counts, capacity))
+    plan = complete_bins(counts, capacity, nodes)
+    rows = slots(plan.patterns, counts)
     buckets = max(1, -(-max(counts.values(), default=1) // bucket_rows))
     table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = table.groupBy("length", "bucket").count()
-    before = before.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
+    upto = Window.partitionBy("length").orderBy("bucket")
+    before = before.withColumns({"before": F.coalesce(F.sum("count").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("count").over(Window.partitionBy("length"))}).drop("count")
     ranked = table.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # a pattern uses up a length, so the table has some thousands of rows at most, however large the data
-    place = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "length long, low long, high long, sequence long, times long, shift long")
-    out = ranked.join(F.broadcast(place), ["length"]).where("rank >= low and rank < high")
+    ranked = ranked.withColumn("cut", F.floor(F.col("rank") * CUTS / F.col("total")).cast("long"))
+    # as many rows as patterns and cuts, however large the data
+    place = spark.createDataFrame(rows or [(0, 0, 0, 0, 0, 1, 0)], "length long, cut long, low long, high long, sequence long, times long, shift long")
+    out = ranked.join(F.broadcast(place), ["length", "cut"]).where("rank >= low and rank < high")
     at = F.col("rank") - F.col("low")
     return out.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("sequence") + F.floor(at / F.col("times"))).cast("long").alias("sequence_id"), (F.col("shift") + at % F.col("times") * F.col("length")).cast("long").alias("offset"),
-        *(["ids"] if with_ids else []),
+        F.lit(plan.bins).cast("long").alias("n_sequences"), F.lit(plan.bound).cast("long").alias("least_sequences"), *(["ids"] if with_ids else []),
     )
 
 

@@ -98,9 +98,9 @@ def part_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: one per document (doc_id, n, sid, sketch), and join keys packed by bucket (bucket, ids, head, low)."""
-    names = ["doc_id", "n", "sid", "sketch", "bucket", "ids", "head", "low"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Rows of two kinds: one per document (doc_id, n, sid, sid2, sketch), and join keys packed by bucket (bucket, ids, head, low)."""
+    names = ["doc_id", "n", "sid", "sid2", "sketch", "bucket", "ids", "head", "low"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def emit(held: dict) -> pa.RecordBatch:
         sid = np.array(list(held), np.int64)
@@ -113,8 +113,8 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
             count = np.bincount(doc[order[x:y]], minlength=len(sid))
             some = np.flatnonzero(count)
             head = np.concatenate((sid[some], count[some])).tobytes()
-            rows.append((None, None, None, None, bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names)
+            rows.append((None, None, None, None, None, bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
@@ -124,10 +124,13 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(h + np.uint64(77)))))
                 n = np.diff(edge)
                 sid = C.mix(total[edge[1:]] - total[edge[:-1]] + n.astype(np.uint64)).view(np.int64)
+                # a class of equal sets is known by 128 bits: two independent sums over its hashes
+                other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix((h ^ np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9FB21C651E98DF25)))))
+                sid2 = C.mix(other[edge[1:]] - other[edge[:-1]]).view(np.int64)
                 sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 none = pa.nulls(len(n), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid), pa.array([parity(x).tobytes() if len(x) else None for x in sets], pa.binary()), none, none, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names
+                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid), pa.array(sid2), pa.array([parity(x).tobytes() if len(x) else None for x in sets], pa.binary()), none, none, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names
                 )
                 for s, x in zip(sid.tolist(), sets, strict=True):
                     if len(x) and s not in held:
@@ -139,7 +142,7 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
         if size:
             yield emit(held)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sid long, sketch binary, bucket int, ids int, head binary, low binary")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sid long, sid2 long, sketch binary, bucket int, ids int, head binary, low binary")
 
 
 def shared(packed: DataFrame) -> DataFrame:
@@ -286,10 +289,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table = C.saved(sketches(docs, max(1, -(-total // INDEX_BYTES)), k, num, den), "op10-sketches")
-    of = C.saved(table.where("bucket is null").select("doc_id", "n", "sid"), "op10-docs")
-    sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op10-classes")
+    of = C.saved(table.where("bucket is null").select("doc_id", "n", "sid", "sid2"), "op10-docs")
+    sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op10-classes")
     members = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")).join(sets, "sid").select("bucket", "doc", "n", "sketch", "low"), "op10-members")
-    classes = C.saved(sets.select("sid", "doc"), "op10-ids")
+    classes = C.saved(sets.select("sid", "sid2", "doc"), "op10-ids")
     # nothing below reads the large tables again
     C.forget(table)
     C.forget(sets)
@@ -307,8 +310,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             components = connected_components(tested.where("link"), "a", "b")
     C.forget(members)
     C.tidy(docs.sparkSession)
-    heads = classes.join(components, F.col("doc") == F.col("node"), "left").select("sid", F.coalesce("component", "doc").alias("head"))
-    out = of.join(heads, "sid", "left")
+    heads = classes.join(components, F.col("doc") == F.col("node"), "left").select("sid", "sid2", F.coalesce("component", "doc").alias("head"))
+    out = of.join(heads, ["sid", "sid2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("head"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -6,11 +6,11 @@ probability P(grade = 2) of every document follow; a document is rejected when t
 
 Features of a text: its distinct runs of letters (lower case), their first four bytes, and runs of other signs, hashed, and in steps the shares of
 repeated words, of words in capitals and of signs. At most `LABELLED` labelled documents (those of least seeded hash of
-doc_id) fit the model, on the driver; everything else covers all rows.
+doc_id) fit the model, in one task; only its weights reach the driver. Everything else covers all rows.
 
 Defined results: null and empty texts have their own feature and are graded like any other; labels with a null quality
 and toxic are left out; repeated rows are graded alike; without labels every document has score 0, tail 1 and is kept;
-an empty table gives an empty result; extra columns are carried.
+an empty table gives an empty result; all columns of the caller are carried in one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -109,9 +109,13 @@ class Ordinal:
         self.thresholds = b
         return self
 
+    def load(self, weights: bytes, thresholds: bytes) -> "Ordinal":
+        self.weights, self.thresholds = np.frombuffer(weights, "f4"), np.frombuffer(thresholds, "f8")
+        return self
+
     def grade(self, f: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, expected grades and probabilities of the highest grade."""
-        total = np.concatenate(([0.0], np.cumsum(self.weights[f])))
+        total = np.concatenate(([0.0], np.cumsum(self.weights[f], dtype=np.float64)))
         s = total[off[1:]] - total[off[:-1]]
         above = 1 - sigmoid(self.thresholds[None, :] - s[:, None])
         return s, above.sum(axis=1), above[:, -1]
@@ -121,8 +125,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def rated_sample(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
+    """doc_id, grade and text of at most `limit` labelled documents; a document with several ratings has the lowest."""
+    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 2)
+    rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ordinal:
-    """docs: doc_id, text; labels: doc_id, quality, toxic. The sample's features come to the driver: `limit` documents at most."""
+    """docs: doc_id, text; labels: doc_id, quality, toxic. Features come from all tasks, `limit` documents at most fit in one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,29 +142,34 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ordinal:
                 f, at = features(data, off)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("grade"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f))], ["doc_id", "grade", "f"])
 
-    grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 2)
-    rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
-    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(limit)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
-    rows = sample.mapInArrow(each, "doc_id long, grade int, f array<int>").toArrow().sort_by("doc_id").slice(0, limit)
-    return Ordinal().fit([x.values.to_numpy() for x in rows.column("f")], rows.column("grade").to_numpy())
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grades = [], []
+        for batch in batches:
+            for i in range(min(batch.num_rows, limit - len(rows))):
+                rows.append(batch.column("f")[i].values.to_numpy().copy())
+            grades += batch.column("grade").to_pylist()
+        model = Ordinal().fit(rows, np.array(grades[: len(rows)], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((model.weights, "f4"), (model.thresholds, "f8"))], ["weights", "thresholds"])
+
+    rows = rated_sample(docs, labels, limit).mapInArrow(each, "doc_id long, grade int, f array<int>")
+    row = rows.repartition(1).sortWithinPartitions("doc_id", "f").mapInArrow(fitted, "weights binary, thresholds binary").first()
+    return Ordinal().load(row["weights"], row["thresholds"]) if row else Ordinal()
 
 
 def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """docs with score, expected_grade, p_good and keep."""
+    """row (a struct of all columns of docs), score, expected_grade, p_good, keep."""
     extra = [("score", T.DoubleType()), ("expected_grade", T.DoubleType()), ("p_good", T.DoubleType()), ("keep", T.BooleanType())]
-    names = [n for n, _ in extra]
-    docs = docs.drop(*names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, off in C.slices(batch, "text"):
+            for piece, data, off in C.slices(batch, "_text"):
                 s, e, p = model.grade(*features(data, off))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s), pa.array(e), pa.array(p), pa.array(p >= 0.5)], [*piece.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(s), pa.array(e), pa.array(p), pa.array(p >= 0.5)], ["row", *(n for n, _ in extra)])
 
-    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in extra)]))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(each, T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in extra)]))
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return grade(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", "score", "expected_grade", "p_good", "keep")
+    return grade(docs.select("doc_id", "text"), fit(docs, labels)).select("row.doc_id", "score", "expected_grade", "p_good", "keep")

@@ -76,7 +76,7 @@ class FingerprintIndex:
             merged = merged.groupBy("a", "c1", "c2").agg(F.min("head").alias("head"), F.sum("m").alias("m"), F.min("fresh").alias("fresh"))
         else:
             merged = heads.withColumn("fresh", F.lit(1))
-        merged = C.saved(merged.repartition("a").sortWithinPartitions("a", "c1", "c2"), "op1-merged")
+        merged = C.saved(merged.repartition("a", "c1", "c2").sortWithinPartitions("a", "c1", "c2"), "op1-merged")
         firsts = merged.where("m > 1").select("a", "c1", "c2", F.col("head.doc_id").alias("first"), F.col("head.text_key").alias("key"), F.col("head.start").alias("at"))
         # rows of later documents, and the first document's other rows, which keep their anchor
         met = new.join(firsts, ["a", "c1", "c2"]).where("doc_id > first or doc_id = first and (text_key <> key or start <> at)")
@@ -92,7 +92,7 @@ class FingerprintIndex:
         return seen, doubtful
 
     def compact(self) -> None:
-        one = self.history().groupBy("a", "c1", "c2").agg(F.min("head").alias("head")).repartition("a").sortWithinPartitions("a", "c1", "c2")
+        one = self.history().groupBy("a", "c1", "c2").agg(F.min("head").alias("head")).repartition("a", "c1", "c2").sortWithinPartitions("a", "c1", "c2")
         one, old = C.saved(one, "op1-index"), self.tables
         self.tables = [one]
         for t in old:

@@ -4,7 +4,9 @@ The ids are those of tokenizers' `Tokenizer.from_file(path("byte_bpe_50k.json"))
 vocabulary as ranks and is several times as fast, computes them (the tests hold both together). A text is cut where the
 tokenizer's pattern never joins two sides: before a single space, around a lone line feed, before a final ASCII mark.
 The ids of each distinct stretch are computed once per worker, kept in a bounded table, and strung together by array
-look-ups. A text with white space before a space goes through the tokenizer as a whole.
+look-ups. A text with white space before a space goes through the tokenizer as a whole. As the tokenizer has it by default,
+the string of its special token is that token wherever it stands in a text; `Encoder(..., special=None)` takes it for
+ordinary text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ WIDE = np.zeros(256, bool)
 WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: The special token of byte_bpe_50k.json.
+SPECIAL = ("<|endoftext|>", 50_256)
+
+
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     import public_tokenizers
 
@@ -39,13 +45,14 @@ class Encoder:
 
     kept: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 1_000_000, special: tuple[str, int] | None = SPECIAL):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ids_of = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([special] if special else []))
+        self.plain, self.with_special, self.mark = coding.encode_ordinary, lambda t: coding.encode(t, allowed_special="all"), special and special[0]
         self.entries = entries
         self.clear()
 
@@ -60,6 +67,9 @@ class Encoder:
         self.known: dict[int, int] = {}
         self.start, self.length, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
+    def ids_of(self, text: str) -> list[int]:
+        return self.with_special(text) if self.mark and self.mark in text else self.plain(text)
+
     def learn(self, hashes: list[int], texts: list[str]) -> None:
         ids = list(map(self.ids_of, texts))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
