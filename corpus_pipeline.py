@@ -16,9 +16,13 @@ SHINGLE, SIMILAR = 5, (80, 100)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit the ordinal classifier on the labelled documents and drop those that it rejects."""
+    """Fit the ordinal classifier on the labelled documents and drop those that it rejects.
+
+    Null and empty texts are graded like any other; repeated rows are graded alike; a null doc_id is never labelled but
+    graded; extra columns are carried as they are.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.grade(docs, model).where("keep").select(*docs.columns)
+    return quality.grade(docs, model).where("keep").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +42,18 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix draws it, shard by shard in the order of the slots."""
-    # documents without an id are told apart by their texts
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), mixing.word_count("text").alias("size"), key.alias("_key"))
-    drawn = mixing.mix(sized).where(F.size("shards") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_text")).agg(F.first(F.arrays_zip("shards", "slots")).alias("_copies"))
-    met = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]) & key.eqNullSafe(drawn["_text"])).withColumn("_copy", F.explode("_copies"))
-    return met.repartitionByRange("_copy.shards", "_copy.slots").sortWithinPartitions("_copy.shards", "_copy.slots").select(*docs.columns)
+    """Take each document as often as the mix draws it, shard by shard in the order of the slots.
+
+    A null or empty text is never taken; a null source is a source of its own; documents without an id, repeated rows and
+    extra columns are carried as they are.
+    """
+    drawn = mixing.mix(docs, mixing.word_count("text")).where(F.size("shards") > 0)
+    copies = drawn.select("row", F.explode(F.arrays_zip("shards", "slots")).alias("copy"))
+    return copies.repartitionByRange("copy.shards", "copy.slots").sortWithinPartitions("copy.shards", "copy.slots").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack token pieces into sequences of 1024."""
+    """Pack token pieces into sequences of 1024. A null text is empty and yields its end token; repeated rows are packed each; a null doc_id is carried; extra columns go."""
     return packing.pack(docs)
 
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import gc
-import time
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests) a local default."""
+    """spark.checkpoint.dir. Only a session in one process may go without it; on a cluster other machines see no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it has to name a folder that all machines share")
+        root = f"{tempfile.gettempdir()}/hippospark-{os.getpid()}"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -36,8 +40,7 @@ def forget(df: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are done; otherwise they stay until the JVM happens to collect."""
+    """Let go of finished plans, so that Spark's cleaner deletes their shuffle files; otherwise they stay until the JVM happens to collect."""
     for _ in range(2):  # what the first pass finds unreachable lets go of more
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(1)
