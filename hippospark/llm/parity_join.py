@@ -30,7 +30,7 @@ from hippospark.operators.components import connected_components
 from . import common as C
 from .suffix_dedup import by_bucket, grouped
 
-INDEX_BYTES = 64 << 20
+INDEX_BYTES = 32 << 20
 #: Groups above this size are joined by a forest.
 SMALL = 8
 LOWER = np.arange(256, dtype=np.uint8)

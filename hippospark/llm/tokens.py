@@ -45,7 +45,7 @@ class Encoder:
 
     kept: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, entries: int = 1_000_000, special: tuple[str, int] | None = SPECIAL):
+    def __init__(self, path: str, entries: int = 250_000, special: tuple[str, int] | None = SPECIAL):
         import public_tokenizers
         import tiktoken
 
