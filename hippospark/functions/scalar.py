@@ -1,11 +1,12 @@
-"""Scoring, similarity and text expressions as Column builders; all but `nfkc` stay in the JVM."""
+"""Scoring, similarity and text expressions as Column builders; all stay in the JVM."""
 
-import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what counts as white space in the texts' own rules, beyond the ASCII of Java's \\s.
+SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 RRF_K = 60
 HALF_LIFE_DAYS, RECENCY_WEIGHT = 30.0, 0.15
 
@@ -71,8 +72,9 @@ def calibrated(cosine_: Column, fused: Column) -> Column:
 
 
 def fact_importance(entity: Column, confidence: Column, support: Column) -> Column:
-    """M7."""
-    return clamp((entity / 100 + confidence + (1 - 1 / F.greatest(support, F.lit(1)))) / 3)
+    """M7: the mean of an entity's importance (0 to 100, 50 where unknown), a confidence and a support, each clamped."""
+    known = F.when(support > 0, 1 - 1 / support).otherwise(0.0)
+    return clamp((clamp(F.coalesce(entity, F.lit(50)) / 100) + clamp(confidence) + known) / 3)
 
 
 def word_tokens(text: Column, least: int = 2) -> Column:
@@ -124,31 +126,32 @@ def sha1_id(prefix: str, *parts: Column) -> Column:
 
 
 def canonical_key(kind: Column, name: Column) -> Column:
-    """M23 for text that is already in compatibility form (`nfkc` brings it there)."""
-    plain = F.regexp_replace(F.trim(F.lower(name)), r"\s+", " ")
+    """M23."""
+    plain = F.regexp_replace(stripped(F.lower(nfkc(name))), f"{SPACE}+", " ")
     path = F.regexp_replace(F.regexp_replace(plain, r"\\", "/"), "/+$", "")
     key = F.when(kind == "file", path).when(kind == "library", F.regexp_replace(plain, r"@[^@/]*$", "")).otherwise(plain)
     return F.concat(F.lower(F.trim(kind)), F.lit(":"), key)
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility form; Spark has no built-in for it."""
-    import pandas as pd
+    """Compatibility form, by the library that Spark ships for collations. Not for lambdas, nor inside an aggregate."""
+    form = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.isNotNull(), form)
 
-    def form(t: pd.Series) -> pd.Series:
-        return t.str.normalize("NFKC")
 
-    return F.pandas_udf(form, "string")(text)
+def stripped(text: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def fact_value(value: Column) -> Column:
-    """White space trimmed and collapsed, case kept."""
-    return F.trim(F.regexp_replace(value, r"\s+", " "))
+    """Compatibility form, white space trimmed and collapsed, case kept."""
+    return stripped(F.regexp_replace(nfkc(value), f"{SPACE}+", " "))
 
 
 def snake_attribute(name: Column) -> Column:
     """M26."""
-    x = F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
+    x = F.lower(F.regexp_replace(nfkc(name), "([a-z0-9])([A-Z])", "$1_$2"))
     x = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(x == "", "value").otherwise(F.substring(F.when(x.rlike("^[a-z]"), x).otherwise(F.concat(F.lit("v_"), x)), 1, 64))
 
@@ -158,11 +161,6 @@ def slug(text: Column, joint: str = "_") -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", joint), f"^{joint}+|{joint}+$", "")
 
 
-def nfkc(text: Column) -> Column:
-    """Spark has no Unicode normalisation of its own."""
-    return F.udf(lambda x: None if x is None else unicodedata.normalize("NFKC", x), "string", useArrow=True)(text)
-
-
 def rule_slug(text: Column, most: int = 48) -> Column:
     """M27 of the whole text: normalised, slugged, cut to `most` characters; a blank one is "law"."""
     cut = F.regexp_replace(F.substring(slug(nfkc(text)), 1, most), "_$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hippospark.functions.storage import saved
+
 FAN_OUT, DECAY, THRESHOLD, MOST = 8, 0.5, 0.05, 50
 
 
@@ -14,25 +16,29 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def strongest(edges: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """The strongest neighbours of every node with their share of its activation, written once for all hops.
+
+    A hub's edges are cut to `fan_out` in each task before they meet (the window's group limit), so a hub is no hot task.
+    """
+    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    top = both_ways(edges.where("src <> dst")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= fan_out)
+    return saved(top.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")), "neighbours")
+
+
 def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = THRESHOLD, most: int = MOST, include_seeds: bool = False) -> DataFrame:
     """Spreading activation from seeds (id, activation).
 
-    Per hop a node passes activation * share * decay to its strongest neighbours; what other nodes than seeds get adds up.
-    The frontier is joined before neighbours are ranked, so only the frontier's edges are sorted; a hub's edges meet in
-    one window task.
+    Per hop a node passes activation * share * decay to its strongest neighbours, seeds like others; what reaches other
+    nodes than seeds adds up over the hops.
     """
-    near = both_ways(edges)
-    frontier, total = seeds.select("id", "activation"), None
+    near = strongest(edges)
+    frontier, total = seeds.where("activation > 0").groupBy("id").agg(F.sum("activation").alias("activation")), None
     for _ in range(hops):
-        out = near.join(frontier, near["src"] == frontier["id"]).drop("id")
-        w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-        top = out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= FAN_OUT)
-        share = F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))
-        got = top.withColumn("got", F.col("activation") * share * DECAY).groupBy(F.col("dst").alias("id")).agg(F.sum("got").alias("activation"))
-        if not include_seeds:
-            got = got.join(seeds.select("id"), "id", "left_anti")
-        total = got if total is None else total.unionByName(got)
-        frontier = got
+        frontier = near.join(frontier, near["src"] == frontier["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("activation") * F.col("share") * DECAY).alias("activation"))
+        total = frontier if total is None else total.unionByName(frontier)
+    if not include_seeds:
+        total = total.join(seeds.select("id").distinct(), "id", "left_anti")
     total = total.groupBy("id").agg(F.round(F.sum("activation"), 6).alias("activation")).where(F.col("activation") >= threshold)
     return total.orderBy(F.desc("activation"), "id").limit(most)
 

@@ -12,11 +12,15 @@ KEY = ("entity_id", "attribute")
 
 
 def fact_islands(facts: DataFrame) -> DataFrame:
-    """Facts in (valid_from, seq) order; consecutive equal values fold into one version with summed support."""
+    """Facts in (valid_from, seq) order; consecutive equal values fold into one version. Values are compared in normal
+    form, the first one as it was stored stands for a version; supports (1 where there is no such column) add up."""
     w = Window.partitionBy(*KEY).orderBy("valid_from", "seq")
-    same = F.lag(S.fact_value(F.col("value"))).over(w) == S.fact_value(F.col("value"))
-    marked = facts.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*KEY, "island").agg(F.min("value").alias("value"), F.min("valid_from").alias("valid_from"), F.count("*").alias("support"), F.max("confidence").alias("confidence"), F.min("seq").alias("seq"))
+    rows = facts.withColumn("_norm", S.fact_value(F.col("value"))).withColumn("support", F.col("support") if "support" in facts.columns else F.lit(1))
+    same = F.lag("_norm").over(w) == F.col("_norm")
+    marked = rows.withColumn("fresh", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("valid_from", "seq", "value")).alias("first")
+    g = marked.groupBy(*KEY, "island").agg(first, F.sum("support").alias("support"), F.max("confidence").alias("confidence"))
+    return g.select(*KEY, "island", "first.value", "first.valid_from", "support", "confidence", "first.seq")
 
 
 def fact_versions(facts: DataFrame) -> DataFrame:
@@ -28,11 +32,12 @@ def fact_versions(facts: DataFrame) -> DataFrame:
 def upsert_facts(facts: DataFrame) -> DataFrame:
     """K10 in arrival order (learned_at, seq): a fold per key, whatever order valid_from comes in.
 
-    A same value supports the head; a value not older than the head closes it; an older one goes straight to history. A
+    A value that is the same in normal form supports the head, which keeps the value as first stored; a value not older than the head closes it; an older one goes straight to history. A
     key's facts are folded as one array, so a key must fit a row; keys are entities' attributes, not sources.
     """
-    one = F.struct("learned_at", "seq", S.fact_value(F.col("value")).alias("value"), "valid_from", "confidence")
-    head = "struct<value:string,valid_from:bigint,confidence:double,support:bigint>"
+    facts = facts.withColumn("_norm", S.fact_value(F.col("value")))
+    one = F.struct("learned_at", "seq", "value", F.col("_norm").alias("norm"), "valid_from", "confidence")
+    head = "struct<value:string,norm:string,valid_from:bigint,confidence:double,support:bigint>"
     row = "struct<value:string,valid_from:bigint,valid_to:bigint,confidence:double,support:bigint>"
     start = F.struct(F.lit(None).cast(head).alias("head"), F.array().cast(f"array<{row}>").alias("closed"))
 
@@ -41,13 +46,13 @@ def upsert_facts(facts: DataFrame) -> DataFrame:
 
     def step(acc, x):
         h = acc["head"]
-        fresh = F.struct(x["value"].alias("value"), x["valid_from"].alias("valid_from"), x["confidence"].alias("confidence"), F.lit(1).cast("bigint").alias("support"))
-        stronger = F.struct(h["value"].alias("value"), F.least(h["valid_from"], x["valid_from"]).alias("valid_from"), F.greatest(h["confidence"], x["confidence"]).alias("confidence"), (h["support"] + 1).alias("support"))
+        fresh = F.struct(x["value"].alias("value"), x["norm"].alias("norm"), x["valid_from"].alias("valid_from"), x["confidence"].alias("confidence"), F.lit(1).cast("bigint").alias("support"))
+        stronger = F.struct(h["value"].alias("value"), h["norm"].alias("norm"), F.least(h["valid_from"], x["valid_from"]).alias("valid_from"), F.greatest(h["confidence"], x["confidence"]).alias("confidence"), (h["support"] + 1).alias("support"))
         close = F.concat(acc["closed"], F.array(version(h["value"], h["valid_from"], x["valid_from"], h["confidence"], h["support"])))
         late = F.concat(acc["closed"], F.array(version(x["value"], x["valid_from"], h["valid_from"], x["confidence"], F.lit(1))))
         return (
             F.when(h.isNull(), F.struct(fresh.alias("head"), acc["closed"].alias("closed")))
-            .when(h["value"] == x["value"], F.struct(stronger.alias("head"), acc["closed"].alias("closed")))
+            .when(h["norm"] == x["norm"], F.struct(stronger.alias("head"), acc["closed"].alias("closed")))
             .when(x["valid_from"] >= h["valid_from"], F.struct(fresh.alias("head"), close.alias("closed")))
             .otherwise(F.struct(h.alias("head"), late.alias("closed")))
         )
@@ -67,7 +72,7 @@ def asof_facts(facts: DataFrame, at: int) -> DataFrame:
 
 def contradictions(heads: DataFrame) -> DataFrame:
     """Keys whose head facts hold two distinct values or more, with the siblings' values."""
-    g = heads.groupBy(*KEY).agg(F.array_sort(F.collect_set(S.fact_value(F.col("value")))).alias("values"))
+    g = heads.withColumn("_norm", S.fact_value(F.col("value"))).groupBy(*KEY).agg(F.array_sort(F.collect_set("_norm")).alias("values"))
     return g.where(F.size("values") > 1)
 
 
@@ -102,10 +107,11 @@ def rekey_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
 def chase_pointers(pointers: DataFrame) -> DataFrame:
     """Node -> root along (node, target) by pointer jumping; nodes of a cycle report themselves as cyclic.
 
-    Each round doubles the distance, so there are logarithmically many; a pointer past the end stays.
+    Each round doubles the distance, so there are logarithmically many; a pointer past the end stays. Only nodes that lead
+    into a cycle still move after as many rounds as the number of pointers has binary digits.
     """
     p = saved(pointers.select("node", F.col("target").alias("root")), "pointers")
-    for _ in range(40):
+    for _ in range(p.count().bit_length() + 1):
         on = p.select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = saved(p.join(on, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "pointers")
         moved = new.where("moved and root <> node").count()

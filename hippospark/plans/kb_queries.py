@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hippospark.functions import scalar as S
 from hippospark.operators import kb
+from hippospark.sources import sinks
 
 from .bindings import EVENTS_SQL, FACTS_SQL, L0_SQL, RELATIONS_SQL, epoch_s, facts, kb_events, l0_messages, relations, table
 from .common import Queries
@@ -55,16 +56,8 @@ def asof_fact(spark: SparkSession, d: str) -> DataFrame:
     return kb.asof_facts(facts(spark, d), 852_076_800).select("entity_id", "value")
 
 
-@q("SELECT o_custkey AS entity_id, list_sort(list(DISTINCT o_orderstatus)) AS values FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
-def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    """Statuses that one customer's newest orders assert at once."""
-    o = table(spark, d, "orders").where("o_orderdate >= timestamp '1998-01-01'")
-    heads = o.select(F.col("o_custkey").alias("entity_id"), F.lit("status").alias("attribute"), F.col("o_orderstatus").alias("value"))
-    return kb.contradictions(heads).select("entity_id", "values")
-
-
 @q("WITH m AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last FROM orders) SELECT o_custkey AS entity_id, list_sort(list(DISTINCT o_orderstatus)) AS values FROM m WHERE o_orderdate = last GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
-def contradictions_all(spark: SparkSession, d: str) -> DataFrame:
+def contradictions(spark: SparkSession, d: str) -> DataFrame:
     """A8, J14, of true head facts: statuses that the orders of a customer's last date assert at once, whatever that date."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.lit("status").alias("attribute"), F.col("o_orderstatus").alias("value"), "o_orderdate")
     return kb.contradictions(kb.newest(o, "o_orderdate")).select("entity_id", "values")
@@ -212,17 +205,20 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return kb.upsert_latest(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 <> 0"), "o_custkey", "version", "created").drop("version")
 
 
-@q("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'")
+@q("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 11 = 0 OR o_orderdate >= TIMESTAMP '1998-08-02' - INTERVAL 29 DAY * 14")
 def retention_filter(spark: SparkSession, d: str) -> DataFrame:
-    """K5, K6."""
-    return table(spark, d, "orders").where("o_orderdate >= timestamp '1997-06-01'").select("o_orderkey", "o_custkey")
+    """K5, K6: what a retention of 407 days at the evening of 1998-08-02 leaves; rows with an unknown time stay."""
+    cutoff = sinks.retention_cutoff(902_088_000, 29 * 14 + 1)
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 11 != 0, epoch_s("o_orderdate")).alias("updated"))
+    return sinks.without(o, sinks.expired(o, "updated", cutoff).select("o_orderkey"), "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@q("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')")
+@q("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')")
 def orphan_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """What nothing refers to any more."""
-    used = table(spark, d, "lineitem").where("l_shipdate >= timestamp '1998-06-01'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    """Old orders that no open line refers to."""
+    o = table(spark, d, "orders").select("o_orderkey", epoch_s("o_orderdate").alias("changed"))
+    used = table(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sinks.orphans(o, used, "o_orderkey", "changed", 852_076_800).select("o_orderkey")
 
 
 @q("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")

@@ -37,11 +37,11 @@ def lifecycle_decay(spark: SparkSession, d: str) -> DataFrame:
     return L.decayed(life(spark, d)).select("owner_id", F.round("permanence_score", 6).alias("permanence"), "state", "tier")
 
 
-@q(f"WITH {LIFE_SQL}, n AS (SELECT max(last) AS now FROM life) SELECT owner_id FROM life, n WHERE coalesce(last, created) < now - 14 * 86400")
+@q(f"WITH {LIFE_SQL}, n AS (SELECT max(last) + 13 * 86400 AS now FROM life) SELECT owner_id FROM life, n WHERE coalesce(last, created) < now - 14 * 86400")
 def staleness_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """LC5, X17."""
+    """LC5, X17: thirteen days after the last event."""
     rows = life(spark, d)
-    now = rows.agg(F.max("last")).first()[0] or 0
+    now = (rows.agg(F.max("last")).first()[0] or 0) + 13 * L.DAY
     return rows.where(L.is_stale(now, F.col("last"), F.col("created"), F.col("state"))).select("owner_id")
 
 
@@ -67,11 +67,18 @@ def stance_severity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.severity(F.col("p_size") / 50.0, k % 5, tier, F.when(k % 2 == 0, "high").otherwise("none")).alias("severity"))
 
 
-@q("""SELECT page_id, CASE WHEN regexp_matches(html, '\\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\\b') THEN 'payment' WHEN regexp_matches(html, '(?i)\\brm\\s+-rf?\\b|\\bDROP\\s+(?:TABLE|DATABASE|SCHEMA)\\b|\\bTRUNCATE\\s+TABLE\\b|\\bDELETE\\s+FROM\\b') THEN 'destructive' ELSE 'other' END AS domain FROM pages""")
+def sql_match(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '" + pattern.replace("'", "''") + "')"
+
+
+SECRET_SQL = " OR ".join(sql_match("html", p) for _, p in X.SECRETS)
+STAKES_SQL = "CASE " + " ".join(f"WHEN {sql_match('html', p)}{' OR ' + SECRET_SQL if name == 'credential' else ''} THEN '{name}'" for name, p in X.STAKES) + " ELSE 'none' END"
+
+
+@q(f"SELECT page_id, {STAKES_SQL} AS domain FROM pages")
 def stakes_classify(spark: SparkSession, d: str) -> DataFrame:
-    """P15; domains whose patterns SQL writes differently are one here."""
-    s = X.stakes(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.when(s.isin("payment", "destructive"), s).otherwise("other").alias("domain"))
+    """P15."""
+    return table(spark, d, "pages").select("page_id", X.stakes(F.col("html")).alias("domain"))
 
 
 @q("SELECT doc_id, CASE WHEN quality = 0 AND toxic = 0 THEN 'pending_confirmation' ELSE 'clear' END AS gate FROM labels")
@@ -106,13 +113,18 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "c.ix", F.md5("c.chunk").alias("md5"))
 
 
-@q("""WITH t AS (SELECT c_custkey, 'Call failed: TypeError at ' || c_custkey || ' HTTP ' || (400 + c_custkey % 200) || ' then ERR_MODULE_' || (c_custkey % 3) || ' and ENOENT' AS x FROM customer)
-SELECT c_custkey, list_sort(list_distinct(list_filter(['TypeError', 'ERR_MODULE_' || (c_custkey % 3), 'ENOENT', CASE WHEN 400 + c_custkey % 200 < 600 THEN 'HTTP_' || (400 + c_custkey % 200) END, CASE WHEN c_custkey BETWEEN 400 AND 599 THEN 'HTTP_' || c_custkey END], lambda y: y IS NOT NULL))) AS signatures FROM t""")
+ERR = "regexp_extract_all(x, '%s'%s)"
+ERRORS_SQL = "list_sort(list_distinct(list_concat(" + ", ".join((
+    ERR % (r"\b([A-Z][a-z]+[A-Za-z]*(?:Error|Exception))\b", ", 1"), ERR % (r"\bERR_[A-Z0-9_]+\b", ""), ERR % (r"\bE[A-Z]{2,}\b", ""), "['HTTP_' || h FOR h IN " + ERR % (r"\b(?:HTTP[/ ]?)?([45]\d{2})\b", ", 1") + "]",
+    "['\"' || trim(h) || '\"' FOR h IN list_concat(" + ERR % ('"([^"]{1,60})"', ", 1") + ", " + ERR % ("''([^'']{1,60})''", ", 1") + ") IF regexp_matches(trim(h), '(?i)error|fail|refused|denied|timeout|not found')]",
+)) + ")))"
+
+
+@q(f"WITH t AS (SELECT doc_id, text || ' raised TypeError ' || doc_id || ' \"disk failure\" then ERR_MODULE_' || (doc_id % 3) || ' and ENOENT' AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, {ERRORS_SQL} AS signatures FROM t")
 def error_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """P20."""
-    k = F.col("c_custkey")
-    x = F.concat(F.lit("Call failed: TypeError at "), k, F.lit(" HTTP "), 400 + k % 200, F.lit(" then ERR_MODULE_"), k % 3, F.lit(" and ENOENT"))
-    return table(spark, d, "customer").select("c_custkey", X.error_signatures(x).alias("signatures"))
+    """P20 of every document, each with some errors after its text."""
+    x = F.concat("text", F.lit(" raised TypeError "), "doc_id", F.lit(' "disk failure" then ERR_MODULE_'), F.col("doc_id") % 3, F.lit(" and ENOENT"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.error_signatures(x).alias("signatures"))
 
 
 @q("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\\S') AND NOT starts_with(text, '/')")
@@ -121,40 +133,90 @@ def l0_capture_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where(X.capturable(F.col("text"))).select("conv_id", "turn")
 
 
-@q("SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
-def rule_slug(spark: SparkSession, d: str) -> DataFrame:
-    """M27."""
-    return table(spark, d, "documents").select("doc_id", S.slug(F.substring("text", 1, 40)).alias("slug"))
-
-
 @q()
-def rule_slug_all(spark: SparkSession, d: str) -> DataFrame:
+def rule_slug(spark: SparkSession, d: str) -> DataFrame:
     """M27 of whole texts: SQL's engine has no NFKC; tested on fixtures."""
     return table(spark, d, "documents").select("doc_id", S.rule_slug(F.col("text")).alias("slug"))
 
 
-@q("SELECT c_custkey, lower(c_mktsegment) || '_size' AS attribute, true AS noise FROM customer")
+@q("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations), a AS (SELECT w, unnest([w || 'Size', 'char_' || w, 'Action phase', w]) AS x FROM w),
+s AS (SELECT w, x, regexp_replace(regexp_replace(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS attribute FROM a)
+SELECT w, x, attribute, regexp_matches(attribute, '_(count|phase|size|index|offset)$|^(line|char|byte|token)_|^action_phase$|^rowid$') AS noise FROM s""")
 def snake_attributes(spark: SparkSession, d: str) -> DataFrame:
-    """M26, P13."""
-    a = S.snake_attribute(F.concat(F.lower("c_mktsegment"), F.lit("Size")))
-    return table(spark, d, "customer").select("c_custkey", a.alias("attribute"), X.noise_attribute(a).alias("noise"))
+    """M26, P13 on the words of the conversations."""
+    w = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    w = w.select("w", F.explode(F.array(F.concat("w", F.lit("Size")), F.concat(F.lit("char_"), "w"), F.lit("Action phase"), "w")).alias("x"))
+    return w.withColumn("attribute", S.snake_attribute(F.col("x"))).withColumn("noise", X.noise_attribute(F.col("attribute")))
 
 
-@q()
+def sql_replace(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, '" + pattern.replace("'", "''") + f"', '{by}', 'g')"
+
+
+def chained(x: str, patterns) -> str:
+    for pattern, by in patterns:
+        x = sql_replace(x, pattern, by)
+    return x
+
+
+SQUEEZED = ((r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+UNSAFE = r"[\x{fffd}\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200f}\x{2028}-\x{202f}\x{2060}\x{feff}]"
+SANITIZED = chained(
+    "text",
+    (
+        (UNSAFE, ""), (r"```[^\n]*\n[\s\S]*?```", ""), *SQUEEZED, *((p, "") for p in X.INJECTED), *SQUEEZED, *((p, f"[REDACTED:{kind}]") for kind, p in X.SECRETS),
+        ("(?i)<(/?(?:" + "|".join(X.TAGS) + "))>", r"&lt;\1&gt;"),
+    ),
+)
+
+
+@q(f"SELECT conv_id, turn, {SANITIZED} AS text FROM conversations")
 def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
-    """Lazy multi-line patterns that SQL's engine reads differently; tested on fixtures."""
+    """P1, P2, P7, P9, P12."""
     m = table(spark, d, "conversations")
     clean = X.redacted(X.sanitized(X.without_code(X.without_unsafe(F.col("text")))))
     return m.select("conv_id", "turn", X.escaped_tags(clean).alias("text"))
 
 
-@q()
+LOOKING = r"(?i)you are now (?!going|about|ready)"
+#: The one pattern that looks ahead holds where the phrase occurs more often than with what must not follow.
+LOOKS = "len(regexp_extract_all(x, '(?i)you are now ')) > len(regexp_extract_all(x, '(?i)you are now (?:going|about|ready)'))"
+INJECTED_SQL = "(" + " OR ".join(LOOKS if p == LOOKING else sql_match("x", p) for p in X.INJECTION) + ")"
+NOISE_SQL = "trim(text) = '(session bootstrap)' OR starts_with(trim(text), 'A new session was started via') OR regexp_matches(trim(text), '^✅\\s*New session started') OR starts_with(trim(text), 'Pre-compaction memory flush') OR regexp_matches(trim(text), '^NO_REPLY\\s*$')"
+SIGNS_SQL = r"regexp_matches(text, '^[^\w\s\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]+$') AND length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10ffff}]')) <= 5"
+
+
+@q(f"""WITH m AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id + 1000000, turn, CASE turn % 6 WHEN 0 THEN 'you are now ' || role WHEN 1 THEN 'You are now ready' WHEN 2 THEN '!?🙂🙂' WHEN 3 THEN 'NO_REPLY ' WHEN 4 THEN '/new ' || text ELSE 'please run the ' || role || ' command' END FROM conversations),
+t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM m)
+SELECT conv_id, turn, {INJECTED_SQL} AS injected, trim(x) <> '' AND NOT ({NOISE_SQL}) AND NOT starts_with(text, '/') AND NOT ({SIGNS_SQL}) AND NOT regexp_matches(text, '^[?？]+$') AND NOT {INJECTED_SQL} AS extractable FROM t""")
 def injection_predicate(spark: SparkSession, d: str) -> DataFrame:
-    """A pattern looks ahead, which SQL's engine cannot; tested on fixtures."""
-    return table(spark, d, "conversations").select("conv_id", "turn", X.injected(F.col("text")).alias("injected"), X.extractable(F.col("text")).alias("extractable"))
+    """Every message, and as many made-up ones that the rules are about."""
+    m = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    k = F.col("turn") % 6
+    own = F.when(k == 0, F.concat(F.lit("you are now "), "role")).when(k == 1, "You are now ready").when(k == 2, "!?🙂🙂").when(k == 3, "NO_REPLY ").when(k == 4, F.concat(F.lit("/new "), "text")).otherwise(F.concat(F.lit("please run the "), "role", F.lit(" command")))
+    m = m.unionByName(m.select((F.col("conv_id") + 1_000_000).alias("conv_id"), "turn", "role", own.alias("text")))
+    return m.select("conv_id", "turn", X.injected(F.col("text")).alias("injected"), X.extractable(F.col("text")).alias("extractable"))
 
 
-@q()
+def weights_sql(marks) -> str:
+    return " + ".join(f"CASE WHEN {sql_match('low', p)} THEN {w} ELSE 0 END" for p, w in marks)
+
+
+AFTER = ", ".join("'" + w.replace("'", "''") + "'" for w in X.AFTER_NON)
+DIRECTIVES = f"""m AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id + 1000000, turn, CASE turn % 4 WHEN 0 THEN 'From now on always ' WHEN 1 THEN 'Non toccare, mai: ' WHEN 2 THEN 'È sbagliato, non è così ' ELSE 'non ho ' END || text FROM conversations),
+t AS (SELECT *, lower(trim(text)) AS low FROM m), w AS (SELECT *, {weights_sql(X.CORRECTION)} AS c, {weights_sql(X.PROHIBITION)} + CASE WHEN len(list_filter(regexp_extract_all(low, '\\bnon\\s+([a-zàèéìòù'']+)', 1), lambda x: x NOT IN ({AFTER}))) > 0 THEN 0.4 ELSE 0 END AS p, {weights_sql(X.PRESCRIPTION)} AS s FROM t),
+dir AS (SELECT conv_id, turn, text, CASE WHEN c > 0 THEN 'correction' WHEN p > 0 THEN 'prohibition' WHEN s > 0 THEN 'prescription' END AS kind, CASE WHEN c > 0 OR p > 0 OR s > 0 THEN CAST(least(1.0, c + p + s) AS DOUBLE) END AS strength FROM w)"""
+
+
+def directed(spark: SparkSession, d: str) -> DataFrame:
+    """Every message, and as many with a directive before it."""
+    m = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    k = F.col("turn") % 4
+    own = F.concat(F.when(k == 0, "From now on always ").when(k == 1, "Non toccare, mai: ").when(k == 2, "È sbagliato, non è così ").otherwise("non ho "), "text")
+    return m.unionByName(m.select((F.col("conv_id") + 1_000_000).alias("conv_id"), "turn", own.alias("text"))).withColumn("d", X.directive(F.col("text")))
+
+
+@q(f"WITH {DIRECTIVES} SELECT conv_id, turn, kind, round(strength, 6) AS strength FROM dir")
 def directive_detection(spark: SparkSession, d: str) -> DataFrame:
     """P18."""
-    return table(spark, d, "conversations").select("conv_id", "turn", X.directive(F.col("text")).alias("d")).select("conv_id", "turn", "d.kind", "d.strength")
+    return directed(spark, d).select("conv_id", "turn", "d.kind", F.round("d.strength", 6).alias("strength"))

@@ -86,21 +86,10 @@ def recall_confidence(spark: SparkSession, d: str) -> DataFrame:
     return R.recall_confidence(R.vector_topk(table(spark, d, "embeddings"), query_vector(spark, d), 50), "score")
 
 
-@q("""WITH qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5),
-s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM qs, embeddings WHERE vec_id <> query_id)
-SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
-def cosine_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
-    """Five queries given as rows, against all vectors, without themselves."""
-    e = table(spark, d, "embeddings").select("vec_id", S.doubles("embedding").alias("v"))
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = e.crossJoin(F.broadcast(asked)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(S.cosine(F.col("v"), F.col("q")), 6).alias("score"))
-    return R.topk_per_query(pairs, "query_id", "score", "vec_id", 5)
-
-
 @q("""WITH qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM qs, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
-def cosine_topk_per_query_all(spark: SparkSession, d: str) -> DataFrame:
+def cosine_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
     """The vectors whose id is divisible by 100 against all, in blocks."""
     e = table(spark, d, "embeddings")
     pairs = V.topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5).withColumnRenamed("id", "vec_id")
@@ -116,17 +105,9 @@ def best_chunk_per_owner(spark: SparkSession, d: str) -> DataFrame:
     return R.best_chunk(hits, "owner", "score", "chunk").orderBy(F.desc("score"), "owner").limit(20)
 
 
-@q(f"SELECT o_orderkey, round(o_totalprice / 1e6 * (1 + 0.15 * pow(0.5, ({NOW} - epoch(o_orderdate)) / 86400.0 / 30)), 6) AS boosted FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+@q(f"SELECT o_orderkey, round(o_totalprice / 1e6 * (1 + 0.15 * pow(0.5, ({NOW} - epoch(o_orderdate)) / 86400.0 / 30)), 6) AS boosted FROM orders")
 def recency_boost(spark: SparkSession, d: str) -> DataFrame:
     """M3."""
-    o = table(spark, d, "orders").where("o_orderdate >= timestamp '1998-01-01'")
-    age = (F.lit(NOW) - epoch_s("o_orderdate")) / 86400.0
-    return o.select("o_orderkey", F.round(S.recency_boosted(F.col("o_totalprice") / 1e6, age), 6).alias("boosted"))
-
-
-@q(f"SELECT o_orderkey, round(o_totalprice / 1e6 * (1 + 0.15 * pow(0.5, ({NOW} - epoch(o_orderdate)) / 86400.0 / 30)), 6) AS boosted FROM orders")
-def recency_boost_all(spark: SparkSession, d: str) -> DataFrame:
-    """M3 of every order."""
     age = (F.lit(NOW) - epoch_s("o_orderdate")) / 86400.0
     return table(spark, d, "orders").select("o_orderkey", F.round(S.recency_boosted(F.col("o_totalprice") / 1e6, age), 6).alias("boosted"))
 
@@ -136,7 +117,7 @@ def entity_token_match(spark: SparkSession, d: str) -> DataFrame:
     return R.entity_matches(table(spark, d, "customer"), ("customer", "7", "42"), "c_custkey", "c_name", 10)
 
 
-@q("SELECT c_custkey, round(greatest(0, least(1, (c_acctbal / 10000 + 0.8 + (1 - 1.0 / greatest(n, 1))) / 3)), 6) AS importance FROM (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)")
+@q("SELECT c_custkey, round((greatest(0, least(1, c_acctbal / 10000)) + 0.8 + CASE WHEN n > 0 THEN 1 - 1.0 / n ELSE 0 END) / 3, 6) AS importance FROM (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)")
 def fact_importance(spark: SparkSession, d: str) -> DataFrame:
     """M7: account balance as an entity's importance, orders as a fact's support."""
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
@@ -148,32 +129,23 @@ def fact_importance(spark: SparkSession, d: str) -> DataFrame:
 SELECT conv_id, turn, round(CASE WHEN project = 'a' THEN 1.0 ELSE 0.5 END * length(text) / 1000, 6) AS score FROM e ORDER BY score DESC, conv_id, turn LIMIT 20""")
 def project_penalty(spark: SparkSession, d: str) -> DataFrame:
     """Events of another project count half."""
-    m = l0_messages(spark, d).join(F.broadcast(l0_messages(spark, d).select("conv_id").distinct().withColumn("project", F.when(F.col("conv_id") % 3 == 0, "a").otherwise("b"))), "conv_id", "left")
+    m = l0_messages(spark, d).join(l0_messages(spark, d).select("conv_id").distinct().withColumn("project", F.when(F.col("conv_id") % 3 == 0, "a").otherwise("b")), "conv_id", "left")
     score = F.when(F.col("project") == "a", 1.0).otherwise(0.5) * F.char_length("message_text") / 1000
     return m.select("conv_id", "turn", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(20)
 
 
-@q("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND d.lang = 'en'")
+@q("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def rejected_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """J16, U4."""
     bad = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, d, "documents").where("lang = 'en'").join(bad, "doc_id", "left_anti").select("doc_id", "source")
+    return table(spark, d, "documents").join(bad, "doc_id", "left_anti").select("doc_id", "source")
 
 
-@q("SELECT vec_id, round(1 - coalesce((SELECT max(greatest(0, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))) FROM embeddings b WHERE b.vec_id < 50 AND b.vec_id <> a.vec_id), 0), 6) AS isolation FROM embeddings a WHERE vec_id < 50")
-def isolation(spark: SparkSession, d: str) -> DataFrame:
-    """M12 of a session's fifty newest memories among themselves."""
-    e = table(spark, d, "embeddings").where("vec_id < 50").select("vec_id", S.doubles("embedding").alias("v"))
-    b = F.broadcast(e.select(F.col("vec_id").alias("other"), F.col("v").alias("w")))
-    g = e.join(b, F.col("vec_id") != F.col("other"), "left").groupBy("vec_id").agg(F.max(F.greatest(F.lit(0.0), S.cosine(F.col("v"), F.col("w")))).alias("near"))
-    return g.select("vec_id", F.round(1 - F.coalesce("near", F.lit(0.0)), 6).alias("isolation"))
-
+ISOLATION = "SELECT vec_id, round(1 - coalesce((SELECT max(greatest(0, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))) FROM embeddings b WHERE b.vec_id <> a.vec_id), 0), 6) AS isolation FROM embeddings a"
 
-ISOLATION_ALL = "SELECT vec_id, round(1 - coalesce((SELECT max(greatest(0, list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))) FROM embeddings b WHERE b.vec_id <> a.vec_id), 0), 6) AS isolation FROM embeddings a"
 
-
-@q(ISOLATION_ALL)
-def isolation_all(spark: SparkSession, d: str) -> DataFrame:
+@q(ISOLATION)
+def isolation(spark: SparkSession, d: str) -> DataFrame:
     """M12 of every vector among all; 1 where there is nothing to compare."""
     e = table(spark, d, "embeddings")
     near = V.nearest(e, "vec_id", "embedding").withColumnRenamed("id", "vec_id")

@@ -15,16 +15,21 @@ QUESTION = "question_id string, question_type string, question string, answer st
 
 
 def read_l0_days(spark: SparkSession, folder: str, session_key: str | None = None) -> DataFrame:
-    """Day shards YYYY-MM-DD.jsonl; malformed lines are skipped, rows with an unreadable time come last."""
+    """Day shards YYYY-MM-DD.jsonl; malformed lines are skipped; `recorded` is null where the time is unreadable. `by_time` sorts."""
     rows = spark.read.schema(L0).option("mode", "DROPMALFORMED").option("pathGlobFilter", "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9].jsonl").json(folder)
     rows = rows.withColumn("recorded", F.try_to_timestamp("recordedAt"))
-    return (rows if session_key is None else rows.where(F.col("sessionKey") == session_key)).orderBy(F.asc_nulls_last("recorded"), "id")
+    return (rows if session_key is None else rows.where(F.col("sessionKey") == session_key))
+
+
+def by_time(rows: DataFrame, at: str = "recorded", key: str = "id") -> DataFrame:
+    """Oldest first, unknown times last, for a caller that needs an order."""
+    return rows.orderBy(F.asc_nulls_last(at), key)
 
 
 def read_l1(spark: SparkSession, folder: str) -> DataFrame:
-    """Memory records by time of update, or of creation."""
+    """Memory records with `changed`, the time of update or of creation."""
     rows = spark.read.schema(L1).option("mode", "DROPMALFORMED").json(folder)
-    return rows.withColumn("changed", F.coalesce("updatedAt", "createdAt", F.lit(""))).orderBy("changed", "id")
+    return rows.withColumn("changed", F.coalesce("updatedAt", "createdAt", F.lit("")))
 
 
 def read_offload(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -41,3 +41,33 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def expired(rows: DataFrame, updated: str, cutoff: int) -> DataFrame:
     """K5: rows with a known time before the cutoff."""
     return rows.where(F.col(updated).isNotNull() & (F.col(updated) < cutoff))
+
+
+def retention_cutoff(now: int, days: int) -> int:
+    """K6: midnight (UTC seconds) of the first of the last `days` days, today included."""
+    return now - now % 86_400 - (days - 1) * 86_400
+
+
+def orphans(files: DataFrame, references: DataFrame, key: str, changed: str, cutoff: int) -> DataFrame:
+    """Files that nothing refers to and that are older than the cutoff."""
+    return files.where(F.col(changed) < cutoff).join(references.select(key), key, "left_anti")
+
+
+def pruned(rows: DataFrame, updated: str, cutoff: int, files: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """Without rows updated before the cutoff (an unknown time stays), nor rows whose file is gone."""
+    kept = rows.where(F.col(updated).isNull() | (F.col(updated) >= cutoff))
+    return kept if files is None else kept.join(files.select(key), key, "left_semi")
+
+
+def canvases_to_delete(files: DataFrame, folder: str, changed: str, name: str, active: DataFrame, cutoff: int, keep: int = 15) -> DataFrame:
+    """Of each folder with more than `keep` canvases the oldest expired ones, so that `keep` stay; an active one is never deleted."""
+    rows = files.join(active.select(folder, name).withColumn("_active", F.lit(True)), [folder, name], "left").withColumn("_total", F.count("*").over(Window.partitionBy(folder)))
+    old = rows.where((F.col("_total") > keep) & F.col("_active").isNull() & (F.col(changed) < cutoff))
+    place = F.row_number().over(Window.partitionBy(folder).orderBy(changed, name))
+    return old.withColumn("_place", place).where(F.col("_place") <= F.col("_total") - keep).drop("_place", "_total", "_active")
+
+
+def backups_to_drop(files: DataFrame, base: str, name: str, keep: int) -> DataFrame:
+    """All but the newest `keep` copies of each base, by name."""
+    place = F.row_number().over(Window.partitionBy(base).orderBy(F.desc(name)))
+    return files.withColumn("_place", place).where(F.col("_place") > keep).drop("_place")

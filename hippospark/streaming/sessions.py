@@ -40,12 +40,11 @@ def triggers(messages: DataFrame, every: int = 5, idle_ms: int | None = None, se
             state.update((0, threshold, runs + bool(waiting)))
         else:
             for rows in batches:
-                for _ in range(len(rows)):
-                    waiting += 1
-                    if waiting >= threshold:
-                        runs += 1
-                        out.append((key[0], runs, waiting, "count"))
-                        waiting, threshold = 0, min(every, threshold * 2)
+                waiting += len(rows)
+                while waiting >= threshold:  # one step per run, not per message
+                    runs += 1
+                    out.append((key[0], runs, threshold, "count"))
+                    waiting, threshold = waiting - threshold, min(every, threshold * 2)
             state.update((waiting, threshold, runs))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
