@@ -146,7 +146,7 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
 
 
 def shared(packed: DataFrame) -> DataFrame:
-    """Keys that two sets or more file: sid, bucket, low halves."""
+    """Keys that two sets or more file: sid, bucket, low halves, and whether one of these keys has more than SMALL sets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
@@ -164,11 +164,13 @@ def shared(packed: DataFrame) -> DataFrame:
             one = np.ones(len(i), bool)
             one[1:] = (np.diff(i) != 0) | (np.diff(v) != 0)
             i, v = i[one], v[one]
+            _, back, count = np.unique(v, return_inverse=True, return_counts=True)
             cut = np.concatenate(([0], np.flatnonzero(np.diff(i)) + 1, [len(i)]))
             body, head = v.tobytes(), cut[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(i[head]), pa.array(np.full(len(head), rows[0]["bucket"]), pa.int32()), pa.array([body[4 * x : 4 * y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["sid", "bucket", "low"])
+            many = np.logical_or.reduceat(count[back] > SMALL, head)
+            yield pa.RecordBatch.from_arrays([pa.array(i[head]), pa.array(np.full(len(head), rows[0]["bucket"]), pa.int32()), pa.array([body[4 * x : 4 * y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(many)], ["sid", "bucket", "low", "many"])
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "sid long, bucket int, low binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "sid long, bucket int, low binary, many boolean")
 
 
 def near_pairs(n: np.ndarray, table: np.ndarray, label: np.ndarray, num: int, den: int, tree: bool) -> np.ndarray:
@@ -200,34 +202,26 @@ def near_pairs(n: np.ndarray, table: np.ndarray, label: np.ndarray, num: int, de
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def candidates(members: DataFrame, num: int, den: int, tree: bool) -> DataFrame:
-    """members: bucket, doc, n, sketch, low, label. Pairs of documents within their bound by sketch: a < b.
+def within_bound(n: tuple[int, int], left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sketches are no farther apart than a linked pair's can be."""
+    bits = places(min(n))
+    apart = int(np.bitwise_count(fold(left, bits) ^ fold(right, bits)).sum())
+    return apart * (den + num) <= (den - num) * sum(n)
+
+
+def candidates(members: DataFrame, sets: DataFrame, num: int, den: int, tree: bool) -> DataFrame:
+    """members: bucket, doc, n, sketch, low, label; sets: doc, n, sketch. Pairs of documents within their bound by sketch: a < b.
 
     tree: all such pairs under keys of few members, a spanning forest of them under others; else, under the latter,
-    all that join different labels.
+    all that join different labels. Only members of keys with many members bring their sketches along; pairs of the
+    others meet theirs once, as pairs.
     """
 
-    def close(docs, n, sketch, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        small = np.minimum(n[left], n[right])
-        ok = np.maximum(n[left], n[right]) * num <= small * den
-        bits = np.array([places(int(x)) for x in small[ok]], np.int64)
-        where, good = np.flatnonzero(ok), np.zeros(len(left), bool)
-        most = (den - num) * (n[left] + n[right]) // (den + num)
-        for b in np.unique(bits):
-            w = where[bits == b]
-            who, at = np.unique(np.concatenate((left[w], right[w])), return_inverse=True)
-            table = np.stack([fold(sketch[x], int(b)) for x in who])
-            for x in range(0, len(w), 50_000):
-                y = slice(x, x + 50_000)
-                apart = np.bitwise_count(table[at[: len(w)][y]] ^ table[at[len(w) :][y]]).sum(axis=1)
-                good[w[y]] = apart <= most[w[y]]
-        return good
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
             rows.sort(key=lambda r: r["doc"])
             docs, n = np.array([r["doc"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
-            sketch = [np.frombuffer(r["sketch"], np.uint64) for r in rows]
+            sketch = [None if r["sketch"] is None else np.frombuffer(r["sketch"], np.uint64) for r in rows]
             label = np.array([r["label"] for r in rows], np.int64)
             low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
             own = np.repeat(np.arange(len(rows)), [len(r["low"]) // 4 for r in rows])
@@ -242,8 +236,8 @@ def candidates(members: DataFrame, num: int, den: int, tree: bool) -> DataFrame:
                         pairs.append((own[at + i] << 32) | own[at + j])
             pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
             left, right = pairs >> 32, pairs & 0xFFFFFFFF
-            good = close(docs, n, sketch, left, right)
-            out, done = [(left[good] << 32) | right[good]], set()
+            near = np.maximum(n[left], n[right]) * num <= np.minimum(n[left], n[right]) * den
+            few, many, done = pairs[near], [np.zeros(0, np.int64)], set()
             for g in np.flatnonzero(size > SMALL):
                 group = own[cut[g] : cut[g + 1]]
                 if (tag := group.tobytes()) in done:
@@ -251,11 +245,25 @@ def candidates(members: DataFrame, num: int, den: int, tree: bool) -> DataFrame:
                 done.add(tag)
                 bits = places(int(n[group].min()))
                 two = near_pairs(n[group], np.stack([fold(sketch[x], bits) for x in group]), label[group], num, den, tree)
-                out.append((group[two[:, 0]] << 32) | group[two[:, 1]])
-            out = np.unique(np.concatenate(out))
-            yield pa.RecordBatch.from_arrays([pa.array(docs[out >> 32]), pa.array(docs[out & 0xFFFFFFFF])], ["a", "b"])
+                many.append((group[two[:, 0]] << 32) | group[two[:, 1]])
+            many = np.unique(np.concatenate(many))
+            few = np.setdiff1d(few, many, assume_unique=True)
+            out = np.concatenate((many, few))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[out >> 32]), pa.array(docs[out & 0xFFFFFFFF]), pa.array(np.arange(len(out)) < len(many))], ["a", "b", "known"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "a long, b long").distinct()
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(c) for c in ("na", "nb", "sa", "sb"))
+            good = [within_bound((na[i].as_py(), nb[i].as_py()), np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64), num, den) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    found = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "a long, b long, known boolean").groupBy("a", "b").agg(F.bool_or("known").alias("known"))
+    if not tree:
+        return found.select("a", "b")
+    found = C.saved(found, "op10-found")
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    met = found.where("not known").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return found.where("known").select("a", "b").unionByName(met.mapInArrow(close, "a long, b long"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -291,24 +299,29 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     table = C.saved(sketches(docs, max(1, -(-total // INDEX_BYTES)), k, num, den), "op10-sketches")
     of = C.saved(table.where("bucket is null").select("doc_id", "n", "sid", "sid2"), "op10-docs")
     sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op10-classes")
-    members = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")).join(sets, "sid").select("bucket", "doc", "n", "sketch", "low"), "op10-members")
+    filed = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")), "op10-filed")
+    few = filed.where("not many").join(sets.select("sid", "doc", "n"), "sid").select("bucket", "doc", "n", F.lit(None).cast("binary").alias("sketch"), "low")
+    many = filed.where("many").join(sets, "sid").select("bucket", "doc", "n", "sketch", "low")
+    members = few.unionByName(many).withColumn("label", F.col("doc"))
     classes = C.saved(sets.select("sid", "sid2", "doc"), "op10-ids")
-    # nothing below reads the large tables again
     C.forget(table)
-    C.forget(sets)
+    pairs = C.saved(candidates(members, sets, num, den, True), "op10-pairs")
+    # below, only keys of many members are looked at again
+    large = C.saved(many, "op10-members")
+    C.forget(filed)
     C.tidy(docs.sparkSession)
-    pairs = C.saved(candidates(members.withColumn("label", F.col("doc")), num, den, True), "op10-pairs")
     tested = verified(docs, pairs, k, num, den)
     C.tidy(docs.sparkSession)
     components = connected_components(tested.where("link"), "a", "b")
     if not tested.where("not link").isEmpty():
         # where a forest's pair failed, all pairs that would join the components that are left
-        apart = members.join(components, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
-        pairs = C.saved(candidates(apart, num, den, False).join(tested, ["a", "b"], "left_anti"), "op10-pairs")
+        apart = large.join(components, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
+        pairs = C.saved(candidates(apart, sets, num, den, False).join(tested, ["a", "b"], "left_anti"), "op10-pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(verified(docs, pairs, k, num, den))
             components = connected_components(tested.where("link"), "a", "b")
-    C.forget(members)
+    C.forget(large)
+    C.forget(sets)
     C.tidy(docs.sparkSession)
     heads = classes.join(components, F.col("doc") == F.col("node"), "left").select("sid", "sid2", F.coalesce("component", "doc").alias("head"))
     out = of.join(heads, ["sid", "sid2"], "left")
