@@ -41,11 +41,17 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Encoder:
-    """Ids of documents as arrays; a table of stretches, emptied when it has `entries`."""
+    """Ids of documents as arrays; a table of stretches, emptied when it has `entries`.
+
+    The table is two sorted arrays (some 50 bytes a stretch with its ids), and a small dictionary of the latest ones that
+    is merged into them now and then.
+    """
+
+    LATEST = 50_000
 
     kept: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, entries: int = 250_000, special: tuple[str, int] | None = SPECIAL):
+    def __init__(self, path: str, entries: int = 1_000_000, special: tuple[str, int] | None = SPECIAL):
         import public_tokenizers
         import tiktoken
 
@@ -64,8 +70,19 @@ class Encoder:
         return cls.kept[path]
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.length, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.keys, self.places, self.latest, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}, 0
+        self.start, self.length, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+
+    def find(self, unit: np.ndarray) -> np.ndarray:
+        """Places of sorted hashes, -1 where a stretch is not known."""
+        place = np.full(len(unit), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, unit), len(self.keys) - 1)
+            hit = self.keys[at] == unit
+            place[hit] = self.places[at[hit]]
+        left = np.flatnonzero(place < 0)
+        place[left] = [self.latest.get(h, -1) for h in unit[left].tolist()]
+        return place
 
     def ids_of(self, text: str) -> list[int]:
         return self.with_special(text) if self.mark and self.mark in text else self.plain(text)
@@ -73,21 +90,27 @@ class Encoder:
     def learn(self, hashes: list[int], texts: list[str]) -> None:
         ids = list(map(self.ids_of, texts))
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, total = len(self.known), int(size.sum())
+        at, total = self.count, int(size.sum())
         while at + len(ids) > len(self.start):
-            self.start, self.length = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.start, self.length))
+            self.start, self.length = (np.concatenate((x, np.zeros(len(x), x.dtype))) for x in (self.start, self.length))
         while self.filled + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
         self.length[at : at + len(ids)] = size
         self.start[at : at + len(ids)] = self.filled + np.cumsum(size) - size
         self.pool[self.filled : self.filled + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
         self.filled += total
-        self.known.update(zip(hashes, range(at, at + len(ids)), strict=True))
+        self.latest.update(zip(hashes, range(at, at + len(ids)), strict=True))
+        self.count += len(ids)
+        if len(self.latest) > self.LATEST:
+            keys = np.concatenate((self.keys, np.fromiter(self.latest, np.uint64, len(self.latest))))
+            places = np.concatenate((self.places, np.fromiter(self.latest.values(), np.int32, len(self.latest))))
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.places, self.latest = keys[order], places[order], {}
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in turn, and each document's first."""
         size = len(data)
-        if len(self.known) > self.entries:
+        if self.count > self.entries:
             self.clear()
         around = np.concatenate(([0, 0, 0], data, [0, 0, 0])).astype(np.uint8)
         white = C.WHITE[around]
@@ -117,18 +140,15 @@ class Encoder:
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
         unit, one, back = np.unique(C.ONE.span(C.ONE.prefix(data), starts, ends), return_index=True, return_inverse=True)
-        hashes = unit.tolist()
-        place = list(map(self.known.get, hashes))
-        fresh = [i for i, x in enumerate(place) if x is None]
-        if fresh:
+        place = self.find(unit)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
             body = data.tobytes()
             cut = zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist(), strict=True)
-            at = len(self.known)
-            self.learn([hashes[i] for i in fresh], [body[x:y].decode("utf-8", "replace") for x, y in cut])
-            for j, i in enumerate(fresh):
-                place[i] = at + j
-        at = np.array(place, np.int64)[back]
-        n = self.length[at]
+            place[fresh] = self.count + np.arange(len(fresh))
+            self.learn(unit[fresh].tolist(), [body[x:y].decode("utf-8", "replace") for x, y in cut])
+        at = place[back]
+        n = self.length[at].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(n)))
         return self.pool[C.ranges(self.start[at], n)], total[np.searchsorted(starts, off)]
 
