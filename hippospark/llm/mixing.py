@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WEIGHTS, SHARE, CEILING, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 7_411
-BLOCK_WORDS, LEVELS = 1 << 15, 4
+BLOCK_WORDS, LEVELS, PART_SIZE = 1 << 15, 4, 4 << 20
 
 
 def uniform(*key: object) -> Column:
@@ -138,7 +138,19 @@ def mix(docs: DataFrame, size: Column, source: str = "source", levels: int = LEV
     shards = F.transform(F.slice(F.coalesce("dealt", none), F.lit(1), F.col("times").cast("int")), lambda x: x.shard)
     out = out.withColumn("taken", F.col("size") * F.col("times")).withColumn("shards", F.when(F.col("times") > 0, shards).otherwise(F.array().cast("array<int>")))
     slots = F.transform("shards", lambda shard, i: F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 2), shard, i, F.col("hash"), F.col("size")), 1))
-    return out.select("row", "size", "source_size", "target", "taken", "shards", slots.alias("slots"))
+    out = out.select("row", "size", "source_size", "target", "taken", "shards", slots.alias("slots"))
+    out.total = sources.agg(F.sum("target")).first()[0] or 0.0
+    return out
+
+
+def in_order(mixed: DataFrame, levels: int = LEVELS, part: int = PART_SIZE) -> DataFrame:
+    """The rows that a mix takes, once for each time, shard by shard in the order of their slots: a partition is a stretch of a shard
+    with about `part` of size. Slots are uniform, so stretches are cut without a look at the rows."""
+    each = max(1, -(-int(mixed.total) // (part << levels)))
+    copies = mixed.where(F.size("shards") > 0).select("row", F.explode(F.arrays_zip("shards", "slots")).alias("copy"))
+    stretch = F.least(F.lit(each - 1), F.floor(F.col("copy.slots") / F.lit(float(1 << 63)) * each))
+    placed = copies.repartitionById(each << levels, (F.col("copy.shards") * each + stretch).cast("int"))
+    return placed.sortWithinPartitions("copy.shards", "copy.slots").select("row.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
