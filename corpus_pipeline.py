@@ -47,9 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is never taken; a null source is a source of its own; documents without an id, repeated rows and
     extra columns are carried as they are.
     """
-    drawn = mixing.mix(docs, mixing.word_count("text")).where(F.size("shards") > 0)
-    copies = drawn.select("row", F.explode(F.arrays_zip("shards", "slots")).alias("copy"))
-    return copies.repartitionByRange("copy.shards", "copy.slots").sortWithinPartitions("copy.shards", "copy.slots").select("row.*")
+    return mixing.in_order(mixing.mix(docs, mixing.word_count("text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
