@@ -30,7 +30,7 @@ CAPACITY, END = 1024, 2
 #: the bound that is returned with it shows what is not proved.
 NODES = 3_000
 #: Stretches of the ranks of a length.
-CUTS = 64
+CUTS = 16
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
