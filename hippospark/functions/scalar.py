@@ -149,9 +149,9 @@ def fact_value(value: Column) -> Column:
     return stripped(F.regexp_replace(nfkc(value), f"{SPACE}+", " "))
 
 
-def snake_attribute(name: Column) -> Column:
-    """M26."""
-    x = F.lower(F.regexp_replace(nfkc(name), "([a-z0-9])([A-Z])", "$1_$2"))
+def snake_attribute(name: Column, ascii_only: bool = False) -> Column:
+    """M26. ascii_only: for lambdas, where the compatibility form cannot be had."""
+    x = F.lower(F.regexp_replace(name if ascii_only else nfkc(name), "([a-z0-9])([A-Z])", "$1_$2"))
     x = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return F.when(x == "", "value").otherwise(F.substring(F.when(x.rlike("^[a-z]"), x).otherwise(F.concat(F.lit("v_"), x)), 1, 64))
 
