@@ -238,8 +238,8 @@ def situation_seeds(events: DataFrame, fingerprints: DataFrame, files: DataFrame
     recent = events.withColumn("p", F.row_number().over(Window.partitionBy("session_key").orderBy(F.desc("ts_us"), F.desc("id")))).where(F.col("p") <= RECENT_EVENTS)
     a = recent.select("session_key", F.explode("entities").alias("id"), F.lit("recap").alias("source"))
     owners = fingerprints.orderBy(F.desc("ts_us"), F.desc("fingerprint_id")).limit(RECENT_FINGERPRINTS).select(F.explode("owner_ids").alias("asked")).distinct()
-    known = lookup(entities, owners.select(F.col("asked").alias("id"))).select("id").distinct()
-    b = events.select("session_key").distinct().crossJoin(F.broadcast(known)).select("session_key", "id", F.lit("fingerprint").alias("source"))
+    known = lookup(entities, owners.select(F.col("asked").alias("id"))).agg(F.collect_set("id").alias("ids"))
+    b = events.select("session_key").distinct().crossJoin(F.broadcast(known)).select("session_key", F.explode("ids").alias("id"), F.lit("fingerprint").alias("source"))
     c = files.select("session_key", F.col("entity_id").alias("id"), F.lit("recent-file").alias("source"))
     weight = F.create_map(*(F.lit(x) for kv in SEED_WEIGHTS.items() for x in kv))
     s = a.unionByName(b).unionByName(c).where("id <> ''").withColumn("weight", F.element_at(weight, F.col("source")))

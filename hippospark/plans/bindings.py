@@ -93,7 +93,7 @@ ASSERTIONS_SQL = """asr AS (SELECT 'f' || o_orderkey || '-' || a AS id, 'c' || o
 #: Heads by islands of equal values: the last version of each entity and attribute.
 HEADS_SQL = ASSERTIONS_SQL + """, am AS (SELECT *, CASE WHEN lag(value) OVER (PARTITION BY entity_id, attribute ORDER BY valid_from, seq) = value THEN 0 ELSE 1 END AS fresh FROM asr),
 ai AS (SELECT *, sum(fresh) OVER (PARTITION BY entity_id, attribute ORDER BY valid_from, seq) AS island FROM am),
-av AS (SELECT entity_id, attribute, island, min(value) AS value, min(valid_from) AS valid_from, count(*) AS support, max(confidence) AS confidence, min(seq) AS seq FROM ai GROUP BY 1, 2, 3),
+av AS (SELECT entity_id, attribute, island, min(value) AS value, min(valid_from) AS valid_from, count(*) AS support, max(confidence) AS confidence, arg_min(seq, (valid_from, seq)) AS seq FROM ai GROUP BY 1, 2, 3),
 hd AS (SELECT entity_id, attribute, value, valid_from, CAST(support AS BIGINT) AS support, confidence, seq, entity_id || '/' || attribute AS id FROM av QUALIFY row_number() OVER (PARTITION BY entity_id, attribute ORDER BY island DESC) = 1)"""
 
 
