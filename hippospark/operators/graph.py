@@ -48,3 +48,54 @@ def cooccurrence(events: DataFrame, event_id: str, entities: str) -> DataFrame:
     # pairs are made inside each event's own array, without a self-join
     pairs = events.select(F.array_sort(F.array_distinct(entities)).alias("x")).select(F.explode(F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))).alias("p"))
     return pairs.select("p.src", "p.dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def adjacency(events: DataFrame, relations: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Among candidates (id), events that name both and the support of relations, in both directions."""
+    c = candidates.select("id").distinct()
+    inner = events.select("id", F.explode(F.array_distinct("entities")).alias("e")).join(c.withColumnRenamed("id", "e"), "e").groupBy("id").agg(F.collect_list("e").alias("entities")).where("size(entities) > 1")
+    pairs = cooccurrence(inner, "id", "entities")
+    known = relations.join(c.withColumnRenamed("id", "src"), "src").join(c.withColumnRenamed("id", "dst"), "dst").where("src <> dst").select("src", "dst", F.when(F.col("support") > 0, F.col("support")).otherwise(1).alias("weight"))
+    return both_ways(pairs.unionByName(known))
+
+
+def primed(rankings: DataFrame, neighbours: DataFrame, weight: float = 0.15) -> DataFrame:
+    """Rankings (id, ranking) with boost, the share of what flows into each from the others in one hop. neighbours: both directions."""
+    seeds = rankings.where("ranking > 0").select("id", F.col("ranking").alias("activation"))
+    one = neighbours.where("src < dst")
+    got = spread(one, seeds, hops=1, threshold=0.0, most=1 << 30, include_seeds=True)
+    return rankings.join(got, "id", "left").select("id", "ranking", (weight * F.coalesce("activation", F.lit(0.0))).alias("boost"))
+
+
+def associations(relations: DataFrame, seeds: DataFrame, heads: DataFrame, events: DataFrame, hops: int = 2, most: int = 6) -> DataFrame:
+    """What seeds (id) call to mind: entities that activation reaches over their relations, each with its most confident head fact
+    that is no noise, else its latest event."""
+    from hippospark.functions import text as X
+
+    edges = relations.where("src <> dst").select("src", "dst", F.when(F.col("support") > 0, F.col("support")).otherwise(1).alias("weight"))
+    near = spread(edges, seeds.select("id", F.lit(1.0).alias("activation")).distinct(), hops, THRESHOLD, most)
+    f = heads.where(~X.noise_attribute(F.col("attribute"))).join(near.select(F.col("id").alias("entity_id")), "entity_id")
+    fact = f.groupBy("entity_id").agg(F.max_by(F.struct("id", F.lit("fact").alias("kind"), F.concat("attribute", F.lit(": "), "value").alias("text")), F.struct("confidence", "id")).alias("fact"))
+    e = events.select("id", "ts_us", "text", F.explode(F.array_distinct("entities")).alias("entity_id")).join(near.select(F.col("id").alias("entity_id")), "entity_id")
+    event = e.groupBy("entity_id").agg(F.max_by(F.struct("id", F.lit("event").alias("kind"), "text"), F.struct("ts_us", "id")).alias("event"))
+    j = near.select(F.col("id").alias("entity_id"), "activation").join(fact, "entity_id", "left").join(event, "entity_id", "left").withColumn("m", F.coalesce("fact", "event")).where("m is not null")
+    return j.select("entity_id", "activation", F.col("m.id").alias("owner_id"), F.col("m.kind").alias("owner_kind"), F.col("m.text").alias("text"))
+
+
+def deepened(hits: DataFrame, score: str, relations: DataFrame, seeds: DataFrame, heads: DataFrame, events: DataFrame) -> DataFrame:
+    """Associations of a recall; where it was thin (A20), one hop farther and up to sixteen."""
+    from hippospark.operators.retrieval import recall_confidence
+
+    thin = recall_confidence(hits, score).first()["thin"]
+    return associations(relations, seeds, heads, events, *((3, 16) if thin else (2, 6)))
+
+
+def fix_texts(bugs: DataFrame, relations: DataFrame, events: DataFrame) -> DataFrame:
+    """Per cluster the texts of other events about what its bugs' entities are linked to by caused or fixed-by, either way. bugs: cluster,
+    id (of an event in the cluster)."""
+    own = bugs.join(events.select("id", F.explode("entities").alias("e")), "id").select("cluster", "e").distinct()
+    r = relations.where("type in ('caused', 'fixed-by')").select("src", "dst")
+    both = r.unionByName(r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    fix = own.join(both, F.col("e") == F.col("src")).select("cluster", F.col("dst").alias("e")).distinct().join(own, ["cluster", "e"], "left_anti")
+    said = fix.join(events.select("id", "text", F.explode(F.array_distinct("entities")).alias("e")), "e").join(bugs, ["cluster", "id"], "left_anti")
+    return said.where("text <> ''").select("cluster", "text").distinct()

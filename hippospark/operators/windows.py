@@ -60,3 +60,16 @@ def health(messages: DataFrame, events: DataFrame, session: str, now: int) -> Da
     j = m.join(e, session, "left").withColumn("lag", F.col("last_message") - F.coalesce("last_event", "first_message"))
     recent = F.col("last_message") >= now - 3 * 86_400
     return j.select(session, "last_message", F.round(F.col("lag") / 3600).cast("long").alias("lag_hours"), (recent & (F.col("lag") > 36 * 3600)).alias("stale"))
+
+
+def accuracy(answers: DataFrame, kind: str = "question_type") -> DataFrame:
+    """Share of correct answers of each kind and of all."""
+    every = answers.select(F.explode(F.array(F.col(kind), F.lit("overall"))).alias(kind), "correct")
+    return every.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+def trigger_totals(runs: DataFrame, session: str, order: str, stage: str, tokens: str, cost: int = 80) -> DataFrame:
+    """With each run what its session has saved so far, net of a run's cost, and how often the stage has run."""
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    saved_ = F.greatest(F.col(tokens) - cost, F.lit(0))
+    return runs.select(session, order, stage, F.sum(saved_).over(upto(session)).alias("saved_so_far"), F.count("*").over(upto(session, stage)).alias("runs_so_far"))

@@ -31,14 +31,29 @@ def query_vector(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id = 0").select(S.doubles("embedding").alias("q"))
 
 
+INDEXES: dict[tuple[str, str], R.KeywordIndex] = {}
+
+
+def document_index(spark: SparkSession, d: str) -> R.KeywordIndex:
+    """The keyword index of the documents, built once for a session and folder, as a store keeps its index beside its texts."""
+    key = spark.sparkContext.applicationId, d
+    if key not in INDEXES:
+        INDEXES[key] = R.KeywordIndex.build(table(spark, d, "documents"), "doc_id", "text")
+    return INDEXES[key]
+
+
+def keyword_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return document_index(spark, d).search(TERMS, k).withColumnRenamed("id", "doc_id")
+
+
 @q("WITH " + BM25_SQL.replace("{k}", "10") + " SELECT doc_id, bm25 FROM bm")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text", 10)
+    return keyword_hits(spark, d, 10)
 
 
 @q("WITH " + BM25_SQL.replace("{k}", "10") + " SELECT doc_id, round(bm25 / (1 + bm25), 6) AS score FROM bm")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text", 10).select("doc_id", F.round(S.bm25_rank_score(-F.col("bm25")), 6).alias("score"))
+    return keyword_hits(spark, d, 10).select("doc_id", F.round(S.bm25_rank_score(-F.col("bm25")), 6).alias("score"))
 
 
 @q("WITH " + COS_SQL.replace("{k}", "10") + " SELECT vec_id, score FROM cs")
@@ -57,7 +72,7 @@ fu AS (SELECT id, round(sum(1.0 / (61 + rank)), 6) AS score, count(*) AS n_lists
 
 
 def fused(spark: SparkSession, d: str, k: int) -> DataFrame:
-    words = R.ranked(R.bm25(table(spark, d, "documents"), TERMS, "doc_id", "text", 30), 0, "doc_id", "bm25")
+    words = R.ranked(keyword_hits(spark, d, 30), 0, "doc_id", "bm25")
     vectors = R.ranked(R.vector_topk(table(spark, d, "embeddings"), query_vector(spark, d), 30), 1, "vec_id", "score")
     return R.rrf_merge([words, vectors], k)
 

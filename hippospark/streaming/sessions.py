@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -84,3 +85,51 @@ def quarantining(process: Callable[[DataFrame], None], dead_letters: str, tries:
                     batch.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
 
     return write
+
+
+def next_run(now: Column, last_run: Column, scheduled: Column, delay: int = 90, least: int = 900) -> Column:
+    """When a session's second layer runs after an extraction: a delay from now, no sooner than the least interval after its last run,
+    and only ever earlier than what is scheduled. Times in seconds; nulls where there is none."""
+    wanted = F.greatest(now + delay, F.coalesce(last_run + least, F.lit(0)))
+    return F.when(scheduled.isNull() | (wanted < scheduled), wanted).otherwise(scheduled)
+
+
+def run_due(now: Column, scheduled: Column, last_run: Column, most: int = 3600) -> Column:
+    """A scheduled time that has come, or the largest interval since the last run."""
+    return F.coalesce(scheduled <= now, F.lit(False)) | F.coalesce(now - last_run >= most, F.lit(False))
+
+
+def session_fate(now: Column, last_active: Column, queued: Column, buffered: Column, window: int = 86_400) -> Column:
+    """Cold sessions (inactive for a window) stop; after three windows their state goes, unless they have work."""
+    idle = now - last_active
+    return F.when((idle >= 3 * window) & ~queued & (buffered == 0), "evict").when(idle >= window, "stop").otherwise("active")
+
+
+def persona_trigger(requested: Column, scenes: Column, last_persona: Column, has_scenes: Column, has_body: Column, memories: Column, interval: int = 50) -> Column:
+    """Why a persona is to be written, null if it is not: a request, a cold start, a lost body, the first scene, enough memories."""
+    return (
+        F.when(requested, "request").when((scenes > 0) & (last_persona == 0) & has_scenes, "cold start").when((last_persona > 0) & has_scenes & ~has_body, "recovery")
+        .when((scenes == 1) & (memories > 0), "first scene").when(memories >= interval, "threshold")
+    )
+
+
+class Progress(StreamingQueryListener):
+    """The latest progress of every query, and those whose last batch was slow."""
+
+    def __init__(self, slow_ms: int = 5_000):
+        self.slow_ms, self.latest, self.slow, self.ended = slow_ms, {}, [], {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.latest[str(event.id)] = None
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.latest[str(p.id)] = {"batch": p.batchId, "rows": p.numInputRows, "ms": p.batchDuration}
+        if p.batchDuration >= self.slow_ms:
+            self.slow.append((str(p.id), p.batchId, p.batchDuration))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended[str(event.id)] = event.exception
