@@ -36,11 +36,11 @@ def pair_weight(cosine: Column, jaccard: Column, linked: Column) -> Column:
 
 
 def weighted_pairs(rows: DataFrame, id_col: str, vec: str, context: str, links: DataFrame, least: float = 0.55) -> DataFrame:
-    """J10 over all rows: a < b, weight >= least. links: src, dst of linked context ids. As Jaccard and link add 0.4 at most, pairs below the cosine that this leaves are out (least above 0.4)."""
+    """J10 over all rows: a < b, weight >= least. links: src, dst of linked context ids, either way. As Jaccard and link add 0.4 at most, pairs below the cosine that this leaves are out (least above 0.4)."""
     c = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(context), F.array().cast("array<string>")).alias("c"))
     near = vectors.all_pairs(rows, id_col, vec, (least - 0.4) / 0.6 - 1e-6)
     both = near.join(c.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-    hits = both.select("a", "b", F.explode("ca").alias("src"), "cb").select("a", "b", "src", F.explode("cb").alias("dst")).join(links.select("src", "dst").distinct(), ["src", "dst"])
+    hits = both.select("a", "b", F.explode("ca").alias("src"), "cb").select("a", "b", "src", F.explode("cb").alias("dst")).join(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), ["src", "dst"])
     both = both.join(hits.select("a", "b", F.lit(1.0).alias("linked")).distinct(), ["a", "b"], "left")
     w = pair_weight(F.col("score"), S.jaccard(F.col("ca"), F.col("cb")), F.coalesce("linked", F.lit(0.0)))
     return both.select("a", "b", F.round(w, 6).alias("weight")).where(F.col("weight") >= least)

@@ -107,6 +107,39 @@ def recent_turns(messages: DataFrame, turns: int = 5, answers: int = 3, clip: in
     return t.where((F.col("role") == "user") | (F.col("place") <= answers)).select("session_key", "turn", "idx", "role", F.substring("text", 1, clip).alias("text"))
 
 
+def aggressive(messages: DataFrame, budget: int, ratio: float = 0.4, keep: int = 2) -> DataFrame:
+    """O3: per session delete leading messages with a share of all tokens, again and again until the budget is met: at least two stay, a
+    tool's results go with its call, and nothing from the last user message on goes.
+
+    messages: session_key, idx, role, tool_call_id (of results), tokens. Sequential by nature; a session's messages are one group.
+    """
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx").reset_index(drop=True)
+        tokens, n = rows.tokens.tolist(), len(rows)
+        result = (rows.role == "tool").tolist()
+        users = rows.index[rows.role == "user"]
+        last, gone, total = int(users[-1]) if len(users) else n, 0, sum(tokens)
+        while total >= budget and n - gone > keep:
+            most, want, got, cut = n - gone - keep, total * ratio, 0, 0
+            while cut < most and got < want:
+                got += tokens[gone + cut]
+                cut += 1
+            if got < want and cut:
+                cut = max(cut, min(max(1, -(-int((n - gone) * ratio * 50) // 100)), most))
+            while cut and gone + cut < n and result[gone + cut]:
+                cut += 1
+            cut = min(cut, last - gone)
+            if cut <= 0:
+                break
+            total -= sum(tokens[gone : gone + cut])
+            gone += cut
+        rows["deleted"] = rows.index < gone
+        return rows[["session_key", "idx", "deleted"]]
+
+    return messages.groupBy("session_key").applyInPandas(each, "session_key string, idx long, deleted boolean")
+
+
 def emergency(messages: DataFrame, budget: int, keep: int = 4) -> DataFrame:
     """Per session delete from the front, then the largest tool group, until the budget is met; keep some messages.
 

@@ -31,6 +31,24 @@ def message_windows(rows: DataFrame, session: str, order: str, size: int = 10, b
     return g.withColumn("background", F.least(F.lit(background), F.col("window") * size).cast("long"))
 
 
+def windows_with_background(rows: DataFrame, session: str, order: str, size: int = 10, background: int = 5) -> DataFrame:
+    """Each message in its window, and as background in the next one if it is among the last before it: window, part."""
+    place = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
+    total = F.count("*").over(Window.partitionBy(session))
+    rows = rows.withColumns({"_at": place, "_last": F.floor((total - 1) / size)})
+    window = F.floor(F.col("_at") / size).cast("long")
+    own = F.struct(window.alias("window"), F.lit("new").alias("part"))
+    later = F.struct((window + 1).alias("window"), F.lit("background").alias("part"))
+    also = (F.col("_at") % size >= size - background) & (window < F.col("_last"))
+    return rows.withColumn("w", F.explode(F.when(also, F.array(own, later)).otherwise(F.array(own)))).select(*[c for c in rows.columns if not c.startswith("_")], "w.window", "w.part")
+
+
+def last_with_background(rows: DataFrame, session: str, order: str, size: int = 10, background: int = 5) -> DataFrame:
+    """The last messages of each session and a few before them as background: part."""
+    back = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))
+    return rows.withColumn("_back", back).where(F.col("_back") <= size + background).withColumn("part", F.when(F.col("_back") <= size, "new").otherwise("background")).drop("_back")
+
+
 def recent_unique(rows: DataFrame, session: str, order: str, text: str, most: int) -> DataFrame:
     """The newest distinct texts at their last place."""
     g = rows.groupBy(session, text).agg(F.max(order).alias(order))
@@ -45,6 +63,23 @@ def prefix_budget(rows: DataFrame, session: str, order: str, tokens: str, ratio:
     return rows.groupBy(session).agg(F.count_if(before).alias("drop"), F.max("total").alias("total"))
 
 
+def cascade_candidates(messages: DataFrame, entries: DataFrame, session: str, order: str, ratio: float = 0.7) -> DataFrame:
+    """O2: tool results among the first 70 % of a session's messages that have an entry (score, 5 where it has none) and are not yet replaced.
+    messages: session, order, tool_call_id, replaced, length; entries: tool_call_id, score, summary_length."""
+    total = F.count("*").over(Window.partitionBy(session))
+    place = F.row_number().over(Window.partitionBy(session).orderBy(order))
+    early = messages.withColumns({"_place": place, "_scan": F.floor(total * ratio)}).where((F.col("_place") <= F.col("_scan")) & ~F.col("replaced") & F.col("tool_call_id").isNotNull())
+    return early.drop("_place", "_scan").join(entries.select("tool_call_id", F.coalesce("score", F.lit(5)).alias("score"), "summary_length"), "tool_call_id")
+
+
+def replaced_by_cascade(candidates: DataFrame, session: str, score: str = "score", need: int = 10, high: int = 7, low: int = 1) -> DataFrame:
+    """The candidates that their session's threshold takes: it falls from 7 until ten messages are replaced; where a summary is
+    longer than its message, the message stays and does not count."""
+    fit = candidates.where("summary_length <= length")
+    t = score_cascade(fit, session, score, need, high, low)
+    return fit.join(t.select(session, "threshold"), session).where(F.col(score) >= F.col("threshold"))
+
+
 def score_cascade(rows: DataFrame, session: str, score: str, need: int = 10, high: int = 7, low: int = 1) -> DataFrame:
     """The highest threshold at which enough rows score that much; the lowest where none does."""
     n = rows.where(F.col(score) >= low).groupBy(session, F.least(F.col(score), F.lit(high)).alias("step")).agg(F.count("*").alias("n"))
@@ -73,3 +108,9 @@ def trigger_totals(runs: DataFrame, session: str, order: str, stage: str, tokens
     upto = lambda *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     saved_ = F.greatest(F.col(tokens) - cost, F.lit(0))
     return runs.select(session, order, stage, F.sum(saved_).over(upto(session)).alias("saved_so_far"), F.count("*").over(upto(session, stage)).alias("runs_so_far"))
+
+
+def stepped(rows: DataFrame, session: str, order: str, base_ms: int, step: int = 1000) -> DataFrame:
+    """Times of one step from message to message of a session."""
+    at = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
+    return rows.withColumn("ts_ms", (F.lit(base_ms) + step * at).cast("long"))

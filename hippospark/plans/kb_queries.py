@@ -63,32 +63,12 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     return kb.contradictions(kb.newest(o, "o_orderdate")).select("entity_id", "values")
 
 
-@q("WITH " + ISLANDS + " SELECT f.entity_id, c_name || ' — ' || f.attribute || ': ' || f.value AS text FROM ver f JOIN customer ON c_custkey = f.entity_id WHERE f.valid_to IS NULL")
-def head_fact_text(spark: SparkSession, d: str) -> DataFrame:
-    """J2."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name")
-    h = kb.fact_versions(facts(spark, d)).where("is_head").join(c, "entity_id")
-    return h.select("entity_id", F.concat("c_name", F.lit(" — "), "attribute", F.lit(": "), "value").alias("text"))
-
-
 @q("SELECT p_partkey, 'library:' || lower(trim(p_name)) AS canonical_key FROM part")
 def canonical_key(spark: SparkSession, d: str) -> DataFrame:
     """M23."""
     return table(spark, d, "part").select("p_partkey", S.canonical_key(F.lit("library"), F.concat("p_name", F.lit("@1.2"))).alias("canonical_key"))
 
 
-@q("SELECT p_brand || '/' || p_type AS key, min(p_partkey) AS canonical, count(*) AS members FROM part GROUP BY 1")
-def entity_dedupe_key(spark: SparkSession, d: str) -> DataFrame:
-    """K7: parts of one brand and type are one entity; the first stands for all."""
-    return table(spark, d, "part").groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("key")).agg(F.min("p_partkey").alias("canonical"), F.count("*").alias("members"))
-
-
-@q("SELECT p_brand, list_sort(list(DISTINCT lower(p_type))) AS aliases FROM part GROUP BY 1")
-def alias_union(spark: SparkSession, d: str) -> DataFrame:
-    """K8, U6."""
-    return table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.lower("p_type"))).alias("aliases"))
-
-
 @q("WITH RECURSIVE p AS (SELECT p_partkey AS node, p_partkey // 3 AS target FROM part WHERE p_partkey >= 3), r AS (SELECT node, target AS root FROM p UNION ALL SELECT r.node, p.target FROM r JOIN p ON p.node = r.root) SELECT node, min(root) AS root FROM r GROUP BY node")
 def merge_pointer_chase(spark: SparkSession, d: str) -> DataFrame:
     """Every part points to a third of its key."""
@@ -177,20 +157,6 @@ def counts_by_role(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"))
 
 
-@q("SELECT source, count(*) AS heat, min(doc_id) AS created, max(doc_id) AS updated FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 200) GROUP BY 1")
-def scene_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Scenes of the two hundred newest records."""
-    newest = table(spark, d, "documents").select("doc_id", "source").orderBy(F.desc("doc_id")).limit(200)
-    return newest.groupBy("source").agg(F.count("*").alias("heat"), F.min("doc_id").alias("created"), F.max("doc_id").alias("updated"))
-
-
-@q("WITH " + ISLANDS + " SELECT value AS line, count(*) AS n, max(support) AS strongest FROM ver WHERE valid_to IS NULL AND attribute IN ('order_priority') GROUP BY 1")
-def persona_projection(spark: SparkSession, d: str) -> DataFrame:
-    """A19."""
-    h = kb.fact_versions(facts(spark, d)).where("is_head and attribute in ('order_priority')")
-    return h.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"), F.max("support").alias("strongest"))
-
-
 @q("SELECT c_custkey, CASE WHEN n >= 1000 THEN 5 WHEN n >= 500 THEN 4 WHEN n >= 200 THEN 3 WHEN n >= 100 THEN 2 WHEN n >= 50 THEN 1 ELSE 0 END AS bucket FROM (SELECT o_custkey AS c_custkey, count(*) * 10 AS n FROM orders GROUP BY 1)")
 def heat_buckets(spark: SparkSession, d: str) -> DataFrame:
     """M46."""

@@ -9,7 +9,10 @@ from hippospark.functions import scalar as S
 from hippospark.operators import graph as G
 from hippospark.operators import lifecycle as L
 from hippospark.operators import offload as O
+from hippospark.operators import projections as P
 from hippospark.operators import retrieval as R
+from hippospark.operators import windows as W
+from hippospark.sources import readers
 from hippospark.streaming import sessions as X
 
 from .bindings import ENTITIES_SQL, HAPPENINGS_SQL, HEADS_SQL, RELATIONS_SQL, entities, epoch_s, happenings, heads, relations, table
@@ -469,3 +472,92 @@ def trigger_report_running(spark: SparkSession, d: str) -> DataFrame:
     from hippospark.operators.windows import trigger_totals
 
     return trigger_totals(table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("stage"), F.floor("value").cast("long").alias("tokens")), "user_id", "event_id", "stage", "tokens")
+
+
+# What a session is opened with
+
+
+@q(f"""WITH {HAPPENINGS_SQL}, {ENTITIES_SQL}, rt AS (SELECT e.id, coalesce(m.id, e.id) AS root FROM ent e LEFT JOIN ent m ON m.id = e.merged_into), n AS (SELECT * FROM hp ORDER BY ts_us DESC, id DESC LIMIT 200)
+SELECT coalesce(root, '__general__') AS scene, count(*) AS heat, min(ts_us) AS created, max(ts_us) AS updated FROM n LEFT JOIN rt ON rt.id = entities[1] GROUP BY 1""")
+def scene_projection(spark: SparkSession, d: str) -> DataFrame:
+    """The two hundred newest events by their first known entity."""
+    return P.scenes(happenings(spark, d), entities(spark, d))
+
+
+@q(f"""WITH {HAPPENINGS_SQL}, {ENTITIES_SQL}, rt AS (SELECT e.id, coalesce(m.id, e.id) AS root FROM ent e LEFT JOIN ent m ON m.id = e.merged_into), n AS (SELECT * FROM hp ORDER BY ts_us DESC, id DESC LIMIT 200), s AS (SELECT coalesce(root, '__general__') AS scene, count(*) AS heat FROM n LEFT JOIN rt ON rt.id = entities[1] GROUP BY 1)
+SELECT 'scene-' || CASE WHEN name IS NULL THEN 'general-activity' ELSE regexp_replace(regexp_replace(lower('person-' || name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END || '.md' AS file, coalesce(name, 'General Activity') || ': ' || heat || ' event(s)' AS summary, row_number() OVER (ORDER BY heat DESC, scene) AS place FROM s LEFT JOIN ent ON ent.id = scene QUALIFY place <= 12""")
+def scene_files(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve hottest scenes."""
+    return P.scene_blocks(P.scenes(happenings(spark, d), entities(spark, d)), entities(spark, d)).select("file", "summary", "place")
+
+
+PERSONA_SQL = f"""ph AS (SELECT entity_id, CASE attribute WHEN 'status' THEN 'rule_of_' || lower(value) ELSE 'role' END AS attribute, value, confidence FROM hd), pe AS (SELECT * FROM ent WHERE merged_into IS NULL AND substr(id, 2)::BIGINT % 3 = 0), pl AS (SELECT CASE WHEN attribute = 'role' THEN 'identity' ELSE 'process' END AS section, '- **' || name || '** — ' || replace(attribute, '_', ' ') || ': ' || value AS line, max(confidence) AS c FROM ph JOIN pe ON pe.id = entity_id GROUP BY 1, 2)"""
+
+
+def persona(spark: SparkSession, d: str) -> DataFrame:
+    h = heads(spark, d).withColumn("attribute", F.when(F.col("attribute") == "status", F.concat(F.lit("Rule of "), F.lower("value"))).otherwise("Role"))
+    # names of attributes as they are shown
+    h = h.withColumn("attribute", F.lower(F.regexp_replace("attribute", " ", "_")))
+    e = entities(spark, d).where(F.substring("id", 2, 20).cast("long") % 3 == 0)
+    return P.persona_lines(e, h)
+
+
+@q(f"WITH {HEADS_SQL}, {ENTITIES_SQL}, {PERSONA_SQL} SELECT section, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'process' THEN -c ELSE 0 END, line) AS place, line FROM pl")
+def persona_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Rules by confidence, other lines by text."""
+    return persona(spark, d)
+
+
+@q(f"WITH {HEADS_SQL}, {ENTITIES_SQL}, {PERSONA_SQL}, o AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'process' THEN -c ELSE 0 END, line) AS place, line FROM pl), b AS (SELECT section, string_agg(line, chr(10) ORDER BY place) AS body FROM o GROUP BY 1) SELECT string_agg('## ' || upper(section[1]) || section[2:] || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY section) AS text FROM b")
+def persona_document(spark: SparkSession, d: str) -> DataFrame:
+    """K35."""
+    return P.persona_text(persona(spark, d))
+
+
+# Windows over messages
+
+MESSAGES_SQL = "ms AS (SELECT user_id AS s, event_id AS i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+@q(f"WITH {MESSAGES_SQL} SELECT s AS user_id, i AS event_id, CAST(p // 10 AS BIGINT) AS \"window\", 'new' AS part FROM ms UNION ALL SELECT s, i, CAST(p // 10 + 1 AS BIGINT), 'background' FROM ms WHERE p % 10 >= 5 AND p // 10 < (n - 1) // 10")
+def windows_with_background(spark: SparkSession, d: str) -> DataFrame:
+    """W3."""
+    return W.windows_with_background(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@q(f"WITH {MESSAGES_SQL} SELECT s AS user_id, i AS event_id, CASE WHEN n - p <= 10 THEN 'new' ELSE 'background' END AS part FROM ms WHERE n - p <= 15")
+def last_messages(spark: SparkSession, d: str) -> DataFrame:
+    """W11."""
+    return W.last_with_background(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@q(f"""WITH {MESSAGES_SQL}, c AS (SELECT s, i, i % 9 AS score FROM ms WHERE p + 1 <= floor(n * 0.7) AND i % 5 > 0 AND i % 4 > 0 AND i % 7 * 10 <= 40), n2 AS (SELECT s, least(score, 7) AS step, count(*) AS n FROM c WHERE score >= 1 GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY step DESC) AS upto FROM n2), t AS (SELECT s, coalesce(max(CASE WHEN upto >= 10 THEN step END), 1) AS threshold FROM u GROUP BY 1)
+SELECT s AS user_id, i AS event_id, threshold FROM c JOIN t USING (s) WHERE score >= threshold""")
+def score_cascade_replacements(spark: SparkSession, d: str) -> DataFrame:
+    """The first seventy of a hundred messages, without replaced ones and without longer summaries."""
+    k = F.col("event_id")
+    m = table(spark, d, "events").select("user_id", "event_id", F.when(k % 4 > 0, F.concat(F.lit("t"), k)).alias("tool_call_id"), (k % 5 == 0).alias("replaced"), F.lit(40).alias("length"))
+    e = table(spark, d, "events").select(F.concat(F.lit("t"), k).alias("tool_call_id"), (k % 9).alias("score"), (k % 7 * 10).alias("summary_length"))
+    c = W.cascade_candidates(m, e, "user_id", "event_id")
+    return W.replaced_by_cascade(c, "user_id").select("user_id", "event_id", "threshold")
+
+
+@q()
+def aggressive_delete(spark: SparkSession, d: str) -> DataFrame:
+    """O3: round after round of a sequential rule; tested on fixtures."""
+    k = F.col("turn")
+    m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_key"), k.cast("long").alias("idx"), F.when(k % 4 == 3, "tool").otherwise(F.col("role")).alias("role"), F.lit(None).cast("string").alias("tool_call_id"), F.ceil(F.char_length("text") / 4).cast("long").alias("tokens"))
+    return O.aggressive(m, 40)
+
+
+@q("SELECT conv_id AS session_no, turn AS idx, 1704067200000 + 100 * (row_number() OVER (ORDER BY conv_id, turn) - 1) AS ts_ms FROM conversations")
+def seed_times(spark: SparkSession, d: str) -> DataFrame:
+    """No message of the seed has a time."""
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("session_no"), F.lit(0).alias("round"), F.col("turn").alias("idx"), F.lit(None).cast("long").alias("ts_ms"))
+    return readers.timed(m, 1_704_067_200_000).select("session_no", "idx", "ts_ms")
+
+
+@q("SELECT conv_id, turn, 1704067200000 + 1000 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS ts_ms FROM conversations")
+def synthetic_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """W15."""
+    return W.stepped(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", 1_704_067_200_000)

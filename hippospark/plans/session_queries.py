@@ -28,19 +28,6 @@ def keyset_cursor(spark: SparkSession, d: str) -> DataFrame:
     return W.keyset(l0_messages(spark, d).select("record_id"), "record_id", "conv_1", 40)
 
 
-@q("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view', 'purchase') ORDER BY ts DESC, event_id DESC LIMIT 200")
-def recent_events(spark: SparkSession, d: str) -> DataFrame:
-    """S18, S19, S3."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("click", "view", "purchase"))
-    return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "event_type")
-
-
-@q("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 2, 3) ORDER BY s_acctbal DESC, s_suppkey LIMIT 50")
-def entity_listing(spark: SparkSession, d: str) -> DataFrame:
-    """S20."""
-    return table(spark, d, "supplier").where(F.col("s_nationkey").isin(1, 2, 3)).orderBy(F.desc("s_acctbal"), "s_suppkey").limit(50).select("s_suppkey", "s_name")
-
-
 @q(f"""WITH {L0_SQL}, w AS (SELECT session_key, turn, (row_number() OVER (PARTITION BY session_key ORDER BY turn) - 1) // 10 AS win FROM l0)
 SELECT session_key, CAST(win AS BIGINT) AS "window", count(*) AS messages, min(turn) AS first, max(turn) AS last, CAST(least(5, win * 10) AS BIGINT) AS background FROM w GROUP BY session_key, win""")
 def message_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -116,13 +103,6 @@ def last_user_message(spark: SparkSession, d: str) -> DataFrame:
     return l0_messages(spark, d).groupBy("session_key").agg(F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("last_user")).where("last_user is not null")
 
 
-@q("SELECT conv_id, turn, 1704067200000 + 1000 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS ts_ms FROM conversations")
-def synthetic_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    """W15, P27."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", (F.lit(BASE_MS) + 1000 * (F.row_number().over(w) - 1)).alias("ts_ms"))
-
-
 @q("WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS tt, event_id, event_type FROM events) SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY tt, event_id) AS boundary FROM e")
 def boundary_asof(spark: SparkSession, d: str) -> DataFrame:
     """The latest boundary up to each row, by a running last value."""
@@ -147,19 +127,6 @@ def context_route(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("route", route(F.col("tokens"), 1000))
 
 
-@q("SELECT event_type, count(*) AS n, CAST(sum(greatest(CAST(floor(value) AS BIGINT) - 80, 0)) AS BIGINT) AS saved FROM events GROUP BY 1")
-def trigger_report(spark: SparkSession, d: str) -> DataFrame:
-    """What each stage saved, net of its fixed cost."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.greatest(F.floor("value") - 80, F.lit(0))).cast("long").alias("saved"))
-
-
-@q(f"WITH {EVENTS_SQL}, t AS (SELECT session_key, event_id, ts_us, type FROM ev WHERE type IN ('purchase', 'click')) SELECT session_key, event_id FROM t QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts_us DESC, event_id DESC) <= 6")
-def recap_thread(spark: SparkSession, d: str) -> DataFrame:
-    """W10, A12."""
-    w = Window.partitionBy("session_key").orderBy(F.desc("ts_us"), F.desc("event_id"))
-    return kb_events(spark, d).where(F.col("type").isin("purchase", "click")).withColumn("p", F.row_number().over(w)).where("p <= 6").select("session_key", "event_id")
-
-
 @q("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     """M35."""
