@@ -1,27 +1,34 @@
-"""A memory store over versioned Parquet tables: what a host calls.
+"""A memory store over logs of Parquet folders: what a host calls.
 
-A table is a folder of immutable versions; a write makes the next version, a reader takes the newest that is complete, so
-a lost job leaves no half-written table behind.
+A table is a log: a write appends an immutable folder with its number, a read takes all complete ones, so that a write costs
+what it brings and a lost job leaves nothing that is read. `compact` folds a table's folders into one. Rows that replace
+others (gates, lessons, vectors, index rows) carry the number of their write; the latest counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hippospark.functions import parsing as P
 from hippospark.functions import scalar as S
 from hippospark.functions import text as X
-from hippospark.operators import graph, kb, lifecycle, retrieval
+from hippospark.operators import graph, kb, knowledge, lifecycle, lookups, retrieval
 from hippospark.sources.sinks import append_new
 
 MESSAGES = "record_id string, session_key string, session_id string, role string, message_text string, ts_ms long"
 FACTS = "entity_id string, attribute string, value string, valid_from long, learned_at long, seq long, confidence double"
-EVENTS = "event_id string, session_key string, type string, text string, ts_ms long, entities array<string>"
+EVENTS = "event_id string, session_key string, session_id string, type string, text string, ts_ms long, entities array<string>"
 EDGES = "src string, dst string, weight double"
 GATES = "owner_id string, gate_state string, updated long"
-SCHEMAS = {"messages": MESSAGES, "facts": FACTS, "events": EVENTS, "relations": EDGES, "gates": GATES}
+ENTITIES = "id string, type string, name string, canonical_key string, namespace string, aliases array<string>, importance double, created_time string, updated_time string, merged_into string"
+VECTORS = "owner_id string, embedding array<double>"
+LESSONS = "id string, domain string, lesson_text string, files array<string>, confidence double, willingness double, evidence_count long, version long, avoidance_count long, exposure_count long, last_session string, superseded_by string"
+SCHEMAS = {"messages": MESSAGES, "facts": FACTS, "events": EVENTS, "relations": EDGES, "gates": GATES, "entities": ENTITIES, "vectors": VECTORS, "lessons": LESSONS}
+#: Tables whose rows replace earlier ones of the same key.
+KEYS = {"gates": "owner_id", "entities": "id", "vectors": "owner_id", "lessons": "id"}
 
 
 class MemoryStore:
@@ -30,23 +37,42 @@ class MemoryStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
+    # Logs
+
+    def _parts(self, name: str) -> list[int]:
+        """Numbers of the complete folders to read: a compacted one (even) and what came after it."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
-        done = [f.getPath() for f in fs.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        done = sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+        base = max((n for n in done if n % 2 == 0), default=0)
+        return [n for n in done if n >= base]
+
+    def _log(self, name: str) -> DataFrame:
+        parts = self._parts(name)
+        schema = SCHEMAS[name] + ", write_no long"
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/v{n:08d}" for n in parts]) if parts else self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{versions[-1]:08d}")
+        rows = self._log(name)
+        if name not in KEYS:
+            return rows.drop("write_no")
+        last = rows.groupBy(KEYS[name]).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "write_no"]), "write_no").alias("row"))
+        return last.select("row.*")
+
+    def _append(self, name: str, rows: DataFrame, compacted: bool = False) -> None:
+        last = max(self._parts(name), default=0)
+        number = last + 1 + ((last + 1) % 2 == (0 if not compacted else 1))
+        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        rows.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in columns], F.lit(number).cast("long").alias("write_no")).write.mode("overwrite").parquet(f"{self.root}/{name}/v{number:08d}")
+
+    def compact(self, name: str) -> None:
+        """CLI reindex's share: one folder in place of many; older ones stay until no reader needs them."""
+        self._append(name, self.table(name), compacted=True)
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{versions[-1] + 1 if versions else 1:08d}")
+    # Writing
 
     def capture(self, messages: DataFrame) -> None:
         """POST /capture, /seed: sanitise, drop what is no content, keep each record once and only rows past the session's cursor."""
@@ -55,50 +81,123 @@ class MemoryStore:
         text = F.when(F.col("role") == "assistant", X.without_code(F.col("message_text"))).otherwise(F.col("message_text"))
         new = messages.withColumn("message_text", X.redacted(X.sanitized(text))).where(X.capturable(F.col("message_text")))
         new = new.join(cursor, "session_key", "left").where(F.col("_cursor").isNull() | (F.col("ts_ms") > F.col("_cursor"))).select(old.columns)
-        self._replace("messages", old.unionByName(append_new(old, new, "record_id").select(old.columns)))
+        self._append("messages", append_new(old.select("record_id"), new, "record_id"))
 
-    def kb_write(self, facts: DataFrame | None = None, events: DataFrame | None = None, relations: DataFrame | None = None) -> None:
+    def kb_write(self, facts: DataFrame | None = None, events: DataFrame | None = None, relations: DataFrame | None = None, vectors: DataFrame | None = None, lessons: DataFrame | None = None) -> None:
         """POST /kb/write, /observe."""
-        for name, rows in (("facts", facts), ("events", events), ("relations", relations)):
+        for name, rows in (("facts", facts), ("events", events), ("relations", relations), ("vectors", vectors), ("lessons", lessons)):
             if rows is not None:
-                old = self.table(name)
-                self._replace(name, old.unionByName(rows.select(old.columns)))
+                self._append(name, rows)
+
+    def remember(self, mentions: DataFrame) -> DataFrame:
+        """Resolve mentions (ref, namespace, type, name, aliases, now) to entities, created where there are none: ref, id, how."""
+        entities = self.table("entities")
+        resolved, after = knowledge.resolve_entities(entities, mentions)
+        self._append("entities", after.exceptAll(entities))
+        return resolved
+
+    def reconcile(self, merges: DataFrame) -> DataFrame:
+        """CLI reconcile: point satellites (old) to their canonical entities; what is wrong with the others comes back."""
+        entities = self.table("entities")
+        wrong = knowledge.merge_errors(entities, merges)
+        good = merges.join(wrong.select("old"), "old", "left_anti")
+        self._append("entities", entities.join(good.select(F.col("old").alias("id"), "canonical"), "id").withColumn("merged_into", F.col("canonical")))
+        return wrong
+
+    def gate(self, owner_id: str, event: str, now_ms: int) -> None:
+        """Tools confirm_memory and reject_memory, and the question before them (ask)."""
+        mine = self.table("gates").where(F.col("owner_id") == owner_id)
+        row = self.spark.createDataFrame([(owner_id, "clear", now_ms)], GATES)
+        now = row.alias("n").join(mine.select("owner_id", F.col("gate_state").alias("_old")), "owner_id", "left").withColumn("gate_state", lifecycle.gate_after(F.coalesce("_old", "gate_state"), event))
+        self._append("gates", now)
+
+    def stance(self, lesson_id: str, confirmed: bool) -> None:
+        """Tools stance_confirmed and stance_rejected."""
+        x = self.table("lessons").where(F.col("id") == lesson_id)
+        self._append("lessons", x.withColumn("willingness", S.willingness_after(F.coalesce("willingness", F.lit(0.6)), confirmed)))
+
+    def lesson_helped(self, lesson_id: str) -> None:
+        """Tool lesson_helped: an avoidance that was seen."""
+        x = self.table("lessons").where(F.col("id") == lesson_id)
+        self._append("lessons", x.withColumns({"confidence": S.confidence_after(F.col("confidence"), True), "avoidance_count": F.coalesce("avoidance_count", F.lit(0)) + 1}))
+
+    def session_end(self, session_key: str) -> DataFrame:
+        """POST /session/end: credit or temper the lessons that the session was exposed to; contradictions of head facts come back."""
+        events = self.table("events")
+        x = self.table("lessons")
+        c = lifecycle.credited(x, events, session_key)
+        self._append("lessons", x.drop("confidence", "avoidance_count").join(c.drop("relapsed"), "id"))
+        return kb.contradictions(kb.newest(self.table("facts"), "valid_from"))
+
+    def digest(self, session_key: str, now_ms: int, day: str) -> int:
+        """POST /digest: a recap of the session key's previous session, if it needs one; how many were written."""
+        e = self.table("events").select(F.col("event_id").alias("id"), (F.col("ts_ms") * 1000).alias("ts_us"), "session_key", "session_id", F.lit("").alias("project"), "type", "text", "entities", F.array("event_id").alias("source_message_ids"))
+        current = self.spark.createDataFrame([(session_key, None)], "session_key string, session_id string")
+        r = lookups.rollover_recaps(e.where(F.col("session_key") == session_key), current, now_ms * 1000, day)
+        self._append("events", r.select(F.col("id").alias("event_id"), "session_key", "session_id", "type", "text", F.lit(now_ms).alias("ts_ms"), F.array().cast("array<string>").alias("entities")))
+        return r.count()
+
+    # Reading
 
     def heads(self) -> DataFrame:
         """What holds now: one version per entity and attribute."""
         return kb.upsert_facts(self.table("facts")).where("valid_to is null")
 
+    def _rejected(self) -> DataFrame:
+        return self.table("gates").where("gate_state = 'rejected'").select("owner_id")
+
+    def _rows(self) -> DataFrame:
+        """All that may be recalled: head facts and events that were not rejected, as texts."""
+        names = self.table("entities").select(F.col("id").alias("entity_id"), "name", F.col("importance").alias("_imp"))
+        h = self.heads().where(~X.noise_attribute(F.col("attribute"))).join(names, "entity_id", "left")
+        f = h.select(S.sha1_id("fact", F.col("entity_id"), F.col("attribute"), F.col("value")).alias("id"), F.lit("fact").alias("kind"), F.concat(F.coalesce("name", "entity_id"), F.lit(" — "), "attribute", F.lit(": "), "value").alias("text"), "entity_id", (F.col("valid_from") / 86_400_000.0).alias("day"), S.fact_importance(F.col("_imp"), F.col("confidence"), F.col("support")).alias("importance"))
+        e = self.table("events").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), "text", F.lit(None).cast("string").alias("entity_id"), (F.col("ts_ms") / 86_400_000.0).alias("day"), F.lit(0.5).alias("importance"))
+        gone = self._rejected()
+        return f.unionByName(e).join(gone.withColumnRenamed("owner_id", "id"), "id", "left_anti").join(gone.withColumnRenamed("owner_id", "entity_id"), "entity_id", "left_anti")
+
     def search_conversations(self, terms: Sequence[str], k: int = 5, session_key: str | None = None) -> DataFrame:
         """POST /search/conversations; the session filters before the top k."""
         m = self.table("messages")
         m = m if session_key is None else m.where(F.col("session_key") == session_key)
         return retrieval.bm25(m, list(terms), "record_id", "message_text", k).join(m, "record_id").orderBy(F.desc("bm25"), "record_id")
 
-    def search_memories(self, terms: Sequence[str], k: int = 5) -> DataFrame:
-        """POST /search/memories: head facts as texts, without what was rejected."""
-        rejected = self.table("gates").where("gate_state = 'rejected'").select(F.col("owner_id").alias("entity_id"))
-        h = self.heads().withColumn("text", F.concat("entity_id", F.lit(" — "), "attribute", F.lit(": "), "value")).join(rejected, "entity_id", "left_anti")
-        h = h.withColumn("fact_id", S.sha1_id("fact", F.col("entity_id"), F.col("attribute"), F.col("value")))
-        return retrieval.bm25(h, list(terms), "fact_id", "text", k).join(h, "fact_id").orderBy(F.desc("bm25"), "fact_id")
-
-    def recall(self, terms: Sequence[str], now_ms: int, k: int = 5, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """POST /recall: facts by keyword, what they activate in the graph, boosted by recency; rerank is the host's seam."""
-        hits = self.search_memories(terms, 3 * k).select("entity_id", "text", S.bm25_rank_score(-F.col("bm25")).alias("score"), "valid_from")
-        near = graph.spread(self.table("relations"), hits.select(F.col("entity_id").alias("id"), F.lit(1.0).alias("activation")).distinct())
-        linked = self.heads().join(near.withColumnRenamed("id", "entity_id"), "entity_id").where(~X.noise_attribute(F.col("attribute")))
-        linked = linked.select("entity_id", F.concat("entity_id", F.lit(" — "), "attribute", F.lit(": "), "value").alias("text"), (0.5 * F.col("activation")).alias("score"), "valid_from")
-        both = hits.unionByName(linked).groupBy("entity_id", "text").agg(F.max("score").alias("score"), F.max("valid_from").alias("valid_from"))
-        age = (F.lit(now_ms) - F.col("valid_from")) / 86_400_000.0
-        both = both.withColumn("score", F.round(S.recency_boosted(F.col("score"), age), 6))
-        return (rerank(both) if rerank else both).orderBy(F.desc("score"), "entity_id", "text").limit(k)
-
-    def gate(self, owner_id: str, event: str, now_ms: int) -> None:
-        """Tools confirm_memory and reject_memory, and the question before them (ask)."""
-        old = self.table("gates")
-        mine = old.where(F.col("owner_id") == owner_id)
-        row = self.spark.createDataFrame([(owner_id, "clear", now_ms)], GATES)
-        now = (row if mine.isEmpty() else mine).withColumn("gate_state", lifecycle.gate_after(F.col("gate_state"), event)).withColumn("updated", F.lit(now_ms).cast("long"))
-        self._replace("gates", old.where(F.col("owner_id") != owner_id).unionByName(now))
+    def search_memories(self, terms: Sequence[str], k: int = 5, query_vector: Sequence[float] | None = None) -> DataFrame:
+        """POST /search/memories: head facts and events by keyword and, with a vector of the query, by cosine, fused."""
+        rows = self._rows()
+        words, vectors = self._lists(rows, terms, k, query_vector)
+        return retrieval.search_tool(words, vectors, rows, k).join(rows, "id").orderBy(F.desc("score"), "id")
+
+    def _lists(self, rows: DataFrame, terms: Sequence[str], k: int, query_vector: Sequence[float] | None) -> tuple[DataFrame, DataFrame]:
+        place = lambda x, score: x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "id")) - 1)
+        words = place(retrieval.KeywordIndex.build(rows, "id", "text").search(list(terms), 3 * k), "bm25").withColumn("score", S.bm25_rank_score(-F.col("bm25")))
+        if query_vector is None:
+            return words, self.spark.createDataFrame([], "id string, rank int, cosine double")
+        q = self.spark.createDataFrame([([float(x) for x in query_vector],)], "q array<double>")
+        v = self.table("vectors").join(rows.select(F.col("id").alias("owner_id")), "owner_id", "left_semi").withColumnRenamed("owner_id", "id")
+        return words, place(retrieval.vector_topk(v, q, 3 * k, "id"), "score").select("id", "rank", F.col("score").alias("cosine"))
+
+    def recall(self, terms: Sequence[str], now_ms: int, k: int = 5, rerank: Callable[[DataFrame], DataFrame] | None = None, query_vector: Sequence[float] | None = None) -> DataFrame:
+        """POST /recall: keyword, vector and entity candidates fused, weighed by recency and importance and primed by the graph, and what
+        they call to mind beyond. rerank is the host's seam. Rows: id, kind, entity_id, text, score, associative."""
+        rows = self._rows()
+        words, vectors = self._lists(rows, terms, k, query_vector)
+        matches = retrieval.entity_matches(self.table("entities").where("merged_into is null"), list(terms), "id", "name", 3 * k)
+        matches = matches.select(F.col("id").alias("entity_id"), F.row_number().over(Window.orderBy(F.desc("hits"), "id")).alias("place"))
+        named = lookups.entity_head_candidates(matches, rows.where("kind = 'fact'").withColumn("attribute", F.col("text")), 3 * k).select("id", "rank")
+        relations = self.table("relations")
+        hits = retrieval.kb_recall(words, vectors, named, rows, k, now_ms / 86_400_000.0, graph.both_ways(relations)).join(rows.select("id", "entity_id"), "id").select("id", "kind", "entity_id", "text", "score")
+        hits = rerank(hits) if rerank else hits
+        seeds = hits.where("entity_id is not null").select(F.col("entity_id").alias("id")).distinct()
+        heads = self.heads().join(self._rejected().withColumnRenamed("owner_id", "entity_id"), "entity_id", "left_anti").withColumn("id", S.sha1_id("fact", F.col("entity_id"), F.col("attribute"), F.col("value")))
+        events = self.table("events").select(F.col("event_id").alias("id"), (F.col("ts_ms") * 1000).alias("ts_us"), "text", "entities")
+        more = graph.deepened(hits, "score", relations.select("src", "dst", F.col("weight").alias("support")), seeds, heads, events)
+        more = more.join(hits.select(F.col("id").alias("owner_id")), "owner_id", "left_anti").select(F.col("owner_id").alias("id"), F.col("owner_kind").alias("kind"), "entity_id", "text", F.col("activation").alias("score"), F.lit(True).alias("associative"))
+        return hits.withColumn("associative", F.lit(False)).unionByName(more).orderBy("associative", F.desc("score"), "id")
+
+    def canonicalize(self) -> DataFrame:
+        """CLI canonicalize as a dry run: attributes of facts that have a canonical name."""
+        f = self.table("facts")
+        return f.select("attribute", P.canonical_attribute(F.col("attribute")).alias("canonical")).where("attribute <> canonical").groupBy("attribute", "canonical").agg(F.count("*").alias("n"))
 
     def health(self) -> dict[str, int]:
         """GET /health."""

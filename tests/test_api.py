@@ -1,4 +1,4 @@
-from hippospark.api import EDGES, FACTS, MESSAGES, MemoryStore
+from hippospark.api import EDGES, EVENTS, FACTS, LESSONS, MESSAGES, VECTORS, MemoryStore
 
 
 def test_store(spark, tmp_path):
@@ -11,10 +11,39 @@ def test_store(spark, tmp_path):
     facts = [("anna", "city", "Rome", 1, 1, 1, 0.9), ("anna", "city", "Milan", 5, 2, 2, 0.9), ("bo", "pet", "cat", 3, 3, 3, 0.5)]
     store.kb_write(facts=spark.createDataFrame(facts, FACTS), relations=spark.createDataFrame([("anna", "bo", 2.0)], EDGES))
     assert sorted((r["entity_id"], r["value"]) for r in store.heads().collect()) == [("anna", "Milan"), ("bo", "cat")]
-    assert {r["entity_id"] for r in store.recall(["milan"], 86_400_000).collect()} == {"anna", "bo"}
+    got = store.recall(["milan"], 86_400_000).collect()
+    assert [(r["entity_id"], r["associative"]) for r in got] == [("anna", False), ("bo", True)]
+    fact = got[0]["id"]
+    store.kb_write(vectors=spark.createDataFrame([(fact, [1.0, 0.0]), ("e1", [0.0, 1.0])], VECTORS), events=spark.createDataFrame([("e1", "s", "i", "bug", "printer broke", 7, ["anna"])], EVENTS))
+    assert [r["id"] for r in store.recall(["nothing"], 86_400_000, query_vector=[0.1, 1.0]).where("not associative").collect()] == ["e1", fact]
+    assert [r["id"] for r in store.search_memories(["printer"], query_vector=[1.0, 0.1]).collect()] == ["e1", fact]
     store.gate("anna", "ask", 1)
     store.gate("anna", "reject", 2)
     store.gate("anna", "confirm", 3)
     assert store.table("gates").first()["gate_state"] == "rejected"
     assert store.search_memories(["milan"]).count() == 0
     assert store.health()["messages"] == 3
+    before = sorted(map(tuple, store.table("facts").collect()))
+    store.compact("facts")
+    store.kb_write(facts=spark.createDataFrame([("bo", "pet", "dog", 9, 9, 9, 0.5)], FACTS))
+    assert sorted(map(tuple, store.table("facts").where("learned_at < 9").collect())) == before and store.table("facts").count() == 4
+
+
+def test_entities_and_lessons(spark, tmp_path):
+    store = MemoryStore(spark, f"file://{tmp_path}")
+    mention = "ref string, namespace string, type string, name string, aliases array<string>, now string"
+    first = {r["ref"]: (r["id"], r["how"]) for r in store.remember(spark.createDataFrame([("1", "default", "person", "Anna", ["Annie"], "t"), ("2", "default", "person", " ANNA ", [], "t"), ("3", "default", "person", "Bo", [], "t")], mention)).collect()}
+    assert first["1"] == first["2"] and first["1"][1] == "new"
+    again = {r["ref"]: r["how"] for r in store.remember(spark.createDataFrame([("4", "default", "person", "annie", [], "u"), ("5", "default", "person", "Bo", [], "u")], mention)).collect()}
+    assert again == {"4": "alias", "5": "key"} and store.table("entities").count() == 2
+    wrong = store.reconcile(spark.createDataFrame([(first["3"][0], first["1"][0]), ("nobody", first["1"][0])], "old string, canonical string"))
+    assert [r["error"] for r in wrong.collect()] == ["satellite not found"] and store.table("entities").where("merged_into is not null").count() == 1
+    lesson = ("l", "d", "t", ["k1"], 0.5, 0.5, 2, 1, 3, 1, "s", None)
+    store.kb_write(lessons=spark.createDataFrame([lesson], LESSONS), events=spark.createDataFrame([("a-1", "s", "i", "decision", "go left", 5, ["k2"])], EVENTS))
+    store.stance("l", True)
+    store.lesson_helped("l")
+    store.session_end("s")
+    row = store.table("lessons").first()
+    assert round(row["willingness"], 4) == 0.6225 and row["avoidance_count"] == 5 and row["confidence"] > 0.7
+    assert store.digest("s", 9, "2024-01-01") == 1 and store.digest("s", 10, "2024-01-01") == 0
+    assert store.health()["lessons"] == 1 and store.canonicalize().count() == 0
