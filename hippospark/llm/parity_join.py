@@ -33,6 +33,8 @@ from .suffix_dedup import by_bucket, grouped
 INDEX_BYTES = 32 << 20
 #: Groups above this size are joined by a forest.
 SMALL = 8
+#: How much smaller the folded sketches are that all members of a key bring along.
+SHRINK = 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -98,9 +100,9 @@ def part_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: one per document (doc_id, n, sid, sid2, sketch), and join keys packed by bucket (bucket, ids, head, low)."""
-    names = ["doc_id", "n", "sid", "sid2", "sketch", "bucket", "ids", "head", "low"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Rows of two kinds: one per document (doc_id, n, sid, sid2, sketch, and small, the sketch folded), and join keys packed by bucket (bucket, ids, head, low)."""
+    names = ["doc_id", "n", "sid", "sid2", "sketch", "small", "bucket", "ids", "head", "low"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def emit(held: dict) -> pa.RecordBatch:
         sid = np.array(list(held), np.int64)
@@ -113,8 +115,8 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
             count = np.bincount(doc[order[x:y]], minlength=len(sid))
             some = np.flatnonzero(count)
             head = np.concatenate((sid[some], count[some])).tobytes()
-            rows.append((None, None, None, None, None, bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names)
+            rows.append((None, None, None, None, None, None, bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(10)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
@@ -129,8 +131,9 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
                 sid2 = C.mix(other[edge[1:]] - other[edge[:-1]]).view(np.int64)
                 sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 none = pa.nulls(len(n), pa.int32())
+                table = [parity(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid), pa.array(sid2), pa.array([parity(x).tobytes() if len(x) else None for x in sets], pa.binary()), none, none, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names
+                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid), pa.array(sid2), pa.array([None if t is None else t.tobytes() for t in table], pa.binary()), pa.array([None if t is None else fold(t, places(len(x)) // SHRINK).tobytes() for t, x in zip(table, sets, strict=True)], pa.binary()), none, none, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names
                 )
                 for s, x in zip(sid.tolist(), sets, strict=True):
                     if len(x) and s not in held:
@@ -142,7 +145,7 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
         if size:
             yield emit(held)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sid long, sid2 long, sketch binary, bucket int, ids int, head binary, low binary")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sid long, sid2 long, sketch binary, small binary, bucket int, ids int, head binary, low binary")
 
 
 def shared(packed: DataFrame) -> DataFrame:
@@ -210,13 +213,28 @@ def within_bound(n: tuple[int, int], left: np.ndarray, right: np.ndarray, num: i
 
 
 def candidates(members: DataFrame, sets: DataFrame, num: int, den: int, tree: bool) -> DataFrame:
-    """members: bucket, doc, n, sketch, low, label; sets: doc, n, sketch. Pairs of documents within their bound by sketch: a < b.
+    """members: bucket, doc, n, sketch, small, low, label; sets: doc, n, sketch. Pairs of documents within their bound by sketch: a < b.
 
     tree: all such pairs under keys of few members, a spanning forest of them under others; else, under the latter,
-    all that join different labels. Only members of keys with many members bring their sketches along; pairs of the
-    others meet theirs once, as pairs.
+    all that join different labels. Only members of keys with many members bring their sketches along, the others a
+    folded one (small), which bounds the same difference; pairs that pass it meet their sketches once, as pairs.
     """
 
+    def passes(n: np.ndarray, small: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs within their size's and their folded sketches' bounds."""
+        ok = np.maximum(n[left], n[right]) * num <= np.minimum(n[left], n[right]) * den
+        where, good = np.flatnonzero(ok), np.zeros(len(left), bool)
+        width = np.array([len(x) for x in small])
+        width, most = np.minimum(width[left], width[right]), (den - num) * (n[left] + n[right]) // (den + num)
+        for size in np.unique(width[where]):
+            w = where[width[where] == size]
+            who, at = np.unique(np.concatenate((left[w], right[w])), return_inverse=True)
+            table = np.stack([fold(small[x], int(size) * 64) for x in who])
+            for x in range(0, len(w), 50_000):
+                y = slice(x, x + 50_000)
+                good[w[y]] = np.bitwise_count(table[at[: len(w)][y]] ^ table[at[len(w) :][y]]).sum(axis=1) <= most[w[y]]
+        return good
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
             rows.sort(key=lambda r: r["doc"])
@@ -236,8 +254,7 @@ def candidates(members: DataFrame, sets: DataFrame, num: int, den: int, tree: bo
                         pairs.append((own[at + i] << 32) | own[at + j])
             pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
             left, right = pairs >> 32, pairs & 0xFFFFFFFF
-            near = np.maximum(n[left], n[right]) * num <= np.minimum(n[left], n[right]) * den
-            few, many, done = pairs[near], [np.zeros(0, np.int64)], set()
+            few, many, done = pairs[passes(n, [np.frombuffer(r["small"], np.uint64) for r in rows], left, right)], [np.zeros(0, np.int64)], set()
             for g in np.flatnonzero(size > SMALL):
                 group = own[cut[g] : cut[g + 1]]
                 if (tag := group.tobytes()) in done:
@@ -298,10 +315,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table = C.saved(sketches(docs, max(1, -(-total // INDEX_BYTES)), k, num, den), "op10-sketches")
     of = C.saved(table.where("bucket is null").select("doc_id", "n", "sid", "sid2"), "op10-docs")
-    sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op10-classes")
+    sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small")), "op10-classes")
     filed = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")), "op10-filed")
-    few = filed.where("not many").join(sets.select("sid", "doc", "n"), "sid").select("bucket", "doc", "n", F.lit(None).cast("binary").alias("sketch"), "low")
-    many = filed.where("many").join(sets, "sid").select("bucket", "doc", "n", "sketch", "low")
+    few = filed.where("not many").join(sets.select("sid", "doc", "n", "small"), "sid").select("bucket", "doc", "n", F.lit(None).cast("binary").alias("sketch"), "small", "low")
+    many = filed.where("many").join(sets, "sid").select("bucket", "doc", "n", "sketch", "small", "low")
     members = few.unionByName(many).withColumn("label", F.col("doc"))
     classes = C.saved(sets.select("sid", "sid2", "doc"), "op10-ids")
     C.forget(table)
