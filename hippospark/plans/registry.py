@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("hippospark.plans.recall_queries", "hippospark.plans.kb_queries", "hippospark.plans.session_queries", "hippospark.plans.graph_queries", "hippospark.plans.lifecycle_queries", "hippospark.plans.stream_queries", "hippospark.plans.parsing_queries", "hippospark.plans.knowledge_queries", "hippospark.plans.lookup_queries", "hippospark.plans.memory_queries")
+MODULES = ("hippospark.plans.recall_queries", "hippospark.plans.kb_queries", "hippospark.plans.session_queries", "hippospark.plans.graph_queries", "hippospark.plans.lifecycle_queries", "hippospark.plans.stream_queries", "hippospark.plans.parsing_queries", "hippospark.plans.knowledge_queries", "hippospark.plans.lookup_queries", "hippospark.plans.memory_queries", "hippospark.plans.source_queries")
 
 
 def queries() -> dict:
