@@ -197,12 +197,12 @@ def priming(spark: SparkSession, d: str) -> DataFrame:
 
 HOPS = """nb AS (SELECT src, dst, sum(support) AS w FROM (SELECT src, dst, support FROM rel UNION ALL SELECT dst, src, support FROM rel) GROUP BY 1, 2), tp AS (SELECT src, dst, w FROM nb QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 8), sh AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM tp),
 a1 AS (SELECT dst AS id, sum(share * 0.5) AS a FROM sh WHERE src IN ('c1', 'c2', 'c4') GROUP BY 1), a2 AS (SELECT dst AS id, sum(a1.a * share * 0.5) AS a FROM sh JOIN a1 ON a1.id = src GROUP BY 1), a3 AS (SELECT dst AS id, sum(a2.a * share * 0.5) AS a FROM sh JOIN a2 ON a2.id = src GROUP BY 1)"""
-BEST = """bf AS (SELECT entity_id, arg_max({'id': id, 'text': attribute || ': ' || value}, (confidence, id)) AS m FROM hd GROUP BY 1), px AS (SELECT 'p' || (event_id % 400) AS entity_id, arg_max({'id': id, 'text': text}, (ts_us, id)) AS m FROM hp GROUP BY 1)"""
+BEST = """bf AS (SELECT entity_id, arg_max({'id': id, 'text': attribute || ': ' || value}, (confidence, id)) AS m FROM hd GROUP BY 1), px AS (SELECT 'p' || (event_id % 2500) AS entity_id, arg_max({'id': id, 'text': text}, (ts_us, id)) AS m FROM hp GROUP BY 1)"""
 REACHED = "SELECT entity_id, activation, coalesce(bf.m.id, px.m.id) AS owner_id, CASE WHEN bf.m IS NOT NULL THEN 'fact' ELSE 'event' END AS owner_kind, coalesce(bf.m.text, px.m.text) AS text FROM ac LEFT JOIN bf USING (entity_id) LEFT JOIN px USING (entity_id) WHERE coalesce(bf.m.id, px.m.id) IS NOT NULL"
 
 
 def about_parts(spark: SparkSession, d: str) -> DataFrame:
-    return happenings(spark, d).withColumn("entities", F.array(F.concat(F.lit("p"), F.col("event_id") % 400)))
+    return happenings(spark, d).withColumn("entities", F.array(F.concat(F.lit("p"), F.col("event_id") % 2500)))
 
 
 def three_seeds(spark: SparkSession, d: str) -> DataFrame:
