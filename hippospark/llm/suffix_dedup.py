@@ -5,7 +5,8 @@ hash of its anchor (the 24-gram of least hash in it, `common.runs`) sends it, an
 Runs whose anchor hash occurs in one document only cannot match and are left out before any text is moved. Each part
 is then sorted by the difference-cover algorithm modulo 3 (`suffix_order`): sampled triples are named, the names'
 triples are named again (72 bytes, past the 50 that are asked for, so recursion ends there), the remaining suffixes
-are merged in, and adjacent prefixes are compared byte for byte.
+are merged in, and adjacent prefixes are compared byte for byte. A frequent anchor is sorted in goes that keep equal
+windows together (`repeats_of_many`), so that no go holds more than some megabytes.
 
 Defined results: null and empty texts, and texts under 50 bytes, lose nothing; a null doc_id is never earlier than
 another and loses nothing; repeated rows of one doc_id are judged alike and never against each other; an empty table
@@ -283,6 +284,47 @@ def repeats(body: np.ndarray, n: np.ndarray, first: np.ndarray, window: int = WI
     return hit[begins]
 
 
+def repeats_of_many(body: np.ndarray, n: np.ndarray, first: np.ndarray, window: int = WINDOW, most: int = CHUNK) -> np.ndarray:
+    """As `repeats`, for the many spans of one frequent anchor, in goes of about `most` bytes.
+
+    Only windows whose hash occurs again are sorted; those of one hash stay together. Where one window alone is too many for a
+    go, its texts are compared with the first of them, and only what differs is sorted.
+    """
+    at = np.concatenate(([0], np.cumsum(n + window - 1)))
+    edge = np.concatenate(([0], np.cumsum(n)))
+    h = np.empty(int(edge[-1]), np.uint64)
+    x = 0
+    while x < len(n):
+        y = max(x + 1, int(np.searchsorted(at, at[x] + most, "right")) - 1)
+        begins = C.ranges(at[x:y] - at[x], n[x:y])
+        h[edge[x] : edge[y]] = C.ONE.span(C.ONE.prefix(body[at[x] : at[y]]), begins, begins + window)
+        x = y
+    order = np.argsort(h, kind="stable")
+    sorted_ = h[order]
+    del h
+    again = np.zeros(len(order), bool)
+    again[1:] = sorted_[1:] == sorted_[:-1]
+    again[:-1] |= again[1:]
+    order, sorted_ = order[again], sorted_[again]
+    hit = np.zeros(int(edge[-1]), bool)
+    cut = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
+    limit, each = max(1, most // window), np.arange(window)
+    x = 0
+    while x < len(cut) - 1:
+        y = max(x + 1, int(np.searchsorted(cut, cut[x] + limit, "right")) - 1)
+        go = order[cut[x] : cut[y]]
+        x = y
+        owner = np.searchsorted(edge, go, "right") - 1
+        begins = at[owner] + go - edge[owner]
+        if len(go) > limit:
+            like = np.concatenate([(body[begins[z : z + limit, None] + each] == body[begins[0] + each]).all(axis=1) for z in range(0, len(go), limit)])
+            hit[go[like]] = first[owner[like]] > first[owner[like]].min()
+            go, owner, begins = go[~like], owner[~like], begins[~like]
+        if len(go):
+            hit[go] = repeats(body[C.ranges(begins, np.full(len(go), window))], np.ones(len(go), np.int64), first[owner], window)
+    return hit
+
+
 def goes(m: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
     """Cut spans sorted by anchor into stretches of about CHUNK bytes, never within one anchor."""
     edge = np.concatenate(([0], np.flatnonzero(np.diff(m)) + 1, [len(m)]))
@@ -328,7 +370,10 @@ def removals(packed: DataFrame, window: int = WINDOW) -> DataFrame:
             alone[1:] &= m[head][1:] != m[head][:-1]
             alone[:-1] &= m[head][1:] != m[head][:-1]
             span, n_of = head[~alone], np.where(alone, 0, n[head])
-            hit = [repeats(body[C.ranges(at[span[g]], length[span[g]])], n[span[g]], ids[span[g]], window) for g in goes(m[span], length[span])]
+            hit = []
+            for g in goes(m[span], length[span]):
+                g = span[g]
+                hit.append((repeats_of_many if length[g].sum() > 2 * CHUNK else repeats)(body[C.ranges(at[g], length[g])], n[g], ids[g], window))
             hit = np.concatenate(hit) if hit else np.zeros(0, bool)
             edge = np.concatenate(([0], np.cumsum(n_of)))
             # stretches of hits within each head, then for every row of that content and document

@@ -136,6 +136,27 @@ def test_suffix_order_against_sorting(alphabet):
     assert list(same[1:]) == [a == b for a, b in zip(keys, keys[1:], strict=False)]
 
 
+@pytest.mark.parametrize("most", [200, 3000, 1 << 20])
+def test_frequent_anchors_in_goes(most):
+    rng = random.Random(2)
+    n = np.array([rng.randint(1, 27) for _ in range(400)])
+    common = bytes(rng.choice(b"ab") for _ in range(76))
+    spans = []
+    for k in n:
+        text = bytearray(common[: k + 49])
+        if rng.random() < 0.7:
+            text[rng.randrange(len(text))] = rng.choice(b"xyz")
+        spans.append(bytes(text))
+    first = np.array([rng.randint(0, 300) for _ in n])
+    least = {}
+    for s, f in zip(spans, first, strict=True):
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(least.get(s[i : i + 50], 999), f)
+    wanted = [least[s[i : i + 50]] < f for s, f in zip(spans, first, strict=True) for i in range(len(s) - 49)]
+    body = np.frombuffer(b"".join(spans), np.uint8)
+    assert suffix_dedup.repeats_of_many(body, n, first, most=most).tolist() == wanted == suffix_dedup.repeats(body, n, first).tolist()
+
+
 def shingles(text, k):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
