@@ -26,8 +26,8 @@ from . import common as C
 from .tokens import Encoder, vocabulary
 
 CAPACITY, END = 1024, 2
-#: Fillings that the search tries beyond its first descent. Within them it is exact; past them the best so far stands and
-#: the bound that is returned with it shows what is not proved.
+#: Fillings that the search tries at most; its first descent always ends. Within them it is exact; past them the best so
+#: far stands and the bound that is returned with it shows what is not proved.
 NODES = 3_000
 #: Stretches of the ranks of a length.
 CUTS = 16
@@ -175,7 +175,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     A node completes the largest length left by an undominated filling, as often as the counts allow at first and less
     often on later branches. A branch ends where its waste, or its bins and the bound of what is left, can no longer
     beat the incumbent, which is best fit at first. The search is exact when it ends by itself; after `nodes` fillings
-    beyond the first descent the incumbent stands, and `bound` says how far it may be from the least.
+    and the first descent the incumbent stands, and `bound` says how far it may be from the least.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
