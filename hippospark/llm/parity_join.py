@@ -5,8 +5,9 @@ whose Hamming distance never exceeds the symmetric difference of two sets, and w
 size band (powers of two) are cut by hash into d + 1 parts and some more, d the largest difference that a linked pair
 of the band can have: a linked pair agrees in a part, so the XOR of each part's shingles is a join key (the pigeonhole).
 Pairs under a common key are held against the sketches and only those within their own bound are verified on the whole
-sets. Under keys of many members a spanning forest of such pairs is verified first; where a pair of it fails, all pairs
-that would join two of the components that came out are verified too, so components are those of all links.
+sets: first one pair for each document, then those that would join two of the components that came out. Under keys of many
+members only a spanning forest of such pairs is looked at; where a pair of it fails, all pairs that would join components
+are. So components are those of all links.
 Equal sets are joined beforehand and stand for one. A set with too few filled parts for the pigeonhole also files the
 prefix of its sorted hashes; two such sets that link share one of these.
 
@@ -33,6 +34,8 @@ from .suffix_dedup import by_bucket, grouped
 INDEX_BYTES = 32 << 20
 #: Groups above this size are joined by a forest.
 SMALL = 8
+#: Members that are compared at once, and the most 64-bit words of their sketches' differences.
+BLOCK, WORDS = 64, 1 << 21
 #: How much smaller the folded sketches are that all members of a key bring along.
 SHRINK = 4
 LOWER = np.arange(256, dtype=np.uint8)
@@ -66,7 +69,7 @@ def band(level: int, num: int, den: int) -> tuple[int, int]:
 
 def places(n: int) -> int:
     """Bits of the sketch of a set of n."""
-    return int(min(16384, max(512, 1 << max(1, 4 * n - 1).bit_length())))
+    return int(min(1 << 18, max(512, 1 << max(1, 4 * n - 1).bit_length())))
 
 
 def fold(sketch: np.ndarray, bits: int) -> np.ndarray:
@@ -176,32 +179,41 @@ def shared(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, "sid long, bucket int, low binary, many boolean")
 
 
-def near_pairs(n: np.ndarray, table: np.ndarray, label: np.ndarray, num: int, den: int, tree: bool) -> np.ndarray:
-    """Pairs (places, two columns) of members of other labels that are within their bound by sketch.
+def near_pairs(n: np.ndarray, sketches: list[np.ndarray], label: np.ndarray, num: int, den: int, tree: bool) -> np.ndarray:
+    """Pairs (places, two columns, the smaller first) of members of other labels that are within their bound by sketch.
 
-    Sketches, folded to one width, are compared in blocks of rows. With tree, a found pair joins its labels, so that only a
-    spanning forest comes out, and rows that share their label with all later members are left out.
+    Members are taken by size, and a block of them is held against those that are not too large for it, all folded to the
+    width of its smallest. With tree, a found pair joins its labels, so that only a spanning forest comes out, and rows that
+    share their label with all later members are left out.
     """
-    label, out, block = label.copy(), [], 64
-    for x in range(0, len(n) - 1, block):
-        rows = np.arange(x, min(x + block, len(n) - 1))
-        rest = np.arange(x + 1, len(n))
+    order = np.argsort(n, kind="stable")
+    size, label, out, tables = n[order], label[order].copy(), [], {}
+    for x in range(0, len(n) - 1, BLOCK):
+        rows = np.arange(x, min(x + BLOCK, len(n)))
+        bits = places(int(size[x]))
+        rest = np.arange(x + 1, int(np.searchsorted(size, size[rows[-1]] * den // num, "right")))
         rest = rest[(label[rest][None, :] != label[rows][:, None]).any(axis=0)]
         if not len(rest):
             continue
-        apart = np.bitwise_count(table[rows][:, None, :] ^ table[rest][None, :, :]).sum(axis=2, dtype=np.int64)
-        a, b = n[rows][:, None], n[rest][None, :]
-        good = (apart * (den + num) <= (den - num) * (a + b)) & (np.maximum(a, b) * num <= np.minimum(a, b) * den) & (rest[None, :] > rows[:, None]) & (label[rows][:, None] != label[rest][None, :])
-        i, j = np.nonzero(good)
-        i, j = rows[i], rest[j]
-        if tree:
-            keep = []
-            for at, (u, v) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                if label[u] != label[v]:
-                    label[label == label[v]] = label[u]
-                    keep.append(at)
-            i, j = i[keep], j[keep]
-        out.append(np.stack((i, j), axis=1))
+        if bits not in tables:  # widths only grow
+            tables = {bits: (x, np.stack([fold(sketches[i], bits) for i in order[x:]]))}
+        begin, table = tables[bits]
+        step = max(1, WORDS // (BLOCK * (bits // 64)))
+        for z in range(0, len(rest), step):
+            some = rest[z : z + step]
+            apart = np.bitwise_count(table[rows - begin][:, None, :] ^ table[some - begin][None, :, :]).sum(axis=2, dtype=np.int64)
+            a, b = size[rows][:, None], size[some][None, :]
+            good = (apart * (den + num) <= (den - num) * (a + b)) & (b * num <= a * den) & (some[None, :] > rows[:, None]) & (label[rows][:, None] != label[some][None, :])
+            i, j = np.nonzero(good)
+            i, j = rows[i], some[j]
+            if tree:
+                keep = []
+                for at, (u, v) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                    if label[u] != label[v]:
+                        label[label == label[v]] = label[u]
+                        keep.append(at)
+                i, j = i[keep], j[keep]
+            out.append(np.sort(np.stack((order[i], order[j]), axis=1), axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -260,8 +272,7 @@ def candidates(members: DataFrame, sets: DataFrame, num: int, den: int, tree: bo
                 if (tag := group.tobytes()) in done:
                     continue
                 done.add(tag)
-                bits = places(int(n[group].min()))
-                two = near_pairs(n[group], np.stack([fold(sketch[x], bits) for x in group]), label[group], num, den, tree)
+                two = near_pairs(n[group], [sketch[x] for x in group], label[group], num, den, tree)
                 many.append((group[two[:, 0]] << 32) | group[two[:, 1]])
             many = np.unique(np.concatenate(many))
             few = np.setdiff1d(few, many, assume_unique=True)
@@ -303,7 +314,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     found = docs.join(involved, "doc_id").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
     found = C.saved(found.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "op10-sets")
-    rows = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    # the larger number has few partners, the smaller one may be the head of a family: its set is not repeated for each of them
+    rows = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     out = C.saved(rows.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, link boolean"), "op10-tested")
     C.forget(found)
     return out
@@ -327,15 +339,23 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     large = C.saved(many, "op10-members")
     C.forget(filed)
     C.tidy(docs.sparkSession)
-    tested = verified(docs, pairs, k, num, den)
-    C.tidy(docs.sparkSession)
+    # first one pair for each document, its least partner: most others are within the components that come of these
+    first = C.saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "op10-first")
+    tested = verified(docs, first, k, num, den)
     components = connected_components(tested.where("link"), "a", "b")
+    label = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    rest = C.saved(apart.join(first, ["a", "b"], "left_anti"), "op10-rest")
+    if not rest.isEmpty():
+        tested = tested.unionByName(verified(docs, rest, k, num, den))
+        components = connected_components(tested.where("link"), "a", "b")
+    C.tidy(docs.sparkSession)
     if not tested.where("not link").isEmpty():
-        # where a forest's pair failed, all pairs that would join the components that are left
+        # where a forest's pair failed, all pairs under keys of many members that would join the components that are left
         apart = large.join(components, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
-        pairs = C.saved(candidates(apart, sets, num, den, False).join(tested, ["a", "b"], "left_anti"), "op10-pairs")
-        if not pairs.isEmpty():
-            tested = tested.unionByName(verified(docs, pairs, k, num, den))
+        more = C.saved(candidates(apart, sets, num, den, False).join(tested, ["a", "b"], "left_anti"), "op10-pairs")
+        if not more.isEmpty():
+            tested = tested.unionByName(verified(docs, more, k, num, den))
             components = connected_components(tested.where("link"), "a", "b")
     C.forget(large)
     C.forget(sets)
