@@ -626,3 +626,32 @@ def test_written_shards_come_back_whole_and_in_order(docs, rows, spark, tmp_path
         assert len(files) == 1
         slots = pq.read_table(files[0], partitioning=None).column("slot").to_pylist()
         assert slots == list(range(len(slots)))
+
+
+def test_rows_without_an_id(spark, rows):
+    """They take part with the results that the operators define, and change nothing for the others."""
+    mine = rows[:25]
+    extra = [(None, mine[3][1], "s"), (None, "one two three four five six seven " * 12, "s"), (None, None, None)]
+    alone, both = (spark.createDataFrame(x, "doc_id long, text string, source string").repartition(3) for x in (mine, mine + extra))
+
+    def more(run, *fields):
+        with_them, without = (Counter(tuple(bytes(r[f]) if isinstance(r[f], bytearray) else r[f] for f in fields) for r in run(x).collect()) for x in (both, alone))
+        assert not without - with_them
+        return with_them - without
+
+    words = lambda t: (t or "").split()
+    assert more(substring_dedup.substring_dedup, "doc_id", "n_words", "n_removed", "kept_text") == Counter((None, len(words(t)), 0, " ".join(words(t))) for _, t, _ in extra)
+    assert more(suffix_dedup.suffix_dedup, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == Counter((None, len((t or "").encode()), 0, 0, (t or "").encode()) for _, t, _ in extra)
+    assert more(parity_join.jaccard_components, "doc_id", "n_shingles", "component_id") == Counter((None, len(shingles(t, 4)), None) for _, t, _ in extra)
+    ids = [len(x) + 1 for x in reference_ids([t for _, t, _ in extra])]
+    assert sum(n for (_, n), k in more(packing.pack, "doc_id", "length").items() for _ in range(k)) == sum(ids)
+    assert more(lambda d: sharding.shard(d, F.lit(20)).select("row.doc_id", "row.text"), "doc_id", "text") == Counter((None, t) for _, t, _ in extra)
+    assert more(lambda d: fingerprints.fingerprint(d).select("row.doc_id", "fingerprint"), "doc_id", "fingerprint") == Counter((None, fingerprints.coded(fingerprints.sketches(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0])) for _, t, _ in extra)
+    edits = fingerprints.compare_edits(both).collect()
+    assert sum(r["doc_id"] is None for r in edits) == 3 and len(edits) == len(mine) + 3
+    last = max((r for r in edits if r["doc_id"] is not None), key=lambda r: r["doc_id"])
+    text = dict((i, t or "") for i, t, _ in mine)[last["doc_id"]]
+    # after the last comes the first: rows without an id, the empty one of them first
+    assert last["edited_sha256"] == hashlib.sha256(fingerprints.edited(text, "").encode()).hexdigest()
+    taken = [r for r in mixing.mix(both, mixing.word_count("text")).select("row.doc_id", "size", "taken").collect() if r["doc_id"] is None]
+    assert len(taken) == 3 and all(r["taken"] <= 2 * r["size"] for r in taken)

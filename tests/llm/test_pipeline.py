@@ -1,12 +1,13 @@
 """Each stage of the pipeline on its own input, against a plain version."""
 
+import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline as P
 
-from .test_operators import corpus, shingles, units_removed
+from .test_operators import corpus, reference_ids, shingles, units_removed
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,6 +34,28 @@ def test_classifier_keeps_clean_documents(spark, docs, folder):
     assert out.dtypes == docs.dtypes and out.count() == docs.count()
 
 
+def test_classifier_drops_what_it_was_taught(spark, tmp_path):
+    """Against the plain decision: a word of the bad ratings, or shouting, tells; held-out rows, extra names and rows without an id."""
+    rng = random.Random(3)
+    good = ["river", "stone", "garden", "letter", "window", "summer", "music", "paper"]
+    rows, labels = [], []
+    for i in range(600):
+        w = [rng.choice(good) for _ in range(40)]
+        if i % 4 == 0:
+            w[rng.randrange(40)] = "moron"
+        elif i % 4 == 1:
+            w = [x.upper() + "!!" for x in w]
+        rows.append((i if i < 590 else None, " ".join(w), "en", "s", 1, 0.25))
+        labels.append((i, int(i % 4 != 1), int(i % 4 == 0)))
+    spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(rows, COLUMNS + ", keep double")
+    out = P.classify(spark, df, str(tmp_path))
+    assert out.dtypes == df.dtypes
+    got = Counter(r["text"] for r in out.collect())
+    plain = Counter(r[1] for i, r in enumerate(rows) if i % 4 > 1)
+    assert sum((got - plain).values()) + sum((plain - got).values()) <= 6
+
+
 def test_one_document_of_each_group_stays(spark, docs, rows, folder):
     sets = {i: shingles(t, 5) for i, t, _ in rows}
     parent = {i: i for i in sets}
@@ -87,8 +110,13 @@ def test_mix_leaves_the_order_of_the_shards(spark, docs, folder):
 
 def test_packed_sequences(spark, docs, rows, folder):
     out = P.pack_sequences(spark, docs, folder).collect()
-    assert {r["doc_id"] for r in out} == {i for i, _, _ in rows}
-    assert max(Counter(r["sequence_id"] for r in out).values()) and all(r["offset"] + r["length"] <= 1024 for r in out)
+    tokens = {i: len(ids) + 1 for (i, _, _), ids in zip(rows, reference_ids([t for _, t, _ in rows]), strict=True)}
+    assert Counter({i: sum(r["length"] for r in out if r["doc_id"] == i) for i in tokens}) == Counter(tokens)
+    held = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == held.get(r["sequence_id"], 0)
+        held[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(held.values()) <= 1024 and len(held) == out[0]["n_sequences"] >= out[0]["least_sequences"] >= -(-sum(tokens.values()) // 1024)
 
 
 def test_run_on_an_empty_table(spark, folder, tmp_path):
