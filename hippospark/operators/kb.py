@@ -76,6 +76,14 @@ def contradictions(heads: DataFrame) -> DataFrame:
     return g.where(F.size("values") > 1)
 
 
+def contradicting_facts(heads: DataFrame) -> DataFrame:
+    """Each head fact of a contradictory key with the values of its siblings that are not its own. A key's distinct values make one
+    row, however many facts assert them."""
+    h = heads.withColumn("_norm", S.fact_value(F.col("value")))
+    g = h.groupBy(*KEY).agg(F.array_sort(F.collect_set("_norm")).alias("_all")).where(F.size("_all") > 1)
+    return h.join(g, list(KEY)).withColumn("siblings", F.array_remove("_all", F.col("_norm"))).drop("_norm", "_all")
+
+
 def newest(assertions: DataFrame, time: str) -> DataFrame:
     """Head facts: the assertions of each key's last time, all of them."""
     last = assertions.groupBy(*KEY).agg(F.max(time).alias("_last"))
@@ -91,6 +99,12 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str, version: str, keep:
     return every.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
+def record_times(records: DataFrame, times: str = "timestamps") -> DataFrame:
+    """K1: records with the first and the last of their times, empty where they have none."""
+    t = F.filter(times, lambda x: x.isNotNull() & (x != ""))
+    return records.withColumns({"timestamp_start": F.coalesce(F.array_min(t), F.lit("")), "timestamp_end": F.coalesce(F.array_max(t), F.lit(""))})
+
+
 def support_edges(edges: DataFrame, src: str, dst: str, *more: str) -> DataFrame:
     """One relation per ends and type, with the support of all assertions."""
     return edges.groupBy(src, dst, *more).agg(F.count("*").alias("support"))

@@ -143,9 +143,10 @@ def recall_confidence(hits: DataFrame, score_col: str, strong: float = 0.4, few:
     return hits.agg(F.count("*").alias("total"), F.count_if(F.col(score_col) >= strong).alias("strong")).withColumn("thin", (F.col("total") < few) | (F.col("strong") == 0))
 
 
-def entity_matches(entities: DataFrame, terms: Sequence[str], id_col: str, name_col: str, k: int = 10) -> DataFrame:
-    """Entities whose name holds most query tokens."""
-    hits = sum((F.lower(F.col(name_col)).contains(t.lower()).cast("int") for t in terms), F.lit(0))
+def entity_matches(entities: DataFrame, terms: Sequence[str], id_col: str, name_col: str, k: int = 10, also: Sequence[str] = ()) -> DataFrame:
+    """Entities whose name, or another of their texts (key, aliases), holds most query tokens."""
+    text = F.lower(F.concat_ws("\n", name_col, *also))
+    hits = sum((text.contains(t.lower()).cast("int") for t in terms), F.lit(0))
     return entities.select(id_col, name_col, hits.cast("long").alias("hits")).where("hits > 0").orderBy(F.desc("hits"), id_col).limit(k)
 
 

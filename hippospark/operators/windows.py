@@ -11,6 +11,16 @@ def incremental(rows: DataFrame, at: str, seq: str, after: int, after_seq: int,
     return rows.where((F.col(at) > after) | ((F.col(at) == after) & (F.col(seq) > after_seq))).orderBy(at, seq).limit(limit)
 
 
+def next_cursor(rows: DataFrame, at: str, seq: str) -> DataFrame:
+    """The composite cursor after these rows: their latest time and the largest number at it; nulls without rows."""
+    return rows.agg(F.max(F.struct(at, seq)).alias("c")).select(F.col(f"c.{at}").alias(at), F.col(f"c.{seq}").alias(seq))
+
+
+def context_tokens(messages: DataFrame, session: str, tokens: str, system: int = 0, prompt: int = 0) -> DataFrame:
+    """What a context holds: its messages' tokens, half a token a message for their frames, the system's and the prompt's."""
+    return messages.groupBy(session).agg((F.sum(tokens) + F.ceil(0.5 * F.count("*")) + system + prompt).cast("long").alias("tokens"))
+
+
 def keyset(rows: DataFrame, key: str, after: object, limit: int) -> DataFrame:
     """S4, S5."""
     return rows.where(F.col(key) > after).orderBy(key).limit(limit)

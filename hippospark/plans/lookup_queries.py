@@ -332,3 +332,49 @@ def rollover_recaps(spark: SparkSession, d: str) -> DataFrame:
     e = happenings(spark, d)
     done = L.previous_session(e, current(spark, d)).where(F.col("session_key").like("u%5")).select(F.concat(F.lit("r"), "session_key").alias("id"), F.lit(1 << 60).alias("ts_us"), "session_key", "session_id", F.lit("session_recap").alias("type"))
     return L.rollover_recaps(e.unionByName(done, allowMissingColumns=True), current(spark, d), 1, "2024-06-01T00:00:00Z").select("session_key", "session_id", "text")
+
+
+@q(f"WITH {ENTITIES_SQL} SELECT id, name, CAST(contains(t, 'building') AS BIGINT) + CAST(contains(t, '7') AS BIGINT) + CAST(contains(t, 'person:customer#000000042') AS BIGINT) AS hits FROM (SELECT *, lower(name || chr(10) || canonical_key || chr(10) || aliases[1]) AS t FROM ent) WHERE hits > 0 ORDER BY hits DESC, id LIMIT 12")
+def entity_alias_match(spark: SparkSession, d: str) -> DataFrame:
+    """In names, keys and aliases."""
+    from hippospark.operators.retrieval import entity_matches
+
+    return entity_matches(entities(spark, d), ("Building", "7", "person:customer#000000042"), "id", "name", 12, ("canonical_key", "aliases"))
+
+
+@q("WITH m AS (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS l FROM orders), h AS (SELECT o_custkey, o_orderkey, o_orderpriority AS v FROM m WHERE o_orderdate >= l - INTERVAL 200 DAY), g AS (SELECT o_custkey, list_sort(list(DISTINCT v)) AS a FROM h GROUP BY 1 HAVING count(DISTINCT v) > 1) SELECT o_orderkey AS id, list_filter(a, lambda x: x <> v) AS siblings FROM h JOIN g USING (o_custkey)")
+def contradiction_siblings(spark: SparkSession, d: str) -> DataFrame:
+    """What other orders of a customer's last two hundred days say against each."""
+    from hippospark.operators import kb
+
+    from .bindings import epoch_s
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.lit("priority").alias("attribute"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("id"), epoch_s("o_orderdate").alias("at"))
+    last = o.groupBy("entity_id").agg(F.max("at").alias("last"))
+    return kb.contradicting_facts(o.join(last, "entity_id").where("at >= last - 200 * 86400")).select("id", "siblings")
+
+
+@q("SELECT o_custkey, min(CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS timestamp_start, max(CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS timestamp_end FROM orders GROUP BY 1")
+def record_times(spark: SparkSession, d: str) -> DataFrame:
+    """K1."""
+    from hippospark.operators import kb
+
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderdate").cast("date").cast("string")).alias("timestamps"))
+    return kb.record_times(g).select("o_custkey", "timestamp_start", "timestamp_end")
+
+
+@q(f"WITH {L0_SQL}, r AS (SELECT ts_ms, turn FROM l0 WHERE ts_ms > 1704240000000 ORDER BY ts_ms, turn LIMIT 50) SELECT max(ts_ms) AS ts_ms, arg_max(turn, (ts_ms, turn)) AS turn FROM r")
+def cursor_after_read(spark: SparkSession, d: str) -> DataFrame:
+    """Where the next read goes on."""
+    from hippospark.operators.windows import incremental, next_cursor
+
+    return next_cursor(incremental(l0_messages(spark, d), "ts_ms", "turn", 1_704_240_000_000, 1 << 30, 50), "ts_ms", "turn")
+
+
+@q("SELECT conv_id, CAST(sum(ceil(length(text) / 4.0)) + ceil(0.5 * count(*)) + 120 + 30 AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+def context_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """With the system's and the prompt's tokens."""
+    from hippospark.operators.windows import context_tokens
+
+    m = table(spark, d, "conversations").select("conv_id", F.ceil(F.char_length("text") / 4).alias("tokens"))
+    return context_tokens(m, "conv_id", "tokens", 120, 30)
