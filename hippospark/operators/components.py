@@ -27,11 +27,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         sign = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(e, both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(_least(e, both).hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = small.groupBy("u").agg(F.min("v").alias("m"))
-        star = small.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        star = small.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         old, e = e, saved(star.where("u <> v").distinct(), "edges")
         forget(old)
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
