@@ -59,7 +59,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([special] if special else []))
         self.plain, self.with_special, self.mark = coding.encode_ordinary, lambda t: coding.encode(t, allowed_special="all"), special and special[0]
-        self.entries = entries
+        self.entries, self.highest = entries, coding.max_token_value
         self.clear()
 
     @classmethod
