@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from hippospark.functions.storage import forget, saved, shared_dir, tidy
 
@@ -43,8 +44,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of bytes: blocks of 8 bytes are mixed in one after the other, and long stretches go through XXH3."""
+    size = (ends - starts).astype(np.uint64)
+    out = mix(size + np.uint64(0x9E3779B97F4A7C15 + seed))
+    blocks = np.ndarray(len(data), np.uint64, np.concatenate((data, np.zeros(8, np.uint8))).data, strides=(1,)) if len(data) else np.zeros(0, np.uint64)
+    some, at, left = np.flatnonzero((size > 0) & (size <= 64)), starts, size
+    while len(some):
+        n = left[some]
+        block = blocks[at[some]]
+        short = n < 8
+        block[short] &= (np.uint64(1) << (n[short] * np.uint64(8))) - np.uint64(1)
+        out[some] = mix(out[some] ^ block) + np.uint64(0x94D049BB133111EB)
+        some = some[n > 8]
+        if len(some):
+            at, left = (at + 8, left - np.uint64(8))
+    long = np.flatnonzero(size > 64)
+    if len(long):
+        body = data.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(body[x:y], seed) for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any stretch of a sequence of 64-bit units, from one prefix sum."""
+    """Polynomial hashes modulo 2**64 of short stretches of a sequence of 64-bit units, from one prefix sum.
+
+    Only for windows, runs of them and shingles: over some thousand units there are different sequences that every such
+    polynomial takes for equal. Bytes of any length go through `byte_hashes`.
+    """
 
     def __init__(self, base: int, seed: int):
         self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
@@ -74,9 +101,9 @@ class Rolling:
 ONE, TWO = Rolling(0x2545F4914F6CDD1D, 1), Rolling(0x9E6C63D0876A9A47, 2)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of other than ASCII white space) and each document's first word."""
-    black = ~WHITE[data]
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes other than those between words) and each document's first word."""
+    black = ~between[data]
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[off] = True
@@ -89,7 +116,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return ONE.span(ONE.prefix(data), starts, ends)
+    return byte_hashes(data, starts, ends)
 
 
 def runs(units: np.ndarray, off: np.ndarray, window: int, k: int, content: bool = True) -> dict[str, np.ndarray]:

@@ -139,7 +139,7 @@ class Encoder:
         starts, ends = np.concatenate((starts, off[whole])), np.concatenate((ends, off[whole + 1]))
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
-        unit, one, back = np.unique(C.ONE.span(C.ONE.prefix(data), starts, ends), return_index=True, return_inverse=True)
+        unit, one, back = np.unique(C.byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = self.find(unit)
         fresh = np.flatnonzero(place < 0)
         if len(fresh):

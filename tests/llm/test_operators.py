@@ -12,11 +12,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from hippospark.llm import collision_ann, fingerprints, mixing, packing, parity_join, quality, sharding, substring_dedup, suffix_dedup, tokens
+from hippospark.llm import common as C
 
 #: Names that the operators use inside, as columns of the caller.
 CLASHING = "doc_id long, text string, source string, text_key string, start int, n int, a string, bucket string, rest string, marks string, size string, hash string"
 
 
+def alternating(one="a", two="b", times=10):
+    """Words that polynomial hashes modulo a power of two take for equal."""
+    word, other = one, two
+    for _ in range(times):
+        word, other = word + other, other + word
+    return word, other
+
+
 def corpus(seed=1, n=60):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 7))) for _ in range(400)]
@@ -38,6 +47,8 @@ def corpus(seed=1, n=60):
         else:
             texts.append(rng.choice(["\n", " ", "\t"]).join(words))
     texts += [None, "", "   ", "One two.", "x", " ".join(rng.choice(vocabulary) for _ in range(6000)), "A b C d e", "a B c D e"]
+    for word in alternating():
+        texts += [f"see {word}", f"q r s t {word}", " ".join([*passage.split(" ")[:30], word, *passage.split(" ")[30:60]])]
     rows = [(i * 3, t, f"src{i % 5}" if i % 7 else None) for i, t in enumerate(texts)]
     return rows + [rows[3], rows[3], rows[5]]
 
@@ -498,6 +509,16 @@ def reference_ids(texts):
     return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_hashes_of_bytes():
+    """They tell apart what differs in a byte or in length, wherever it stands, and nothing else."""
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"ab\0") for _ in range(n)) for n in [*range(0, 20), 63, 64, 65, 71, 130] for _ in range(4)] + [x.encode() for x in alternating() + alternating(times=3)]
+    data, edge = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    h = C.byte_hashes(data, edge[:-1], edge[1:]).tolist()
+    assert len(set(h)) == len(set(parts)) == len(set(zip(h, parts, strict=True)))
+    assert not len(C.byte_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
 def test_encoder_equals_tokenizer():
     rng = random.Random(3)
     bits = ["a", "B", "the", " ", " ", "\n", ".", ",", "'s", "é", " ", "　", "1", "\t", "!?", "…", "日", " ", "\x85", "\x1c", "<|endoftext|>", "🙂"]
