@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collision_ann, fingerprints, first_fit, mixing, packing, parity_join, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, tokens
+from . import collision_ann, collocations, fingerprints, first_fit, mixing, packing, parity_join, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, tokens
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_parity_join": parity_join.op10_parity_join,
+        "op11_collocations": collocations.op11_collocations,
         "op12_first_fit_packing": first_fit.op12_first_fit_packing,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": substring_dedup.ORACLE,
         "op9_suffix_dedup": suffix_dedup.ORACLE,
         "op10_parity_join": parity_join.ORACLE,
+        "op11_collocations": collocations.ORACLE,
         "op13_prefix_trie": prefix_trie.ORACLE,
     }
