@@ -11,8 +11,9 @@ Equal sets are joined beforehand and stand for one. A set with too few filled pa
 prefix of its sorted hashes; two such sets that link share one of these.
 
 Defined results: null and empty texts have no shingles and their own component; texts of fewer words than a shingle
-have one; repeated rows count alike; a null doc_id has a null component; an empty table gives an empty result; extra
-columns are ignored.
+have one; repeated rows count alike; rows that share a doc_id but not their shingles are texts of their own, which link
+each for itself, and a component's number is the least doc_id of its texts; a null doc_id has a null component; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hippospark.operators.components import connected_components
@@ -58,6 +60,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[keep], np.searchsorted(doc[keep], np.arange(len(n) + 1))
 
 
+def set_keys(h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits by which a class of equal sets is known: two independent sums over its hashes."""
+    sums = lambda x: np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(x))))
+    one, two = sums(h + np.uint64(77)), sums((h ^ np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9FB21C651E98DF25))
+    n = np.diff(edge).astype(np.uint64)
+    return C.mix(one[edge[1:]] - one[edge[:-1]] + n).view(np.int64), C.mix(two[edge[1:]] - two[edge[:-1]]).view(np.int64)
+
+
 @cache
 def band(level: int, num: int, den: int) -> tuple[int, int]:
     """Most differing shingles of a linked pair whose smaller set is in this band, and the number of parts."""
@@ -102,9 +112,9 @@ def part_keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataFrame:
-    """Rows of two kinds: one per document (doc_id, n, sid, sid2, sketch, and small, the sketch folded), and join keys packed by bucket (bucket, ids, head, low)."""
-    names = ["doc_id", "n", "sid", "sid2", "sketch", "small", "bucket", "ids", "head", "low"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    """Rows of two kinds: one per row of docs (doc_id, text_key, n, sid, sid2, sketch, and small, the sketch folded), and join keys packed by bucket (bucket, ids, head, low)."""
+    names = ["doc_id", "text_key", "n", "sid", "sid2", "sketch", "small", "bucket", "ids", "head", "low"]
+    kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def emit(held: dict) -> pa.RecordBatch:
         sid = np.array(list(held), np.int64)
@@ -117,25 +127,21 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
             count = np.bincount(doc[order[x:y]], minlength=len(sid))
             some = np.flatnonzero(count)
             head = np.concatenate((sid[some], count[some])).tobytes()
-            rows.append((None, None, None, None, None, None, bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(10)], names)
+            rows.append((*[None] * 7, bucket[order[x]], len(some), C.packed(head), m[order[x:y]].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for batch in batches:
             for piece, data, off in C.slices(batch, "text"):
                 h, edge = shingle_sets(data, off, k)
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(h + np.uint64(77)))))
                 n = np.diff(edge)
-                sid = C.mix(total[edge[1:]] - total[edge[:-1]] + n.astype(np.uint64)).view(np.int64)
-                # a class of equal sets is known by 128 bits: two independent sums over its hashes
-                other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix((h ^ np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9FB21C651E98DF25)))))
-                sid2 = C.mix(other[edge[1:]] - other[edge[:-1]]).view(np.int64)
+                sid, sid2 = set_keys(h, edge)
                 sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 none = pa.nulls(len(n), pa.int32())
                 table = [parity(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid), pa.array(sid2), pa.array([None if t is None else t.tobytes() for t in table], pa.binary()), pa.array([None if t is None else fold(t, places(len(x)) // SHRINK).tobytes() for t, x in zip(table, sets, strict=True)], pa.binary()), none, none, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names
+                    [piece.column("doc_id"), piece.column("text_key"), pa.array(n, pa.int64()), pa.array(sid), pa.array(sid2), pa.array([None if t is None else t.tobytes() for t in table], pa.binary()), pa.array([None if t is None else fold(t, places(len(x)) // SHRINK).tobytes() for t, x in zip(table, sets, strict=True)], pa.binary()), none, none, pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], names
                 )
                 for s, x in zip(sid.tolist(), sets, strict=True):
                     if len(x) and s not in held:
@@ -147,7 +153,7 @@ def sketches(docs: DataFrame, buckets: int, k: int, num: int, den: int) -> DataF
         if size:
             yield emit(held)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, sid long, sid2 long, sketch binary, small binary, bucket int, ids int, head binary, low binary")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(each, "doc_id long, text_key long, n long, sid long, sid2 long, sketch binary, small binary, bucket int, ids int, head binary, low binary")
 
 
 def shared(packed: DataFrame) -> DataFrame:
@@ -293,15 +299,19 @@ def candidates(members: DataFrame, sets: DataFrame, num: int, den: int, tree: bo
     return found.where("known").select("a", "b").unionByName(met.mapInArrow(close, "a long, b long"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs with whether they link, by the whole sets of the texts."""
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs of classes with whether they link, by the whole sets of their texts. classes: sid, sid2, label, and doc, a row that has a text of the class."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, data, off in C.slices(batch, "text"):
                 h, edge = shingle_sets(data, off, k)
                 body = h.tobytes()
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([body[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
+                own = [pa.array(x) for x in set_keys(h, edge)]
+                # other texts under the same doc_id are of other classes
+                same = pa.compute.and_(pa.compute.equal(own[0], piece.column("sid")), pa.compute.equal(own[1], piece.column("sid2")))
+                out = pa.RecordBatch.from_arrays([piece.column("label"), pa.array([body[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["label", "shingles"])
+                yield out.filter(same)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,50 +320,71 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
             link = [den * i >= num * (len(x) + len(y) - i) for i, x, y in zip(both, left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
 
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    found = docs.join(involved, "doc_id").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
-    found = C.saved(found.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "op10-sets")
+    involved = pairs.select(F.col("a").alias("label")).unionByName(pairs.select(F.col("b").alias("label"))).distinct()
+    involved = classes.join(involved, "label").select("label", "sid", "sid2", F.col("doc").alias("doc_id"))
+    found = docs.join(involved, "doc_id").select("label", "sid", "sid2", "text").mapInArrow(sets, "label long, shingles binary")
+    found = C.saved(found.groupBy("label").agg(F.first("shingles").alias("shingles")), "op10-sets")
     # the larger number has few partners, the smaller one may be the head of a family: its set is not repeated for each of them
-    rows = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(found.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    rows = pairs.join(found.select(F.col("label").alias("b"), F.col("shingles").alias("sb")), "b").join(found.select(F.col("label").alias("a"), F.col("shingles").alias("sa")), "a")
     out = C.saved(rows.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, link boolean"), "op10-tested")
     C.forget(found)
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num / den)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, with_keys: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the least doc_id reachable by links of Jaccard >= num / den), and text_key if asked for."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table = C.saved(sketches(docs, max(1, -(-total // INDEX_BYTES)), k, num, den), "op10-sketches")
-    of = C.saved(table.where("bucket is null").select("doc_id", "n", "sid", "sid2"), "op10-docs")
-    sets = C.saved(table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small")), "op10-classes")
+    of = C.saved(table.where("bucket is null").select("doc_id", "text_key", "n", "sid", "sid2"), "op10-docs")
+    one = table.where("bucket is null and n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"))
+    sets = C.saved(one.withColumn("label", F.col("doc")), "op10-classes")
+    # where several classes have the same least doc_id, each goes by a number of its own
+    twice = sets.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select("doc", F.lit(True).alias("twice"))
+    clash = not twice.isEmpty()
+    if clash:
+        plain = sets
+        sets = C.saved(plain.join(twice, "doc", "left").withColumn("label", F.when(F.col("twice"), F.xxhash64("doc", "sid", "sid2")).otherwise(F.col("doc"))).drop("twice").select(*plain.columns), "op10-classes")
+        C.forget(plain)
+    labelled = sets.select("sid", "sid2", "doc", "label")
     filed = C.saved(shared(table.where("bucket is not null").select("bucket", "ids", "head", "low")), "op10-filed")
-    few = filed.where("not many").join(sets.select("sid", "doc", "n", "small"), "sid").select("bucket", "doc", "n", F.lit(None).cast("binary").alias("sketch"), "small", "low")
-    many = filed.where("many").join(sets, "sid").select("bucket", "doc", "n", "sketch", "small", "low")
-    members = few.unionByName(many).withColumn("label", F.col("doc"))
-    classes = C.saved(sets.select("sid", "sid2", "doc"), "op10-ids")
     C.forget(table)
-    pairs = C.saved(candidates(members, sets, num, den, True), "op10-pairs")
+    few = filed.where("not many").join(sets.select("sid", "label", "n", "small"), "sid").select("bucket", "label", "n", F.lit(None).cast("binary").alias("sketch"), "small", "low")
+    many = filed.where("many").join(sets, "sid").select("bucket", "label", "n", "sketch", "small", "low")
+    members = few.unionByName(many).withColumns({"doc": F.col("label")})
+    classes = C.saved(labelled, "op10-ids")
+    sketched = sets.select(F.col("label").alias("doc"), "n", "sketch")
+    pairs = C.saved(candidates(members, sketched, num, den, True), "op10-pairs")
     # below, only keys of many members are looked at again
-    large = C.saved(many, "op10-members")
+    large = C.saved(many.withColumn("doc", F.col("label")), "op10-members")
     C.forget(filed)
     C.tidy(docs.sparkSession)
-    tested = verified(docs, pairs, k, num, den)
+    tested = [verified(docs, classes, pairs, k, num, den)]
+    C.forget(pairs)
     C.tidy(docs.sparkSession)
-    components = connected_components(tested.where("link"), "a", "b")
-    if not tested.where("not link").isEmpty():
+    components = connected_components(tested[0].where("link"), "a", "b")
+    if not tested[0].where("not link").isEmpty():
         # where a forest's pair failed, all pairs under keys of many members that would join the components that are left
-        apart = large.join(components, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
-        more = C.saved(candidates(apart, sets, num, den, False).join(tested, ["a", "b"], "left_anti"), "op10-pairs")
+        apart = large.drop("label").join(components, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
+        more = C.saved(candidates(apart, sketched, num, den, False).join(tested[0], ["a", "b"], "left_anti"), "op10-pairs")
         if not more.isEmpty():
-            tested = tested.unionByName(verified(docs, more, k, num, den))
-            components = connected_components(tested.where("link"), "a", "b")
-    C.forget(large)
-    C.forget(sets)
+            tested.append(verified(docs, classes, more, k, num, den))
+            components = connected_components(tested[0].unionByName(tested[1]).where("link"), "a", "b")
+        C.forget(more)
+    for done in (large, sets, *tested):
+        C.forget(done)
     C.tidy(docs.sparkSession)
-    heads = classes.join(components, F.col("doc") == F.col("node"), "left").select("sid", "sid2", F.coalesce("component", "doc").alias("head"))
+    heads = classes.join(components, F.col("label") == F.col("node"), "left").select("sid", "sid2", "doc", F.coalesce("component", "label").alias("head"))
+    if clash:
+        heads = heads.join(heads.groupBy("head").agg(F.min("doc").alias("least")), "head")
+    heads = heads.select("sid", "sid2", F.col("least" if clash else "head").alias("head"))
     out = of.join(heads, ["sid", "sid2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("head"))).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *["text_key"] * with_keys, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("head"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_parity_join(spark, sf_dir: str) -> DataFrame:

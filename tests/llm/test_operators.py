@@ -195,6 +195,22 @@ def test_jaccard_components(docs, rows, empty, k, num, den):
     assert parity_join.jaccard_components(empty, k, num, den).count() == 0
 
 
+def texts_that_share_an_id():
+    """5 twice, with other texts; 7 is near the first of them, 9 near the second, and 9 has a text of its own too."""
+    rng = random.Random(2)
+    base, other, own = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "bow")
+    return [(5, base, "s"), (5, other, "s"), (7, base + " z", "s"), (9, other + " z", "s"), (9, own, "s"), (11, own + " z", "s"), (5, base, "s"), (3, "alone", "s")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 5])
+def test_components_of_texts_that_share_an_id(spark, parts):
+    rows = texts_that_share_an_id()
+    out = parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts))
+    n = {t: len(shingles(t, 4)) for _, t, _ in rows}
+    wanted = dict(zip([t for _, t, _ in rows], [5, 5, 5, 5, 9, 9, 5, 3], strict=True))
+    assert Counter(map(tuple, out.collect())) == Counter((i, n[t], wanted[t]) for i, t, _ in rows)
+
+
 def test_large_groups_of_near_copies(spark):
     """More members under a key than the forest's limit, at all likenesses."""
     rng = random.Random(2)

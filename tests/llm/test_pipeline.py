@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 
-from .test_operators import corpus, reference_ids, shingles, units_removed
+from .test_operators import corpus, reference_ids, shingles, texts_that_share_an_id, units_removed
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,6 +56,15 @@ def test_classifier_drops_what_it_was_taught(spark, tmp_path):
     assert sum((got - plain).values()) + sum((plain - got).values()) <= 6
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_texts_that_share_an_id_stand_for_themselves(spark, folder, parts):
+    rows = texts_that_share_an_id()
+    df = spark.createDataFrame([(i, t, "en", s, len(t), "a", 1) for i, t, s in rows], COLUMNS + ", _id string, _key long").repartition(parts)
+    out = P.drop_near_duplicates(spark, df, folder)
+    assert out.dtypes == df.dtypes
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((i, t) for i, t, _ in rows if i in (3, 5) or not t.endswith(" z"))
+
+
 def test_one_document_of_each_group_stays(spark, docs, rows, folder):
     sets = {i: shingles(t, 5) for i, t, _ in rows}
     parent = {i: i for i in sets}
