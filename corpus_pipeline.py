@@ -1,7 +1,8 @@
 """From documents to packed training sequences: five stages, each on all that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents. Rows that
-share a doc_id count as one document. A null doc_id passes the near-duplicate stage and is never earlier than another.
+share a doc_id but not their text are documents of their own. A null doc_id passes the near-duplicate stage and is never
+earlier than another.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of each component of near duplicates."""
-    groups = parity_join.jaccard_components(docs, SHINGLE, *SIMILAR)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document of least doc_id of each component of near duplicates; other texts under a doc_id stand for themselves."""
+    groups = parity_join.jaccard_components(docs, SHINGLE, *SIMILAR, with_keys=True)
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(others, (docs["doc_id"].cast("long") == others["_id"]) & (parity_join.text_key(docs["text"]) == others["_key"]), "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
