@@ -26,9 +26,9 @@ from . import common as C
 from .tokens import Encoder, vocabulary
 
 CAPACITY, END = 1024, 2
-#: Fillings that the search tries at most; its first descent always ends. Within them it is exact; past them the best so
-#: far stands and the bound that is returned with it shows what is not proved.
-NODES = 3_000
+#: Fillings of any kind that the search looks at; its first descent always ends. Within them it is exact; past them the
+#: best so far stands and the bound that is returned with it shows what is not proved.
+NODES = 10_000
 #: Stretches of the ranks of a length.
 CUTS = 16
 
@@ -90,43 +90,67 @@ def reachable(room: int, sizes: list[int], left: np.ndarray) -> list[int]:
     return reach[::-1]
 
 
-def dominated(fill: list[int], spare: int, sizes: list[int], left: np.ndarray) -> bool:
+def bits(x: int, n: int) -> np.ndarray:
+    """The lowest n bits of a number."""
+    return np.unpackbits(np.frombuffer((x & (1 << n) - 1).to_bytes(-(-n // 8), "little"), np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def dominated(fill: list[int], spare: int, left: np.ndarray) -> bool:
     """Whether pieces of a filling could make room for one that is left out and larger, or equal to several of them, within
     the spare room: what they would leave can then do no worse."""
-    sums: dict[int, int] = {0: 0}
+    sums, several, n = 1, 0, len(left)
     for x in fill:
-        for s, n in list(sums.items()):
-            sums[s + x] = max(sums.get(s + x, 0), n + 1)
-    for s, n in sums.items():
-        for x in range(s, s + spare + 1):
-            if x < len(left) and left[x] > fill.count(x) and (x > s or n > 1):
-                return True
-    return False
+        several |= (several | sums & ~1) << x
+        sums |= sums << x
+    free = left.copy()
+    sizes, times = np.unique(np.array(fill, np.int64), return_counts=True)
+    free[sizes] -= times
+    free = free > 0
+    upto = np.concatenate(([0], np.cumsum(free)))
+    at = np.flatnonzero(bits(sums, n))
+    return bool((upto[np.minimum(at + spare, n - 1) + 1] > upto[at + 1]).any() or (bits(several, n) & free).any())
+
+
+def fillings(need: int, sizes: list[int], left: np.ndarray, reach: list[int]) -> Iterator[list[int]]:
+    """Multisets of sizes that sum to need exactly, large pieces first; reach leads to no dead end."""
+    # open choices: place in sizes, what is still needed there, and the copies taken
+    open_: list[list[int]] = []
+    i = 0
+    while True:
+        while need:
+            while not reach[i + 1] >> need & 1 and not (sizes[i] <= need and left[sizes[i]]):
+                i += 1
+            x = sizes[i]
+            k = min(need // x, int(left[x]))
+            while not (need >= k * x and reach[i + 1] >> need - k * x & 1):
+                k -= 1
+            open_.append([i, need, k])
+            need -= k * x
+            i += 1
+        yield [y for at, _, k in open_ for y in [sizes[at]] * k]
+        while open_:
+            i, need, k = open_.pop()
+            x = sizes[i]
+            k -= 1
+            while k >= 0 and not reach[i + 1] >> need - k * x & 1:
+                k -= 1
+            if k >= 0:
+                open_.append([i, need, k])
+                need -= k * x
+                i += 1
+                break
+        else:
+            return
 
 
 def completions(room: int, left: np.ndarray, most: int) -> Iterator[tuple[int, list[int]]]:
-    """Undominated fillings of `room` from what `left` has, least waste first, up to a waste of `most`: (waste, lengths)."""
+    """Fillings of `room` from what `left` has, least waste first, up to a waste of `most`: (waste, lengths)."""
     sizes = np.flatnonzero(left[: room + 1])[::-1].tolist()
     reach = reachable(room, sizes, left)
-
-    def fills(i: int, need: int) -> Iterator[list[int]]:
-        """Multisets of sizes[i:] that sum to need exactly; reach leads to no dead end."""
-        if not need:
-            yield []
-            return
-        while i < len(sizes) and not reach[i] >> need & 1:
-            return
-        x = sizes[i]
-        for k in range(min(need // x, int(left[x])), -1, -1):
-            if reach[i + 1] >> need - k * x & 1:
-                for more in fills(i + 1, need - k * x):
-                    yield [x] * k + more
-
     for waste in range(0, min(room, most) + 1):
         if reach[0] >> room - waste & 1:
-            for fill in fills(0, room - waste):
-                if not dominated(fill, waste, sizes, left):
-                    yield waste, fill
+            for fill in fillings(room - waste, sizes, left, reach):
+                yield waste, fill
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -174,8 +198,9 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
 
     A node completes the largest length left by an undominated filling, as often as the counts allow at first and less
     often on later branches. A branch ends where its waste, or its bins and the bound of what is left, can no longer
-    beat the incumbent, which is best fit at first. The search is exact when it ends by itself; after `nodes` fillings
-    and the first descent the incumbent stands, and `bound` says how far it may be from the least.
+    beat the incumbent, which is best fit at first. The search is exact when it ends by itself. It looks at `nodes`
+    fillings, dominated ones included; then the first descent ends with any fillings of least waste, at most one for each
+    length, and the incumbent stands. `bound` says how far it may be from the least.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -184,7 +209,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     best = best_fit(left, capacity)
     fewest, tried, descended = sum(n for n, _ in best), 0, False
     path: list[Pattern] = []
-    # open choices, deepest last: (counts left, largest length, fillings to try, filling in use, copies to try, used, waste)
+    # open choices, deepest last: (counts left, largest length, fillings to try, filling in use, copies to try, used, waste, counts to fill from)
     stack: list[list] = []
 
     def choices(used: int, waste: int) -> list | None:
@@ -194,17 +219,19 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         top = int(np.flatnonzero(left)[-1])
         after = left.copy()
         after[top] -= 1
-        return [left.copy(), top, completions(capacity - top, after, (fewest - 1) * capacity - total - waste), None, 0, used, waste]
+        return [left.copy(), top, completions(capacity - top, after, (fewest - 1) * capacity - total - waste), None, 0, used, waste, after]
 
     if fewest > bound and (node := choices(0, 0)):
         stack.append(node)
     while stack and fewest > bound and (tried < nodes or not descended):
         node = stack[-1]
-        before, top, fills, _, copies, used, waste = node
+        before, top, fills, _, copies, used, waste, _ = node
         del path[len(stack) - 1 :]
         left[:] = before
         if not copies:
             following = next(fills, None)
+            while following and tried < nodes and dominated(following[1], following[0], node[7]):
+                tried, following = tried + 1, next(fills, None)
             if following is None:
                 descended = True
                 stack.pop()

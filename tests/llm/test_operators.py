@@ -1,8 +1,10 @@
 """Every operator against a plain version, on rows with nulls, empty and long texts, copies and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -636,6 +638,41 @@ def test_bin_completion_beyond_its_nodes_reports_the_bound():
     assert packing.complete_bins({}).bins == 0
 
 
+@pytest.mark.parametrize(("copies", "low", "high", "capacity"), [(2, 200, 399, 1024), (3, 150, 512, 1024), (3, 300, 1023, 2048), (1, 600, 2048, 4096)])
+def test_bin_completion_ends_whatever_the_lengths(copies, low, high, capacity):
+    """Many lengths with many dominated fillings: every filling that is looked at counts, and no call is deeper than the lengths."""
+    counts = dict.fromkeys(range(low, high + 1), copies)
+    began = time.perf_counter()
+    plan = packing.complete_bins(counts, capacity, nodes=1_000)
+    assert time.perf_counter() - began < 30
+    used = Counter()
+    for n, fill in plan.patterns:
+        assert sum(fill) <= capacity
+        for x in fill:
+            used[x] += n
+    left = np.zeros(capacity + 1, np.int64)
+    left[list(counts)] = copies
+    assert used == counts and plan.bound <= plan.bins <= sum(n for n, _ in packing.best_fit(left, capacity))
+    assert plan.nodes <= 1_000 + len(counts)
+
+
+def test_fillings_and_dominance_against_plain_ones():
+    rng = random.Random(12)
+    for _ in range(300):
+        room = rng.randint(1, 14)
+        left = np.array([0, *(rng.choice([0, 0, 1, 1, 2, 5]) for _ in range(room))])
+        sizes = np.flatnonzero(left)[::-1].tolist()
+        plain = [[]]
+        for x in sizes:
+            plain = [f + [x] * k for f in plain for k in range(int(left[x]), -1, -1) if sum(f) + x * k <= room]
+        got = list(packing.completions(room, left, room))
+        assert sorted(got) == sorted((room - sum(f), f) for f in plain) and [w for w, _ in got] == sorted(w for w, _ in got)
+        for waste, fill in got:
+            subsets = {(sum(c), len(c)) for n in range(len(fill) + 1) for c in itertools.combinations(fill, n)}
+            rest = {x for x in sizes if left[x] > fill.count(x)}
+            assert packing.dominated(fill, waste, left) == any(s < x <= s + waste or x == s and n > 1 for s, n in subsets for x in rest)
+
+
 def test_sharding(docs, rows, empty, spark):
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     clash = docs.withColumns({"_h": F.lit(1), "row": F.lit(2), "shard": F.lit(3), "slot": F.lit(4), "bucket": F.lit(5)})
