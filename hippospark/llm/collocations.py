@@ -3,12 +3,12 @@
 Texts are cut into pieces at punctuation and line ends, and pieces into words. Each task adds its n-grams to a count-min
 sketch of two rows, whose counters stop at the least count that makes a phrase a candidate; the sketches of all tasks are
 merged 64 at a time, block by block. A sketch never counts too little, so an n-gram whose estimate is below the least
-count is surely rare. There are two rounds: words first, then phrases of words that survive. A second pass takes the
-n-grams that survive with all of their parts and counts them exactly, by their texts. Nothing frequent is lost, however
-full the sketch is; a fuller one lets more n-grams through to the exact count.
+count is surely rare. There are three rounds, words, pairs and longer phrases, each on what survives the one before. The
+last pass takes the n-grams that survive with all of their parts and counts them exactly, by their texts. Nothing
+frequent is lost, however full the sketches are; fuller ones let more n-grams through to the exact count.
 
 A sketch has as many counters as the input needs, up to `CELLS` a row. Only one bit a counter comes to the driver and is
-broadcast: at most 2 * CELLS / 8 bytes, whatever the size of the input. Beyond that size the exact count has more to do.
+broadcast: at most 6 * CELLS / 8 bytes, whatever the size of the input. Beyond that size the exact count has more to do.
 
 A phrase and the one that it lies in are counted over all texts, and both counts fall as phrases grow; so a phrase is
 subsumed by some longer candidate exactly when it is by one that is a word longer.
@@ -33,7 +33,9 @@ from .parity_join import LOWER
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2_000, 100
 #: Counters of a sketch's row at most; of a block; bytes of text for each counter; sketches that one task merges.
-CELLS, BLOCK, BYTES_A_CELL, MERGED = 1 << 26, 1 << 18, 64, 64
+CELLS, BLOCK, BYTES_A_CELL, MERGED = 1 << 26, 1 << 18, 128, 64
+#: Phrases of a length that a task holds before it merges equal ones.
+HELD = 1 << 19
 
 STOP, BETWEEN = np.zeros(256, bool), np.zeros(256, bool)
 STOP[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -134,23 +136,31 @@ class Survivors:
         return (one & two).astype(bool)
 
 
-def sketched(docs: DataFrame, cells: int, longest: int, least: int, words: Broadcast | None) -> Survivors:
-    """The merged sketch of words, or, given those that survived, of phrases made of them."""
+def surviving(w: Words, known: list[Survivors], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per length the phrases that survive together with all their parts: n, places, hashes. known: by length; those beyond it survive."""
+    at, h = np.arange(len(w.hashes)), w.hashes
+    for n in range(1, longest + 1):
+        if n > 1:
+            at, h = w.longer(at, h, n)
+        if n <= len(known):
+            keep = known[n - 1].has(h)
+            at, h = at[keep], h[keep]
+        if not len(at):
+            return
+        yield n, at, h
+
+
+def sketched(docs: DataFrame, cells: int, lengths: range, least: int, known: Broadcast) -> Survivors:
+    """The merged sketch of phrases of these lengths all of whose shorter parts survived the rounds before."""
     size, kind = min(BLOCK, cells), np.uint8 if least < 256 else np.uint32
     schema = "line int, block int, part long, counters binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(cells, least)
         for w, _, _ in batches_of_words(batches):
-            if words is None:
-                sketch.add(w.hashes)
-                continue
-            at = np.flatnonzero(words.value.has(w.hashes))
-            h, found = w.hashes[at], []
-            for n in range(2, longest + 1):
-                at, h = w.longer(at, h, n)
-                found.append(h)
-            sketch.add(np.concatenate(found))
+            found = [h for n, _, h in surviving(w, known.value, lengths[-1]) if n in lengths]
+            if found:
+                sketch.add(np.concatenate(found))
         part = TaskContext.get().partitionId()
         for line, block, counters in sketch.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([line], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int64()), pa.array([counters], pa.binary())], ["line", "block", "part", "counters"])
@@ -181,38 +191,66 @@ def sketched(docs: DataFrame, cells: int, longest: int, least: int, words: Broad
     return Survivors(cells, found)
 
 
-def exact_counts(docs: DataFrame, words: Broadcast, phrases: Broadcast, longest: int, least: int) -> DataFrame:
-    """lang, n_words, phrase and f of every phrase of up to `longest` words that occurs `least` times; with n_words 0, the number of all words."""
+class Tally:
+    """Exact counts of phrases of one length in a task's texts, merged when they are `HELD`; phrases are told apart by 128 bits."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, names, lang in batches_of_words(batches):
-            own = lang[w.doc]
-            n = np.bincount(own, minlength=len(names))
-            yield batch(names, np.arange(len(names)), 0, pa.array([b""] * len(names), pa.large_binary()), n)
-            at = np.flatnonzero(words.value.has(w.hashes))
-            h = w.hashes[at]
-            for n in range(1, longest + 1):
-                if n > 1:
-                    at, h = w.longer(at, h, n)
-                    keep = phrases.value.has(h)
-                    at, h = at[keep], h[keep]
-                if not len(at):
-                    break
-                yield from counted(w, names, own, at, h, n)
-
-    def counted(w: Words, names: list[str], own: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-        """Equal phrases of these texts as one row. Their second hash tells apart those whose first ones agree."""
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def add(self, w: Words, lang: np.ndarray, at: np.ndarray, h: np.ndarray, n: int) -> None:
         other = w.hashes[at]
         for k in range(1, n):
             other = C.mix(other ^ (w.hashes[at + k] * STEP))
-        order = np.lexsort((other, h))
-        x, y = h[order], other[order]
-        head = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
-        some = at[order[head]]
-        yield batch(names, own[some], n, w.texts(some, n), np.diff(np.concatenate((head, [len(x)]))))
+        one, place, count = merged(h, other, np.ones(len(h), np.int64))
+        self.parts.append((*one, count, lang[w.doc[at[place]]], w.texts(at[place], n)))
+        self.held += len(count)
+
+    def all(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Language, phrase, count."""
+        h, other, count, lang = (np.concatenate([x[i] for x in self.parts]) for i in range(4))
+        texts = pa.concat_arrays([x[4] for x in self.parts])
+        one, place, count = merged(h, other, count)
+        lang, texts = lang[place], texts.take(pa.array(place))
+        self.parts, self.held = [(*one, count, lang, texts)], len(count)
+        return lang, texts, count
 
-    def batch(names: list[str], lang: np.ndarray, n: int, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(np.full(len(f), n, np.int32)), phrase.cast(pa.binary()), pa.array(f.astype(np.int64))], ["lang", "n_words", "phrase", "f"])
+
+def merged(h: np.ndarray, other: np.ndarray, count: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Equal pairs of hashes as one, the place of each, and their counts' sums."""
+    order = np.lexsort((other, h))
+    x, y = h[order], other[order]
+    head = np.concatenate(([0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1))
+    return (x[head], y[head]), order[head], np.add.reduceat(count[order], head)
+
+
+def exact_counts(docs: DataFrame, known: Broadcast, longest: int, least: int) -> DataFrame:
+    """lang, n_words, phrase and f of every phrase of up to `longest` words that occurs `least` times; with n_words 0, the number of all words."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        total: dict[int, int] = {}
+        tallies = {n: Tally() for n in range(1, longest + 1)}
+
+        def rows(n: int, lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang, pa.int64())), pa.array(np.full(len(f), n, np.int32)), phrase.cast(pa.binary()), pa.array(f, pa.int64())], ["lang", "n_words", "phrase", "f"])
+
+        for w, some, lang in batches_of_words(batches):
+            lang = np.array([names.setdefault(x, len(names)) for x in some], np.int64)[lang]
+            for i, n in zip(*np.unique(lang[w.doc], return_counts=True), strict=True):
+                total[int(i)] = total.get(int(i), 0) + int(n)
+            for n, at, h in surviving(w, known.value, longest):
+                tallies[n].add(w, lang, at, h, n)
+                if tallies[n].held > HELD:
+                    out = tallies[n].all()
+                    if tallies[n].held > HELD // 2:  # few are repeated
+                        yield rows(n, *out)
+                        tallies[n] = Tally()
+        if total:
+            yield rows(0, np.array(list(total)), pa.array([b""] * len(total), pa.large_binary()), np.array(list(total.values())))
+        for n, tally in tallies.items():
+            if tally.parts:
+                yield rows(n, *tally.all())
 
     counts = read(docs).mapInArrow(each, "lang string, n_words int, phrase binary, f long").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
     return counts.where((F.col("f") >= least) | (F.col("n_words") == 0)).withColumn("phrase", F.col("phrase").cast("string"))
@@ -224,11 +262,16 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     if cells is None:
         total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         cells = min(CELLS, max(1 << 16, 1 << (total // BYTES_A_CELL).bit_length()))
-    words = spark.sparkContext.broadcast(sketched(docs, cells, longest, least, None))
-    phrases = spark.sparkContext.broadcast(sketched(docs, cells, longest, least, words))
-    out = C.saved(exact_counts(docs, words, phrases, longest, least), "op11-counts")
-    words.unpersist()
-    phrases.unpersist()
+    known: list[Survivors] = []
+    told = spark.sparkContext.broadcast(known)
+    for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
+        if len(lengths):
+            found = sketched(docs, cells, lengths, least, told)
+            told.unpersist()
+            known = known + [found] * len(lengths)
+            told = spark.sparkContext.broadcast(known)
+    out = C.saved(exact_counts(docs, told, longest, least), "op11-counts")
+    told.unpersist()
     return out
 
 
