@@ -84,8 +84,8 @@ SKIPPED_TRIGGERS = ("cron", "heartbeat", "automation", "schedule")
 SECRET_WORDS = r"(?i)\b(secret|segreto|password|api[_\s-]?key|apikey|token|credential|credenziali)\b"
 CREDENTIAL_TOKEN = r"\b[A-Z][A-Z0-9]{2,}-[A-Z0-9]{2,}(?:-[A-Z0-9]+)*-?\d{1,}\b"
 # Origins of a memory that are trusted, and all that a stamp may hold.
-TRUSTED_ORIGINS = ("lorenzo_confirmed", "authoritative_source")
-ORIGINS = ("conversation", "tool_output", "lorenzo_confirmed", "authoritative_source")
+TRUSTED_ORIGINS = ("user_confirmed", "authoritative_source")
+ORIGINS = ("conversation", "tool_output", "user_confirmed", "authoritative_source")
 STAMP = "struct<origin:string,trust:string,confirmed_by:string,confirmed_at:string,source_message_ids:array<string>,stakes:string,stakes_domain:string,gate_state:string,rejected_at:string,schema:int>"
 #: Words that do not tell entities apart.
 NAME_STOP_WORDS = ("the", "and", "for", "del", "dei", "della", "delle", "degli", "gli", "con", "per", "una", "uno", "che")
@@ -160,9 +160,12 @@ def trust_of(origin: Column) -> Column:
     return F.when(origin.isin(*TRUSTED_ORIGINS), "trusted").otherwise("unverified")
 
 
-def provenance(json: Column) -> Column:
-    """The stamp of a JSON text with its trust derived again from its origin; the default stamp where it does not hold."""
+def provenance(json: Column, stored: dict[str, str] | None = None) -> Column:
+    """The stamp of a JSON text with its trust derived again from its origin; the default stamp where it does not hold. stored: what
+    the texts call an origin, and its name here (for a user's confirmation, whatever word a store has for it)."""
     x = F.from_json(json, STAMP, {"mode": "PERMISSIVE"})
+    for word, own in (stored or {}).items():
+        x = x.withField("origin", F.when(x["origin"] == word, own).otherwise(x["origin"]))
     fine = F.coalesce(x["origin"].isin(*ORIGINS) & x["trust"].isin("unverified", "trusted") & F.coalesce(x["schema"], F.lit(1)).isin(1, 2) & F.coalesce(x["gate_state"], F.lit("clear")).isin("clear", "pending_confirmation", "rejected"), F.lit(False))
     ids = F.when(fine, F.coalesce(x["source_message_ids"], F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     keep = lambda name: F.when(fine, x[name])

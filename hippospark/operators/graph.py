@@ -26,8 +26,8 @@ def strongest(edges: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     return saved(top.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")), "neighbours")
 
 
-def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = THRESHOLD, most: int = MOST, include_seeds: bool = False) -> DataFrame:
-    """Spreading activation from seeds (id, activation).
+def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = THRESHOLD, most: int | None = MOST, include_seeds: bool = False, digits: int | None = 6) -> DataFrame:
+    """Spreading activation from seeds (id, activation). digits: None where the caller goes on computing, and rounds at its own end.
 
     Per hop a node passes activation * share * decay to its strongest neighbours, seeds like others; what reaches other
     nodes than seeds adds up over the hops.
@@ -39,8 +39,9 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float =
         total = frontier if total is None else total.unionByName(frontier)
     if not include_seeds:
         total = total.join(seeds.select("id").distinct(), "id", "left_anti")
-    total = total.groupBy("id").agg(F.round(F.sum("activation"), 6).alias("activation")).where(F.col("activation") >= threshold)
-    return total.orderBy(F.desc("activation"), "id").limit(most)
+    flow = F.sum("activation")
+    total = total.groupBy("id").agg((flow if digits is None else F.round(flow, digits)).alias("activation")).where(F.col("activation") >= threshold)
+    return total if most is None else total.orderBy(F.desc("activation"), "id").limit(most)
 
 
 def cooccurrence(events: DataFrame, event_id: str, entities: str) -> DataFrame:
@@ -63,7 +64,7 @@ def primed(rankings: DataFrame, neighbours: DataFrame, weight: float = 0.15) ->
     """Rankings (id, ranking) with boost, the share of what flows into each from the others in one hop. neighbours: both directions."""
     seeds = rankings.where("ranking > 0").select("id", F.col("ranking").alias("activation"))
     one = neighbours.where("src < dst")
-    got = spread(one, seeds, hops=1, threshold=0.0, most=1 << 30, include_seeds=True)
+    got = spread(one, seeds, hops=1, threshold=0.0, most=None, include_seeds=True, digits=None)
     return rankings.join(got, "id", "left").select("id", "ranking", (weight * F.coalesce("activation", F.lit(0.0))).alias("boost"))
 
 

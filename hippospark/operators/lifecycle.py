@@ -40,11 +40,15 @@ def gate_after(gate: Column, event: str) -> Column:
     return F.when(gate == "rejected", "rejected").otherwise("clear")
 
 
-def guarded_decision(decision: Column, targets: Column, same_type: Column, recalled: Column, similarity: Column) -> Column:
-    """LC13: destructive proposals fall back to storing unless one recalled target of the same type is alike."""
-    safe = (targets == 1) & same_type & recalled & (similarity >= 0.6)
-    d = F.coalesce(decision, F.lit("store"))
-    return F.when(d.isin("update", "merge", "skip") & ~F.coalesce(safe, F.lit(False)), "store").otherwise(d)
+def guarded_decision(decision: Column, targets: Column, same_type: Column, recalled: Column, similarity: Column, merged_type: Column | None = None, own_type: Column | None = None) -> Column:
+    """LC13: what is no known decision stores. A merge or update falls back to storing where it has more than one target, changes the type,
+    or its target is of another type, was not recalled or is not alike; without a target it stands. A memory is skipped only where a
+    recalled one is a near duplicate. similarity: to the target, or for skips the largest to a recalled memory."""
+    fits = (targets == 0) | ((targets == 1) & same_type & recalled & (similarity >= 0.6))
+    if merged_type is not None:
+        fits = fits & (merged_type.isNull() | (merged_type == own_type))
+    d = F.when(decision.isin("update", "merge", "skip"), decision).otherwise("store")
+    return guarded_skip(F.when(d.isin("update", "merge") & ~F.coalesce(fits, F.lit(False)), "store").otherwise(d), similarity)
 
 
 def suppressed(recalled: DataFrame, lifecycle: DataFrame, key: str) -> DataFrame:
@@ -112,7 +116,7 @@ def confirmed(lifecycle: DataFrame, facts: DataFrame, confirmations: DataFrame,
     c = confirmations.select("owner_id", "owner_kind").distinct().withColumn("_hit", F.lit(True))
     rows = ensured(lifecycle, confirmations.select("owner_id", "owner_kind"), now).join(c, ["owner_id", "owner_kind"], "left")
     hit = F.col("_hit").isNotNull()
-    rows = rows.withColumns({"gate_state": F.when(hit, "clear").otherwise(F.col("gate_state")), "origin": F.when(hit, "lorenzo_confirmed").otherwise(F.col("origin")), "updated": F.when(hit, F.lit(now)).otherwise(F.col("updated"))})
+    rows = rows.withColumns({"gate_state": F.when(hit, "clear").otherwise(F.col("gate_state")), "origin": F.when(hit, "user_confirmed").otherwise(F.col("origin")), "updated": F.when(hit, F.lit(now)).otherwise(F.col("updated"))})
     sure = confirmations.where("fact_id is not null").select(F.col("fact_id").alias("id")).distinct().withColumn("_sure", F.lit(True))
     gone = confirmations.where("superseded_fact_id is not null").groupBy(F.col("superseded_fact_id").alias("id")).agg(F.min(F.coalesce("fact_id", "owner_id")).alias("_by"))
     f = facts.join(sure, "id", "left").join(gone, "id", "left")

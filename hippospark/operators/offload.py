@@ -1,5 +1,6 @@
 """Compression of long contexts."""
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -140,31 +141,49 @@ def aggressive(messages: DataFrame, budget: int, ratio: float = 0.4, keep: int =
     return messages.groupBy("session_key").applyInPandas(each, "session_key string, idx long, deleted boolean")
 
 
+def tool_groups(rows: pd.DataFrame) -> list[list[int]]:
+    """What may go from a context whose head must stay, as lists of places: calls with their results, results without a call, other
+    answers. The first message, the last user's and, but for calls, the last one stay."""
+    n, role, call = len(rows), rows.role.tolist(), rows.tool_call_id.tolist()
+    users = [i for i in range(n) if role[i] == "user"]
+    free = [i for i in range(1, n) if not users or i != users[-1]]
+    groups, taken = [], set()
+    for i in free:
+        if role[i] == "assistant" and isinstance(call[i], str):
+            result = next((j for j in free if j > i and j not in taken and role[j] == "tool" and call[j] == call[i]), None)
+            groups.append([i] if result is None else [i, result])
+            taken.update(groups[-1])
+    for kind in ("tool", "assistant"):
+        groups += [[i] for i in free if i not in taken and i < n - 1 and role[i] == kind]
+    return groups
+
+
 def emergency(messages: DataFrame, budget: int, keep: int = 4) -> DataFrame:
-    """Per session delete from the front, then the largest tool group, until the budget is met; keep some messages.
+    """Per session the front goes in cuts of the excess's share (half at most), past tool results and never past the last user's
+    message; once that message leads, the largest tool groups go. messages: session_key, idx, role, tool_call_id, tokens.
 
-    Sequential by nature; a session's messages are one group.
+    Sequential by nature; a session's messages, one context, are one group.
     """
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx").reset_index(drop=True)
-        total, gone = int(rows.tokens.sum()), set()
-        users = rows.index[rows.role == "user"]
-        last = int(users[-1]) if len(users) else len(rows)
-        for i in range(len(rows)):
-            if total <= budget or len(rows) - len(gone) <= keep or i >= last:
+        left = rows
+        while len(left) > keep and (total := int(left.tokens.sum())) > budget:
+            n, role = len(left), left.role.tolist()
+            cut = min(max(1, math.ceil(n * min(0.5, (total - budget) / total))), n - keep)
+            while cut < n - keep and role[cut] == "tool":
+                cut += 1
+            users = [i for i in range(n) if role[i] == "user"]
+            cut = min(cut, users[-1]) if users else cut
+            if cut:
+                left = left.iloc[cut:]
+                continue
+            groups = tool_groups(left)
+            tokens = [int(left.tokens.iloc[g].sum()) for g in groups]
+            if not groups or max(tokens) <= 0 or n - len(best := groups[tokens.index(max(tokens))]) < keep:
                 break
-            gone.add(i)
-            total -= int(rows.tokens[i])
-        if total > budget:
-            left = rows[~rows.index.isin(gone) & rows.tool_call_id.notna()]
-            sizes = left.groupby("tool_call_id").tokens.sum().sort_values(ascending=False, kind="stable")
-            for group, size in sizes.items():
-                if total <= budget:
-                    break
-                gone |= set(left.index[left.tool_call_id == group])
-                total -= int(size)
-        rows["deleted"] = rows.index.isin(gone)
+            left = left.drop(left.index[best])
+        rows["deleted"] = ~rows.index.isin(left.index)
         return rows[["session_key", "idx", "deleted"]]
 
     return messages.groupBy("session_key").applyInPandas(each, "session_key string, idx long, deleted boolean")

@@ -89,12 +89,14 @@ def gate_pending(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.when(hot, L.gate_after(F.lit("clear"), "ask")).otherwise("clear").alias("gate"))
 
 
-@q("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') AND NOT (o_custkey % 2 = 1 AND o_custkey % 3 <> 0 AND o_totalprice >= 60000) THEN 'store' WHEN o_orderstatus = 'F' THEN 'merge' WHEN o_orderstatus = 'P' THEN 'update' ELSE 'store' END AS decision FROM orders")
+@q("""WITH p AS (SELECT o_orderkey, o_custkey % 4 AS targets, o_custkey % 3 <> 0 AS same, o_custkey % 5 <> 0 AS recalled, o_totalprice / 100000 AS alike, CASE WHEN o_orderkey % 7 = 0 THEN 'drop' WHEN o_orderkey % 11 = 0 THEN 'skip' WHEN o_orderstatus = 'F' THEN 'merge' WHEN o_orderstatus = 'P' THEN 'update' WHEN o_orderkey % 3 = 0 THEN 'skip' END AS d, CASE WHEN o_orderkey % 13 = 0 THEN 'persona' END AS merged FROM orders)
+SELECT o_orderkey, CASE WHEN d = 'skip' AND alike >= 0.6 THEN 'skip' WHEN d IN ('merge', 'update') AND merged IS NULL AND (targets = 0 OR targets = 1 AND same AND recalled AND alike >= 0.6) THEN d ELSE 'store' END AS decision FROM p""")
 def dedup_decision_guards(spark: SparkSession, d: str) -> DataFrame:
-    """LC13, LC14."""
-    o = table(spark, d, "orders")
-    proposal = F.when(F.col("o_orderstatus") == "F", "merge").when(F.col("o_orderstatus") == "P", "update").otherwise("store")
-    return o.select("o_orderkey", L.guarded_decision(proposal, F.col("o_custkey") % 2, F.col("o_custkey") % 3 != 0, F.lit(True), F.col("o_totalprice") / 100_000).alias("decision"))
+    """LC13, LC14: proposals with up to three targets, skips, unknown and missing ones, some that change the type."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    proposal = F.when(key % 7 == 0, "drop").when(key % 11 == 0, "skip").when(F.col("o_orderstatus") == "F", "merge").when(F.col("o_orderstatus") == "P", "update").when(key % 3 == 0, "skip")
+    guarded = L.guarded_decision(proposal, F.col("o_custkey") % 4, F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 5 != 0, F.col("o_totalprice") / 100_000, F.when(key % 13 == 0, "persona"), F.lit("episodic"))
+    return o.select("o_orderkey", guarded.alias("decision"))
 
 
 @q("WITH h AS (SELECT p_brand, max(p_size) AS confidence, count(*) AS version FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), n AS (SELECT p_brand, max(p_size) AS confidence FROM part WHERE p_partkey % 2 = 1 GROUP BY 1) SELECT n.p_brand, n.confidence, coalesce(h.version + 1, 1) AS version FROM n LEFT JOIN h USING (p_brand) WHERE h.confidence IS NULL OR n.confidence > h.confidence")

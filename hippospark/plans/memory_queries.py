@@ -138,7 +138,7 @@ def kb_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q(KB_HEAD + f""", {RELATIONS_SQL}, be AS (SELECT entity_id AS id, max(ranking) AS ranking FROM kx WHERE entity_id IS NOT NULL GROUP BY 1), cn AS (SELECT DISTINCT a.src, b.src AS dst FROM (SELECT src, dst FROM rel WHERE src IN (SELECT id FROM be)) a JOIN (SELECT src, dst FROM rel WHERE src IN (SELECT id FROM be)) b ON a.dst = b.dst AND a.src <> b.src),
-tp AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS p FROM cn QUALIFY p <= 8), sh AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM tp), bo AS (SELECT dst AS entity_id, 0.15 * round(sum(ranking * share * 0.5), 6) AS boost FROM sh JOIN be ON be.id = src GROUP BY 1),
+tp AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS p FROM cn QUALIFY p <= 8), sh AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM tp), bo AS (SELECT dst AS entity_id, 0.15 * sum(ranking * share * 0.5) AS boost FROM sh JOIN be ON be.id = src GROUP BY 1),
 ky AS (SELECT kx.*, ranking + coalesce(boost, 0) AS r FROM kx LEFT JOIN bo USING (entity_id)) SELECT id, kind, text, round(greatest(0, least(1, coalesce(cosine, rrf * 61 / (rrf * 61 + 1)))), 6) AS score, round(r, 8) AS ranking FROM ky ORDER BY round(r, 8) DESC, id LIMIT 5""")
 def kb_recall_primed(spark: SparkSession, d: str) -> DataFrame:
     """Customers that ordered a part in common prime each other."""
@@ -186,7 +186,7 @@ def candidate_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q(f"""WITH {HAPPENINGS_SQL}, {RELATIONS_SQL}, {CANDS}, e AS (SELECT entities[1] AS src, entities[2] AS dst, 1 AS w FROM hp WHERE entities[1] IN (SELECT id FROM cd) UNION ALL SELECT src, dst, support FROM rel WHERE src IN (SELECT id FROM cd) AND dst IN (SELECT id FROM cd)), b AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2),
-t AS (SELECT src, dst, w FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 8), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM t), g AS (SELECT dst AS id, round(sum((1 + length(src)) / 10.0 * share * 0.5), 6) AS a FROM s GROUP BY 1)
+t AS (SELECT src, dst, w FROM b QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 8), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM t), g AS (SELECT dst AS id, sum((1 + length(src)) / 10.0 * share * 0.5) AS a FROM s GROUP BY 1)
 SELECT cd.id, round(0.15 * coalesce(a, 0), 6) AS boost FROM cd LEFT JOIN g USING (id)""")
 def priming(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate, ranked by the length of its name."""
@@ -397,11 +397,17 @@ def recent_turns(spark: SparkSession, d: str) -> DataFrame:
     return O.recent_turns(m).select("session_key", "turn", "idx", "role", "text")
 
 
-@q("""WITH m AS (SELECT conv_id AS s, turn AS i, role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM conversations), g AS (SELECT *, sum(t) OVER (PARTITION BY s) AS total, sum(t) OVER (PARTITION BY s ORDER BY i) - t AS before, row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY s) AS n, max(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY s) AS last FROM m)
-SELECT s AS session_key, i AS idx, total - before > 60 AND n - r > 4 AND i < coalesce(last, 1000000) AS deleted FROM g""")
+@q("""WITH RECURSIVE m AS (SELECT conv_id AS s, turn AS i, CASE WHEN role <> 'user' AND turn % 4 = 3 THEN 'tool' ELSE role END AS role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM conversations),
+l AS (SELECT s, list(t ORDER BY i) AS t, list(role ORDER BY i) AS r, count(*) AS n, list(i ORDER BY i) AS i FROM m GROUP BY s),
+g AS (SELECT s, CAST(0 AS BIGINT) AS gone FROM l UNION ALL
+  SELECT s, gone + least(list_filter(range(least(greatest(1, CAST(ceil((n - gone) * least(0.5, (total - 60) / total)) AS BIGINT)), n - gone - 4), n - gone - 3), lambda j: j = n - gone - 4 OR r[gone + j + 1] <> 'tool')[1], last - gone) FROM
+  (SELECT g.s, gone, l.n, l.r, list_sum(l.t[gone + 1:]) AS total, coalesce(list_max(list_filter(range(l.n), lambda j: l.r[j + 1] = 'user')), l.n) AS last FROM g JOIN l USING (s) WHERE l.n - gone > 4) WHERE total > 60 AND last > gone),
+e AS (SELECT s, max(gone) AS gone FROM g GROUP BY s)
+SELECT s AS session_key, unnest(i) AS idx, unnest(list_transform(range(n), lambda j: j < gone)) AS deleted FROM l JOIN e USING (s)""")
 def emergency_delete(spark: SparkSession, d: str) -> DataFrame:
-    """From the front, without tool groups."""
-    m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_key"), F.col("turn").cast("long").alias("idx"), "role", F.lit(None).cast("string").alias("tool_call_id"), F.ceil(F.char_length("text") / 4).cast("long").alias("tokens"))
+    """Every fourth turn is a tool's result; users speak to the end, so the front is enough."""
+    role = F.when((F.col("role") != "user") & (F.col("turn") % 4 == 3), "tool").otherwise(F.col("role"))
+    m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_key"), F.col("turn").cast("long").alias("idx"), role.alias("role"), F.concat(F.lit("call"), F.floor(F.col("turn") / 4)).alias("tool_call_id"), F.ceil(F.char_length("text") / 4).cast("long").alias("tokens"))
     return O.emergency(m, 60).select(F.col("session_key").cast("long").alias("session_key"), "idx", "deleted")
 
 

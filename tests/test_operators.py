@@ -194,11 +194,54 @@ def test_lifecycle(spark):
     assert down[3]["state"] == "dormant" and down[2]["permanence_score"] == pytest.approx(2.7) and down[2]["state"] == "active"
 
 
+def emergency_plain(rows, budget, keep=4):
+    """One message at a time on a list of (idx, role, call, tokens): which are left."""
+    left = list(rows)
+    while len(left) > keep and sum(x[3] for x in left) > budget:
+        total, n = sum(x[3] for x in left), len(left)
+        cut = max(1, math.ceil(n * min(0.5, (total - budget) / total)))
+        cut = min(cut, n - keep)
+        while cut < n - keep and left[cut][1] == "tool":
+            cut += 1
+        users = [i for i, x in enumerate(left) if x[1] == "user"]
+        if users and cut > users[-1]:
+            cut = users[-1]
+        if cut > 0:
+            left = left[cut:]
+            continue
+        groups, used = [], set()
+        for i in range(1, n):
+            if left[i][1] == "assistant" and left[i][2] and i != users[-1]:
+                g = [i]
+                for j in range(i + 1, n):
+                    if left[j][1] == "tool" and left[j][2] == left[i][2] and j not in used:
+                        g.append(j)
+                        break
+                used |= set(g)
+                groups.append(g)
+        groups += [[i] for i in range(1, n - 1) if i not in used and left[i][1] == "tool"] + [[i] for i in range(1, n - 1) if i not in used and left[i][1] == "assistant"]
+        groups.sort(key=lambda g: -sum(left[i][3] for i in g))
+        if not groups or n - len(groups[0]) < keep or sum(left[i][3] for i in groups[0]) <= 0:
+            break
+        left = [x for i, x in enumerate(left) if i not in groups[0]]
+    return {x[0] for x in left}
+
+
 def test_emergency_and_budget(spark):
-    rows = [("s", i, "user" if i in (0, 9) else "assistant", 10, f"t{i}" if i in (3, 4) else None) for i in range(12)]
-    df = spark.createDataFrame(rows, "session_key string, idx long, role string, tokens long, tool_call_id string")
-    gone = {r["idx"] for r in offload.emergency(df, 60).collect() if r["deleted"]}
-    assert gone == {0, 1, 2, 3, 4, 5}
+    rng = random.Random(3)
+    schema = "session_key string, idx long, role string, tool_call_id string, tokens long"
+    # a call, its result, and a budget that the cut between them would meet
+    rows, wanted = [("pair", 0, "assistant", "c", 50), ("pair", 1, "tool", "c", 50)] + [("pair", i, "assistant", None, 15) for i in range(2, 8)], {}
+    for s in range(60):
+        for i in range(rng.randint(1, 16)):
+            role = rng.choice(["assistant", "assistant", "tool", "tool", "user"]) if i and s % 3 else ("user" if i == 0 else rng.choice(["assistant", "tool"]))
+            rows.append((f"s{s}", i, role, None if role == "user" or rng.random() < 0.3 else f"c{rng.randrange(4)}", rng.choice([1, 5, 10, 40])))
+    for s in {r[0] for r in rows}:
+        wanted[s] = emergency_plain([r[1:] for r in rows if r[0] == s], 90)
+    got = offload.emergency(spark.createDataFrame(rows, schema).repartition(3), 90).collect()
+    assert {(r["session_key"], r["idx"]) for r in got if not r["deleted"]} == {(s, i) for s, x in wanted.items() for i in x}
+    assert 1 not in wanted["pair"] and any(max(x) - min(x) + 1 > len(x) for x in wanted.values())
+    df = spark.createDataFrame([("s", i, "assistant", None, 10) for i in range(12)], schema)
     assert windows.prefix_budget(df, "session_key", "idx", "tokens", 0.5).first()["drop"] == 6
 
 
