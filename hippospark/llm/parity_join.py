@@ -321,13 +321,15 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
 
     involved = pairs.select(F.col("a").alias("label")).unionByName(pairs.select(F.col("b").alias("label"))).distinct()
-    involved = classes.join(involved, "label").select("label", "sid", "sid2", F.col("doc").alias("doc_id"))
+    # written first: where they are few, Spark sees so before it shuffles the texts
+    involved = C.saved(classes.join(involved, "label").select("label", "sid", "sid2", F.col("doc").alias("doc_id")), "op10-involved")
     found = docs.join(involved, "doc_id").select("label", "sid", "sid2", "text").mapInArrow(sets, "label long, shingles binary")
     found = C.saved(found.groupBy("label").agg(F.first("shingles").alias("shingles")), "op10-sets")
     # the larger number has few partners, the smaller one may be the head of a family: its set is not repeated for each of them
     rows = pairs.join(found.select(F.col("label").alias("b"), F.col("shingles").alias("sb")), "b").join(found.select(F.col("label").alias("a"), F.col("shingles").alias("sa")), "a")
     out = C.saved(rows.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, link boolean"), "op10-tested")
     C.forget(found)
+    C.forget(involved)
     return out
 
 
