@@ -29,17 +29,28 @@ def fact_versions(facts: DataFrame) -> DataFrame:
     return fact_islands(facts).withColumn("valid_to", F.lead("valid_from").over(w)).withColumn("is_head", F.col("valid_to").isNull())
 
 
-def upsert_facts(facts: DataFrame) -> DataFrame:
-    """K10 in arrival order (learned_at, seq): a fold per key, whatever order valid_from comes in.
+HEAD = "struct<value:string,norm:string,valid_from:bigint,confidence:double,support:bigint>"
+VERSION = "struct<value:string,valid_from:bigint,valid_to:bigint,confidence:double,support:bigint>"
+
 
-    A value that is the same in normal form supports the head, which keeps the value as first stored; a value not older than the head closes it; an older one goes straight to history. A
-    key's facts are folded as one array, so a key must fit a row; keys are entities' attributes, not sources.
+def fold_facts(facts: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Assertions in arrival order (learned_at, seq) folded onto the heads of their keys, whatever order valid_from comes in.
+
+    A value that is the same in normal form supports the head, which keeps the value as first stored; a value not older than
+    the head closes it; an older one goes straight to history. heads: what held before (entity_id, attribute, value,
+    valid_from, confidence, support), one row a key. Rows: the versions that the batch closed, and the head of each of its
+    keys (valid_to null). Only a batch's own assertions of a key meet in a row, however long the key's history is.
     """
     facts = facts.withColumn("_norm", S.fact_value(F.col("value")))
     one = F.struct("learned_at", "seq", "value", F.col("_norm").alias("norm"), "valid_from", "confidence")
-    head = "struct<value:string,norm:string,valid_from:bigint,confidence:double,support:bigint>"
-    row = "struct<value:string,valid_from:bigint,valid_to:bigint,confidence:double,support:bigint>"
-    start = F.struct(F.lit(None).cast(head).alias("head"), F.array().cast(f"array<{row}>").alias("closed"))
+    rows = facts.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    none = F.lit(None).cast(HEAD)
+    if heads is None:
+        rows = rows.withColumn("head", none)
+    else:
+        before = F.struct("value", S.fact_value(F.col("value")).alias("norm"), F.col("valid_from").cast("long").alias("valid_from"), "confidence", F.col("support").cast("long").alias("support"))
+        rows = rows.join(heads.select(*KEY, before.alias("head")), list(KEY), "left")
+    start = F.struct(F.col("head").cast(HEAD).alias("head"), F.array().cast(f"array<{VERSION}>").alias("closed"))
 
     def version(value, valid_from, valid_to, confidence, support):
         return F.struct(value.alias("value"), valid_from.alias("valid_from"), valid_to.cast("bigint").alias("valid_to"), confidence.alias("confidence"), support.cast("bigint").alias("support"))
@@ -61,10 +72,15 @@ def upsert_facts(facts: DataFrame) -> DataFrame:
         h = acc["head"]
         return F.concat(acc["closed"], F.array(version(h["value"], h["valid_from"], F.lit(None), h["confidence"], h["support"])))
 
-    folded = facts.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("rows")).select(*KEY, F.aggregate("rows", start, step, finish).alias("versions"))
+    folded = rows.select(*KEY, F.aggregate("rows", start, step, finish).alias("versions"))
     return folded.select(*KEY, F.explode("versions").alias("v")).select(*KEY, "v.*")
 
 
+def upsert_facts(facts: DataFrame) -> DataFrame:
+    """K10 from nothing: all versions of all keys."""
+    return fold_facts(facts)
+
+
 def asof_facts(facts: DataFrame, at: int) -> DataFrame:
     """The version of each key that was valid at a time."""
     return fact_versions(facts).where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
@@ -84,6 +100,14 @@ def contradicting_facts(heads: DataFrame) -> DataFrame:
     return h.join(g, list(KEY)).withColumn("siblings", F.array_remove("_all", F.col("_norm"))).drop("_norm", "_all")
 
 
+def contradicted_keys(heads: DataFrame, touched: DataFrame) -> DataFrame:
+    """A8 by change: of the keys (entity_id, attribute) that a batch touched, whether their heads contradict each other now; what is
+    true of other keys cannot have changed."""
+    keys = touched.select(*KEY).distinct()
+    now = contradictions(heads.join(keys, list(KEY), "left_semi")).select(*KEY, F.lit(True).alias("_now"))
+    return keys.join(now, list(KEY), "left").select(*KEY, F.coalesce("_now", F.lit(False)).alias("contradiction"))
+
+
 def newest(assertions: DataFrame, time: str) -> DataFrame:
     """Head facts: the assertions of each key's last time, all of them."""
     last = assertions.groupBy(*KEY).agg(F.max(time).alias("_last"))
