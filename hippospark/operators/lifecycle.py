@@ -150,15 +150,20 @@ def judged(lessons: DataFrame, verdicts: DataFrame) -> DataFrame:
     return lessons.join(v, "id", "left").withColumn("willingness", F.when(F.col("_v").isNotNull(), after).otherwise(F.col("willingness"))).select(*lessons.columns)
 
 
+def consolidated_owners(lifecycle: DataFrame, owners: DataFrame, now: int) -> DataFrame:
+    """LC10 but for contradictions: owners (owner_id, owner_kind) are reinforced, then the stale decay."""
+    rows = reinforced_by(lifecycle, owners, now)
+    stale = is_stale(now, F.col("last"), F.col("created"), F.col("state"))
+    return rows.where(~stale).unionByName(decayed(rows.where(stale)).select(*rows.columns))
+
+
 def consolidated(lifecycle: DataFrame, events: DataFrame, facts: DataFrame, heads: DataFrame, session: str, now: int) -> DataFrame:
     """LC10: after a session: its events and the facts from them are reinforced, the stale decay, and facts that contradict others of
     their key are flagged, others cleared. facts: id, source_event_id; heads: id, entity_id, attribute, value."""
     e = events.where(F.col("session_key") == session).select("id")
     owners = e.select(F.col("id").alias("owner_id"), F.lit("event").alias("owner_kind"))
     owners = owners.unionByName(facts.join(e, facts["source_event_id"] == e["id"], "left_semi").select(F.col("id").alias("owner_id"), F.lit("fact").alias("owner_kind")).distinct())
-    rows = reinforced_by(lifecycle, owners, now)
-    stale = is_stale(now, F.col("last"), F.col("created"), F.col("state"))
-    rows = rows.where(~stale).unionByName(decayed(rows.where(stale)).select(*rows.columns))
+    rows = consolidated_owners(lifecycle, owners, now)
     h = heads.withColumn("_norm", S.fact_value(F.col("value")))
     clash = h.groupBy("entity_id", "attribute").agg(F.count_distinct("_norm").alias("n")).where("n > 1")
     flagged = h.join(clash, ["entity_id", "attribute"]).select(F.col("id").alias("owner_id"), F.lit("fact").alias("owner_kind")).distinct().withColumn("_flag", F.lit(True))
@@ -166,6 +171,16 @@ def consolidated(lifecycle: DataFrame, events: DataFrame, facts: DataFrame, head
     return rows.join(flagged, ["owner_id", "owner_kind"], "left").withColumn("contradiction", F.coalesce("_flag", F.lit(False))).select(*lifecycle.columns)
 
 
+def flagged_by_change(lifecycle: DataFrame, facts: DataFrame, changed: DataFrame, now: int) -> DataFrame:
+    """A8, LC10 by change: facts (id, entity_id, attribute) of keys whose contradiction is known anew (entity_id, attribute, contradiction)
+    are flagged or cleared. Rows that differ from the lifecycle's, and no others; what contradicts gets a row where it has none."""
+    key = ["owner_id", "owner_kind"]
+    wanted = facts.join(changed, ["entity_id", "attribute"]).select(F.col("id").alias("owner_id"), F.lit("fact").alias("owner_kind"), F.col("contradiction").alias("_now")).distinct()
+    rows = ensured(lifecycle.join(wanted.select(*key), key, "left_semi"), wanted.where("_now").select(*key), now)
+    rows = rows.join(wanted, key).where(F.col("contradiction") != F.col("_now"))
+    return rows.withColumns({"contradiction": F.col("_now"), "updated": F.lit(now).cast("long")}).select(*lifecycle.columns)
+
+
 def guarded_skip(decision: Column, similarity: Column, least: float = 0.6) -> Column:
     """LC13: a memory is skipped only for a near duplicate."""
     return F.when((decision == "skip") & (F.coalesce(similarity, F.lit(0.0)) < least), "store").otherwise(decision)
