@@ -12,11 +12,13 @@ from hippospark.operators import offload as O
 from hippospark.operators import projections as P
 from hippospark.operators import retrieval as R
 from hippospark.operators import windows as W
+from hippospark.operators.keyword_index import SegmentIndex
 from hippospark.sources import readers
 from hippospark.streaming import sessions as X
 
 from .bindings import ENTITIES_SQL, HAPPENINGS_SQL, HEADS_SQL, RELATIONS_SQL, entities, epoch_s, happenings, heads, relations, table
 from .common import Queries
+from .kept import kept_index, kept_table
 from .recall_queries import BM25_SQL, COS_SQL, TERMS, document_index, query_vector
 from .lifecycle_queries import STAKES_SQL
 
@@ -89,43 +91,73 @@ def kind_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_topk(table(spark, d, "embeddings"), query_vector(spark, d), 10, where=F.col("label") == 3)
 
 
-@q("WITH qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), m AS (SELECT conv_id * 1000 + turn AS id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS vec_id FROM conversations) SELECT id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM m JOIN embeddings USING (vec_id), qv ORDER BY score DESC, id LIMIT 10")
+@q("WITH qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), m AS (SELECT conv_id * 1000 + turn AS id, conv_id * 8 + turn AS vec_id FROM conversations) SELECT id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM m JOIN embeddings USING (vec_id), qv ORDER BY score DESC, id LIMIT 10")
 def message_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of messages."""
-    m = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).alias("vec_id"))
+    """Vectors of messages, by their numbers."""
+    m = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 8 + F.col("turn")).alias("vec_id"))
     return R.vector_topk(m.join(table(spark, d, "embeddings"), "vec_id"), query_vector(spark, d), 10, "id")
 
 
 KB = ("urgent", "click", "status")
-KB_ROWS = f"""kr AS (SELECT hd.id, 'fact' AS kind, coalesce(name, entity_id) || ' — ' || attribute || ': ' || value AS text, entity_id, valid_from / 86400.0 AS day, (coalesce(importance, 50) / 100 + confidence + CASE WHEN support > 0 THEN 1 - 1.0 / support ELSE 0 END) / 3 AS importance FROM hd LEFT JOIN ent ON ent.id = entity_id
-  UNION ALL SELECT id, 'event', text, NULL, ts_us / 86400000000.0, 0.5 FROM hp)"""
+KB_ROWS = f"""kr AS (SELECT hd.id, 'fact' AS kind, coalesce(name, entity_id) || ' — ' || attribute || ': ' || value AS text, entity_id, valid_from / 86400.0 AS day, (coalesce(importance, 50) / 100 + confidence + CASE WHEN support > 0 THEN 1 - 1.0 / support ELSE 0 END) / 3 AS importance, CAST(substr(entity_id, 2) AS BIGINT) AS vec_id FROM hd LEFT JOIN ent ON ent.id = entity_id
+  UNION ALL SELECT id, 'event', text, NULL, ts_us / 86400000000.0, 0.5, event_id FROM hp)"""
 KB_WORDS = """kt AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM kr), kc AS (SELECT id, len(t) AS dl, len(list_filter(t, lambda x: x = 'urgent')) AS a, len(list_filter(t, lambda x: x = 'click')) AS b, len(list_filter(t, lambda x: x = 'status')) AS c FROM kt),
 ks AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM kc), ki AS (SELECT *, greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) AS ia, greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) AS ib, greatest(ln((n - dc + 0.5) / (dc + 0.5)), 1e-6) AS ic FROM ks),
 kb AS (SELECT id, round(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / av)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / av)) + ic * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / av)), 6) AS bm25 FROM kc, ki WHERE a + b + c > 0 ORDER BY bm25 DESC, id LIMIT 15),
-kv AS (SELECT id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 6) AS score FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS vec_id FROM kr) JOIN embeddings e USING (vec_id), embeddings z WHERE z.vec_id = 0 ORDER BY score DESC, id LIMIT 15),
+kv AS (SELECT id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 6) AS score FROM kr JOIN embeddings e USING (vec_id), embeddings z WHERE z.vec_id = 0 ORDER BY score DESC, id LIMIT 15),
 km AS (SELECT id AS entity_id, row_number() OVER (ORDER BY CAST(contains(lower(name), '7') AS INTEGER) + CAST(contains(lower(name), '42') AS INTEGER) DESC, id) AS place FROM ent WHERE contains(lower(name), '7') OR contains(lower(name), '42') QUALIFY place <= 15),
 ke AS (SELECT id, row_number() OVER (ORDER BY place, attribute, id) - 1 AS rank FROM hd JOIN km USING (entity_id) QUALIFY rank < 15),
 kf AS (SELECT id, sum(1.0 / (61 + rank)) AS rrf, max(cosine) AS cosine FROM (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS rank, NULL AS cosine FROM kb UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1, score FROM kv UNION ALL SELECT id, rank, NULL FROM ke) GROUP BY 1),
 kx AS (SELECT kr.*, rrf, cosine, rrf * (1 + 0.15 * CASE WHEN 20089 - day < 0 THEN 1 ELSE pow(0.5, (20089 - day) / 30) END) * (1 + 0.15 * importance) AS ranking FROM kf JOIN kr USING (id))"""
 
 
+KB_TABLES = ("orders", "customer", "events", "embeddings")
+
+
+def kb_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Head facts as a store keeps them."""
+    return kept_table(spark, d, "kb-heads", KB_TABLES, lambda: heads(spark, d).repartitionByRange("entity_id").sortWithinPartitions("entity_id"))
+
+
 def kb_rows(spark: SparkSession, d: str) -> DataFrame:
-    h = heads(spark, d).join(entities(spark, d).select(F.col("id").alias("entity_id"), "name", F.col("importance").alias("_imp")), "entity_id", "left")
-    f = h.select("id", F.lit("fact").alias("kind"), F.concat(F.coalesce("name", "entity_id"), F.lit(" — "), "attribute", F.lit(": "), "value").alias("text"), "entity_id", (F.col("valid_from") / 86400.0).alias("day"), S.fact_importance(F.col("_imp"), F.col("confidence"), F.col("support")).alias("importance"))
-    e = happenings(spark, d).select("id", F.lit("event").alias("kind"), "text", F.lit(None).cast("string").alias("entity_id"), (F.col("ts_us") / 86400000000.0).alias("day"), F.lit(0.5).alias("importance"))
-    return f.unionByName(e)
+    """What may be recalled: id, kind, text, entity_id, day, importance."""
 
+    def build() -> DataFrame:
+        h = kb_heads(spark, d).join(entities(spark, d).select(F.col("id").alias("entity_id"), "name", F.col("importance").alias("_imp")), "entity_id", "left")
+        f = h.select("id", F.lit("fact").alias("kind"), F.concat(F.coalesce("name", "entity_id"), F.lit(" — "), "attribute", F.lit(": "), "value").alias("text"), "entity_id", (F.col("valid_from") / 86400.0).alias("day"), S.fact_importance(F.col("_imp"), F.col("confidence"), F.col("support")).alias("importance"))
+        e = happenings(spark, d).select("id", F.lit("event").alias("kind"), "text", F.lit(None).cast("string").alias("entity_id"), (F.col("ts_us") / 86400000000.0).alias("day"), F.lit(0.5).alias("importance"))
+        return f.unionByName(e).repartitionByRange("id").sortWithinPartitions("id")
 
-def recalled(spark: SparkSession, d: str, neighbours: DataFrame | None) -> DataFrame:
+    return kept_table(spark, d, "kb-rows", KB_TABLES, build)
+
+
+def kb_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors by their owners: a customer's facts and an event have the vector of their number."""
+
+    def build() -> DataFrame:
+        e = table(spark, d, "embeddings").select("vec_id", "embedding")
+        f = kb_heads(spark, d).select("id", F.substring("entity_id", 2, 20).cast("long").alias("vec_id"))
+        return f.unionByName(table(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), F.col("event_id").alias("vec_id"))).join(e, "vec_id").select("id", "embedding")
+
+    return kept_table(spark, d, "kb-vectors", KB_TABLES, build)
+
+
+def kb_index(spark: SparkSession, d: str) -> SegmentIndex:
+    return kept_index(spark, d, "kb-index", KB_TABLES, lambda: kb_rows(spark, d), "id", "text", "string")
+
+
+def kb_candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranked lists by keyword, vector and entity; nothing is built for them."""
     from hippospark.operators.lookups import entity_head_candidates
 
-    rows = kb_rows(spark, d)
-    w = places(R.KeywordIndex.build(rows, "id", "text").search(KB, 15), "id", "bm25")
-    numbered = rows.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("vec_id")).join(table(spark, d, "embeddings"), "vec_id")
-    v = places(R.vector_topk(numbered, query_vector(spark, d), 15, "id"), "id", "score").select("id", "rank", F.col("score").alias("cosine"))
+    w = places(kb_index(spark, d).search(KB, 15), "id", "bm25")
+    v = places(R.vector_topk(kb_vectors(spark, d), query_vector(spark, d), 15, "id"), "id", "score").select("id", "rank", F.col("score").alias("cosine"))
     m = places(R.entity_matches(entities(spark, d), ("7", "42"), "id", "name", 15), "id", "hits").select(F.col("id").alias("entity_id"), (F.col("rank") + 1).alias("place"))
-    e = entity_head_candidates(m, heads(spark, d), 15).select("id", "rank")
-    return R.kb_recall(w, v, e, rows, 5, 20_089.0, neighbours)
+    return w, v, entity_head_candidates(m, kb_heads(spark, d), 15).select("id", "rank")
+
+
+def recalled(spark: SparkSession, d: str, neighbours: DataFrame | None) -> DataFrame:
+    return R.kb_recall(*kb_candidates(spark, d), kb_rows(spark, d), 5, 20_089.0, neighbours)
 
 
 KB_HEAD = f"WITH {HEADS_SQL}, {ENTITIES_SQL}, {HAPPENINGS_SQL}, {KB_ROWS}, {KB_WORDS}"
@@ -149,16 +181,10 @@ def kb_recall_primed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recalled_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Entities of all facts that the three lists hold."""
-    from hippospark.operators.lookups import entity_head_candidates
-
-    rows = kb_rows(spark, d)
-    w = R.KeywordIndex.build(rows, "id", "text").search(KB, 15).select("id")
-    numbered = rows.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("vec_id")).join(table(spark, d, "embeddings"), "vec_id")
-    v = R.vector_topk(numbered, query_vector(spark, d), 15, "id").select("id")
-    m = places(R.entity_matches(entities(spark, d), ("7", "42"), "id", "name", 15), "id", "hits").select(F.col("id").alias("entity_id"), (F.col("rank") + 1).alias("place"))
-    e = entity_head_candidates(m, heads(spark, d), 15).select("id")
-    return rows.join(w.unionByName(v).unionByName(e).distinct(), "id").where("entity_id is not null").select("entity_id").distinct()
+    """Entities of all facts that the three lists hold: three times fifteen ids at most."""
+    w, v, e = kb_candidates(spark, d)
+    ids = w.select("id").unionByName(v.select("id")).unionByName(e.select("id")).distinct()
+    return kb_rows(spark, d).join(ids, "id").where("entity_id is not null").select("entity_id").distinct()
 
 
 @q("""WITH k AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS term, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS dl, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM benchmark)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from hippospark.functions import scalar as S
 from hippospark.operators import retrieval as R
 from hippospark.operators import vectors as V
+from hippospark.operators.keyword_index import SegmentIndex
 
 from .bindings import epoch_s, l0_messages, table
 from .common import Queries
+from .kept import kept_index
 
 q = Queries()
 QUERIES, ORACLES = q.queries, q.oracles
@@ -31,15 +33,8 @@ def query_vector(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id = 0").select(S.doubles("embedding").alias("q"))
 
 
-INDEXES: dict[tuple[str, str], R.KeywordIndex] = {}
-
-
-def document_index(spark: SparkSession, d: str) -> R.KeywordIndex:
-    """The keyword index of the documents, built once for a session and folder, as a store keeps its index beside its texts."""
-    key = spark.sparkContext.applicationId, d
-    if key not in INDEXES:
-        INDEXES[key] = R.KeywordIndex.build(table(spark, d, "documents"), "doc_id", "text")
-    return INDEXES[key]
+def document_index(spark: SparkSession, d: str) -> SegmentIndex:
+    return kept_index(spark, d, "documents", ["documents"], lambda: table(spark, d, "documents"), "doc_id", "text", "long")
 
 
 def keyword_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
