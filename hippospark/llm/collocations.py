@@ -34,8 +34,8 @@ from .parity_join import LOWER
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2_000, 100
 #: Counters of a sketch's row at most; of a block; bytes of text for each counter; sketches that one task merges.
 CELLS, BLOCK, BYTES_A_CELL, MERGED = 1 << 26, 1 << 18, 128, 64
-#: Phrases of a length that a task holds before it merges equal ones.
-HELD = 1 << 19
+#: Phrases that a task holds before it merges equal ones, and bytes of text for each bucket of counts.
+HELD, BUCKET_BYTES = 1 << 20, 32 << 20
 
 STOP, BETWEEN = np.zeros(256, bool), np.zeros(256, bool)
 STOP[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -192,7 +192,7 @@ def sketched(docs: DataFrame, cells: int, lengths: range, least: int, known: Bro
 
 
 class Tally:
-    """Exact counts of phrases of one length in a task's texts, merged when they are `HELD`; phrases are told apart by 128 bits."""
+    """Exact counts of phrases in a task's texts, equal ones merged now and then; phrases are told apart by 128 bits."""
 
     def __init__(self):
         self.parts: list[tuple] = []
@@ -203,17 +203,21 @@ class Tally:
         for k in range(1, n):
             other = C.mix(other ^ (w.hashes[at + k] * STEP))
         one, place, count = merged(h, other, np.ones(len(h), np.int64))
-        self.parts.append((*one, count, lang[w.doc[at[place]]], w.texts(at[place], n)))
-        self.held += len(count)
+        self.put(*one, count, lang[w.doc[at[place]]], np.full(len(count), n, np.int32), w.texts(at[place], n))
 
-    def all(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        """Language, phrase, count."""
-        h, other, count, lang = (np.concatenate([x[i] for x in self.parts]) for i in range(4))
-        texts = pa.concat_arrays([x[4] for x in self.parts])
+    def put(self, *part) -> None:
+        """Two hashes, count, language, words, text."""
+        self.parts.append(part)
+        self.held += len(part[0])
+
+    def all(self) -> tuple:
+        """Each phrase once."""
+        h, other, count, lang, n = (np.concatenate([x[i] for x in self.parts]) for i in range(5))
+        texts = pa.concat_arrays([x[5] for x in self.parts])
         one, place, count = merged(h, other, count)
-        lang, texts = lang[place], texts.take(pa.array(place))
-        self.parts, self.held = [(*one, count, lang, texts)], len(count)
-        return lang, texts, count
+        self.parts = [(*one, count, lang[place], n[place], texts.take(pa.array(place)))]
+        self.held = len(count)
+        return self.parts[0]
 
 
 def merged(h: np.ndarray, other: np.ndarray, count: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -224,43 +228,69 @@ def merged(h: np.ndarray, other: np.ndarray, count: np.ndarray) -> tuple[tuple[n
     return (x[head], y[head]), order[head], np.add.reduceat(count[order], head)
 
 
-def exact_counts(docs: DataFrame, known: Broadcast, longest: int, least: int) -> DataFrame:
-    """lang, n_words, phrase and f of every phrase of up to `longest` words that occurs `least` times; with n_words 0, the number of all words."""
+def exact_counts(docs: DataFrame, known: Broadcast, longest: int, least: int, buckets: int) -> DataFrame:
+    """lang, n_words, phrase and f of every phrase of up to `longest` words that occurs `least` times; with n_words 0, the number of all words.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        total: dict[int, int] = {}
-        tallies = {n: Tally() for n in range(1, longest + 1)}
+    Tasks hand on their counts as arrays, packed by buckets of the phrases' hashes; a bucket's arrays are merged in one task.
+    """
+    columns = [("h", np.uint64), ("other", np.uint64), ("count", np.int64), ("lang", np.int64), ("n", np.int32)]
+    schema = "bucket int, names array<string>, h binary, other binary, count binary, lang binary, n binary, size binary, body long, text binary"
 
-        def rows(n: int, lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang, pa.int64())), pa.array(np.full(len(f), n, np.int32)), phrase.cast(pa.binary()), pa.array(f, pa.int64())], ["lang", "n_words", "phrase", "f"])
+    def packs(names: list[str], tally: tuple) -> Iterator[pa.RecordBatch]:
+        bucket = (tally[0] >> np.uint64(20)) % np.uint64(buckets)
+        for b in np.unique(bucket).tolist():
+            at = np.flatnonzero(bucket == b)
+            text = tally[5].take(pa.array(at))
+            size = np.diff(np.frombuffer(text.buffers()[1], np.int64)[: len(at) + 1])
+            body = b"".join(text.to_pylist())
+            row = [[b], [names], *[[x[at].tobytes()] for x in tally[:5]], [size.astype(np.int32).tobytes()], [len(body)], [C.packed(body)]]
+            kinds = [pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 6, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        tally = Tally()
         for w, some, lang in batches_of_words(batches):
             lang = np.array([names.setdefault(x, len(names)) for x in some], np.int64)[lang]
-            for i, n in zip(*np.unique(lang[w.doc], return_counts=True), strict=True):
-                total[int(i)] = total.get(int(i), 0) + int(n)
+            own, n = np.unique(lang[w.doc], return_counts=True)
+            if not len(own):
+                continue
+            seed = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in names], np.uint64)[own]
+            tally.put(seed, seed, n.astype(np.int64), own, np.zeros(len(own), np.int32), pa.array([b""] * len(own), pa.large_binary()))
             for n, at, h in surviving(w, known.value, longest):
-                tallies[n].add(w, lang, at, h, n)
-                if tallies[n].held > HELD:
-                    out = tallies[n].all()
-                    if tallies[n].held > HELD // 2:  # few are repeated
-                        yield rows(n, *out)
-                        tallies[n] = Tally()
-        if total:
-            yield rows(0, np.array(list(total)), pa.array([b""] * len(total), pa.large_binary()), np.array(list(total.values())))
-        for n, tally in tallies.items():
-            if tally.parts:
-                yield rows(n, *tally.all())
-
-    counts = read(docs).mapInArrow(each, "lang string, n_words int, phrase binary, f long").groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
-    return counts.where((F.col("f") >= least) | (F.col("n_words") == 0)).withColumn("phrase", F.col("phrase").cast("string"))
+                tally.add(w, lang, at, h, n)
+            if tally.held > HELD:
+                out = tally.all()
+                if tally.held > HELD // 2:  # few are repeated
+                    yield from packs(list(names), out)
+                    tally = Tally()
+        if tally.parts:
+            yield from packs(list(names), tally.all())
+
+    def total(table: pa.Table) -> pa.Table:
+        names: dict[str, int] = {}
+        tally = Tally()
+        for r in table.to_pylist():
+            h, other, count, lang, n = (np.frombuffer(r[c], t) for c, t in columns)
+            lang = np.array([names.setdefault(x, len(names)) for x in r["names"]], np.int64)[lang]
+            edge = np.concatenate(([0], np.cumsum(np.frombuffer(r["size"], np.int32), dtype=np.int64)))
+            text = pa.Array.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(C.unpacked(r["text"], r["body"]))])
+            tally.put(h, other, count, lang, n, text)
+            if tally.held > 2 * HELD:
+                tally.all()
+        _, _, count, lang, n, text = tally.all()
+        kept = np.flatnonzero((count >= least) | (n == 0))
+        return pa.table({"lang": pa.array(list(names), pa.string()).take(pa.array(lang[kept])), "n_words": n[kept], "phrase": text.take(pa.array(kept)).cast(pa.binary()), "f": count[kept]})
+
+    out = read(docs).mapInArrow(each, schema).groupBy("bucket").applyInArrow(total, "lang string, n_words int, phrase binary, f long")
+    return out.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cells: int | None = None) -> DataFrame:
     """Exact counts by sketches, a written table."""
     spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     if cells is None:
-        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         cells = min(CELLS, max(1 << 16, 1 << (total // BYTES_A_CELL).bit_length()))
     known: list[Survivors] = []
     told = spark.sparkContext.broadcast(known)
@@ -270,7 +300,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
             told.unpersist()
             known = known + [found] * len(lengths)
             told = spark.sparkContext.broadcast(known)
-    out = C.saved(exact_counts(docs, told, longest, least), "op11-counts")
+    out = C.saved(exact_counts(docs, told, longest, least, 1 + total // BUCKET_BYTES), "op11-counts")
     told.unpersist()
     return out
 
