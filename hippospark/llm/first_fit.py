@@ -29,7 +29,7 @@ from .tokens import Encoder, vocabulary
 
 CAPACITY, END, SEED = 2_048, 1, 90_217
 #: Tokens in pieces that are not full, and pieces of any kind, of a group.
-GROUP_TOKENS, GROUP_PIECES = 4 << 20, 1 << 15
+GROUP_TOKENS, GROUP_PIECES = 1 << 20, 1 << 13
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, pick long, ids binary"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
