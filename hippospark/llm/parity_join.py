@@ -23,7 +23,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,11 +306,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
             for piece, data, off in C.slices(batch, "text"):
                 h, edge = shingle_sets(data, off, k)
                 body = h.tobytes()
-                own = [pa.array(x) for x in set_keys(h, edge)]
-                # other texts under the same doc_id are of other classes
-                same = pa.compute.and_(pa.compute.equal(own[0], piece.column("sid")), pa.compute.equal(own[1], piece.column("sid2")))
-                out = pa.RecordBatch.from_arrays([piece.column("label"), pa.array([body[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["label", "shingles"])
-                yield out.filter(same)
+                columns = [piece.column("doc_id"), *(pa.array(x) for x in set_keys(h, edge)), pa.array([body[8 * x : 8 * y] for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sid", "sid2", "shingles"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,10 +317,12 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
 
     involved = pairs.select(F.col("a").alias("label")).unionByName(pairs.select(F.col("b").alias("label"))).distinct()
-    # written first: where they are few, Spark sees so before it shuffles the texts
-    involved = C.saved(classes.join(involved, "label").select("label", "sid", "sid2", F.col("doc").alias("doc_id")), "op10-involved")
-    found = docs.join(involved, "doc_id").select("label", "sid", "sid2", "text").mapInArrow(sets, "label long, shingles binary")
-    found = C.saved(found.groupBy("label").agg(F.first("shingles").alias("shingles")), "op10-sets")
+    involved = C.saved(classes.join(involved, "label").select(F.col("doc").alias("doc_id"), "sid", "sid2", "label"), "op10-involved")
+    # ids alone choose the texts: they are small enough to broadcast for longer than classes are
+    texts = docs.join(involved.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    # other texts under a doc_id are of other classes, and go here
+    found = texts.mapInArrow(sets, "doc_id long, sid long, sid2 long, shingles binary").join(involved, ["doc_id", "sid", "sid2"])
+    found = C.saved(found.groupBy("doc_id", "sid", "sid2").agg(F.first("label").alias("label"), F.first("shingles").alias("shingles")).select("label", "shingles"), "op10-sets")
     # the larger number has few partners, the smaller one may be the head of a family: its set is not repeated for each of them
     rows = pairs.join(found.select(F.col("label").alias("b"), F.col("shingles").alias("sb")), "b").join(found.select(F.col("label").alias("a"), F.col("shingles").alias("sa")), "a")
     out = C.saved(rows.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, link boolean"), "op10-tested")
