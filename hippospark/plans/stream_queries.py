@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hippospark.functions.storage import shared_dir
 from hippospark.streaming import sessions
+from hippospark.streaming.engine import session_events
 
 from .bindings import table
 from .common import Queries
@@ -26,11 +27,36 @@ def through(spark: SparkSession, d: str, name: str, work) -> DataFrame:
     return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
 
 
-@q("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@q("SELECT event_type, count(DISTINCT (user_id, CAST(ts AS DATE))) AS user_days FROM events GROUP BY 1")
 def streaming_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Each user and type once."""
-    out = through(spark, d, "events", lambda s: s.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
-    return out.groupBy("event_type").agg(F.count("*").alias("users"))
+    """Each user, type and day once; keys repeat within a day, so the ledger need not remember longer."""
+    def work(s: DataFrame) -> DataFrame:
+        key = F.concat_ws("|", "user_id", "event_type", F.to_date("ts"))
+        return sessions.ledger(s.select("event_type", F.col("ts").cast("timestamp").alias("ts"), key.alias("key")), "key", "ts").select("event_type", "key")
+
+    return through(spark, d, "events", work).groupBy("event_type").agg(F.count("*").alias("user_days"))
+
+
+@q("""WITH RECURSIVE m AS (SELECT CAST(user_id AS VARCHAR) AS k, list_sort(list_distinct(list(epoch_us(ts) // 1000))) AS t FROM events GROUP BY 1), z AS (SELECT max(epoch_us(ts) // 1000) AS z FROM events),
+s AS (SELECT k, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS waiting, CAST(1 AS BIGINT) AS threshold, CAST(0 AS BIGINT) AS run, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS idle, CAST(NULL AS BIGINT) AS layer, CAST(NULL AS BIGINT) AS done, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS at_ms, CAST(0 AS BIGINT) AS messages FROM m
+UNION ALL SELECT k, CASE a WHEN 'row' THEN i + 1 ELSE i END,
+  CASE a WHEN 'row' THEN CASE WHEN fires THEN 0 ELSE waiting + 1 END WHEN 'idle' THEN 0 WHEN 'evict' THEN 0 ELSE waiting END,
+  CASE WHEN a = 'row' AND fires THEN least(5, threshold * 2) WHEN a = 'evict' THEN 1 ELSE threshold END,
+  CASE WHEN ran THEN run + 1 WHEN a = 'evict' THEN 0 ELSE run END,
+  CASE a WHEN 'row' THEN nxt WHEN 'evict' THEN NULL ELSE last END,
+  CASE WHEN a = 'row' AND NOT fires THEN nxt + 600000 WHEN a IN ('row', 'idle', 'evict') THEN NULL ELSE idle END,
+  CASE WHEN ran THEN least(coalesce(layer, greatest(moment + 90000, coalesce(done + 900000, 0))), greatest(moment + 90000, coalesce(done + 900000, 0))) WHEN a = 'second' THEN moment + 3600000 WHEN a IN ('stop', 'evict') THEN NULL ELSE layer END,
+  CASE a WHEN 'second' THEN moment WHEN 'evict' THEN NULL ELSE done END,
+  CASE WHEN a <> 'row' THEN a WHEN fires THEN 'count' END, moment, CASE WHEN a = 'row' AND fires THEN waiting + 1 WHEN a = 'idle' THEN waiting ELSE 0 END
+FROM (SELECT *, a = 'idle' OR a = 'row' AND fires AS ran FROM (SELECT *, CASE WHEN due > coalesce(nxt, z) THEN 'row' WHEN due = idle THEN 'idle' WHEN due = layer THEN CASE WHEN due - last >= 86400000 THEN 'stop' ELSE 'second' END ELSE 'evict' END AS a, CASE WHEN due > coalesce(nxt, z) THEN nxt ELSE due END AS moment, waiting + 1 >= threshold AS fires
+  FROM (SELECT s.*, m.t[s.i] AS nxt, z, least(coalesce(idle, 4611686018427387903), coalesce(layer, 4611686018427387903), coalesce(last + 259200000, 4611686018427387903)) AS due FROM s JOIN m USING (k), z) WHERE nxt IS NOT NULL OR due <= z)))
+SELECT k AS session_key, kind, at_ms, CASE WHEN kind = 'evict' THEN 0 ELSE run END AS run, messages FROM s WHERE kind IS NOT NULL""")
+def session_engine(spark: SparkSession, d: str) -> DataFrame:
+    """Page events as a session's messages; runs by count and idleness, the second layer, stops and evictions."""
+    def work(s: DataFrame) -> DataFrame:
+        return session_events(s.select(F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("ts")))
+
+    return through(spark, d, "events", work).select("session_key", "kind", "at_ms", F.when(F.col("kind") == "evict", 0).otherwise(F.col("run")).alias("run"), "messages")
 
 
 @q("SELECT user_id AS session_key, CASE WHEN n < 1 THEN 0 WHEN n < 3 THEN 1 WHEN n < 7 THEN 2 ELSE 3 + (n - 7) // 5 END AS runs FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM events GROUP BY 1)")

@@ -11,12 +11,17 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def captured(messages: DataFrame, session: str = "session_key", ts: str = "ts_ms") -> DataFrame:
-    """Per session only rows later than the last one captured; late rows are dropped. The cursor is keyed state."""
+def captured(messages: DataFrame, session: str = "session_key", ts: str = "ts_ms", floor: int = -(1 << 62), ttl_ms: int | None = None) -> DataFrame:
+    """Per session only rows later than the last one captured, and than the floor at the start; late rows are dropped. The cursor is
+    keyed state, which goes after ttl_ms without a row; a session that comes back then begins at the floor."""
     schema = messages.schema
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cursor = state.get[0] if state.exists else -(1 << 62)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        cursor = state.get[0] if state.exists else floor
         last = cursor
         for rows in batches:
             rows = rows[rows[ts] > cursor]
@@ -24,8 +29,10 @@ def captured(messages: DataFrame, session: str = "session_key", ts: str = "ts_ms
                 last = max(last, int(rows[ts].max()))
                 yield rows
         state.update((last,))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
 
-    return messages.groupBy(session).applyInPandasWithState(each, schema, "cursor long", "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy(session).applyInPandasWithState(each, schema, "cursor long", "append", timeout)
 
 
 def triggers(messages: DataFrame, every: int = 5, idle_ms: int | None = None, session: str = "session_key") -> DataFrame:
