@@ -125,6 +125,16 @@ def sha1_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16))
 
 
+def profile_id(scope: Column, kind: Column, name: Column) -> Column:
+    """Stable over renderings of a profile's file."""
+    return F.concat(F.lit("profile:v1:"), F.sha2(F.concat(scope, F.lit("\0"), kind, F.lit("\0"), name), 256))
+
+
+def distinctiveness(rarity: Column, isolation: Column, affect: Column | None = None, weights: tuple[float, float, float] = (0.5, 0.5, 0.0)) -> Column:
+    """Rarity, isolation and, where it has a weight, affect."""
+    return weights[0] * rarity + weights[1] * isolation + weights[2] * (F.lit(0.0) if affect is None else F.coalesce(affect, F.lit(0.0)))
+
+
 def canonical_key(kind: Column, name: Column) -> Column:
     """M23."""
     plain = F.regexp_replace(stripped(F.lower(nfkc(name))), f"{SPACE}+", " ")

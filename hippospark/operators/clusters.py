@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hippospark.functions import parsing as P
 from hippospark.functions import scalar as S
-from hippospark.functions.storage import saved
+from hippospark.functions.storage import forget, saved
 from hippospark.operators import vectors
 from hippospark.operators.components import connected_components
 
@@ -155,12 +157,16 @@ def document_frequency(rows: DataFrame, tokens: str) -> DataFrame:
 
 
 def term_rarity(rows: DataFrame, id_col: str, tokens: str, top: int = 10) -> DataFrame:
-    """The mean of a text's `top` largest idf, over the largest possible."""
-    df, n = document_frequency(rows, tokens), rows.agg(F.count("*").alias("n_docs"))
-    t = rows.select(id_col, F.explode(F.array_distinct(tokens)).alias("token")).join(df, "token").crossJoin(F.broadcast(n))
-    t = t.withColumn("idf", F.greatest(F.lit(0.0), S.idf(F.col("n_docs"), F.col("df"))))
-    # a text's own terms, a bounded group
-    best = F.slice(F.sort_array(F.collect_list("idf"), asc=False), 1, top)
-    g = t.groupBy(id_col).agg(best.alias("best"), F.first("n_docs").alias("n_docs"))
-    mean = F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")
-    return g.select(id_col, F.round(S.clamp(mean / F.ln((F.col("n_docs") + 1) / 2)), 6).alias("rarity"))
+    """The mean of a text's `top` largest idf, over the largest possible. Tokens are cut once and written; of each text's only the
+    rarest leave a partition."""
+    words = saved(rows.select(id_col, F.explode(F.array_distinct(tokens)).alias("token")), "words")
+    n = rows.count()
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(0.0), S.idf(F.lit(n), F.col("df")))
+    t = words.join(df, "token").select(id_col, idf.alias("idf"))
+    t = t.withColumn("_place", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("idf")))).where(F.col("_place") <= top)
+    most = math.log((n + 1) / 2) if n > 1 else 0.0
+    mean = F.avg("idf")
+    out = saved(t.groupBy(id_col).agg(F.round(S.clamp(mean / F.lit(most)) if most else F.lit(0.0), 6).alias("rarity")), "rarity")
+    forget(words)
+    return out

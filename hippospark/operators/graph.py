@@ -16,23 +16,40 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def strongest(edges: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """The strongest neighbours of every node with their share of its activation, written once for all hops.
+def top_neighbours(sums: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """The strongest neighbours of every node with their share of its activation. sums: both_ways.
 
     A hub's edges are cut to `fan_out` in each task before they meet (the window's group limit), so a hub is no hot task.
     """
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    top = both_ways(edges.where("src <> dst")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= fan_out)
-    return saved(top.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share")), "neighbours")
+    top = sums.withColumn("place", F.row_number().over(w)).where(F.col("place") <= fan_out)
+    return top.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("share"))
+
+
+def strongest(edges: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+    """top_neighbours of edges, sorted by node: what a store keeps for all spreading to come."""
+    return top_neighbours(both_ways(edges.where("src <> dst")), fan_out).repartitionByRange("src").sortWithinPartitions("src")
 
 
-def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = THRESHOLD, most: int | None = MOST, include_seeds: bool = False, digits: int | None = 6) -> DataFrame:
+def updated_neighbours(sums: DataFrame, near: DataFrame, changes: DataFrame, fan_out: int = FAN_OUT) -> tuple[DataFrame, DataFrame]:
+    """Kept sums and strongest neighbours after changes (src, dst, weight, which is added and may be negative): only the nodes at
+    the ends of changed edges are ranked anew."""
+    c = changes.where("src <> dst").select("src", "dst", "weight")
+    delta = c.unionByName(c.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    touched = delta.select("src").distinct()
+    new = sums.join(touched, "src", "left_semi").select("src", "dst", "weight").unionByName(delta).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    new = saved(new, "sums")
+    return sums.join(touched, "src", "left_anti").select("src", "dst", "weight").unionByName(new), near.join(touched, "src", "left_anti").unionByName(top_neighbours(new, fan_out))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, threshold: float = THRESHOLD, most: int | None = MOST, include_seeds: bool = False, digits: int | None = 6, near: DataFrame | None = None) -> DataFrame:
     """Spreading activation from seeds (id, activation). digits: None where the caller goes on computing, and rounds at its own end.
+    near: kept neighbours (strongest) in place of edges.
 
     Per hop a node passes activation * share * decay to its strongest neighbours, seeds like others; what reaches other
     nodes than seeds adds up over the hops.
     """
-    near = strongest(edges)
+    near = saved(strongest(edges), "neighbours") if near is None else near
     frontier, total = seeds.where("activation > 0").groupBy("id").agg(F.sum("activation").alias("activation")), None
     for _ in range(hops):
         frontier = near.join(frontier, near["src"] == frontier["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("activation") * F.col("share") * DECAY).alias("activation"))
@@ -68,13 +85,17 @@ def primed(rankings: DataFrame, neighbours: DataFrame, weight: float = 0.15) ->
     return rankings.join(got, "id", "left").select("id", "ranking", (weight * F.coalesce("activation", F.lit(0.0))).alias("boost"))
 
 
-def associations(relations: DataFrame, seeds: DataFrame, heads: DataFrame, events: DataFrame, hops: int = 2, most: int = 6) -> DataFrame:
+def relation_edges(relations: DataFrame) -> DataFrame:
+    """Relations as edges that weigh their support, 1 where there is none."""
+    return relations.where("src <> dst").select("src", "dst", F.when(F.col("support") > 0, F.col("support")).otherwise(1).alias("weight"))
+
+
+def associations(relations: DataFrame, seeds: DataFrame, heads: DataFrame, events: DataFrame, hops: int = 2, most: int = 6, near: DataFrame | None = None) -> DataFrame:
     """What seeds (id) call to mind: entities that activation reaches over their relations, each with its most confident head fact
     that is no noise, else its latest event."""
     from hippospark.functions import text as X
 
-    edges = relations.where("src <> dst").select("src", "dst", F.when(F.col("support") > 0, F.col("support")).otherwise(1).alias("weight"))
-    near = spread(edges, seeds.select("id", F.lit(1.0).alias("activation")).distinct(), hops, THRESHOLD, most)
+    near = spread(relation_edges(relations), seeds.select("id", F.lit(1.0).alias("activation")).distinct(), hops, THRESHOLD, most, near=near)
     f = heads.where(~X.noise_attribute(F.col("attribute"))).join(near.select(F.col("id").alias("entity_id")), "entity_id")
     fact = f.groupBy("entity_id").agg(F.max_by(F.struct("id", F.lit("fact").alias("kind"), F.concat("attribute", F.lit(": "), "value").alias("text")), F.struct("confidence", "id")).alias("fact"))
     e = events.select("id", "ts_us", "text", F.explode(F.array_distinct("entities")).alias("entity_id")).join(near.select(F.col("id").alias("entity_id")), "entity_id")
@@ -83,12 +104,12 @@ def associations(relations: DataFrame, seeds: DataFrame, heads: DataFrame, event
     return j.select("entity_id", "activation", F.col("m.id").alias("owner_id"), F.col("m.kind").alias("owner_kind"), F.col("m.text").alias("text"))
 
 
-def deepened(hits: DataFrame, score: str, relations: DataFrame, seeds: DataFrame, heads: DataFrame, events: DataFrame) -> DataFrame:
+def deepened(hits: DataFrame, score: str, relations: DataFrame, seeds: DataFrame, heads: DataFrame, events: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Associations of a recall; where it was thin (A20), one hop farther and up to sixteen."""
     from hippospark.operators.retrieval import recall_confidence
 
     thin = recall_confidence(hits, score).first()["thin"]
-    return associations(relations, seeds, heads, events, *((3, 16) if thin else (2, 6)))
+    return associations(relations, seeds, heads, events, *((3, 16) if thin else (2, 6)), near)
 
 
 def fix_texts(bugs: DataFrame, relations: DataFrame, events: DataFrame) -> DataFrame:

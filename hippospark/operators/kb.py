@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +172,17 @@ def profile_sync(local: DataFrame, remote: DataFrame) -> DataFrame:
     action = F.when(F.col("b.name").isNull(), "create").when(F.col("a.name").isNull(), "delete").when(F.col("a.md5") == F.col("b.md5"), "skip").when(F.col("a.baseline") != F.col("b.version"), "conflict").otherwise("update")
     version = F.when(F.col("b.name").isNull(), 1).when(action == "update", F.col("b.version") + 1).otherwise(F.col("b.version"))
     return both.select(F.coalesce("a.name", "b.name").alias("name"), action.alias("action"), version.cast("long").alias("version"))
+
+
+def latest_by(rows: DataFrame, key: str, order: Sequence[str], *columns: str) -> DataFrame:
+    """Per key the columns of its last row in this order."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")).select(key, "_last.*")
+
+
+def canonical_pick(members: DataFrame, group: str) -> DataFrame:
+    """Of each group the member that stands for it: by importance, then number of facts, then the earlier made, then id. members: id,
+    importance, facts, created."""
+    # of full ties the least id: ids are compared only among members that agree in all else
+    top = members.groupBy(group).agg(F.max(F.struct("importance", "facts", (-F.col("created")).alias("created"))).alias("_top"))
+    tied = members.join(top.select(group, "_top"), group).where((F.col("importance") == F.col("_top.importance")) & (F.col("facts") == F.col("_top.facts")) & (-F.col("created") == F.col("_top.created")))
+    return tied.groupBy(group).agg(F.min("id").alias("id"))

@@ -159,3 +159,20 @@ def topk_per_query(pairs: DataFrame, query: str, score: str, id_col: str, k: int
     """T22."""
     w = Window.partitionBy(query).orderBy(F.desc(score), id_col)
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def merged_candidates(lists: Sequence[DataFrame], key: str) -> DataFrame:
+    """The rows of candidate lists one after the other, each key from the first list that has it."""
+    every = None
+    for i, x in enumerate(lists):
+        x = x.withColumn("_list", F.lit(i))
+        every = x if every is None else every.unionByName(x)
+    rest = [c for c in lists[0].columns if c != key]
+    return every.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_list", *rest)).alias("_row")).select(key, "_row.*")
+
+
+def cornerstones(memories: DataFrame, now: int, most: int = 3, half_life: float = 48.0) -> DataFrame:
+    """The most distinctive memories that were not injected of late: id, distinctiveness, injected_at (seconds, null for never)."""
+    age = (F.lit(now) - F.col("injected_at")) / 3600
+    fresh = F.when(F.col("injected_at").isNull(), F.lit(1.0)).otherwise(1 - S.injection_decay(age, half_life))
+    return memories.withColumn("score", F.round(F.col("distinctiveness") * fresh, 4)).orderBy(F.desc("score"), "id").limit(most)

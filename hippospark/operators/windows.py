@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -124,3 +126,26 @@ def stepped(rows: DataFrame, session: str, order: str, base_ms: int, step: int =
     """Times of one step from message to message of a session."""
     at = F.row_number().over(Window.partitionBy(session).orderBy(order)) - 1
     return rows.withColumn("ts_ms", (F.lit(base_ms) + step * at).cast("long"))
+
+
+def by_session(messages: DataFrame, session: str = "session_key", ts: str = "ts_ms", id_col: str = "record_id") -> DataFrame:
+    """A3: per session the number of its messages, their ids in the order of time, and the first time."""
+    g = messages.groupBy(session).agg(F.count("*").alias("messages"), F.array_sort(F.collect_list(F.struct(ts, id_col))).alias("_m"), F.min(ts).alias("first_ts"))
+    return g.select(session, "messages", F.transform("_m", lambda x: x[id_col]).alias("ids"), "first_ts")
+
+
+def last_of_role(messages: DataFrame, session: str, order: str, role: str = "user") -> DataFrame:
+    """The place of each session's last message of a role; sessions without one have none."""
+    return messages.where(F.col("role") == role).groupBy(session).agg(F.max(order).alias("last"))
+
+
+def last_boundary(rows: DataFrame, session: str, order: Sequence[str | Column], mark: Column) -> DataFrame:
+    """With each row the latest boundary of its session up to it: the last value of mark that is not null. No join, one sort."""
+    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("boundary", F.last(mark, ignorenulls=True).over(w))
+
+
+def score_histogram(rows: DataFrame, score: str, step: float = 1.0, *by: str) -> DataFrame:
+    """How many scores lie in each step (its lower end), and in it or above. As many rows as steps pass a window."""
+    n = rows.where(F.col(score).isNotNull()).groupBy(*by, (F.floor(F.col(score) / step) * step).alias("step")).agg(F.count("*").alias("n"))
+    return n.withColumn("or_above", F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from hippospark.functions import scalar as S
 from hippospark.operators import clusters as K
 from hippospark.operators import graph as G
+from hippospark.operators import retrieval as R
 from hippospark.operators import vectors as V
 
 from .bindings import EVENTS_SQL, RELATIONS_SQL, kb_events, relations, table
 from .common import Queries
+from .kept import kept_table
 from .recall_queries import ISOLATION, isolation
 
 q = Queries()
@@ -28,6 +30,11 @@ def weighted(spark: SparkSession, d: str) -> DataFrame:
     return relations(spark, d).withColumnRenamed("support", "weight")
 
 
+def near(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours as a store keeps them."""
+    return kept_table(spark, d, "neighbours", ["orders", "lineitem"], lambda: G.strongest(weighted(spark, d)))
+
+
 def seeds(spark: SparkSession, d: str) -> DataFrame:
     """Four customers, and a part that one of them ordered: two seeds are neighbours."""
     part = relations(spark, d).where("src = 'c1'").agg(F.min("dst").alias("id")).withColumn("activation", F.lit(1.0))
@@ -43,13 +50,13 @@ def neighbors(spark: SparkSession, d: str) -> DataFrame:
 @q(f"WITH {BOTH}, {SEEDS}, {HOP} SELECT id, round(activation, 6) AS activation FROM a1 WHERE id NOT IN (SELECT id FROM seeds) AND round(activation, 6) >= 0.05 ORDER BY 2 DESC, 1 LIMIT 50")
 def spread_activation_1hop(spark: SparkSession, d: str) -> DataFrame:
     """G2, G6."""
-    return G.spread(weighted(spark, d), seeds(spark, d), 1)
+    return G.spread(weighted(spark, d), seeds(spark, d), 1, near=near(spark, d))
 
 
 @q(f"WITH {BOTH}, {SEEDS}, {HOP}, {HOP2}, u AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2), s AS (SELECT id, round(sum(activation), 6) AS activation FROM u WHERE id NOT IN (SELECT id FROM seeds) GROUP BY 1) SELECT id, activation FROM s WHERE activation >= 0.05 ORDER BY 2 DESC, 1 LIMIT 50")
 def spread_activation_2hop(spark: SparkSession, d: str) -> DataFrame:
     """G2, G3."""
-    return G.spread(weighted(spark, d), seeds(spark, d), 2)
+    return G.spread(weighted(spark, d), seeds(spark, d), 2, near=near(spark, d))
 
 
 @q(f"WITH {EVENTS_SQL} SELECT least(entities[1], entities[2]) AS src, greatest(entities[1], entities[2]) AS dst, count(*) AS weight FROM ev WHERE entities[1] <> entities[2] GROUP BY 1, 2")
@@ -147,7 +154,7 @@ PEAKS = RARITY + f", iso AS ({ISOLATION}), di AS (SELECT doc_id, round(0.5 * rar
 def distinct_scores(spark: SparkSession, d: str) -> DataFrame:
     """M13 of M11 and M12: the vector of a document has its id; without one its isolation is 1."""
     i = isolation(spark, d).withColumnRenamed("vec_id", "doc_id")
-    return rarity(spark, d).join(i, "doc_id", "left").select("doc_id", F.round(0.5 * F.col("rarity") + 0.5 * F.coalesce("isolation", F.lit(1.0)), 6).alias("score"))
+    return rarity(spark, d).join(i, "doc_id", "left").select("doc_id", F.round(S.distinctiveness(F.col("rarity"), F.coalesce("isolation", F.lit(1.0))), 6).alias("score"))
 
 
 @q(f"WITH {PEAKS} SELECT doc_id, round(score, 4) AS distinctiveness FROM di")
@@ -159,8 +166,8 @@ def distinctiveness(spark: SparkSession, d: str) -> DataFrame:
 @q(f"WITH {PEAKS} SELECT doc_id, round(round(score, 4) * (1 - exp(-ln(2) * (doc_id % 97) / 48.0)), 4) AS score FROM di ORDER BY score DESC, doc_id LIMIT 3")
 def cornerstones(spark: SparkSession, d: str) -> DataFrame:
     """T16, M14, of M13; the tables hold no times of injection, so doc_id % 97 is the age in hours."""
-    s = F.round(F.round("score", 4) * (1 - S.injection_decay(F.col("doc_id") % 97)), 4)
-    return distinct_scores(spark, d).select("doc_id", s.alias("score")).orderBy(F.desc("score"), "doc_id").limit(3)
+    m = distinct_scores(spark, d).select(F.col("doc_id").alias("id"), F.round("score", 4).alias("distinctiveness"), (-3600 * (F.col("doc_id") % 97)).alias("injected_at"))
+    return R.cornerstones(m, 0).select(F.col("id").alias("doc_id"), "score")
 
 
 @q("""WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS t FROM benchmark)

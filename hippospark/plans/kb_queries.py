@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hippospark.functions import scalar as S
 from hippospark.operators import kb
+from hippospark.operators import windows as W
 from hippospark.sources import sinks
 
 from .bindings import EVENTS_SQL, FACTS_SQL, L0_SQL, RELATIONS_SQL, epoch_s, facts, kb_events, l0_messages, relations, table
@@ -107,8 +108,8 @@ def import_ids(spark: SparkSession, d: str) -> DataFrame:
 @q("SELECT doc_id, 'profile:v1:' || sha256('default' || chr(0) || 'scene' || chr(0) || source || '-' || doc_id) AS id, md5(text) AS md5 FROM documents")
 def profile_ids(spark: SparkSession, d: str) -> DataFrame:
     """M31."""
-    key = F.concat(F.lit("default\0scene\0"), "source", F.lit("-"), "doc_id")
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("profile:v1:"), F.sha2(key, 256)).alias("id"), F.md5("text").alias("md5"))
+    name = F.concat("source", F.lit("-"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", S.profile_id(F.lit("default"), F.lit("scene"), name).alias("id"), F.md5("text").alias("md5"))
 
 
 @q("""WITH a AS (SELECT doc_id AS name, md5(text) AS md5, doc_id % 3 AS baseline FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS name, CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE md5(text || 'x') END AS md5, 1 AS version FROM documents WHERE doc_id % 5 <> 0)
@@ -122,10 +123,10 @@ def profile_sync_actions(spark: SparkSession, d: str) -> DataFrame:
     return kb.profile_sync(a, b)
 
 
-@q("SELECT max(event_id) AS n, user_id AS session_key, arg_max(event_type, (ts, event_id)) AS type FROM events GROUP BY user_id")
+@q("SELECT arg_max(event_id, (ts, event_id)) AS n, user_id AS session_key, arg_max(event_type, (ts, event_id)) AS type FROM events GROUP BY user_id")
 def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
     """A11."""
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("session_key")).agg(F.max("event_id").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("type"))
+    return kb.latest_by(table(spark, d, "events").withColumns({"session_key": F.col("user_id"), "type": F.col("event_type"), "n": F.col("event_id")}), "session_key", ["ts", "event_id"], "n", "type")
 
 
 @q("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
@@ -147,16 +148,21 @@ def principle_clusters(spark: SparkSession, d: str) -> DataFrame:
 @q("WITH " + L0_SQL + " SELECT session_key, count(*) AS messages, list(record_id ORDER BY ts_ms) AS ids, min(ts_ms) AS first_ts FROM l0 GROUP BY 1")
 def l0_grouped_by_session(spark: SparkSession, d: str) -> DataFrame:
     """A3."""
-    g = l0_messages(spark, d).groupBy("session_key").agg(F.count("*").alias("messages"), F.array_sort(F.collect_list(F.struct("ts_ms", "record_id"))).alias("m"), F.min("ts_ms").alias("first_ts"))
-    return g.select("session_key", "messages", F.transform("m", lambda x: x.record_id).alias("ids"), "first_ts")
+    return W.by_session(l0_messages(spark, d))
 
 
 @q("SELECT role, count(*) AS n FROM conversations GROUP BY 1")
 def counts_by_role(spark: SparkSession, d: str) -> DataFrame:
-    """A1, A22, A26."""
+    """A1, A26."""
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"))
 
 
+@q("WITH n AS (SELECT lang, floor(n_chars / 500) * 500.0 AS step, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1, 2) SELECT lang, step, n, CAST(sum(n) OVER (PARTITION BY lang ORDER BY step DESC) AS BIGINT) AS or_above FROM n")
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by length, per language."""
+    return W.score_histogram(table(spark, d, "documents"), "n_chars", 500.0, "lang").select("lang", F.col("step").cast("double").alias("step"), "n", "or_above")
+
+
 @q("SELECT c_custkey, CASE WHEN n >= 1000 THEN 5 WHEN n >= 500 THEN 4 WHEN n >= 200 THEN 3 WHEN n >= 100 THEN 2 WHEN n >= 50 THEN 1 ELSE 0 END AS bucket FROM (SELECT o_custkey AS c_custkey, count(*) * 10 AS n FROM orders GROUP BY 1)")
 def heat_buckets(spark: SparkSession, d: str) -> DataFrame:
     """M46."""
@@ -187,11 +193,13 @@ def orphan_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return sinks.orphans(o, used, "o_orderkey", "changed", 852_076_800).select("o_orderkey")
 
 
-@q("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
+@q("WITH f AS (SELECT o_custkey, count(*) AS facts, min(epoch(o_orderdate)) AS created FROM orders GROUP BY 1) SELECT c_nationkey, c_custkey AS id FROM customer LEFT JOIN f ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY round(c_acctbal / 1000) DESC, coalesce(facts, 0) DESC, coalesce(created, 0), c_custkey) = 1")
 def canonical_pick(spark: SparkSession, d: str) -> DataFrame:
-    """T18."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey")
-    return table(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r = 1").select("p_brand", "p_partkey")
+    """Of each nation the customer that stands for it: by balance in thousands, number of orders, the first order, id."""
+    f = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("facts"), F.min(epoch_s("o_orderdate")).alias("created"))
+    c = table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") / 1000).alias("importance"))
+    members = c.join(f, "id", "left").withColumns({"facts": F.coalesce("facts", F.lit(0)), "created": F.coalesce("created", F.lit(0))})
+    return kb.canonical_pick(members, "c_nationkey")
 
 
 @q("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49")

@@ -142,6 +142,11 @@ def kb_vectors(spark: SparkSession, d: str) -> DataFrame:
     return kept_table(spark, d, "kb-vectors", KB_TABLES, build)
 
 
+def kept_near(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of all relations."""
+    return kept_table(spark, d, "relation-neighbours", ["orders", "lineitem"], lambda: G.strongest(G.relation_edges(relations(spark, d))))
+
+
 def kb_index(spark: SparkSession, d: str) -> SegmentIndex:
     return kept_index(spark, d, "kb-index", KB_TABLES, lambda: kb_rows(spark, d), "id", "text", "string")
 
@@ -238,14 +243,14 @@ def three_seeds(spark: SparkSession, d: str) -> DataFrame:
 @q(f"WITH {RELATIONS_SQL}, {HEADS_SQL}, {HAPPENINGS_SQL}, {HOPS}, {BEST}, ac AS (SELECT id AS entity_id, round(sum(a), 6) AS activation FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2) WHERE id NOT IN ('c1', 'c2', 'c4') GROUP BY 1 HAVING round(sum(a), 6) >= 0.05 ORDER BY 2 DESC, 1 LIMIT 6) {REACHED}")
 def associations(spark: SparkSession, d: str) -> DataFrame:
     """G3."""
-    return G.associations(relations(spark, d), three_seeds(spark, d), heads(spark, d), about_parts(spark, d))
+    return G.associations(relations(spark, d), three_seeds(spark, d), kb_heads(spark, d), about_parts(spark, d), near=kept_near(spark, d))
 
 
 @q(f"WITH {RELATIONS_SQL}, {HEADS_SQL}, {HAPPENINGS_SQL}, {HOPS}, {BEST}, ac AS (SELECT id AS entity_id, round(sum(a), 6) AS activation FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3) WHERE id NOT IN ('c1', 'c2', 'c4') GROUP BY 1 HAVING round(sum(a), 6) >= 0.05 ORDER BY 2 DESC, 1 LIMIT 16) {REACHED}")
 def thin_recall_deepening(spark: SparkSession, d: str) -> DataFrame:
     """Two hits are few, so the search goes deeper."""
     hits = spark.createDataFrame([(0.9,), (0.1,)], "score double")
-    return G.deepened(hits, "score", relations(spark, d), three_seeds(spark, d), heads(spark, d), about_parts(spark, d))
+    return G.deepened(hits, "score", relations(spark, d), three_seeds(spark, d), kb_heads(spark, d), about_parts(spark, d), near=kept_near(spark, d))
 
 
 @q(f"""WITH {HAPPENINGS_SQL}, {RELATIONS_SQL}, bg AS (SELECT session_key AS cluster, id, entities FROM hp WHERE type = 'bug'), ow AS (SELECT DISTINCT cluster, unnest(entities) AS e FROM bg), lk AS (SELECT DISTINCT src, 'k' || (CAST(substr(dst, 2) AS BIGINT) % 20) AS dst FROM rel WHERE support >= 2),

@@ -162,9 +162,9 @@ def isolation(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id").join(near, "vec_id", "left").select("vec_id", F.round(1 - F.coalesce("near", F.lit(0.0)), 6).alias("isolation"))
 
 
-@q("SELECT doc_id, 1 + (doc_id % 3) AS list_no FROM documents WHERE lang = 'de' UNION SELECT doc_id, 1 + (doc_id % 3) FROM documents WHERE source = 'src1'")
+@q("SELECT doc_id, list_no FROM (SELECT doc_id, 1 AS list_no FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 2 FROM documents WHERE source = 'src1') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY list_no) = 1")
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    """U1, U2."""
+    """Each candidate from the first list that has it."""
     t = table(spark, d, "documents")
-    rows = t.where("lang = 'de'").unionByName(t.where("source = 'src1'"))
-    return rows.select("doc_id", (1 + F.col("doc_id") % 3).alias("list_no")).dropDuplicates(["doc_id"])
+    lists = [t.where("lang = 'de'").select("doc_id", F.lit(1).alias("list_no")), t.where("source = 'src1'").select("doc_id", F.lit(2).alias("list_no"))]
+    return R.merged_candidates(lists, "doc_id")

@@ -100,15 +100,14 @@ def threshold_triggers(spark: SparkSession, d: str) -> DataFrame:
 @q(f"WITH {L0_SQL} SELECT session_key, max(turn) AS last_user FROM l0 WHERE role = 'user' GROUP BY 1")
 def last_user_message(spark: SparkSession, d: str) -> DataFrame:
     """W14."""
-    return l0_messages(spark, d).groupBy("session_key").agg(F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("last_user")).where("last_user is not null")
+    return W.last_of_role(l0_messages(spark, d), "session_key", "turn").withColumnRenamed("last", "last_user")
 
 
-@q("WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS tt, event_id, event_type FROM events) SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY tt, event_id) AS boundary FROM e")
+@q("WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS tt, event_id, event_type FROM events) SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY tt, event_id) AS boundary FROM e")
 def boundary_asof(spark: SparkSession, d: str) -> DataFrame:
     """The latest boundary up to each row, by a running last value."""
-    w = Window.partitionBy("user_id").orderBy(epoch_s("ts"), "event_id")
     mark = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return table(spark, d, "events").select("event_id", F.max(mark).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("boundary"))
+    return W.last_boundary(table(spark, d, "events"), "user_id", [epoch_s("ts"), F.col("event_id")], mark).select("event_id", "boundary")
 
 
 @q("SELECT conv_id, count(*) AS turns, count(*) FILTER (text IS NULL OR trim(text) = '') AS blank, bool_or(role NOT IN ('user', 'assistant')) AS odd_role FROM conversations GROUP BY 1")

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hippospark.functions import parsing
 from hippospark.functions import scalar as S
 from hippospark.functions import text as X
+from hippospark.functions.storage import saved
 from hippospark.operators import clusters, graph, kb, lifecycle, offload, vectors, windows
 from hippospark.operators.components import connected_components
 
@@ -325,3 +327,36 @@ def test_contradictions_of_the_newest_assertions(spark):
 ])
 def test_rule_slug(spark, text, slug):
     assert one(spark, S.rule_slug(F.lit(text).cast("string"))) == slug
+
+
+def test_neighbours_kept_up_to_date(spark):
+    """After batches of changed edges, heavier, lighter and gone ones, as when ranked from nothing."""
+    rng = random.Random(4)
+    schema = "src string, dst string, weight double"
+    every, sums, near = [], spark.createDataFrame([], schema), spark.createDataFrame([], "src string, dst string, share double")
+    for step in range(3):
+        batch = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", float(rng.choice([1, 2, 5]))) for _ in range(12)]
+        if step:
+            a, b, w = every[step]
+            batch.append((a, b, -w))
+        every += batch
+        sums, near = graph.updated_neighbours(sums, near, spark.createDataFrame(batch, schema), 3)
+        near = saved(near, "near")
+        sums = saved(sums, "sums")
+        # what is gone is gone on both sides: sums first, then ranks
+        one = spark.createDataFrame(every, schema).where("src <> dst")
+        both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, graph.top_neighbours(both, 3).collect()))
+        assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, both.collect()))
+
+
+def test_stored_words_for_origins(spark):
+    json = '{"origin": "someone_confirmed", "trust": "unverified"}'
+    row = spark.createDataFrame([(json,)], "j string").select(parsing.provenance(F.col("j")).alias("a"), parsing.provenance(F.col("j"), {"someone_confirmed": "user_confirmed"}).alias("b")).first()
+    assert (row["a"]["origin"], row["a"]["trust"]) == ("conversation", "unverified") and (row["b"]["origin"], row["b"]["trust"]) == ("user_confirmed", "trusted")
+
+
+def test_canonical_pick_breaks_ties_by_id(spark):
+    rows = [("g", "b", 1.0, 2, 5), ("g", "a", 1.0, 2, 5), ("g", "z", 1.0, 1, 0), ("h", "y", 1.0, 2, 9), ("h", "x", 1.0, 2, 3), ("h", "w", 0.5, 9, 0)]
+    got = kb.canonical_pick(spark.createDataFrame(rows, "g string, id string, importance double, facts long, created long"), "g")
+    assert sorted(map(tuple, got.collect())) == [("g", "a"), ("h", "x")]
