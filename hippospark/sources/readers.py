@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from hippospark.functions.text import redacted
 from hippospark.operators.windows import rounds
+from hippospark.sources.exports import read_array
 
 L0 = "id string, sessionKey string, sessionId string, role string, content string, timestamp long, recordedAt string"
 L1 = "id string, content string, type string, priority int, scene_name string, sessionKey string, sessionId string, source_message_ids array<string>, timestamps array<string>, metadata struct<activity_start_time:string,activity_end_time:string>, createdAt string, updatedAt string"
@@ -47,9 +48,9 @@ def read_offload(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
-    """One row per message; human is user, every other sender assistant; text parts join, images are named. A file is one export and
-    is read by one task; exports of many gigabytes are cut into files of conversations first."""
-    c = spark.read.schema(EXPORT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("uuid is not null")
+    """One row per message; human is user, every other sender assistant; text parts join, images are named. A file is one export,
+    however large; many tasks read it."""
+    c = read_array(spark, path, EXPORT).where("uuid is not null")
     m = c.select(F.col("uuid").alias("conversation"), F.posexplode("chat_messages").alias("idx", "m"))
     parts = F.array_join(F.transform(F.filter("m.content", lambda p: p.type == "text"), lambda p: p.text), "\n")
     text = F.when(F.coalesce(F.trim("m.text"), F.lit("")) != "", F.col("m.text")).otherwise(F.coalesce(parts, F.lit("")))

@@ -1,11 +1,13 @@
 """Readers, sinks and streams."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from hippospark.sources import readers, sinks
+from hippospark.sources import exports, readers, sinks
 from hippospark.streaming import sessions
 
 
@@ -104,3 +106,29 @@ def test_quarantine(spark, tmp_path):
 
     sessions.quarantining(fail, str(tmp_path / "dead"))(spark.range(3), 1)
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 3
+
+
+def test_one_export_in_many_tasks(spark, tmp_path):
+    """Rows as by the multi-line reader, wherever the splits fall; a tail that broke off; arrays without elements."""
+    rng = random.Random(6)
+    bits = ['"', "\\", ",", "[", "]", "{", "}", "é", "日本", "\n", " ", "x", '\\"', "],[", '},{"uuid":']
+    say = lambda: "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+    data = [{"uuid": f"u{i}", "n": [rng.randrange(9) for _ in range(rng.randrange(3))], "m": [{"t": say(), "o": {"k": say()}} for _ in range(rng.randrange(4))]} for i in range(60)]
+    schema = "uuid string, n array<int>, m array<struct<t:string,o:struct<k:string>>>"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for name, text in (("plain", json.dumps(data)), ("wide", json.dumps(data, ensure_ascii=False, indent=2) + "\n"), ("one", json.dumps(data[:1])), ("none", " [ ] \n"), ("empty", "")):
+            path = tmp_path / f"{name}.json"
+            path.write_text(text, encoding="utf-8")
+            want = Counter(map(str, spark.read.schema(schema).option("multiLine", True).json(str(path)).where("uuid is not null").collect()))
+            for size in ("300b", "128m"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                assert Counter(map(str, exports.read_array(spark, str(path), schema).where("uuid is not null").collect())) == want
+                assert len(want) == {"none": 0, "empty": 0, "one": 1}.get(name, 60)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        assert spark.read.option("lineSep", ",").text(str(tmp_path / "plain.json")).rdd.getNumPartitions() > 4
+        whole = json.dumps(data)
+        (tmp_path / "broken.json").write_text(whole[: whole.index('"u41"') + 9])
+        assert {r["uuid"] for r in exports.read_array(spark, str(tmp_path / "broken.json"), schema).collect()} == {f"u{i}" for i in range(41)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
