@@ -121,8 +121,11 @@ def verify(docs: DataFrame, doubtful: DataFrame, window: int = WINDOW) -> DataFr
     asked = doubtful.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
     seen = keyed(docs).join(asked, ["doc_id", "text_key"]).mapInArrow(each, "doc_id long, text_key long, start int, d1 long, d2 long")
     seen = C.saved(seen, "op1-windows")
+    C.tidy(docs.sparkSession)
     first = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return seen.join(first, ["d1", "d2"]).where("doc_id > first").select("doc_id", "text_key", "start", F.lit(1).alias("n"))
+    out = C.saved(seen.join(first, ["d1", "d2"]).where("doc_id > first").select("doc_id", "text_key", "start", F.lit(1).alias("n")), "op1-verified")
+    C.forget(seen)
+    return out
 
 
 def covered(docs: DataFrame, flags: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -160,7 +163,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     doubts, flags = doubtful[0], seen[0]
     for d, s in zip(doubtful[1:], seen[1:], strict=True):
         doubts, flags = doubts.unionByName(d), flags.unionByName(s)
-    flags = flags.unionByName(verify(docs, doubts, window))
+    C.tidy(docs.sparkSession)
+    verified = verify(docs, doubts, window)
+    flags = flags.unionByName(verified)
+    for table in (*index.tables, *doubtful):
+        C.forget(table)
+    C.tidy(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
