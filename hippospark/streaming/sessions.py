@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hippospark.functions.commits import Versions
+from hippospark.functions.storage import remove
+
 
 def captured(messages: DataFrame, session: str = "session_key", ts: str = "ts_ms", floor: int = -(1 << 62), ttl_ms: int | None = None) -> DataFrame:
     """Per session only rows later than the last one captured, and than the floor at the start; late rows are dropped. The cursor is
@@ -79,8 +83,65 @@ def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+class Retries:
+    """Batches that fail are kept and tried again when their time has come, by whichever batch comes next; after so many tries
+    they go to the dead letters. The stream never waits for them, and the cursor stands before the first that is open.
+
+    process must replace what it wrote for a batch's number before. clock: seconds. A line of state per open batch.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, process: Callable[[DataFrame, int], None], wait: float = 30.0, tries: int = 5, clock: Callable[[], float] = time.time):
+        self.spark, self.root, self.process, self.wait, self.tries, self.clock = spark, root.rstrip("/"), process, wait, tries, clock
+        self.versions = Versions(spark, f"{self.root}/state")
+
+    def state(self) -> dict:
+        """Open batches by number (tries, due time), dead ones, and the last number seen."""
+        return self.versions.last()[1] or {"open": {}, "dead": [], "last": -1}
+
+    def cursor(self) -> int:
+        """The number up to which every batch is done with: worked off, or dead."""
+        s = self.state()
+        return min((int(n) - 1 for n in s["open"]), default=s["last"])
+
+    def dead_letters(self) -> list[str]:
+        """Folders of the rows of dead batches."""
+        return [f"{self.root}/rows/batch={n}" for n in self.state()["dead"]]
+
+    def _try(self, rows: DataFrame, number: int, s: dict) -> None:
+        tried = s["open"].pop(str(number), [0, 0])[0] + 1
+        try:
+            self.process(rows, number)
+            remove(self.spark, f"{self.root}/rows/batch={number}")
+        except Exception:
+            if tried >= self.tries:
+                s["dead"].append(number)
+            else:
+                s["open"][str(number)] = [tried, self.clock() + self.wait]
+
+    def due(self) -> None:
+        """Try again what is due."""
+        number, s = self.versions.last()
+        ready = sorted(int(n) for n, (_, at) in (s or {"open": {}})["open"].items() if at <= self.clock())
+        for n in ready:
+            self._try(self.spark.read.parquet(f"{self.root}/rows/batch={n}"), n, s)
+        if ready:
+            self.versions.put(number + 1, s)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch. The rows are kept before they are worked on: a failure loses none, and a repeated batch is the same."""
+        self.due()
+        version, s = self.versions.last()
+        s = s or {"open": {}, "dead": [], "last": -1}
+        if number <= s["last"]:
+            return  # a restart brings the last batch again: it is done, open or dead
+        batch.write.mode("overwrite").parquet(f"{self.root}/rows/batch={number}")
+        self._try(self.spark.read.schema(batch.schema).parquet(f"{self.root}/rows/batch={number}"), number, s)
+        s["last"] = number
+        self.versions.put(version + 1, s)
+
+
 def quarantining(process: Callable[[DataFrame], None], dead_letters: str, tries: int = 3) -> Callable[[DataFrame, int], None]:
-    """A batch that fails `tries` times goes to the dead letters, and the stream goes on."""
+    """X10 without waiting: a batch that fails `tries` times at once goes to the dead letters, and the stream goes on."""
 
     def write(batch: DataFrame, number: int) -> None:
         for attempt in range(tries):

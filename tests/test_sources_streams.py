@@ -132,3 +132,36 @@ def test_one_export_in_many_tasks(spark, tmp_path):
         assert {r["uuid"] for r in exports.read_array(spark, str(tmp_path / "broken.json"), schema).collect()} == {f"u{i}" for i in range(41)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_failed_batches_come_again_when_due(spark, tmp_path):
+    """30 seconds apart, five times, then dead; meanwhile others pass, and the cursor waits for what is open. Also over restarts."""
+    now, tried, done = [1_000.0], Counter(), {}
+
+    def process(rows, number):
+        tried[number] += 1
+        if number == 1 and tried[1] < 3 or number == 2:
+            raise RuntimeError("not now")
+        done[number] = sorted(r["id"] for r in rows.collect())
+
+    def run(i):
+        spark.range(10 * i, 10 * i + 3).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        retries = sessions.Retries(spark, f"file://{tmp_path}/retries", process, clock=lambda: now[0])
+        sessions.run_to_end(spark.readStream.schema("id long").parquet(f"file://{tmp_path}/in"), retries.write, f"{tmp_path}/checkpoint")
+        return retries
+
+    assert [run(i).cursor() for i in range(3)] == [0, 0, 0] and done == {0: [0, 1, 2]}
+    now[0] += 29
+    assert run(3).cursor() == 0 and tried[1] == 1 and done[3] == [30, 31, 32]
+    now[0] += 1
+    run(4)
+    assert tried[1] == 2 and tried[2] == 2
+    for _ in range(4):
+        now[0] += 31
+        sessions.Retries(spark, f"file://{tmp_path}/retries", process, clock=lambda: now[0]).due()
+    assert done[1] == [10, 11, 12] and tried[1] == 3 and tried[2] == 5
+    last = sessions.Retries(spark, f"file://{tmp_path}/retries", process)
+    assert last.cursor() == 4 and last.state()["open"] == {} and [sorted(r["id"] for r in spark.read.parquet(x).collect()) for x in last.dead_letters()] == [[20, 21, 22]]
+    # a batch that a restart brings again is not worked on twice
+    last.write(spark.range(3).select("id"), 4)
+    assert tried[4] == 1
