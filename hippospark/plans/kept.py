@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hippospark.functions.commits import Folder
 from hippospark.functions.storage import shared_dir
 from hippospark.operators.keyword_index import SegmentIndex
+from hippospark.operators.vector_index import VectorIndex
 
 
 def state(spark: SparkSession, d: str, tables: Sequence[str]) -> str:
@@ -38,3 +39,10 @@ def kept_index(spark: SparkSession, d: str, name: str, tables: Sequence[str], ro
     if index.note() is None:
         index.update(rows(), id_col=id_col, text_col=text_col, note="built")
     return index
+
+
+def kept_vectors(spark: SparkSession, d: str, name: str, tables: Sequence[str], rows: Callable[[], DataFrame], id_col: str, vec_col: str, id_type: str) -> VectorIndex:
+    index = VectorIndex(spark, f"{shared_dir(spark)}/kept/{name}-{state(spark, d, tables)}", id_type)
+    if not index.state()[0]:
+        index.insert(rows(), id_col, vec_col)
+    return index

@@ -12,7 +12,7 @@ from hippospark.operators.keyword_index import SegmentIndex
 
 from .bindings import epoch_s, l0_messages, table
 from .common import Queries
-from .kept import kept_index
+from .kept import kept_index, kept_vectors
 
 q = Queries()
 QUERIES, ORACLES = q.queries, q.oracles
@@ -62,6 +62,14 @@ def embedding_search(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_topk(table(spark, d, "embeddings"), query_vector(spark, d), 10, least=0.3)
 
 
+@q()
+def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """T5: the ten nearest of every hundredth vector, by the kept index; tests measure its recall against all rows."""
+    e = table(spark, d, "embeddings")
+    index = kept_vectors(spark, d, "vector-index", ["embeddings"], lambda: e, "vec_id", "embedding", "long")
+    return index.search_many(e.where("vec_id % 100 = 0"), 10, None, "vec_id", "embedding")
+
+
 FUSED_SQL = """r AS (SELECT doc_id AS id, 0 AS list_no, row_number() OVER (ORDER BY bm25 DESC, doc_id) - 1 AS rank FROM bm UNION ALL SELECT vec_id, 1, row_number() OVER (ORDER BY score DESC, vec_id) - 1 FROM cs),
 fu AS (SELECT id, round(sum(1.0 / (61 + rank)), 6) AS score, count(*) AS n_lists, min(list_no) AS first_list FROM r GROUP BY id ORDER BY score DESC, id LIMIT {k})"""
 
