@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hippospark.functions import parsing as P
 from hippospark.functions import scalar as S
 from hippospark.functions import text as X
 from hippospark.operators import lifecycle as L
 
-from .bindings import epoch_s, table
+from .bindings import HAPPENINGS_SQL, epoch_s, happenings, table
 from .common import Queries
 
 q = Queries()
@@ -115,6 +116,22 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "c.ix", F.md5("c.chunk").alias("md5"))
 
 
+@q("WITH c AS (SELECT doc_id, text, CASE WHEN length(text) <= 300 THEN 1 ELSE least(4, CAST(ceil((length(text) - 299) / 1.0) AS INTEGER)) END AS n FROM documents WHERE trim(text) <> ''), i AS (SELECT doc_id, text, unnest(range(0, n)) AS ix FROM c) SELECT doc_id, CAST(ix AS INTEGER) AS ix, md5(substr(text, ix + 1, 300)) AS md5 FROM i")
+def chunk_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings that do not fit: a broken size, an overlap over the size, a number that is no whole one."""
+    o = P.chunk_options(300.9, 10_000, 4.7)
+    t = table(spark, d, "documents").select("doc_id", F.explode(S.chunks(F.col("text"), *o)).alias("c"))
+    return t.select("doc_id", "c.ix", F.md5("c.chunk").alias("md5"))
+
+
+@q(f"WITH {HAPPENINGS_SQL} SELECT event_id, type = 'decision' AND event_id % 10 / 10.0 >= 0.7 AND event_id % 4 <> 0 AS vision FROM hp")
+def vision_stakes(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions that are distinctive and of no operative stakes; numbers stand for the scores."""
+    k = F.col("event_id")
+    operative = F.when(k % 4 == 0, "prod").otherwise("none")
+    return happenings(spark, d).select("event_id", X.vision(F.col("type"), k % 10 / 10.0, operative).alias("vision"))
+
+
 ERR = "regexp_extract_all(x, '%s'%s)"
 ERRORS_SQL = "list_sort(list_distinct(list_concat(" + ", ".join((
     ERR % (r"\b([A-Z][a-z]+[A-Za-z]*(?:Error|Exception))\b", ", 1"), ERR % (r"\bERR_[A-Z0-9_]+\b", ""), ERR % (r"\bE[A-Z]{2,}\b", ""), "['HTTP_' || h FOR h IN " + ERR % (r"\b(?:HTTP[/ ]?)?([45]\d{2})\b", ", 1") + "]",
