@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hippospark.functions.storage import shared_dir
 from hippospark.streaming import sessions
-from hippospark.streaming.engine import session_events
+from hippospark.streaming.engine import session_events, situations
 
 from .bindings import table
 from .common import Queries
@@ -59,6 +59,21 @@ def session_engine(spark: SparkSession, d: str) -> DataFrame:
     return through(spark, d, "events", work).select("session_key", "kind", "at_ms", F.when(F.col("kind") == "evict", 0).otherwise(F.col("run")).alias("run"), "messages")
 
 
+@q("""WITH t AS (SELECT 'u' || user_id AS s, event_id AS n, event_type AS tool, 'f' || (event_id % 11) AS file, CASE WHEN event_id % 3 = 0 THEN 'E' || (event_id % 7) END AS err FROM events),
+l AS (SELECT s, 'file' AS kind, file AS v, max(n) AS n FROM t GROUP BY 1, 3 UNION ALL SELECT s, 'tool', tool, max(n) FROM t GROUP BY 1, 3 UNION ALL SELECT s, 'err', err, max(n) FROM t WHERE err IS NOT NULL GROUP BY 1, 3), r AS (SELECT *, row_number() OVER (PARTITION BY s, kind ORDER BY n DESC, v) AS p FROM l)
+SELECT s AS session_key, coalesce(list(v ORDER BY p DESC) FILTER (kind = 'file' AND p <= 5), []) AS files, coalesce(list(v ORDER BY p DESC) FILTER (kind = 'err' AND p <= 5), []) AS errors, coalesce(list(v ORDER BY p DESC) FILTER (kind = 'tool' AND p <= 8), []) AS tools FROM r GROUP BY 1""")
+def streaming_situations(spark: SparkSession, d: str) -> DataFrame:
+    """Page events as tool events, folded into each session's situation; its last one."""
+    k = F.col("event_id")
+
+    def work(s: DataFrame) -> DataFrame:
+        errors = F.when(k % 3 == 0, F.array(F.concat(F.lit("E"), k % 7))).otherwise(F.array().cast("array<string>"))
+        return situations(s.select(F.concat(F.lit("u"), "user_id").alias("session_key"), k.alias("seq"), F.col("event_type").alias("tool"), F.concat(F.lit("f"), k % 11).alias("file"), errors.alias("errors")))
+
+    last = through(spark, d, "events", work).groupBy("session_key").agg(F.max_by(F.struct("files", "errors", "tools"), "seq").alias("x"))
+    return last.select("session_key", "x.*")
+
+
 @q("SELECT user_id AS session_key, CASE WHEN n < 1 THEN 0 WHEN n < 3 THEN 1 WHEN n < 7 THEN 2 ELSE 3 + (n - 7) // 5 END AS runs FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM events GROUP BY 1)")
 def threshold_trigger_state(spark: SparkSession, d: str) -> DataFrame:
     """How often each session's runs fired."""

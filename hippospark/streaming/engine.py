@@ -165,3 +165,43 @@ def session_events(messages: DataFrame, times: Times | None = None, every: int =
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = messages.withWatermark("ts", late).select("session_key", F.col("record_id").cast("string").alias("record"), "ts", F.unix_millis("ts").alias("at_ms"))
     return rows.groupBy("session_key").transformWithStateInPandas(SessionEngine(times or Times(), every, floor_ms), EVENT, "append", "EventTime")
+
+
+SITUATION = "session_key string, seq long, files array<string>, errors array<string>, tools array<string>"
+#: How many of each a situation holds.
+KEPT = {"files": 5, "errors": 5, "tools": 8}
+
+
+class SituationState(StatefulProcessor):
+    """The last files, error signatures and tools of a session, each once, as list state that tool events fold into."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lists = {name: handle.getListState(name, "value string, seq long") for name in KEPT}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {name: dict(state.get()) if state.exists() else {} for name, state in self.lists.items()}
+        for batch in rows:
+            for seq, tool, file, errors in zip(batch.seq.tolist(), batch.tool, batch.file, batch.errors, strict=True):
+                for name, values in (("files", [file]), ("errors", [] if errors is None else errors), ("tools", [tool])):
+                    for v in values:
+                        if v:
+                            held[name][v] = max(seq, held[name].get(v, seq))
+        out = {}
+        for name, most in KEPT.items():
+            # the latest last; of equal ones the smaller value counts as later
+            last = sorted(sorted(held[name].items(), reverse=True), key=lambda x: x[1])[-most:]
+            out[name] = [v for v, _ in last]
+            if last:
+                self.lists[name].put(last)
+        seq = max((x for h in held.values() for x in h.values()), default=0)
+        yield pd.DataFrame({"session_key": [key[0]], "seq": [seq], **{name: [out[name]] for name in KEPT}})
+
+    def close(self) -> None:
+        pass
+
+
+def situations(tools: DataFrame) -> DataFrame:
+    """SITUATION rows of a stream of tool events (session_key, seq, tool, file, errors): a session's situation after each batch that has
+    events of it. A value that comes late takes its place by its number."""
+    tools.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return tools.select("session_key", "seq", "tool", "file", "errors").groupBy("session_key").transformWithStateInPandas(SituationState(), SITUATION, "update", "None")

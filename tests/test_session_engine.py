@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hippospark.operators import lookups
 from hippospark.streaming import sessions
-from hippospark.streaming.engine import Times, session_events
+from hippospark.streaming.engine import Times, session_events, situations
 
 TIMES = Times(idle=600_000, delay=90_000, least=900_000, most=3_600_000, window=14_400_000)
 START = 1_700_000_000_000
@@ -94,3 +95,18 @@ def test_late_messages_and_the_floor(spark, tmp_path):
     got = run(spark, f"file://{tmp_path}", [early, late], f"file://{tmp_path}/out", floor_ms=START)
     assert [(r[0], r[1], r[5]) for r in got] == [("a", "count", ["one"]), ("b", "count", ["two"])]
     assert got == simulated([r for r in early + late if r[2] not in ("again", "twin")], START + 9_500, floor=START)
+
+
+def test_situations_over_batches(spark, tmp_path):
+    """The state after several batches and restarts is the situation over all rows, late and repeated ones included."""
+    rng = random.Random(7)
+    rows = [("ab"[rng.randrange(2)], i, rng.choice(["Read", "Edit", "", None, "Bash"] + [f"t{j}" for j in range(9)]), rng.choice(["", None] + [f"f{j}" for j in range(9)]), [f"E{rng.randrange(8)}" for _ in range(rng.randrange(3))]) for i in range(60)]
+    rows[10], rows[50] = rows[50], rows[10]
+    schema = "session_key string, seq long, tool string, file string, errors array<string>"
+    for part in (rows[:20], rows[20:21], rows[21:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = situations(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        sessions.run_to_end(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}"), f"{tmp_path}/checkpoint")
+    got = {r["session_key"]: (r["batch"], r) for r in sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: r["batch"])}
+    want = {r["session_key"]: r for r in lookups.recent_situation(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: (list(x["files"]), list(x["errors"]), list(x["tools"])) for k, (_, x) in got.items()} == {k: (list(x["files"]), list(x["errors"]), list(x["tools"])) for k, x in want.items()}
