@@ -579,9 +579,16 @@ def score_cascade_replacements(spark: SparkSession, d: str) -> DataFrame:
     return W.replaced_by_cascade(c, "user_id").select("user_id", "event_id", "threshold")
 
 
-@q()
+@q("""WITH RECURSIVE m AS (SELECT conv_id AS s, turn AS i, CASE WHEN turn % 4 = 3 THEN 'tool' ELSE role END AS role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM conversations),
+l AS (SELECT s, list(t ORDER BY i) AS t, list(role ORDER BY i) AS r, count(*) AS n, list(i ORDER BY i) AS i FROM m GROUP BY s),
+g AS (SELECT s, CAST(0 AS BIGINT) AS gone FROM l UNION ALL SELECT s, gone + cut FROM
+  (SELECT s, gone, least(list_filter(range(first, n - gone + 1), lambda j: j = n - gone OR r[gone + j + 1] <> 'tool')[1], last - gone) AS cut FROM
+    (SELECT *, coalesce(list_filter(range(1, n - gone - 1), lambda j: list_sum(t[gone + 1:gone + j]) >= total * CAST(0.4 AS DOUBLE))[1], n - gone - 2) AS first FROM
+      (SELECT g.s, gone, l.n, l.r, l.t, list_sum(l.t[gone + 1:]) AS total, coalesce(list_max(list_filter(range(l.n), lambda j: l.r[j + 1] = 'user')), l.n) AS last FROM g JOIN l USING (s) WHERE l.n - gone > 2) WHERE total >= 40)) WHERE cut > 0),
+e AS (SELECT s, max(gone) AS gone FROM g GROUP BY s)
+SELECT CAST(s AS VARCHAR) AS session_key, unnest(i) AS idx, unnest(list_transform(range(n), lambda j: j < gone)) AS deleted FROM l JOIN e USING (s)""")
 def aggressive_delete(spark: SparkSession, d: str) -> DataFrame:
-    """O3: round after round of a sequential rule; tested on fixtures."""
+    """O3: round after round; every fourth turn is a tool's result."""
     k = F.col("turn")
     m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_key"), k.cast("long").alias("idx"), F.when(k % 4 == 3, "tool").otherwise(F.col("role")).alias("role"), F.lit(None).cast("string").alias("tool_call_id"), F.ceil(F.char_length("text") / 4).cast("long").alias("tokens"))
     return O.aggressive(m, 40)
