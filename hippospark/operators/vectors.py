@@ -94,3 +94,9 @@ def topk(queries: DataFrame, rows: DataFrame, id_col: str, vec: str, k: int) ->
         return a[i][fine], b[j][fine], c[i, j][fine]
 
     return cosines(blocks(queries, id_col, vec, "x"), blocks(rows, id_col, vec, "y"), keep, "query_id long, id long, score double")
+
+
+def dedup_candidates(batch: DataFrame, rows: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """query_id, id, score as topk: for each of a batch's records the nearest of all that are not in the batch, which may already be
+    among the rows."""
+    return topk(batch, rows.join(batch.select(id_col).distinct(), id_col, "left_anti"), id_col, vec, k)

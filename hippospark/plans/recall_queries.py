@@ -108,12 +108,22 @@ def recall_confidence(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM qs, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
 def cosine_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors whose id is divisible by 100 against all, in blocks."""
+    """The vectors whose id is divisible by 100 against all, in blocks."""
     e = table(spark, d, "embeddings")
     pairs = V.topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5).withColumnRenamed("id", "vec_id")
     return R.topk_per_query(pairs, "query_id", "score", "vec_id", 5)
 
 
+@q("""WITH qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 < 2),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM qs, embeddings WHERE vec_id % 100 >= 2)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+def dedup_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of records, two in a hundred, against all that were there before."""
+    e = table(spark, d, "embeddings")
+    pairs = V.dedup_candidates(e.where("vec_id % 100 < 2"), e, "vec_id", "embedding", 5).withColumnRenamed("id", "vec_id")
+    return R.topk_per_query(pairs, "query_id", "score", "vec_id", 5)
+
+
 @q("WITH " + COS_SQL.replace("{k}", "1000000") + """, b AS (SELECT vec_id // 4 AS owner, vec_id % 4 AS chunk, score FROM cs), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, chunk) AS p FROM b)
 SELECT owner, score, chunk FROM r WHERE p = 1 ORDER BY score DESC, owner LIMIT 20""")
 def best_chunk_per_owner(spark: SparkSession, d: str) -> DataFrame:
