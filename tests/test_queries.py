@@ -45,3 +45,20 @@ def test_query(spark, duck, name):
         assert rows == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
     else:
         assert rows
+
+
+@pytest.mark.parametrize(("name", "tables"), [
+    # prices whose thousandth is a tie
+    ("history_canvases", {"orders": "SELECT CAST(i AS BIGINT) AS o_orderkey, CAST(i % 3 AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, 500.0 + 1000.0 * i AS o_totalprice FROM range(1, 40) r(i)"}),
+    # messages of one conversation beyond the eighth, and gaps between conversations
+    ("message_topk", {"conversations": "SELECT CAST(i // 12 * 5 AS BIGINT) AS conv_id, CAST(i % 12 AS BIGINT) AS turn, 'user' AS role, 't' AS text FROM range(40) r(i)", "embeddings": "SELECT CAST(i AS BIGINT) AS vec_id, [CAST(i % 7 + 1 AS FLOAT), CAST(i % 5 AS FLOAT), CAST(i AS FLOAT)] AS embedding, 1 AS label FROM range(60) r(i)"}),
+])
+def test_query_on_odd_tables(spark, tmp_path, name, tables):
+    c = duckdb.connect()
+    for t, sql in tables.items():
+        c.execute(f"copy ({sql}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    cursor = c.execute(ORACLES[name])
+    names = [x[0] for x in cursor.description]
+    assert sorted(tuple(plain(r[x]) for x in names) for r in got.collect()) == sorted(tuple(map(plain, r)) for r in cursor.fetchall())
