@@ -247,4 +247,4 @@ def json_access(spark: SparkSession, d: str) -> DataFrame:
 @q("SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_sum([y * y FOR y IN CAST(embedding AS DOUBLE[])])), 6)) AS v FROM embeddings")
 def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
     """M22."""
-    return table(spark, d, "embeddings").select("vec_id", F.transform(S.l2_normalized(S.doubles("embedding")), lambda x: F.round(x, 6)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(S.l2_normalized(S.doubles("embedding")), lambda x: S.rounded(x)).alias("v"))

@@ -360,3 +360,25 @@ def test_canonical_pick_breaks_ties_by_id(spark):
     rows = [("g", "b", 1.0, 2, 5), ("g", "a", 1.0, 2, 5), ("g", "z", 1.0, 1, 0), ("h", "y", 1.0, 2, 9), ("h", "x", 1.0, 2, 3), ("h", "w", 0.5, 9, 0)]
     got = kb.canonical_pick(spark.createDataFrame(rows, "g string, id string, importance double, facts long, created long"), "g")
     assert sorted(map(tuple, got.collect())) == [("g", "a"), ("h", "x")]
+
+
+def test_rounding_as_sql_rounds_doubles(spark):
+    """Half away from zero on x * 10^digits, and what vanishes keeps its sign."""
+    r = [one(spark, S.rounded(F.lit(x))) for x in (-1e-9, 0.0000025, -0.0000025, 0.12345649, 2.0)]
+    assert r == [0.0, 0.000003, -0.000003, 0.123456, 2.0] and math.copysign(1.0, r[0]) == -1.0
+    v = one(spark, S.doubles(F.transform(S.l2_normalized(arr(1.0, -1e-8)), lambda x: S.rounded(x))))
+    assert v == [1.0, 0.0] and math.copysign(1.0, v[1]) == -1.0
+
+
+def test_first_share_of_messages_is_exact(spark):
+    """Seventy of a hundred of 90 are 63, though 90 * 0.7 in doubles is less."""
+    m = spark.range(1, 91).select(F.lit("s").alias("s"), F.col("id").alias("i"), F.concat(F.lit("t"), "id").alias("tool_call_id"), F.lit(False).alias("replaced"), F.lit(9).alias("length"))
+    e = m.select("tool_call_id", F.lit(5).alias("score"), F.lit(1).alias("summary_length"))
+    assert sorted(r["i"] for r in windows.cascade_candidates(m, e, "s", "i").collect()) == list(range(1, 64))
+
+
+def test_places_in_an_order(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, None if i % 10 == 0 else i) for i in range(100)], "a long, b long").repartition(7)
+    got = windows.numbered(rows, [F.asc_nulls_last("b"), F.asc_nulls_last("a")], "n").collect()
+    key = lambda r: (r["b"] is None, r["b"] or 0, r["a"])
+    assert [r["n"] for r in sorted(got, key=key)] == list(range(100))
