@@ -57,3 +57,19 @@ def test_versions_have_one_writer(spark, tmp_path):
     # what a writer left that died on the way does not count
     (tmp_path / "v" / ".half").write_text("{")
     assert versions.last() == (1, {"a": 1}) and versions.put(2, {}) and Folder(spark, f"file://{tmp_path}/v").names() == ["v00000001", "v00000002"]
+
+
+def test_a_segment_of_many_parts_equals_a_rebuilt_index(spark, tmp_path, monkeypatch):
+    """Texts and blocks are dealt over many tasks; texts without words and rows that share an id are among them."""
+    for name, value in (("PART_BYTES", 200), ("PART_WORDS", 20), ("BLOCK_WORDS", 20)):
+        monkeypatch.setattr(keyword_index, name, value)
+    rng = random.Random(3)
+    rows = [(i % 70, rng.choice([texts(rng, rng.randint(1, 30)), "", None])) for i in range(80)]
+    index = SegmentIndex(spark, f"file://{tmp_path}/index", "long")
+    index.update(spark.createDataFrame(rows, "id long, text string"))
+    held = {}
+    for i, t in rows:
+        held[i] = max((x for x in (held.get(i), t) if x is not None), default=None)
+    fresh = KeywordIndex.build(spark.createDataFrame(list(held.items()), "id long, text string"), "id", "text")
+    assert index.size() == (fresh.n, fresh.words)
+    assert list(map(tuple, index.search(["alpha", "the"], 9).collect())) == list(map(tuple, fresh.search(["alpha", "the"], 9).collect()))
