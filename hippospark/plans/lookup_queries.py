@@ -258,9 +258,10 @@ def situation_matches(spark: SparkSession, d: str) -> DataFrame:
     current = p.where("fingerprint_id % 100 = 0").withColumnRenamed("fingerprint_id", "session")
     stored = p.where("fingerprint_id % 100 <> 0")
     none = spark.createDataFrame([], "session long, owner_id string")
-    first = L.situation_match(current, stored, none, entities(spark, d), heads(spark, d))
+    best = L.best_situations(current, stored)
+    first = L.situation_match(current, stored, none, entities(spark, d), heads(spark, d), best)
     shown = first.where("session % 200 = 0 and place = 1").select("session", "owner_id")
-    return L.situation_match(current, stored, shown, entities(spark, d), heads(spark, d))
+    return L.situation_match(current, stored, shown, entities(spark, d), heads(spark, d), best)
 
 
 @q(f"""WITH {HAPPENINGS_SQL}, {ENTITIES_SQL}, {ROOTS_SQL}, {PRINTS_SQL}, rc AS (SELECT session_key, unnest(entities) AS id FROM (SELECT * FROM hp QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts_us DESC, id DESC) <= 30)),

@@ -10,7 +10,7 @@ from hippospark.functions import parsing
 from hippospark.functions import scalar as S
 from hippospark.functions import text as X
 from hippospark.functions.storage import saved
-from hippospark.operators import clusters, graph, kb, lifecycle, offload, vectors, windows
+from hippospark.operators import clusters, graph, kb, lifecycle, lookups, offload, vectors, windows
 from hippospark.operators.components import connected_components
 
 
@@ -382,3 +382,22 @@ def test_places_in_an_order(spark):
     got = windows.numbered(rows, [F.asc_nulls_last("b"), F.asc_nulls_last("a")], "n").collect()
     key = lambda r: (r["b"] is None, r["b"] or 0, r["a"])
     assert [r["n"] for r in sorted(got, key=key)] == list(range(100))
+
+
+def test_best_situations_against_all_pairs(spark, monkeypatch):
+    """Ties, empty sets, sets too large to enumerate, and no pair made of what merely shares a file."""
+    monkeypatch.setattr(lookups, "MOST_FILES", 5)
+    rng = random.Random(8)
+    one_of = lambda i: (i, rng.sample("abcdefghij", rng.choice([0, 1, 2, 3, 4, 4, 5, 7])), rng.sample("xyz", rng.randint(0, 3)), rng.choice(["", "t", "u"]), ["o"])
+    now, then = [one_of(i) for i in range(25)], [one_of(i) for i in range(100, 220)]
+    schema = "{} long, files array<string>, errors array<string>, task string, owner_ids array<string>"
+    current, stored = spark.createDataFrame(now, schema.format("session")), spark.createDataFrame(then, schema.format("fingerprint_id"))
+    got = {r["session"]: (r["fingerprint_id"], r["score"]) for r in lookups.best_situations(current.drop("owner_ids"), stored).collect()}
+
+    def score(a, b):
+        like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) if x or y else 0.0
+        w = (0.6 if a[1] or b[1] else 0.0, 0.25 if a[2] or b[2] else 0.0, 0.15 if a[3] and b[3] else 0.0)
+        return round((w[0] * like(a[1], b[1]) + w[1] * like(a[2], b[2]) + w[2] * (a[3] == b[3])) / sum(w), 6) if sum(w) else 0.0
+
+    best = {a[0]: min((-score(a, b), b[0]) for b in then) for a in now}
+    assert got == {i: (b, -s) for i, (s, b) in best.items() if s < 0}
