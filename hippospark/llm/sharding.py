@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARDS, SEED, BUCKET_BYTES = 40, 20_251, 32 << 20
+SHARDS, SEED, BUCKET_BYTES = 40, 20_251, 8 << 20
 
 
 def shard(docs: DataFrame, size: Column, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -34,17 +34,22 @@ def shard(docs: DataFrame, size: Column, shards: int = SHARDS, seed: int = SEED,
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     before = counts.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.col("before") + F.col("at")
-    return dealt.join(before, "bucket").select(F.col("one.row").alias("row"), (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    # a row per bucket; the records must not move once more to meet them
+    return dealt.join(F.broadcast(before), "bucket").select(F.col("one.row").alias("row"), (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+
+
+def record_size(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("long") + 16
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write whole records, one folder per shard, each sorted by slot: columns row (all of docs), slot and the folder's shard."""
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 16
-    shard(docs, size, shards=shards).repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shard(docs, record_size(F.col("text")), shards=shards).repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    digest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
-    return shard(digest, F.col("size")).select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # whole records are moved, sized and dealt; the digest is of the texts as they lie in their shards
+    dealt = shard(docs, record_size(F.col("text")))
+    size, text = record_size(F.col("row.text")), F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return dealt.select(F.col("row.doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

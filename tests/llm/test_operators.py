@@ -691,6 +691,14 @@ def test_sharding(docs, rows, empty, spark):
     assert len(scattered) == 300 and {r["doc_id"] for r in sorted(scattered, key=lambda r: (r["shard"], r["slot"]))[:20]} == {None, 3}
 
 
+def test_the_sharding_query_moves_whole_records(docs, spark, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, shard = [], sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda d, *a, **k: seen.append(d.columns) or shard(d, *a, **k))
+    got = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    assert seen == [docs.columns] and len(got) == docs.count()
+
+
 def test_written_shards_come_back_whole_and_in_order(docs, rows, spark, tmp_path):
     sharding.write_shards(docs, f"{tmp_path}/shards", shards=5)
     back = spark.read.parquet(f"{tmp_path}/shards")
