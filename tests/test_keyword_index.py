@@ -73,3 +73,17 @@ def test_a_segment_of_many_parts_equals_a_rebuilt_index(spark, tmp_path, monkeyp
     fresh = KeywordIndex.build(spark.createDataFrame(list(held.items()), "id long, text string"), "id", "text")
     assert index.size() == (fresh.n, fresh.words)
     assert list(map(tuple, index.search(["alpha", "the"], 9).collect())) == list(map(tuple, fresh.search(["alpha", "the"], 9).collect()))
+
+
+def test_words_are_counted_in_batches():
+    """A batch of texts at once, a block of them at once: texts without words keep their place, terms come in byte order."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array([["b", "a", "b"], None, [], ["ü", "b"]], pa.list_(pa.string()))], ["id", "tokens"])
+    (got,) = keyword_index._count_words([batch])
+    assert got.column("id").to_pylist() == [5, 6, 7, 8] and got.column("dl").to_pylist() == [3, 0, 0, 2]
+    assert [sorted((w["term"], w["tf"]) for w in x) for x in got.column("words").to_pylist()] == [[("a", 1), ("b", 2)], [], [], [("b", 1), ("ü", 1)]]
+    block = pa.Table.from_batches([got]).add_column(0, "block", pa.array([4] * 4, pa.int32()))
+    rows = [(r["term"], r["block"], sorted((x["id"], x["tf"], x["dl"]) for x in r["rows"]), r["n"], r["most"], r["shortest"]) for r in keyword_index._postings(block).to_pylist()]
+    assert rows == [("a", 4, [(5, 1, 3)], 1, 1, 3), ("b", 4, [(5, 2, 3), (8, 1, 2)], 2, 2, 2), ("ü", 4, [(8, 1, 2)], 1, 1, 2)]
+    assert keyword_index._postings(block.slice(1, 2)).num_rows == 0
