@@ -11,7 +11,7 @@ from hippospark.operators import graph as G
 from hippospark.operators import retrieval as R
 from hippospark.operators import vectors as V
 
-from .bindings import EVENTS_SQL, RELATIONS_SQL, kb_events, relations, table
+from .bindings import EVENTS_SQL, RELATIONS_SQL, kb_events, ordered, relations, table
 from .common import Queries
 from .kept import kept_table
 from .recall_queries import ISOLATION, isolation
@@ -32,7 +32,7 @@ def weighted(spark: SparkSession, d: str) -> DataFrame:
 
 def near(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours as a store keeps them."""
-    return kept_table(spark, d, "neighbours", ["orders", "lineitem"], lambda: G.strongest(weighted(spark, d)))
+    return kept_table(spark, d, "neighbours", ["orders", "lineitem"], lambda: G.strongest(ordered(spark, d).withColumn("weight", F.lit(1).cast("long"))))
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
