@@ -401,3 +401,35 @@ def test_best_situations_against_all_pairs(spark, monkeypatch):
 
     best = {a[0]: min((-score(a, b), b[0]) for b in then) for a in now}
     assert got == {i: (b, -s) for i, (s, b) in best.items() if s < 0}
+
+
+def test_merge_report_names_its_members_and_parses_in_order(spark):
+    """Names meet members in a join, headers are counted over ranges: as many clusters as went in, whatever the ranges."""
+    from hippospark.operators import knowledge, windows
+
+    rows = [(c, "part", [f"{c}{i}" for i in range(4)], f"{c}2", {f"{c}{i}": f"name {i}" for i in range(3)}, 0.9, 0.95, "auto") for c in "abc"]
+    c = spark.createDataFrame(rows, "component string, type string, ids array<string>, keep string, names map<string,string>, least double, most double, band string")
+    texts = {r["component"]: r["text"].split("\n") for r in knowledge.merge_report(c).collect()}
+    assert texts["b"] == ["### cluster=b0 type=part n=4 score=0.90-0.95 [AUTO]", "decision: OK", "keep b2  name 2", "merge b0  name 0", "merge b1  name 1", "merge b3  "]
+    lines = spark.createDataFrame([((k, i), v) for k, t in texts.items() for i, v in enumerate(t)], "at struct<c:string,i:int>, value string")
+    assert sorted((r["cluster"], r["keep"], r["merges"]) for r in knowledge.parsed_report(lines).collect()) == [(f"{k}0", f"{k}2", [f"{k}0", f"{k}1", f"{k}3"]) for k in "abc"]
+    got = windows.running(spark.range(50).withColumn("v", F.col("id") % 3), ["id"], "v", "sum").collect()
+    assert {r["id"]: r["sum"] for r in got} == {i: sum(x % 3 for x in range(i + 1)) for i in range(50)}
+
+
+def test_strongest_neighbours_of_pairs_given_both_ways(spark):
+    from hippospark.operators import graph
+
+    e = spark.createDataFrame([("a", "b", 2), ("b", "a", 1), ("a", "c", 1), ("a", "a", 9), ("c", "b", 0), ("a", "c", 1)], "src string, dst string, weight long")
+    got = {(r["src"], r["dst"]): r["share"] for r in graph.strongest(e, 2).collect()}
+    assert got == {("a", "b"): 0.6, ("a", "c"): 0.4, ("b", "a"): 1.0, ("c", "a"): 1.0}
+
+
+def test_fix_texts_leave_out_what_the_cluster_names_itself(spark):
+    from hippospark.operators import graph
+
+    events = spark.createDataFrame([(1, "own bug", ["a", "b"]), (2, "of b", ["b"]), (3, "of c", ["c"]), (4, "of c and b", ["c", "b"]), (5, "bug 2", ["c"]), (6, "", ["c"])], "id long, text string, entities array<string>")
+    links = spark.createDataFrame([("a", "b", "caused"), ("a", "c", "fixed-by"), ("b", "c", "uses")], "src string, dst string, type string")
+    bugs = spark.createDataFrame([("x", 1), ("y", 5)], "cluster string, id long")
+    got = {tuple(r) for r in graph.fix_texts(bugs, links, events).collect()}
+    assert got == {("x", "of c"), ("x", "of c and b"), ("x", "bug 2"), ("y", "own bug")}
