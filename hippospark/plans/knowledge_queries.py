@@ -105,14 +105,17 @@ def delta_coercion(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def applied(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    empty = {
+def before_deltas(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {
         "entities": entities(spark, d),
         "events": spark.createDataFrame([], "id string, ts string, session_key string, session_id string, namespace string, project string, type string, text string, language string, entities array<string>, source_message_ids array<string>"),
         "facts": spark.createDataFrame([], "entity_id string, attribute string, value string, valid_from long, learned_at long, seq long, confidence double"),
         "relations": spark.createDataFrame([], "src string, type string, dst string, support long"),
     }
-    return W.apply_delta(empty, deltas(spark, d))
+
+
+def applied(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return W.apply_delta(before_deltas(spark, d), deltas(spark, d))
 
 
 PART_ID = "'ent_' || substr(sha1('default|' || CASE WHEN l_partkey % 2 = 0 THEN 'library|library:part ' ELSE 'concept|concept:part ' END || l_partkey), 1, 16)"
@@ -130,8 +133,7 @@ SELECT 'fact' AS owner_kind, name || ' — status: ' || value AS text FROM h JOI
 def delta_index(spark: SparkSession, d: str) -> DataFrame:
     """What the deltas give to the index; orders are learned in the order of their dates, so heads are the latest."""
     x = deltas(spark, d).withColumn("learned_at", F.col("facts")[0]["valid_from"] * 1_000_000_000 + F.col("delta_id").cast("long"))
-    tables = {**{k: v.limit(0) for k, v in applied(spark, d).items() if k != "index"}, "entities": entities(spark, d)}
-    return W.apply_delta(tables, x)["index"].select("owner_kind", "text")
+    return W.apply_delta(before_deltas(spark, d), x)["index"].select("owner_kind", "text")
 
 
 @q("SELECT CAST(o_custkey AS BIGINT) AS batch, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS n_entities, CAST(count(*) AS INTEGER) AS n_facts, arg_min(o_orderpriority, o_orderkey) AS first_name, CAST(1 AS INTEGER) AS refs_found FROM orders GROUP BY 1")
