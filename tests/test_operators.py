@@ -286,6 +286,24 @@ def test_json_repair(spark):
     assert got[0]["j"]["a"] == "x\ny\t" and got[0]["j"]["b"] == 1 and got[1]["j"] is None
 
 
+def test_blocks_move_as_often_as_there_are_stripes(spark, monkeypatch):
+    """However many blocks there are, each goes to as many tasks as stripes, until a stripe is full."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    df = spark.range(400).select("id", F.array(*[(F.col("id") % n + 1).cast("double") for n in (20, 7, 3)]).alias("v"))
+    few = vectors.blocks(df, "id", "v")
+    assert few.n == 100 and few.least == 1
+    assert vectors.meetings(few, None).count() == few.rows.count() * vectors.STRIPES
+    got = {r["id"]: r["near"] for r in vectors.nearest(df, "id", "v").collect()}
+    pairs = {tuple(sorted(r)) for r in vectors.all_pairs(df, "id", "v", 0.01).select("a", "b").collect()}
+    assert len(pairs) == 400 * 399 // 2 and vectors.all_pairs(df, "id", "v", 0.01).count() == len(pairs)
+    monkeypatch.setattr(vectors, "STRIPE_BYTES", 600)
+    full = vectors.blocks(df, "id", "v")
+    assert full.least == 16 and vectors.meetings(full, None).count() == full.rows.count() * 16
+    assert {r["id"]: r["near"] for r in vectors.nearest(df, "id", "v").collect()} == pytest.approx(got)
+    best = {r["query_id"]: r["score"] for r in vectors.topk(df, df, "id", "v", 1).groupBy("query_id").agg(F.max("score").alias("score")).collect()}
+    assert best == pytest.approx(got, abs=1e-6)
+
+
 def test_pairs_over_all_rows_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rng = random.Random(3)
