@@ -13,8 +13,10 @@ runs every `most` at least. X7: inactive for a window, a session stops; after th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass, fields
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,10 @@ class Session:
         return NEVER if self.last == -NEVER else self.last + 3 * times.window
 
     def due(self, times: Times) -> tuple[int, str]:
-        return min((self.idle_at, "a idle"), (self.second_at, "b second"), (self.evict_at(times), "c evict"))
+        """The earliest time; of equal ones idleness comes first, eviction last."""
+        at, what = (self.idle_at, "idle") if self.idle_at <= self.second_at else (self.second_at, "second")
+        end = self.evict_at(times)
+        return (at, what) if at <= end else (end, "evict")
 
     def ran(self, at: int, times: Times) -> None:
         """After a run at this time: the second layer's time moves earlier, or stays."""
@@ -69,17 +74,19 @@ def fire(s: Session, records: list[str], upto: int, times: Times) -> Iterator[tu
     """What is due up to a time, in order: (kind, at, run, messages, records). After an eviction the session is as new."""
     while (due := s.due(times))[0] <= upto:
         at, what = due
-        if what == "a idle":
+        if what == "idle":
             s.ran(at, times)
             yield "idle", at, s.runs, s.waiting, list(records)
             s.waiting, s.idle_at = 0, NEVER
             records.clear()
-        elif what == "b second" and at - s.last >= times.window:
+        elif what == "second" and at - s.last >= times.window:
             s.second_at = NEVER
             yield "stop", at, s.runs, 0, []
-        elif what == "b second":
-            s.second_at, s.second_last = at + times.most, at
-            yield "second", at, s.runs, 0, []
+        elif what == "second":
+            # again and again until something else is due
+            n = (min(upto, s.idle_at - 1, s.last + times.window - 1) - at) // times.most + 1
+            s.second_at, s.second_last = at + n * times.most, at + (n - 1) * times.most
+            yield from zip(repeat("second"), range(at, s.second_at, times.most), repeat(s.runs), repeat(0), repeat([]), strict=False)
         else:
             yield "evict", at, s.runs, 0, []
             for f in fields(Session):
@@ -109,51 +116,60 @@ class SessionEngine(StatefulProcessor):
         self.value = handle.getValueState("session", STATE)
         self.waiting = handle.getListState("waiting", "record string")
 
-    def _load(self) -> tuple[Session, list[str]]:
-        s = Session(*self.value.get()) if self.value.exists() else Session(self.floor)
-        return s, [x[0] for x in self.waiting.get()] if self.waiting.exists() else []
+    # Every call of the state is a message to the JVM: a list is read, written or cleared only where messages wait or did.
 
-    def _store(self, s: Session, records: list[str]) -> None:
+    def _load(self) -> tuple[Session, list[str], int]:
+        """The session, its waiting messages, and how many these are."""
+        held = self.value.get()
+        s = Session(self.floor) if held is None else Session(*held)
+        return s, [x[0] for x in self.waiting.get()] if s.waiting else [], s.waiting
+
+    def _store(self, s: Session, records: list[str], held: int) -> None:
         due = s.due(self.times)[0]
         if s.timer not in (due, NEVER):
             self.handle.deleteTimer(s.timer)
         if due == NEVER:  # evicted: nothing of the session stays
             self.value.clear()
-            self.waiting.clear()
+            if held:
+                self.waiting.clear()
             return
         if s.timer != due:
             self.handle.registerTimer(due)
             s.timer = due
-        self.value.update(tuple(asdict(s).values()))
+        self.value.update(tuple(vars(s).values()))
         if records:
             self.waiting.put([(x,) for x in records])
-        else:
+        elif held:
             self.waiting.clear()
 
     @staticmethod
-    def _frame(key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in out], columns=[c.split()[0] for c in EVENT.split(", ")])
+    def _frames(key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            kinds, at, runs, messages, records = zip(*out, strict=True)
+            lists = np.empty(len(out), object)
+            lists[:] = records
+            yield pd.DataFrame({"session_key": np.full(len(out), key[0], object), "kind": np.array(kinds, object), "at_ms": np.array(at, np.int64), "run": np.array(runs, np.int64), "messages": np.array(messages, np.int64), "records": lists})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s, records = self._load()
+        s, records, held = self._load()
         out: list[tuple] = []
         # a session's messages of one batch, by time; what does not follow the last one goes
-        batch = pd.concat(list(rows)).sort_values(["at_ms", "record"], kind="stable")
-        for at, record in zip(batch.at_ms.tolist(), batch.record.tolist(), strict=True):
+        batch = [x for part in rows for x in zip(part.at_ms.tolist(), part.record.tolist(), strict=True)]
+        for at, record in sorted(batch, key=lambda x: (x[0], x[1] is None, x[1])):
             if at <= s.cursor:
                 continue
             out += fire(s, records, at, self.times)
             out += take(s, records, at, record, self.times, self.every)
-        self._store(s, records)
-        yield self._frame(key, out)
+        self._store(s, records, held)
+        yield from self._frames(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        s, records = self._load()
+        s, records, held = self._load()
         if s.timer == expiredTimerInfo.getExpiryTimeInMs():
             s.timer = NEVER  # it is gone
         out = list(fire(s, records, timerValues.getCurrentWatermarkInMs(), self.times))
-        self._store(s, records)
-        yield self._frame(key, out)
+        self._store(s, records, held)
+        yield from self._frames(key, out)
 
     def close(self) -> None:
         pass

@@ -2,12 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hippospark.operators import lookups
 from hippospark.streaming import sessions
-from hippospark.streaming.engine import Times, session_events, situations
+from hippospark.streaming.engine import NEVER, Session, SessionEngine, Times, fire, session_events, situations
 
 TIMES = Times(idle=600_000, delay=90_000, least=900_000, most=3_600_000, window=14_400_000)
 START = 1_700_000_000_000
@@ -89,6 +90,44 @@ def test_engine(spark, tmp_path, cuts):
     assert {r[1] for r in got} == {"count", "idle", "second", "stop", "evict"}
 
 
+def test_a_long_wait_is_one_step():
+    """The second layer's times between two messages come without a look at all due times for each of them."""
+    s = Session(START, last=START, second_at=START + 1)
+    looks, due = [], Session.due
+    s.due = lambda times: looks.append(1) or due(s, times)
+    got = list(fire(s, [], START + 3 * TIMES.window - 1, TIMES))
+    assert [x[1] for x in got] == [START + 1, START + 1 + TIMES.most, START + 1 + 2 * TIMES.most, START + 1 + 3 * TIMES.most, START + 1 + 4 * TIMES.most] and [x[0] for x in got] == ["second"] * 4 + ["stop"]
+    assert len(looks) == 3 and s.second_at == NEVER and s.second_last == START + 1 + 3 * TIMES.most
+
+
+def test_state_is_called_no_more_than_it_changes():
+    """A session without waiting messages leaves its list alone: every call of the state is a message to the JVM."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, None
+
+        def __getattr__(self, what):
+            def call(*x):
+                calls.append((self.name, what))
+                self.held = {"update": x[0] if x else None, "put": x[0] if x else None, "clear": None}.get(what, self.held)
+                return self.held
+
+            return call
+
+    engine = SessionEngine(TIMES, 5, -NEVER)
+    engine.value, engine.waiting, engine.handle = State("value"), State("list"), State("handle")
+    feed = lambda *rows: [x for f in engine.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=["at_ms", "record"])]), None) for x in f.to_dict("records")]
+    assert [(r["kind"], list(r["records"])) for r in feed((START, "a"))] == [("count", ["a"])]
+    assert calls == [("value", "get"), ("handle", "registerTimer"), ("value", "update")]
+    calls.clear()
+    assert feed((START + 1, "b")) == [] and [c for c in calls if c[0] == "list"] == [("list", "put")]
+    calls.clear()
+    assert [(r["kind"], list(r["records"])) for r in feed((START + 2, "c"))] == [("count", ["b", "c"])]
+    assert [c for c in calls if c[0] == "list"] == [("list", "get"), ("list", "clear")]
+
+
 def test_late_messages_and_the_floor(spark, tmp_path):
     early = [("a", START - 5, "before"), ("a", START + 1_000, "one"), ("b", START + 2_000, "two"), ("a", START + 9_000, "three"), ("a", START + 9_000, "twin")]
     late = [("a", START + 9_000, "again"), ("b", START + 9_500, "four")]
