@@ -286,6 +286,14 @@ def test_json_repair(spark):
     assert got[0]["j"]["a"] == "x\ny\t" and got[0]["j"]["b"] == 1 and got[1]["j"] is None
 
 
+def test_plain_values_are_their_own_normal_form(spark):
+    odd = ["1-URGENT", "4-NOT SPECIFIED", "", " ", " a", "a ", "a\n", "\na", "a  b", "a\tb", "ﬁn", "Ｆ ull", "a\u00a0b", "é", "e\u0301", "\x7f", "a b c" * 9_000, None]
+    value = F.col("v")
+    wanted = S.stripped(F.regexp_replace(S.nfkc(value), f"{S.SPACE}+", " "))
+    rows = spark.createDataFrame([(v,) for v in odd], "v string").select("v", S.fact_value(value).alias("got"), wanted.alias("wanted")).collect()
+    assert [r["got"] for r in rows] == [r["wanted"] for r in rows] and rows[0]["got"] == odd[0] and rows[8]["got"] == "a b"
+
+
 def test_blocks_move_as_often_as_there_are_stripes(spark, monkeypatch):
     """However many blocks there are, each goes to as many tasks as stripes, until a stripe is full."""
     monkeypatch.setattr(vectors, "BLOCK", 4)

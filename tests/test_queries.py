@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from hippospark.plans import registry
+from hippospark.plans.kept import kept_table
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -47,6 +48,22 @@ def test_query(spark, duck, name):
         assert rows
 
 
+def test_a_kept_table_is_computed_once(spark, tmp_path):
+    """Though its order is by ranges, which are found from a sample."""
+    spark.range(100, numPartitions=3).write.parquet(f"{tmp_path}/t.parquet")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = lambda: spark.read.parquet(f"{tmp_path}/t.parquet").mapInArrow(counted, "id long")
+    got = kept_table(spark, str(tmp_path), "t", ["t"], rows, "id")
+    assert seen.value == 100 and sorted(r["id"] for r in got.collect()) == list(range(100))
+    assert kept_table(spark, str(tmp_path), "t", ["t"], rows, "id").count() == 100 and seen.value == 100
+
+
 @pytest.mark.parametrize(("name", "tables"), [
     # prices whose thousandth is a tie
     ("history_canvases", {"orders": "SELECT CAST(i AS BIGINT) AS o_orderkey, CAST(i % 3 AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, 500.0 + 1000.0 * i AS o_totalprice FROM range(1, 40) r(i)"}),
