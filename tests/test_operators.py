@@ -429,6 +429,29 @@ def test_best_situations_against_all_pairs(spark, monkeypatch):
     assert got == {i: (b, -s) for i, (s, b) in best.items() if s < 0}
 
 
+def test_best_situations_look_at_near_sets_only(spark):
+    """Sessions of eleven files that share nine with the best: neither side makes all its 2,048 sets, and copies count once."""
+    names = [f"f{i}" for i in range(11)]
+    now = [(i, names, [f"e{i % 3}"], "t") for i in range(30)]
+    then = [(100 + i, [*names[2:], f"x{i % 20}", f"y{i % 20}"], [f"e{i % 3}"], "t", ["o"]) for i in range(600)]
+    current = spark.createDataFrame(now, "session long, files array<string>, errors array<string>, task string")
+    stored = spark.createDataFrame(then, "fingerprint_id long, files array<string>, errors array<string>, task string, owner_ids array<string>")
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+    got = {tuple(r) for r in lookups.best_situations(current, stored).select("session", "fingerprint_id", "score").collect()}
+    assert got == {(i, 100 + i % 3, round(0.6 * 9 / 13 + 0.4, 6)) for i in range(30)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made, runs = 0, store.executionsList()
+    for run in (runs.apply(i) for i in range(runs.size())):
+        if run.executionId() >= first:
+            nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if node.name() == "Generate":
+                    found = values.get(node.metrics().apply(0).accumulatorId())
+                    made += int(found.get().replace(",", "")) if found.isDefined() else 0
+    assert 0 < made < 200_000, made
+
+
 def test_merge_report_names_its_members_and_parses_in_order(spark):
     """Names meet members in a join, headers are counted over ranges: as many clusters as went in, whatever the ranges."""
     from hippospark.operators import knowledge, windows
